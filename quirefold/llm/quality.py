@@ -215,7 +215,7 @@ def quality(
     steps: int = 4,
     cutoff: float = 30.0,
     min_rows: int = 60,
-    floors: tuple[float, ...] = (0.3, 0.2, 0.08, 0.4, 0.4),
+    floors: tuple[float, ...] = (1.0, 0.2, 0.06, 0.4, 0.4),
 ) -> DataFrame:
     """One row per document row: its counts, base_failed, distance2 (null: no estimate), kept."""
     m = measured(docs.select("doc_id", "text", "lang", "source")).drop("text").withColumn("base_failed", base_failed())

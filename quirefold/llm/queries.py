@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirefold.llm import decontam, mixing, quality, secrets
+from quirefold.llm import decontam, langid, lm, mixing, neardup, quality, secrets, substring, toxicity
 from quirefold.llm.common import documents
 
 
@@ -28,5 +28,26 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scanned(documents(spark, sf_dir), model))
 
 
+def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(documents(spark, sf_dir))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.digest(langid.language(documents(spark, sf_dir)))
+
+
+def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digest(substring.dedup(documents(spark, sf_dir)))
+
+
+def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.digest(toxicity.toxicity(documents(spark, sf_dir), labels))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
+    return {k: f for k, f in globals().items() if k.startswith("op") and k[2:].split("_")[0].isdigit()}
