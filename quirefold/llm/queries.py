@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirefold.llm import decontam, langid, lm, mixing, neardup, quality, secrets, substring, toxicity
+from quirefold.llm import chat, decontam, langid, lm, mixing, neardup, quality, secrets, substring, toxicity
 from quirefold.llm.common import documents
 
 
@@ -36,6 +36,10 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.digest(langid.language(documents(spark, sf_dir)))
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.formatted(chat.with_probe(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
 def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(substring.dedup(documents(spark, sf_dir)))
 

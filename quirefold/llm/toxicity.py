@@ -2,7 +2,7 @@
 
 Features are hashed character 5-grams of the lower-cased text (runs of other characters than letters
 and digits are one blank), kept where the labelled examples show that they tell the labels apart: a
-z-score of the log odds of at least ``z``. Examples are TF-IDF vectors of unit length over these
+z-score of the log odds of at least ``z``, and ``precision`` of the examples with it toxic. Examples are TF-IDF vectors of unit length over these
 features. The index holds postings by feature in blocks of examples with the largest weight of each
 block; a query visits blocks by their upper bound and stops when no block can change its ``k``
 nearest, so the result equals a full scan's. The score is the neighbours' vote, each weighed by its
@@ -19,6 +19,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -102,18 +103,26 @@ class Index:
         return float(((weights * votes).sum() + 0.5 * self.prior) / (weights.sum() + 0.5)), [int(self.ids[i]) for _, i in found[:3]]
 
 
-def fitted(ids: list[int], texts: list[str | None], toxic: list[int], z: float = 5.0, features: int = 1024) -> Index:
+def fitted(ids: list[int], texts: list[str | None], toxic: list[int], z: float = 3.0, precision: float = 0.6, features: int = 1024) -> Index:
     y = np.array(toxic, dtype=np.int64)
-    grams, counts = gram_hashes(texts)
-    doc = np.repeat(np.arange(len(texts)), counts)
-    pair = np.unique(doc.astype(np.int64) << BITS | grams)
-    d, g = pair >> BITS, (pair & ((1 << BITS) - 1)).astype(np.int64)
-    n1, n0 = max(int(y.sum()), 1), max(int((1 - y).sum()), 1)
-    in1 = np.bincount(g[y[d] == 1], minlength=1 << BITS)
-    in0 = np.bincount(g[y[d] == 0], minlength=1 << BITS)
+    own: list[np.ndarray] = []  # hashes of each example, with repeats
+    for lo in range(0, len(texts), 200):
+        grams, counts = gram_hashes(texts[lo : lo + 200])
+        own += np.split(grams, np.cumsum(counts)[:-1])
+    in1, in0, n1, n0 = np.zeros(1 << BITS), np.zeros(1 << BITS), 1, 1
+    seen: dict[tuple[int, int], int] = {}  # which example had a minimum first
+    for i, grams in enumerate(own):
+        g = np.unique(grams)
+        # A near copy of an earlier example says nothing new about a feature: it shares most minima.
+        minima = [(k, int(mixed(g.astype(np.uint64) + np.uint64(k << 32)).min())) for k in range(8)] if len(g) else []
+        first = Counter(seen.setdefault(m, i) for m in minima)
+        if any(n >= 5 for j, n in first.items() if j != i):
+            continue
+        (in1 if y[i] else in0)[g] += 1
+        n1, n0 = n1 + y[i], n0 + 1 - y[i]
     odds = np.log((in1 + 0.5) / (n1 - in1 + 0.5)) - np.log((in0 + 0.5) / (n0 - in0 + 0.5))
     score = odds / np.sqrt(1 / (in1 + 0.5) + 1 / (in0 + 0.5))
-    good = np.flatnonzero((score >= z) & (in1 >= 3))
+    good = np.flatnonzero((score >= z) & (in1 >= 5) & (in1 >= precision * (in1 + in0)))
     good = np.sort(good[np.argsort(-score[good], kind="stable")[:features]])
     feature = np.full(1 << BITS, -1, dtype=np.int32)
     feature[good] = np.arange(len(good))
@@ -121,8 +130,8 @@ def fitted(ids: list[int], texts: list[str | None], toxic: list[int], z: float =
     blocks = -(-len(texts) // BLOCK)
     index = Index(feature, idf, np.array(ids, dtype=np.int64), y, 0.0, *[np.empty(0)] * 4)
     at, fs, ws, empty = [], [], [], []
-    for i, (s, e) in enumerate(zip(np.cumsum(counts) - counts, np.cumsum(counts), strict=True)):
-        f, w = index.vector(grams[s:e])
+    for i, grams in enumerate(own):
+        f, w = index.vector(grams)
         at.append(np.full(len(f), i))
         fs.append(f)
         ws.append(w)
@@ -191,7 +200,7 @@ def scored(docs: DataFrame, index: Index, k: int) -> DataFrame:
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, OUT)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, most: int = 6000, k: int = 15) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, most: int = 10_000, k: int = 15) -> DataFrame:
     """Learns from labels of rows whose crc32 of the id modulo 5 is not 0, and scores all rows."""
     marked = docs.select("doc_id", "text", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"))
     rows = sample(docs, labels, most).collect()
