@@ -122,7 +122,7 @@ def fitted(ids: list[int], texts: list[str | None], toxic: list[int], z: float =
         n1, n0 = n1 + y[i], n0 + 1 - y[i]
     odds = np.log((in1 + 0.5) / (n1 - in1 + 0.5)) - np.log((in0 + 0.5) / (n0 - in0 + 0.5))
     score = odds / np.sqrt(1 / (in1 + 0.5) + 1 / (in0 + 0.5))
-    good = np.flatnonzero((score >= z) & (in1 >= 5) & (in1 >= precision * (in1 + in0)))
+    good = np.flatnonzero((score >= z) & (in1 >= max(3, len(own) / 1000)) & (in1 >= precision * (in1 + in0)))
     good = np.sort(good[np.argsort(-score[good], kind="stable")[:features]])
     feature = np.full(1 << BITS, -1, dtype=np.int32)
     feature[good] = np.arange(len(good))
