@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def outside_tables(lines: DataFrame, tables: DataFrame) -> DataFrame:
     """Lines that no table of the page covers by 45 % of their area."""
-    t = tables.select("doc_id", "page_no", *[F.col(c).alias(f"_{c}") for c in ("x0", "y0", "x1", "y1")])
-    side = lambda a, b: F.greatest(F.least(f"{b}", f"_{b}") - F.greatest(f"{a}", f"_{a}"), F.lit(0.0)) / F.greatest(F.col(b) - F.col(a), F.lit(1.0))
-    hit = lines.join(t, ["doc_id", "page_no"]).filter(side("x0", "x1") * side("y0", "y1") >= 0.45)
-    keys = ["doc_id", "page_no", "block_no", "line_no"]
-    return lines.join(hit.select(*keys).distinct(), keys, "left_anti")
+    line, t = lines.alias("l"), tables.alias("t")
+    col = lambda side, c: F.col(f"{side}.{c}")
+
+    def share(a: str, b: str) -> Column:
+        common = F.least(col("l", b), col("t", b)) - F.greatest(col("l", a), col("t", a))
+        return F.greatest(common, F.lit(0.0)) / F.greatest(col("l", b) - col("l", a), F.lit(1.0))
+
+    same = (col("l", "doc_id") == col("t", "doc_id")) & (col("l", "page_no") == col("t", "page_no"))
+    return line.join(t, same & (share("x0", "x1") * share("y0", "y1") >= 0.45), "left_anti")
 
 
 def clusters(x0: list[float], x1: list[float], width: float) -> list[tuple[float, int]]:

@@ -1,11 +1,323 @@
-"""Queries over the test tables, and the SQL that says what each should return."""
+"""Queries over the test tables, and the SQL that says what each should return.
+
+``case`` queries run an operator on hand-written rows; their SQL is a table of expected rows worked
+out from the operator's description, never from its output. The rest run on the test tables.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quirefold.functions import text as T
+from quirefold.operators import dedup, grouping, layout, outline, post, readback, render, sections, tables
+from quirefold.plans.convert import ConvertOptions, convert, files, outlines
+from quirefold.sources.adapters import binder, prose
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+#: name: (function, [(input, expected), ...])
+CASES: dict[str, tuple[Callable[[Column], Column], list[tuple[str, object]]]] = {
+    "case_clean_line": (T.clean_line, [("  a\tb  ", "a b"), ("a\x01b", "a b"), ("a  b", "a b"), ("", "")]),
+    "case_clean_paragraph": (T.clean_paragraph, [("a \n\n b", "a b"), ("\n", "")]),
+    "case_console_text": (T.console_text, [("é a", "? a"), ("x" * 90, "x" * 80)]),
+    "case_slugify": (T.slugify, [("Hello, World!", "hello-world"), ("***", "section"), ("a" * 70, "a" * 64)]),
+    "case_match_key": (T.match_key, [("A <b>Bold</b> Title!", "a bold title"), ("Été", "t"), ("***", "")]),
+    "case_margin_key": (T.margin_key, [("12 Guide 3", "guide"), ("Page 3 Notes", "notes"), ("Page 3", "page"), ("Page 3 of 10", "of")]),
+    "mojibake": (T.repair_mojibake, [("itâ€™s", "it’s"), ("aÂ b", "a b"), ("plain", "plain")]),
+    "page_number_lines": (T.is_page_number, [("12", True), ("Page 3 of 10", True), ("3/10", True), ("12345", False), ("page", False)]),
+    "bullet_lines": (T.is_bullet, [("• a", True), ("- a", True), ("12. a", True), ("-a", False), ("a - b", False)]),
+    "case_heading_shape": (T.heading_shaped, [("abc", False), ("Intro", True), ("- Intro", False), ("one two three four five six seven eight nine.", False)]),
+    "case_cell_escape": (T.cell_escape, [("a|b", "a\\|b")]),
+    "case_html_escape": (T.html_escape, [("<a href=\"x\">&'", "&lt;a href=&quot;x&quot;&gt;&amp;&#39;")]),
+    "post_readability": (post.readability, [("Extract 3 Text", "Text"), ("• item", "- item"), ("word 12 next", "word<sup>12</sup> next"), ("end.3 x", "end.<sup>3</sup> x")]),
+    "post_definition_breaks": (post.definition_breaks, [("<sup>1</sup> Note\nmore", "<sup>1</sup> Note\n\nmore"), ("a\nb", "a\nb")]),
+    "post_attach_markers": (lambda c: post.folded(post.attach_markers)(c), [("Text.\n\n<sup>1</sup> Note", "Text.<sup>1</sup>\n\n<sup>1</sup> Note")]),
+    "post_definitions_last": (post.definitions_last, [("<sup>1</sup> N\n\nBody", "Body\n\n<sup>1</sup> N")]),
+    "post_stitch": (lambda c: post.folded(post.stitch)(c), [("Open text\n\ngoes on", "Open text goes on"), ("Done.\n\ngoes on", "Done.\n\ngoes on")]),
+    "post_dot_leaders": (
+        lambda c: post.folded(post.dot_leaders)(c),
+        [("A .... 1\nB .... 2\nC .... 3", "| Section | Page |\n| --- | --- |\n| A | 1 |\n| B | 2 |\n| C | 3 |"), ("A .... 1\nB .... 2", "A .... 1\nB .... 2")],
+    ),
+    "post_as_follows": (lambda c: post.folded(post.as_follows)(c), [("It is as follows:\nA. one\nB. two\nprose", "It is as follows:\n- A. one\n- B. two\nprose")]),
+    "post_redundant_table_headers": (post.redundant_table_headers, [("Categories\nLevel 1\nLevel 2\nLevel 3\nLevel 4\n| a | b |", "| a | b |")]),
+    "post_row_prefixes": (post.row_prefixes, [("<sup>19</sup> | x |", "| x |")]),
+    "post_detached_text": (post.detached_text, [("| a | b | tail", "| a | b |\n\ntail")]),
+    "post_bullet_runs": (post.bullet_runs, [("a • b • c", "- a\n- b\n- c"), ("# a • b", "# a • b")]),
+    "post_bullet_glyphs": (post.bullet_glyphs, [("a • b", "a b")]),
+    "post_no_sup": (post.no_sup, [("a<sup>1</sup>", "a1"), ("19 | Header", "| Header")]),
+    "md_to_html": (lambda c: render.markdown_html(c), [("# T\ntext", "<h1>T</h1>\n<p>text</p>"), ("- a\n\n- b", "<ul><li>a</li><li>b</li></ul>"), ("| a | b |\n| --- | --- |\n| 1 | 2 |", "<table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td>2</td></tr></table>")]),
+    "error_class": (readback.error_class, [("mupdf: no objects found", "corrupt"), ("EBUSY: locked", "locked"), ("boom", "other")]),
+    "dropped_path": (readback.dropped_path, [("file:///C:/a%20b.pdf", "C:/a b.pdf"), ("\"/x/y.pdf\"", "/x/y.pdf"), ("file:///x/a+b.pdf", "/x/a+b.pdf")]),
+    "ellipsized_path": (readback.ellipsized, [("/home/user/documents/archive/2020/january/file.pdf", "home/user/.../file.pdf"), ("/a/b.pdf", "/a/b.pdf")]),
+    "user_error": (readback.user_error, [("Error: Bad file\nTechnical details: x", "Bad file"), ("plain", "plain")]),
+}
+
+
+def case(name: str) -> Query:
+    f, rows = CASES[name]
+    kind = "boolean" if isinstance(rows[0][1], bool) else "string"
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(rows)], "id int, x string")
+        return df.select("id", f(F.col("x")).cast(kind).alias("result"))
+
+    return run
+
+
+def case_sql(name: str) -> str:
+    quote = lambda v: str(v).upper() if isinstance(v, bool) else "'" + v.replace("'", "''") + "'"
+    return "SELECT * FROM (VALUES " + ", ".join(f"({i}, {quote(y)})" for i, (_, y) in enumerate(CASES[name][1])) + ") AS t(id, result)"
+
+
+def table(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+documents = table("documents")
+
+
+def lines_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binder(documents(spark, sf_dir))
+
+
+def binder_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outline.from_fonts(lines_of(spark, sf_dir))
+
+
+def ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = lines_of(spark, sf_dir).groupBy("doc_id").agg(F.max("page_no").alias("page_count"))
+    return sections.section_ranges(binder_outline(spark, sf_dir), counts)
+
+
+def q_clean_lines(spark, sf_dir):
+    rows = documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "x"))
+    return rows.select("doc_id", "line_no", T.clean_line(F.col("x")).alias("line"))
+
+
+def q_match_keys(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", T.match_key(F.col("text")).alias("norm"))
+
+
+def q_slugs(spark, sf_dir):
+    return table("part")(spark, sf_dir).select("p_partkey", T.slugify(F.col("p_name")).alias("slug"))
+
+
+def q_line_frame(spark, sf_dir):
+    d = lines_of(spark, sf_dir)
+    return d.select("doc_id", "page_no", "line_no", F.round("y0", 6).alias("y0"), "x1", "size", F.length("text").cast("long").alias("chars"))
+
+
+def q_font_cutoff(spark, sf_dir):
+    return outline.font_cutoff(lines_of(spark, sf_dir).withColumn("text", T.clean_line(F.col("text"))))
+
+
+def q_heading_levels(spark, sf_dir):
+    return binder_outline(spark, sf_dir).select("doc_id", "pos", "level", "title", "page_start")
+
+
+def q_outline_normalized(spark, sf_dir):
+    return outlines(lines_of(spark, sf_dir)).select("doc_id", "pos", "level", "title", "page_start", "source")
+
+
+def q_wrapped_headings(spark, sf_dir):
+    return outline.wrapped_headings(outline.heading_candidates(lines_of(spark, sf_dir)))
+
+
+def q_document_title(spark, sf_dir):
+    return outline.document_title(lines_of(spark, sf_dir))
+
+
+def q_noise_profile(spark, sf_dir):
+    return sections.noise_profile(lines_of(spark, sf_dir))
+
+
+def q_denoised_lines(spark, sf_dir):
+    lines = lines_of(spark, sf_dir)
+    return sections.denoised(lines, sections.noise_profile(lines)).groupBy("doc_id", "page_no").agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_section_ranges(spark, sf_dir):
+    return ranges(spark, sf_dir).select("doc_id", "pos", "start", F.col("end").alias("finish"))
+
+
+def q_section_lines(spark, sf_dir):
+    own = sections.section_lines(ranges(spark, sf_dir), lines_of(spark, sf_dir))
+    return own.groupBy("doc_id", "pos").agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_table_overlap(spark, sf_dir):
+    """Lines and tables from lineitem: an order is a page, lines 1 to 3 are text, others tables."""
+    li = table("lineitem")(spark, sf_dir).filter("l_orderkey % 10 = 0")
+    box = li.select(
+        F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page_no"), F.lit(0).alias("block_no"), F.col("l_linenumber").alias("line_no"),
+        (F.col("l_quantity") * 2).alias("x0"), (F.col("l_discount") * 200).alias("y0"), (F.col("l_quantity") * 2 + 60).alias("x1"), (F.col("l_discount") * 200 + 12).alias("y1"),
+    )
+    return layout.outside_tables(box.filter("line_no <= 3"), box.filter("line_no > 3")).select("doc_id", "line_no")
+
+
+def q_reading_order(spark, sf_dir):
+    """Conversations as two-column pages: the user on the left, the assistant on the right."""
+    c = table("conversations")(spark, sf_dir).select("conv_id", "turn", "role", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("k", "text"))
+    x0 = F.when(F.col("role") == "user", 72.0).otherwise(324.0)
+    y0 = 40.0 + 12.0 * F.col("turn") + 3.0 * F.col("k")
+    rows = c.select(
+        F.col("conv_id").alias("doc_id"), F.lit(1).alias("page_no"), F.col("turn").cast("int").alias("block_no"), F.col("k").alias("line_no"), x0.alias("x0"),
+        y0.alias("y0"), (x0 + F.least(F.lit(216.0), 5.5 * F.length("text"))).alias("x1"), (y0 + 10).alias("y1"), "text",
+    )
+    return layout.reading_order(rows).select("doc_id", "block_no", "line_no", "seq")
+
+
+def q_paragraphs(spark, sf_dir):
+    return layout.paragraphs(prose(documents(spark, sf_dir)))
+
+
+def q_exact_dedupe(spark, sf_dir):
+    p = documents(spark, sf_dir).select(F.col("source"), F.col("doc_id").alias("para"), "text")
+    return dedup.exact(p, ["source"]).select("source", "para")
+
+
+def q_near_dedupe(spark, sf_dir):
+    p = documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("para", "text"))
+    return dedup.deduplicated(p, ["doc_id"]).select("doc_id", "para")
+
+
+def q_md_table(spark, sf_dir):
+    n = table("nation")(spark, sf_dir).join(table("region")(spark, sf_dir), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name")))
+    body = F.transform("a", lambda x: F.array(x["n_nationkey"].cast("string"), x["n_name"]))
+    cells = F.concat(F.array(F.array(F.lit("Key"), F.lit("Name"))), body)
+    return n.groupBy("r_name").agg(rows.alias("a")).select("r_name", tables.markdown_table(cells).alias("md"))
+
+
+def q_toc_table(spark, sf_dir):
+    return tables.outline_table(binder_outline(spark, sf_dir))
+
+
+def q_numbering(spark, sf_dir):
+    return grouping.numbered(binder_outline(spark, sf_dir)).select("doc_id", "pos", "level", "code")
+
+
+def q_section_counts(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", grouping.line_count(F.col("text")).alias("line_count"), F.length("text").cast("long").alias("char_count"))
+
+
+def q_major_level(spark, sf_dir):
+    return grouping.major_level(binder_outline(spark, sf_dir))
+
+
+def q_major_groups(spark, sf_dir):
+    return grouping.major_groups(binder_outline(spark, sf_dir)).select("doc_id", "pos", "grp")
+
+
+def q_outline_md(spark, sf_dir):
+    return render.outline_markdown(binder_outline(spark, sf_dir))
+
+
+def q_html_escape(spark, sf_dir):
+    return table("pages")(spark, sf_dir).select("page_id", T.html_escape(F.col("html")).alias("html"))
+
+
+def q_sections(spark, sf_dir):
+    return convert(lines_of(spark, sf_dir))
+
+
+def q_files(mode: str) -> Query:
+    return lambda spark, sf_dir: files(convert(lines_of(spark, sf_dir)), ConvertOptions(mode=mode))
+
+
+def q_footnotes(f) -> Query:
+    rows = [("a", 0, "Text<sup>1</sup> here."), ("a", 1, "Other.\n\n<sup>1</sup> The note.")]
+    return lambda spark, sf_dir: f(spark.createDataFrame(rows, "doc_id string, pos int, body string"))
+
+
+def q_orphans(spark, sf_dir):
+    rows = [("a", 0, "Text<sup>1</sup>.\n\n<sup>1</sup> Note."), ("a", 1, "More<sup>1</sup> text<sup>2</sup>.")]
+    return grouping.orphan_markers(spark.createDataFrame(rows, "doc_id string, pos int, body string"))
+
+
+def q_parts(spark, sf_dir):
+    rows = [("a-part-2.md", "# A\n\ntwo"), ("a-part-10.md", "# A\n\nten"), ("a-part-1.md", "# A\n\none"), ("b.md", "# B\n\nall")]
+    return readback.combined_parts(spark.createDataFrame(rows, "path string, text string"))
+
+
+def queries() -> dict[str, Query]:
+    own = {k[2:]: f for k, f in globals().items() if k.startswith("q_") and k not in ("q_files", "q_footnotes", "q_orphans", "q_parts")}
+    own |= {f"files_{m}": q_files(m) for m in ("single", "major", "sections")}
+    own |= {"footnote_rebalance": q_footnotes(grouping.rebalanced), "orphan_markers": q_orphans, "parts_combined": q_parts}
+    return own | {name: case(name) for name in CASES}
+
 
-def queries():
-    return {}
+BINDER = r"""
+pages AS (SELECT source || '-' || ((r - 1) // 10)::VARCHAR AS doc_id, ((r - 1) % 10 + 1)::INT AS page_no, text
+  FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents)),
+cut AS (SELECT doc_id, page_no, string_split(coalesce(text, ''), chr(10)) AS l FROM pages),
+flat AS (SELECT doc_id, page_no, len(l) AS n, unnest(range(0, len(l))) AS line_no, l FROM cut),
+lines AS (SELECT doc_id, page_no, line_no::INT AS line_no, l[line_no + 1] AS text,
+  CASE WHEN n > 1 THEN 40.0::DOUBLE + 700.0::DOUBLE * line_no / (n - 1) ELSE 40.0::DOUBLE END AS y0,
+  72.0::DOUBLE + least(468.0::DOUBLE, 5.5::DOUBLE * length(l[line_no + 1])) AS x1,
+  CASE WHEN line_no = 0 AND length(l[line_no + 1]) <= 60 THEN 18.0::DOUBLE WHEN length(l[line_no + 1]) <= 40 THEN 14.0::DOUBLE ELSE 10.0::DOUBLE END AS size
+  FROM flat)"""
+CLEAN = "trim(regexp_replace(regexp_replace({}, '[\\x01-\\x1f\\x7f]', ' ', 'g'), '\\s+', ' ', 'g'))"
+KEY = "trim(regexp_replace(regexp_replace(lower(" + CLEAN + "), '<[^>]+>', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'))"
+MARGIN = KEY.format("regexp_replace(regexp_replace(regexp_replace(" + CLEAN + r", '^\d{{1,3}}\s+', ''), '\s+\d{{1,3}}$', ''), '(?i)^page\s+\d{{1,4}}\s*', '')")
+HEADINGS = (
+    BINDER
+    + ", own AS (SELECT * REPLACE (" + CLEAN.format("text") + " AS text) FROM lines), full_ AS (SELECT * FROM own WHERE text <> ''),"
+    + r"""
+sizes AS (SELECT doc_id, list_sort(list(size)) AS s FROM full_ GROUP BY doc_id),
+cutoff AS (SELECT doc_id, greatest(s[(floor((len(s) - 1) * 0.75))::INT + 1], s[(floor((len(s) - 1) * 0.5))::INT + 1] + 1.0) AS cutoff FROM sizes),
+cand AS (SELECT full_.* FROM full_ JOIN cutoff USING (doc_id) WHERE size >= cutoff AND length(text) BETWEEN 4 AND 120
+  AND NOT regexp_matches(text, '^[•*-]') AND NOT (text LIKE '%.' AND len(string_split(text, ' ')) > 8)),
+firsts AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY doc_id, lower(text) ORDER BY page_no, line_no) = 1),
+levels AS (SELECT *, least(3, dense_rank() OVER (PARTITION BY doc_id ORDER BY size DESC))::INT AS level FROM firsts),
+heads AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY page_no, y0, level, lower(text), line_no) - 1)::INT AS pos FROM levels)"""
+)
+RANGES = (
+    HEADINGS
+    + """, counts AS (SELECT doc_id, max(page_no) AS pc FROM lines GROUP BY doc_id),
+nexts AS (SELECT heads.*, pc, lead(page_no) OVER w AS np, lead(y0) OVER w AS ny FROM heads JOIN counts USING (doc_id) WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+rng AS (SELECT *, page_no AS start, greatest(page_no - 1, least(CASE WHEN np IS NULL THEN pc ELSE np END, pc))::INT AS finish FROM nexts)"""
+)
+NOISE = (
+    BINDER
+    + ", banded AS (SELECT *, CASE WHEN y0 <= 79.2 THEN 'top' WHEN y0 + 10 >= 712.8 THEN 'bottom' END AS band FROM lines), normed AS (SELECT *, "
+    + MARGIN.format("text")
+    + """ AS norm FROM banded WHERE band IS NOT NULL),
+total AS (SELECT doc_id, count(DISTINCT page_no) AS n FROM lines GROUP BY doc_id),
+noise AS (SELECT doc_id, band, norm FROM normed JOIN total USING (doc_id) WHERE length(norm) >= 4
+  GROUP BY doc_id, band, norm, total.n HAVING count(DISTINCT page_no) >= greatest(2, ceil(total.n * 0.15)))"""
+)
 
 
-def oracle_sql():
-    return {}
+def oracle_sql() -> dict[str, str]:
+    sql = {name: case_sql(name) for name in CASES}
+    clean, key = CLEAN.format, KEY.format
+    sql |= {
+        "clean_lines": f"SELECT doc_id, (i - 1)::INT AS line_no, {clean('l[i]')} AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))",
+        "match_keys": f"SELECT doc_id, {key('text')} AS norm FROM documents",
+        "slugs": "SELECT p_partkey, left(CASE WHEN s = '' THEN 'section' ELSE s END, 64) AS slug FROM (SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM part)",
+        "line_frame": f"WITH {BINDER} SELECT doc_id, page_no, line_no, round(y0, 6) AS y0, x1, size, length(text)::BIGINT AS chars FROM lines",
+        "font_cutoff": f"WITH {HEADINGS} SELECT doc_id, cutoff FROM cutoff",
+        "heading_levels": f"WITH {HEADINGS} SELECT doc_id, pos, level, text AS title, page_no AS page_start FROM heads",
+        "noise_profile": f"WITH {NOISE} SELECT * FROM noise",
+        "denoised_lines": f"WITH {NOISE} SELECT doc_id, page_no, count(*) AS n FROM banded b WHERE NOT (coalesce(band, '') = 'bottom' AND regexp_matches({clean('text')}, '(?i)^(page\\s+)?\\d{{1,4}}(\\s*(/|of)\\s*\\d{{1,4}})?$')) AND NOT EXISTS (SELECT 1 FROM noise WHERE noise.doc_id = b.doc_id AND noise.band = b.band AND noise.norm = {MARGIN.format('b.text')}) GROUP BY doc_id, page_no",
+        "section_ranges": f"WITH {RANGES} SELECT doc_id, pos, start, finish FROM rng",
+        "section_lines": f"WITH {RANGES} SELECT r.doc_id, r.pos, count(*) AS n FROM rng r JOIN lines l ON l.doc_id = r.doc_id AND l.page_no BETWEEN r.start AND r.finish WHERE l.y0 + 10 > (CASE WHEN l.page_no = r.start THEN r.y0 + 0.5 ELSE 0 END) AND l.y0 < (CASE WHEN l.page_no = r.finish AND r.np = r.finish THEN r.ny ELSE 792 END) AND (CASE WHEN l.page_no = r.finish AND r.np = r.finish THEN r.ny ELSE 792 END) > (CASE WHEN l.page_no = r.start THEN r.y0 + 0.5 ELSE 0 END) GROUP BY r.doc_id, r.pos",
+        "table_overlap": "WITH b AS (SELECT l_orderkey AS doc_id, l_linenumber AS line_no, l_quantity * 2 AS x0, l_discount * 200 AS y0, l_quantity * 2 + 60 AS x1, l_discount * 200 + 12 AS y1 FROM lineitem WHERE l_orderkey % 10 = 0) SELECT doc_id, line_no FROM b l WHERE line_no <= 3 AND NOT EXISTS (SELECT 1 FROM b t WHERE t.doc_id = l.doc_id AND t.line_no > 3 AND (greatest(least(l.x1, t.x1) - greatest(l.x0, t.x0), 0::DOUBLE) / greatest(l.x1 - l.x0, 1)) * (greatest(least(l.y1, t.y1) - greatest(l.y0, t.y0), 0::DOUBLE) / greatest(l.y1 - l.y0, 1)) >= 0.45)",
+        "exact_dedupe": f"WITH c AS (SELECT source, doc_id AS para, {key('text')} AS norm, length(text) >= 80 AND len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) >= 12 AND NOT regexp_matches(text, '^(\\||#|- (Level|Pages|Source):)') AS cand FROM documents) SELECT source, para FROM c WHERE norm <> '' QUALIFY NOT cand OR row_number() OVER (PARTITION BY source, norm, cand ORDER BY para) = 1",
+        "md_table": "SELECT r_name, '| Key | Name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || ' |', chr(10) ORDER BY n_nationkey) AS md FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name",
+        "toc_table": f"WITH {HEADINGS}, k AS (SELECT *, {key('text')} AS norm FROM heads), f AS (SELECT doc_id, min(pos) AS pos, arg_min(text, pos) AS title, page_no FROM k WHERE norm <> '' GROUP BY doc_id, norm, page_no) SELECT doc_id, '| Section | Page |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || replace(title, '|', '\\|') || ' | ' || page_no || ' |', chr(10) ORDER BY pos) AS md FROM f GROUP BY doc_id",
+        "numbering": f"WITH {HEADINGS}, g AS (SELECT doc_id, pos, level, sum((level < 2)::INT) OVER w AS g2, sum((level < 3)::INT) OVER w AS g3, sum((level = 1)::INT) OVER w AS c1 FROM heads WINDOW w AS (PARTITION BY doc_id ORDER BY pos)), c AS (SELECT *, sum((level = 2)::INT) OVER (PARTITION BY doc_id, g2 ORDER BY pos) AS c2, sum((level = 3)::INT) OVER (PARTITION BY doc_id, g3 ORDER BY pos) AS c3 FROM g) SELECT doc_id, pos, level, c1::VARCHAR || (CASE WHEN level >= 2 THEN '.' || c2 ELSE '' END) || (CASE WHEN level >= 3 THEN '.' || c3 ELSE '' END) AS code FROM c",
+        "section_counts": "SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''))::BIGINT AS line_count, length(text)::BIGINT AS char_count FROM documents",
+        "major_level": f"WITH {HEADINGS}, n AS (SELECT doc_id, level, count(*) AS n FROM heads GROUP BY doc_id, level) SELECT doc_id, coalesce(min(level) FILTER (WHERE n >= 2), min(level)) AS major FROM n GROUP BY doc_id",
+        "major_groups": f"WITH {HEADINGS}, n AS (SELECT doc_id, level, count(*) AS n FROM heads GROUP BY doc_id, level), m AS (SELECT doc_id, coalesce(min(level) FILTER (WHERE n >= 2), min(level)) AS major FROM n GROUP BY doc_id), o AS (SELECT heads.doc_id, pos, CASE WHEN level = major THEN pos END AS own FROM heads JOIN m USING (doc_id)) SELECT doc_id, pos, coalesce(max(own) OVER (PARTITION BY doc_id ORDER BY pos), min(own) OVER (PARTITION BY doc_id)) AS grp FROM o",
+        "outline_md": f"WITH {HEADINGS} SELECT doc_id, string_agg(repeat('  ', level - 1) || '- L' || level || ' p' || page_no || ' ' || text, chr(10) ORDER BY pos) AS md FROM heads GROUP BY doc_id",
+        "html_escape": "SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS html FROM pages",
+        "footnote_rebalance": "SELECT * FROM (VALUES ('a', 0, 'Text<sup>1</sup> here.' || chr(10) || chr(10) || '<sup>1</sup> The note.'), ('a', 1, 'Other.')) AS t(doc_id, pos, body)",
+        "orphan_markers": "SELECT * FROM (VALUES ('a', 0, 'Text<sup>1</sup>.' || chr(10) || chr(10) || '<sup>1</sup> Note.'), ('a', 1, 'More text<sup>2</sup>.')) AS t(doc_id, pos, body)",
+        "parts_combined": "SELECT * FROM (VALUES ('a', '# A' || chr(10) || chr(10) || 'one' || chr(10) || chr(10) || 'two' || chr(10) || chr(10) || 'ten'), ('b', '# B' || chr(10) || chr(10) || 'all')) AS t(stem, text)",
+    }
+    return sql
