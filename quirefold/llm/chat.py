@@ -11,8 +11,8 @@ Expressions: strings, whole numbers, true, false, none, names, a.b, a['b'], + ==
 parentheses, and the filters ``|escape``, ``|trim``, ``|upper``. Sandbox: only keys of dicts can be
 read; nothing is called but the filters; no attribute of any Python object is reachable.
 
-``|escape`` puts a backslash before each backslash, ``<`` and ``#``, so no text can hold a control
-string of the turn format; reading a turn back undoes it.
+``|escape`` writes each backslash, ``<``, ``#`` and colon as a backslash and a letter (CODES), so no
+text can hold a control string of the turn format; reading a turn back undoes it.
 
 Edge cases: null role or text is empty; turns are ordered by turn, role, text (nulls first), so ties
 and repeated rows have an order; a null conv_id is a conversation; extra columns are ignored; an
@@ -35,8 +35,11 @@ TEMPLATE = (
     "{% else %}{{ m.text|escape }}{% endif %}</turn>\n{% endfor %}"
 )
 OPEN, CLOSE = "<turn>### ", "</turn>\n"
+#: What the characters of control strings are written as inside roles and texts.
+CODES = {"\\": "\\\\", "<": "\\l", "#": "\\h", ":": "\\c"}
+PLAIN = {v: k for k, v in CODES.items()}
 FILTERS: dict[str, Callable[[str], str]] = {
-    "escape": lambda s: re.sub(r"([\\<#])", r"\\\1", s),
+    "escape": lambda s: re.sub(r"[\\<#:]", lambda m: CODES[m[0]], s),
     "trim": str.strip,
     "upper": str.upper,
 }
@@ -47,7 +50,7 @@ Piece = tuple[str, bool]
 
 
 def unescape(s: str) -> str:
-    return re.sub(r"\\([\\<#])", r"\1", s)
+    return re.sub(r"\\[\\lhc]", lambda m: PLAIN[m[0]], s)
 
 
 class TemplateError(ValueError):
@@ -365,8 +368,8 @@ class Reader:
         for part in raw.split(CLOSE)[:-1]:
             if not part.startswith(OPEN):
                 raise ValueError(f"no turn begins at {part[:40]!r}")
-            body = re.match(r"((?:[^\\:]|\\.|:(?!\n))*):\n(.*)", part[len(OPEN) :], flags=re.S)
-            role, text = unescape(body[1]), unescape(body[2])
+            role, _, text = part[len(OPEN) :].partition(":\n")
+            role, text = unescape(role), unescape(text)
             self.n_turns += 1
             self.turns.update(f"{role}\n{text}\n".encode())
 

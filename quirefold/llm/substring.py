@@ -81,7 +81,7 @@ def asked(block: int, buckets: int, h: np.ndarray, g: np.ndarray | None, lo: np.
     h, lo, hi, bucket = h[order], lo[order], hi[order], bucket[order]
     g = np.zeros(0, np.uint32) if g is None else g[order]
     at = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(h) else np.empty(0, np.int64)
-    ends = np.append(at[1:], len(h))
+    ends = np.append(at[1:], len(h))[: len(at)]
     cut = lambda x: [x[s:e].tobytes() for s, e in zip(at, ends, strict=True)]
     return pa.table(
         {
