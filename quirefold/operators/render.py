@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def section_markdown(metadata: bool = False) -> Column:
@@ -71,6 +72,6 @@ def to_html(md: str) -> str:
     return "\n".join(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def markdown_html(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else to_html(x))

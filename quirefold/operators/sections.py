@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from quirefold.functions.text import is_page_number, margin_key
 
-DOC = Window.partitionBy("doc_id")
 
 
 def banded(lines: DataFrame, height: float = 792.0, share: float = 0.10) -> DataFrame:
@@ -39,12 +38,12 @@ def front_matter(outline: DataFrame) -> DataFrame:
         F.lit(1).alias("page_start"), F.lit(0.0).alias("y0"), F.lit("synthetic-front-matter").alias("source"),
     )
     both = outline.select(*extra.columns).unionByName(extra)
-    return both.withColumn("pos", (F.row_number().over(DOC.orderBy("pos")) - 1).cast("int"))
+    return both.withColumn("pos", (F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")) - 1).cast("int"))
 
 
 def section_ranges(outline: DataFrame, page_counts: DataFrame) -> DataFrame:
     """Adds start, end (inclusive; start - 1 when empty), y_min and y_max of each entry."""
-    w = DOC.orderBy("pos")
+    w = Window.partitionBy("doc_id").orderBy("pos")
     o = outline.withColumn("_p", F.lead("page_start").over(w)).withColumn("_y", F.lead("y0").over(w))
     o = o.join(page_counts, "doc_id")
     start = F.col("page_start")
