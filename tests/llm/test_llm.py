@@ -218,7 +218,7 @@ def test_chat(spark):
     c = chat.with_probe(spark.createDataFrame(data, "conv_id bigint, turn bigint, role string, text string"))
     found = rows(chat.formatted(c), "conv_id")
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-    assert found[1].turns_sha256 == sha("user\na:\n\nassistant\nb <x> \\ # </turn>\n\n") and found[1].loss_chars == 17
+    assert found[1].turns_sha256 == sha("user\na:\n\nassistant\nb <x> \\ # </turn>\n\n") and found[1].loss_chars == 18
     assert found[-7].loss_sha256 == sha(chat.PROBE) and found[2].n_turns == 2
     out, spans = chat.rendered("{% set a = 'x' + 'y' %}{% if false %}no{% elif a == 'xy' %}{{ a|upper }}{% endif %}{% generation %}z{% endgeneration %}", [])
     assert (out, spans) == ("XYz", [(2, 3)])
