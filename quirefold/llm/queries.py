@@ -66,19 +66,19 @@ win AS (
   SELECT doc_id, s AS start, array_to_string(words[s:s + 49], ' ') AS seq
   FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS s FROM w WHERE len(words) >= 50)
 ),
-least AS (SELECT seq, min(doc_id) AS lo FROM win GROUP BY seq HAVING count(DISTINCT doc_id) > 1),
+firsts AS (SELECT seq, min(doc_id) AS lo FROM win GROUP BY seq HAVING count(DISTINCT doc_id) > 1),
 gone AS (
   SELECT DISTINCT doc_id, unnest(range(start, start + 50)) AS pos
-  FROM win JOIN least USING (seq) WHERE lo < doc_id
+  FROM win JOIN firsts USING (seq) WHERE lo < doc_id
 ),
-lost AS (SELECT doc_id, list(pos) AS at, count(*) AS n FROM gone GROUP BY doc_id)
+lost AS (SELECT doc_id, list(pos) AS places, count(*) AS n FROM gone GROUP BY doc_id)
 SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
   sha256(array_to_string(CASE WHEN n IS NULL THEN words
-    ELSE list_filter(words, lambda x, i: NOT list_contains(at, i)) END, ' ')) AS kept_sha256
+    ELSE list_filter(words, lambda x, i: NOT list_contains(places, i)) END, ' ')) AS kept_sha256
 FROM w LEFT JOIN lost USING (doc_id)
 """
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL where it can say the whole result; the others are tested against brute force."""
-    return {}
+    return {"op8_substring": OP8_SQL}
