@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quirefold.llm import chat, decontam, langid, lm, mixing, neardup, quality, secrets, substring, toxicity
-from quirefold.llm.common import documents
+from quirefold.llm.common import LOWER, UPPER, documents
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +79,25 @@ FROM w LEFT JOIN lost USING (doc_id)
 """
 
 
+OP9_SQL = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, array_to_string(words[s:s + 2], ' ') AS seq
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 1, 2))) AS s FROM w WHERE len(words) > 0)
+),
+sizes AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS met FROM sh x JOIN sh y USING (seq) WHERE x.doc_id <> y.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM pairs JOIN sizes p ON a = p.doc_id JOIN sizes q ON b = q.doc_id WHERE 100 * met >= 85 * (p.n + q.n - met)
+),
+reach AS (SELECT doc_id AS a, doc_id AS c FROM sizes UNION SELECT b, c FROM reach JOIN links USING (a)),
+firsts AS (SELECT a AS doc_id, min(c) AS c FROM reach GROUP BY a)
+SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(c, w.doc_id) AS component_id, coalesce(c, w.doc_id) = w.doc_id AS kept
+FROM w LEFT JOIN sizes USING (doc_id) LEFT JOIN firsts USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL where it can say the whole result; the others are tested against brute force."""
-    return {"op8_substring": OP8_SQL}
+    return {"op8_substring": OP8_SQL, "op9_neardup": OP9_SQL}
