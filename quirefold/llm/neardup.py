@@ -173,9 +173,11 @@ def links_within(docs: DataFrame, groups: DataFrame, check, most: int) -> DataFr
     label = components(first)
     named = big.join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     counts = named.groupBy("grp", "component").agg(F.count(F.lit(1)).alias("c"))
-    top = counts.groupBy("grp").agg(F.max(F.struct("c", "component")).alias("top"))
+    top = counts.groupBy("grp").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("all"))
     rest = named.join(top, "grp").filter(F.col("component") != F.col("top.component"))
-    rest = rest.select("doc_id", "_t", "grp").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.ceil(F.lit(64))))
+    # So many parts that each has about most / 4 of these texts: every part meets every chunk.
+    parts_of = F.ceil((F.col("all") - F.col("top.c")) * 4 / most)
+    rest = rest.select("doc_id", "_t", "grp", F.pmod(F.xxhash64("doc_id", F.lit(1)), parts_of).alias("part"))
     rest = stored(rest, "outside")
     parts = rest.select("grp", "part").distinct()
     asks = rest.join(cells, "grp").select("doc_id", "_t", "grp", "chunk", "part").withColumn("ask", F.lit(True))
