@@ -109,99 +109,104 @@ def pooled(v: DataFrame, min_rows: int) -> tuple[DataFrame, bool]:
     return v.join(F.broadcast(names) if light else names, "_both", "left").drop("_lang", "_both"), light
 
 
-def moments(rows: DataFrame, by: list[str], floors: tuple[float, ...]) -> DataFrame:
-    """Mean m_i and covariance c_ij with floors of STATS by group."""
-    exact = lambda e: F.sum(e.cast("decimal(38,0)")).cast("double")
-    sums = [F.count(F.lit(1)).cast("double").alias("n")]
-    sums += [exact(F.col(x)).alias(f"s{i}") for i, x in enumerate(STATS)]
-    sums += [exact(F.col(STATS[i]) * F.col(STATS[j])).alias(f"q{i}{j}") for i in range(P) for j in range(i + 1)]
-    s = rows.groupBy(*by).agg(*sums)
-    mean = [(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(P)]
+#: Cells (i, j) of a symmetric matrix.
+CELLS = [(i, j) for i in range(P) for j in range(i + 1)]
+
+
+def sums() -> list[Column]:
+    """Count, sums and sums of products of STATS: exact, as the fixed point is whole."""
+    out = ["count(1) as n", *[f"sum(cast({x} as decimal(38,0))) as s{i}" for i, x in enumerate(STATS)]]
+    out += [f"sum(cast({STATS[i]} * {STATS[j]} as decimal(38,0))) as q{i}{j}" for i, j in CELLS]
+    return [F.expr(x) for x in out]
+
+
+def added() -> list[Column]:
+    """The sums of ``sums`` rows."""
+    return [F.expr(f"sum({x}) as {x}") for x in ("n", *[f"s{i}" for i in range(P)], *[f"q{i}{j}" for i, j in CELLS])]
+
+
+def moments(s: DataFrame, by: list[str], floors: tuple[float, ...]) -> DataFrame:
+    """Mean m_i and covariance c_ij with floors from rows of sums; a group has one."""
+    mean = [f"cast(s{i} as double) / n as m{i}" for i in range(P)]
     cov = [
-        (
-            F.col(f"q{i}{j}") / F.col("n")
-            - F.col(f"s{i}") / F.col("n") * F.col(f"s{j}") / F.col("n")
-            + (floors[i] * SCALE) ** 2 * (i == j)
-        ).alias(f"c{i}{j}")
-        for i in range(P)
-        for j in range(i + 1)
+        f"cast(q{i}{j} as double) / n - cast(s{i} as double) / n * (cast(s{j} as double) / n)"
+        f" + {(floors[i] * SCALE) ** 2 * (i == j)!r}D as c{i}{j}"
+        for i, j in CELLS
     ]
-    return s.select(*by, *mean, *cov)
+    return s.selectExpr(*by, *mean, *cov)
 
 
 def factored(params: DataFrame) -> DataFrame:
     """Replaces the covariance by its Cholesky factor l_ij and adds log_det."""
-    for i in range(P):
-        for j in range(i + 1):
-            left = F.col(f"c{i}{j}")
-            for k in range(j):
-                left = left - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            cell = F.sqrt(F.greatest(left, F.lit(1e-6))) if i == j else left / F.col(f"l{j}{j}")
-            params = params.withColumn(f"l{i}{j}", cell)
-    log_det = sum((F.log(f"l{i}{i}") for i in range(1, P)), F.log("l00"))
-    return params.withColumn("log_det", log_det).drop(*[f"c{i}{j}" for i in range(P) for j in range(i + 1)])
-
-
-def distance2() -> Column:
-    """Squared Mahalanobis distance of STATS under columns m and l, by forward substitution."""
-    z: list[Column] = []
-    for i, x in enumerate(STATS):
-        left = F.col(x) - F.col(f"m{i}")
-        for k in range(i):
-            left = left - F.col(f"l{i}{k}") * z[k]
-        z.append(left / F.col(f"l{i}{i}"))
-    return sum((v * v for v in z[1:]), z[0] * z[0])
-
-
-def log_bin(d2: Column) -> Column:
-    """Bin of a squared distance; 16 bins to each doubling."""
-    return F.floor(16 * F.log2(d2 + 1e-6)).cast("int")
-
-
-def quantile_bin(hist: DataFrame, by: list[str], share: float, name: str) -> DataFrame:
-    """Least ``bin`` by group at which the running count reaches ``share``; hist has bin and n."""
+    cells = []
+    for i, j in CELLS:
+        left = "".join([f"c{i}{j}", *[f" - l{i}{k} * l{j}{k}" for k in range(j)]])
+        cells.append(f"sqrt(greatest({left}, 1e-6D)) as l{i}{j}" if i == j else f"({left}) / l{j}{j} as l{i}{j}")
+    log_det = " + ".join(f"ln(l{i}{i})" for i in range(P))
+    return params.selectExpr("*", *cells, f"{log_det} as log_det").drop(*[f"c{i}{j}" for i, j in CELLS])
+
+
+def distanced(rows: DataFrame) -> DataFrame:
+    """Adds d2: squared Mahalanobis distance of STATS under columns m and l, by forward substitution."""
+    z = [f"({''.join([f'{x} - m{i}', *[f' - l{i}{k} * z{k}' for k in range(i)]])}) / l{i}{i} as z{i}" for i, x in enumerate(STATS)]
+    d2 = " + ".join(f"z{i} * z{i}" for i in range(P))
+    return rows.selectExpr("*", *z, f"{d2} as d2").drop(*[f"z{i}" for i in range(P)])
+
+
+def binned(rows: DataFrame) -> DataFrame:
+    """Adds ``bin`` of the squared distance; 16 bins to each doubling."""
+    return distanced(rows).withColumn("bin", F.expr("cast(floor(16 * log2(d2 + 1e-6D)) as int)"))
+
+
+def running(hist: DataFrame, by: list[str]) -> DataFrame:
+    """Adds to a histogram (bin, n) the running count up to each bin and the whole one, by group."""
     w = Window.partitionBy(*by)
-    run = hist.withColumn("_run", F.sum("n").over(w.orderBy("bin"))).withColumn("_all", F.sum("n").over(w))
-    return run.filter(F.col("_run") >= F.col("_all") * share).groupBy(*by).agg(F.min("bin").alias(name))
+    return hist.withColumn("_run", F.sum("n").over(w.orderBy("bin"))).withColumn("_all", F.sum("n").over(w))
+
+
+def quantile(share: float) -> Column:
+    """Least bin of a group of ``running`` rows at which the running count reaches ``share``."""
+    return F.min(F.expr(f"if(_run >= _all * {share!r}D, bin, null)"))
 
 
 def starts(fit: DataFrame, floors: tuple[float, ...]) -> DataFrame:
     """Both first estimates of each pool: medians with quartile spreads, and plain moments."""
     long = fit.select("pool", F.posexplode(F.array(*STATS)).alias("dim", "bin"))
     hist = long.groupBy("pool", "dim", "bin").agg(F.count(F.lit(1)).alias("n"))
-    q = {k: quantile_bin(hist, ["pool", "dim"], s, k) for k, s in (("lo", 0.25), ("mid", 0.5), ("hi", 0.75))}
-    three = q["lo"].join(q["mid"], ["pool", "dim"]).join(q["hi"], ["pool", "dim"])
-    at = lambda e, i: F.max(F.when(F.col("dim") == i, e)).cast("double")
-    spread = F.greatest((F.col("hi") - F.col("lo")) / 1.349, F.lit(0.0))
+    three = running(hist, ["pool", "dim"]).groupBy("pool", "dim").agg(
+        quantile(0.25).alias("lo"), quantile(0.5).alias("mid"), quantile(0.75).alias("hi")
+    )
+    three = three.withColumn("spread", F.expr("greatest((hi - lo) / 1.349D, 0D)"))
     robust = three.groupBy("pool").agg(
-        *[at(F.col("mid"), i).alias(f"m{i}") for i in range(P)],
+        *[F.expr(f"cast(max(if(dim = {i}, mid, null)) as double) as m{i}") for i in range(P)],
         *[
-            ((F.pow(at(spread, i), 2) + (floors[i] * SCALE) ** 2) if i == j else F.lit(0.0)).alias(f"c{i}{j}")
-            for i in range(P)
-            for j in range(i + 1)
+            F.expr(f"power(max(if(dim = {i}, spread, null)), 2) + {(floors[i] * SCALE) ** 2!r}D as c{i}{j}" if i == j else f"0D as c{i}{j}")
+            for i, j in CELLS
         ],
     )
-    both = robust.withColumn("start", F.lit(0)).unionByName(moments(fit, ["pool"], floors).withColumn("start", F.lit(1)))
-    return factored(both)
+    plain = moments(fit.groupBy("pool").agg(*sums()), ["pool"], floors)
+    return factored(robust.withColumn("start", F.lit(0)).unionByName(plain.withColumn("start", F.lit(1))))
 
 
 def estimates(fit: DataFrame, light: bool, share: float, steps: int, floors: tuple[float, ...]) -> DataFrame:
-    """(pool, m, l, scale) of the minimum covariance determinant found."""
+    """(pool, m, l, scale) of the minimum covariance determinant found.
+
+    A step reads the rows once: each bin of distance keeps its rows' sums, and those of the
+    nearest bins are added up.
+    """
     hint = F.broadcast if light else lambda x: x
+    by = ["pool", "start"]
     params = stored(starts(fit, floors), "mcd")
-    for k in range(steps + 1):
-        ranked = fit.join(hint(params), "pool").withColumn("bin", log_bin(distance2()))
-        hist = ranked.groupBy("pool", "start", "bin").agg(F.count(F.lit(1)).alias("n"))
-        if k == steps:
-            break
-        cut = quantile_bin(hist, ["pool", "start"], share, "cut")
-        near = ranked.join(hint(cut), ["pool", "start"]).filter(F.col("bin") <= F.col("cut"))
-        params = stored(factored(moments(near, ["pool", "start"], floors)), "mcd")
-    mid = quantile_bin(hist, ["pool", "start"], 0.5, "mid")
+    for _ in range(steps):
+        cells = binned(fit.join(hint(params), "pool")).groupBy(*by, "bin").agg(*sums())
+        near = running(cells, by).filter(F.expr(f"_run - n < _all * {share!r}D"))
+        params = stored(factored(moments(near.groupBy(*by).agg(*added()), by, floors)), "mcd")
+    hist = binned(fit.join(hint(params), "pool")).groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"))
+    mid = running(hist, by).groupBy(*by).agg(quantile(0.5).alias("mid"))
     best = Window.partitionBy("pool").orderBy("log_det", "start")
     found = (
-        params.join(mid, ["pool", "start"])
-        .withColumn("scale", F.greatest(F.pow(2.0, (F.col("mid") + 0.5) / 16) / CHI2_MEDIAN, F.lit(0.5)))
+        params.join(mid, by)
+        .withColumn("scale", F.expr(f"greatest(power(2D, (mid + 0.5D) / 16) / {CHI2_MEDIAN!r}D, 0.5D)"))
         .withColumn("_k", F.row_number().over(best))
         .filter("_k = 1")
         .drop("_k", "start", "mid", "log_det")
@@ -222,7 +227,7 @@ def quality(
     v, light = pooled(stored(vector(m), "quality"), min_rows)
     fit = v.filter(~F.col("base_failed") & F.col("pool").isNotNull()).select("pool", *STATS)
     found = estimates(fit, light, share, steps, floors)
-    judged = v.join(found, "pool", "left").withColumn("distance2", distance2() / F.col("scale"))
+    judged = distanced(v.join(found, "pool", "left")).withColumn("distance2", F.col("d2") / F.col("scale"))
     far = F.coalesce(F.col("distance2") > cutoff, F.lit(False))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
