@@ -41,7 +41,8 @@ _rng = np.random.default_rng(20240229)
 MULTIPLIERS = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ADDENDS = _rng.integers(0, 1 << 63, 256, dtype=np.uint64)
 
-
+#: Groups of up to this many classes in all (three longs each) are broadcast to the texts.
+MAX_IDS = 400_000
 ROLL = Rolling(0x9E3779B97F4A7C15)
 
 
@@ -153,7 +154,10 @@ def links_within(docs: DataFrame, groups: DataFrame, check, most: int) -> DataFr
     """Links (a, b) between classes of the same group that connect whatever is connected."""
     sizes = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
     large = sizes.filter(F.col("n") > most)
-    texts = docs.select("doc_id", "_t").join(groups.join(sizes, "grp"), "doc_id").dropDuplicates(["doc_id"])
+    sized = stored(groups.join(sizes, "grp"), "sized")
+    # Few enough ids go to the texts; else all texts are shuffled to meet theirs.
+    hint = F.broadcast if sized.count() <= MAX_IDS else lambda x: x
+    texts = docs.select("doc_id", "_t").join(hint(sized), "doc_id").dropDuplicates(["doc_id"])
     some = large.limit(1).count() > 0
     if not some:
         whole = texts.withColumn("ask", F.lit(True)).groupBy("grp").applyInArrow(lambda t: check(t), "a bigint, b bigint")
