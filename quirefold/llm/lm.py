@@ -1,15 +1,22 @@
 """LM scoring: a gated recurrent model in numpy, with a class-factored output.
 
-Symbols are the most frequent words of a bounded sample of training texts, the end of a text, and
-classes of all other words by their last two bytes. A GRU reads symbols; the output layer gives the
-class first, then the word in its class. A word outside the vocabulary has its class's probability
-times its smoothed share of that class in the whole training corpus, so the model is a distribution
-over all words. It is trained by truncated backpropagation over windows, the state carried from
-window to window; a text is scored from its first word to its end with the state carried throughout.
+Symbols are the most frequent words of all training texts, the end of a text, and classes of all
+other words by their last two bytes. A GRU reads symbols; the output layer gives the class first,
+then the word in its class. A word outside the vocabulary has its class's probability times its
+smoothed share of that class in the whole training corpus, so the model is a distribution over all
+words. It is trained by truncated backpropagation over windows, the state carried from window to
+window; a text is scored from its first word to its end with the state carried throughout.
+
+Every training row is trained on, in rounds of rows chosen by hash: about ``most`` rows first, each
+round ``GROWTH`` times as many as all before it, less those. A round's rows are dealt into shards of
+about ``block_docs``; each shard trains a copy of the network, and the mean of the copies, weighted
+by their symbols, goes on to the next round. The network has a fixed size; nothing else of training
+comes to the driver.
 
 Corpus counts cover every text: documents are dealt into blocks by hash, each block asks for its
 distinct words once (with its own training counts), buckets by word hash add these up and answer
-each block in the order asked. Words are known by 64-bit hashes. Only totals come to the driver.
+each block in the order asked. Words are known by 64-bit hashes. Only totals, the words of the
+vocabulary and sums by suffix come to the driver.
 
 Edge cases: null or empty text is its end alone; no training rows give counts of 0 and a model that
 knows no word; repeated rows count and are scored each; a null doc_id counts as the empty text in
@@ -29,8 +36,15 @@ from quirefold.llm.common import crc_mod, partitions, stored
 from quirefold.llm.hashing import Words, pieces
 
 ALPHA = 0.1  # of the counts' smoothing
+GROWTH = 8  # of the rows trained on, from round to round
+PIECES = 16  # of a network's numbers, at least; each is averaged in one task
 ASK = "bucket int, _b bigint, h binary, c binary, k binary"
-COUNTS = "bucket int, _b bigint, c binary, n bigint, v bigint, nk array<bigint>, vk array<bigint>"
+COUNTS = (
+    "bucket int, _b bigint, c binary, n bigint, v bigint, sk array<bigint>, sn array<bigint>, sv array<bigint>, "
+    "wh array<bigint>, wk array<bigint>, wn array<bigint>"
+)
+COPY = "piece int, shard bigint, n bigint, p binary"
+MEAN = "piece int, p binary"
 OUT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
@@ -58,14 +72,20 @@ class Vocabulary:
         return np.where(self.words[k] == w.hashes, self.symbol[k], other) if len(self.words) else other
 
 
-def fitted_vocabulary(hashes: np.ndarray, ends: np.ndarray, classes: int = 24, width: int = 32, suffixes: int = 40) -> Vocabulary:
-    names, counts = np.unique(hashes, return_counts=True)
-    top = np.argsort(-counts, kind="stable")[: classes * width - 1]
-    top = top[counts[top] > 1]
+def fitted_vocabulary(
+    hashes: np.ndarray, ends: np.ndarray, classes: int = 24, width: int = 32, suffixes: int = 40,
+    counts: np.ndarray | None = None, share: np.ndarray | None = None,
+) -> Vocabulary:
+    """From words, each ``counts`` times; ``share`` is all words' number by suffix, if these aren't all."""
+    counts = np.ones(len(hashes), np.int64) if counts is None else counts
+    share = np.bincount(ends, weights=counts, minlength=65536).astype(np.int64) if share is None else share.copy()
+    names, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+    sums = np.bincount(inverse, weights=counts, minlength=len(names)).astype(np.int64)
+    top = np.argsort(-sums, kind="stable")[: classes * width - 1]
+    top = top[sums[top] > 1]
     known = names[top]
     order = np.argsort(known)
-    rest = ends[~np.isin(hashes, known)]
-    share = np.bincount(rest, minlength=65536)
+    np.subtract.at(share, ends[first[top]], sums[top])
     suffix = np.full(65536, 0, dtype=np.int64)
     best = np.argsort(-share, kind="stable")[: suffixes - 1]
     suffix[best[share[best] > 0]] = np.arange(1, 1 + int((share[best] > 0).sum()))
@@ -133,10 +153,11 @@ class Gru:
                 back[rows] += d @ p["Ww"][c].T
         return out, back
 
-    def window(self, state: np.ndarray, symbols: np.ndarray, fresh: np.ndarray):
+    def window(self, state: np.ndarray, symbols: np.ndarray, fresh: np.ndarray, live: np.ndarray | None = None):
         """One step of training on symbols [time, stream]: (loss, gradients, state after).
 
-        ``fresh`` marks the first symbol of a text, before which the state is zero.
+        ``fresh`` marks the first symbol of a text, before which the state is zero. Symbols that
+        aren't ``live`` pad the ends of streams and count for nothing.
         """
         h, p = self.hidden, self.p
         grads = {k: np.zeros_like(x) for k, x in p.items()}
@@ -147,8 +168,13 @@ class Gru:
             kept.append((state, gates, new, uc))
             state = after
         before = np.concatenate([k[0] for k in kept])
-        logs, dh = self.log_probs(before, symbols.reshape(-1), grads)
+        if live is None or live.all():
+            logs, dh = self.log_probs(before, symbols.reshape(-1), grads)
+        else:
+            at, dh = np.flatnonzero(live), np.zeros_like(before)
+            logs, dh[at] = self.log_probs(before[at], symbols.reshape(-1)[at], grads)
         dh = dh.reshape(len(symbols), -1, h)
+        read = np.empty((*symbols.shape, 3 * h), dh.dtype)
         carry = np.zeros_like(state)
         for t in range(len(symbols) - 1, -1, -1):
             prev, gates, new, uc = kept[t]
@@ -158,10 +184,13 @@ class Gru:
             dr = dnew * uc * r * (1 - r)
             dx = np.concatenate([dr, dz, dnew], axis=1)
             du = np.concatenate([dr, dz, dnew * r], axis=1)
-            np.add.at(grads["E"], symbols[t], dx)
+            read[t] = dx
             grads["U"] += prev.T @ du
             carry = carry * (1 - z) + du @ p["U"].T + dh[t]
             carry[fresh[t]] = 0
+        order = np.argsort(symbols, axis=None, kind="stable")
+        names, at = np.unique(symbols.reshape(-1)[order], return_index=True)
+        grads["E"][names] = np.add.reduceat(read.reshape(-1, 3 * h)[order], at)
         return -float(logs.sum()), grads, state
 
     def text_logs(self, symbols: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -185,30 +214,35 @@ class Gru:
         return out
 
 
-def trained(voc: Vocabulary, texts: list[np.ndarray], hidden: int = 16, streams: int = 32, window: int = 24, epochs: int = 3) -> Gru:
-    """Adam over windows of parallel streams of whole texts (symbols, each with its end)."""
-    net = Gru(voc, hidden)
+def trained(
+    voc: Vocabulary, texts: list[np.ndarray], hidden: int = 16, streams: int = 32, window: int = 24, epochs: int = 3,
+    start: Gru | None = None, rate: float = 0.02,
+) -> Gru:
+    """Adam over windows of parallel streams of whole texts (symbols, each with its end), from ``start``."""
+    net = Gru(voc, hidden, {k: x.copy() for k, x in start.p.items()} if start else {})
     flat = np.concatenate(texts) if texts else np.empty(0, np.int64)
-    first = np.zeros(len(flat), dtype=bool)
-    if len(flat):
-        first[np.concatenate(([0], np.cumsum([len(t) for t in texts])[:-1]))] = True
-    per = len(flat) // streams // window * window
-    if not per:
+    if not len(flat):
         return net
-    s, f = (x[: per * streams].reshape(streams, per).T for x in (flat, first))
+    first = np.zeros(len(flat), dtype=bool)
+    first[np.concatenate(([0], np.cumsum([len(t) for t in texts])[:-1]))] = True
+    per = -(-len(flat) // (streams * window)) * window
+    pad = np.zeros(per * streams - len(flat), dtype=np.int64)
+    live = np.arange(per * streams) < len(flat)
+    s, f, live = (x.reshape(streams, per).T for x in (np.concatenate((flat, pad)), np.concatenate((first, pad > 0)), live))
     m, v = ({k: np.zeros_like(x) for k, x in net.p.items()} for _ in range(2))
     step, total = 0, epochs * (per // window)
     for _ in range(epochs):
         state = np.zeros((streams, hidden), np.float32)
         for k in range(0, per, window):
             step += 1
-            _, grads, state = net.window(state, s[k : k + window], f[k : k + window])
-            rate = 0.02 * (1 - 0.9 * step / total)
+            own = live[k : k + window]
+            _, grads, state = net.window(state, s[k : k + window], f[k : k + window], own)
+            now = rate * (1 - 0.9 * step / total)
             for name, g in grads.items():
-                g = np.clip(g / (streams * window) * 10, -1, 1)
+                g = np.clip(g / int(own.sum()) * 10, -1, 1)
                 m[name] += 0.1 * (g - m[name])
                 v[name] += 0.01 * (g * g - v[name])
-                net.p[name] -= rate * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.99**step)) + 1e-6)
+                net.p[name] -= now * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.99**step)) + 1e-6)
     return net
 
 
@@ -240,7 +274,7 @@ def distinct_by_bucket(h: np.ndarray, buckets: int):
     return names[order], first[order], bucket[order]
 
 
-def ask_words(voc: Vocabulary, buckets: int):
+def ask_words(buckets: int):
     def run(table: pa.Table) -> pa.Table:
         h, k, _, n = tokens(table["_t"].to_pylist())
         train = np.repeat(~np.array(table["held_out"].to_pylist(), dtype=bool), n)
@@ -248,31 +282,36 @@ def ask_words(voc: Vocabulary, buckets: int):
         order = np.argsort(names)
         counts = np.zeros(len(names), np.int64)
         counts[order] = np.bincount(np.searchsorted(names[order], h[train]), minlength=len(names))
-        group = voc.suffix[k[first]].astype(np.uint8)
-        group[np.isin(names, voc.words) | (names == END)] = 255  # in the vocabulary
+        suffix = k[first].astype(np.uint16)
         at = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
         cut = lambda x: [x[s:e].tobytes() for s, e in zip(at, [*at[1:], len(x)], strict=True)]
         block = table["_b"][0].as_py()
-        return pa.table({"bucket": pa.array(bucket[at], pa.int32()), "_b": pa.array([block] * len(at), pa.int64()), "h": pa.array(cut(names), pa.binary()), "c": pa.array(cut(counts), pa.binary()), "k": pa.array(cut(group), pa.binary())})
+        return pa.table({"bucket": pa.array(bucket[at], pa.int32()), "_b": pa.array([block] * len(at), pa.int64()), "h": pa.array(cut(names), pa.binary()), "c": pa.array(cut(counts), pa.binary()), "k": pa.array(cut(suffix), pa.binary())})
 
     return run
 
 
-def add_up(others: int):
+def add_up(most: int):
+    """Sums by word; the first row also tells sums by suffix and the ``most`` most frequent words."""
+
     def run(table: pa.Table) -> pa.Table:
         get = lambda name, t: [np.frombuffer(x, dtype=t) for x in table[name].to_pylist()]
-        h, c, k = get("h", np.uint64), get("c", np.int64), get("k", np.uint8)
+        h, c, k = get("h", np.uint64), get("c", np.int64), get("k", np.uint16)
         names, first, inverse = np.unique(np.concatenate(h), return_index=True, return_inverse=True)
         sums = np.bincount(inverse, weights=np.concatenate(c), minlength=len(names)).astype(np.int64)
-        group, seen = np.concatenate(k)[first], sums > 0
-        nk = np.bincount(group, weights=sums, minlength=256).astype(np.int64)[:others]
-        vk = np.bincount(group[seen], minlength=256)[:others]
+        seen = sums > 0
+        word = np.flatnonzero(seen & (names != END))
+        suffix = np.concatenate(k)[first].astype(np.int64)
+        sk, at = np.unique(suffix[word], return_inverse=True)
+        sn, sv = np.bincount(at, weights=sums[word]).astype(np.int64), np.bincount(at)
+        top = word[np.argsort(-sums[word], kind="stable")[:most]]
         ends = np.cumsum([len(x) for x in h])
         out = [sums[inverse[e - len(x) : e]].tobytes() for x, e in zip(h, ends, strict=True)]
         rows, none = table.num_rows, [[]] * (table.num_rows - 1)
         first_only = lambda x: pa.array([int(x)] + [0] * (rows - 1), pa.int64())
-        lists = pa.list_(pa.int64())
-        return pa.table({"bucket": table["bucket"], "_b": table["_b"], "c": pa.array(out, pa.binary()), "n": first_only(sums.sum()), "v": first_only(seen.sum()), "nk": pa.array([nk.tolist(), *none], lists), "vk": pa.array([vk.tolist(), *none], lists)})
+        lists = {"sk": sk, "sn": sn, "sv": sv, "wh": names[top].view(np.int64), "wk": suffix[top], "wn": sums[top]}
+        lists = {name: pa.array([x.tolist(), *none], pa.list_(pa.int64())) for name, x in lists.items()}
+        return pa.table({"bucket": table["bucket"], "_b": table["_b"], "c": pa.array(out, pa.binary()), "n": first_only(sums.sum()), "v": first_only(seen.sum()), **lists})
 
     return run
 
@@ -299,11 +338,78 @@ def score_texts(shared, buckets: int):
     return run
 
 
-def sample(docs: DataFrame, most: int, n: int) -> list[bytes]:
-    """Whole texts of about ``most`` training rows, chosen by hash."""
+def corpus_vocabulary(counts: DataFrame, most: int) -> tuple[Vocabulary, np.ndarray, np.ndarray]:
+    """The vocabulary of all training rows, and the other words' number and distinct ones by class."""
+    by = counts.select(F.inline(F.arrays_zip("sk", "sn", "sv"))).groupBy("sk").agg(F.sum("sn"), F.sum("sv")).collect()
+    share, kinds = np.zeros(65536, np.int64), np.zeros(65536, np.int64)
+    for k, n, v in by:
+        share[k], kinds[k] = n, v
+    top = counts.select(F.inline(F.arrays_zip("wh", "wk", "wn"))).orderBy(F.desc("wn"), "wh").limit(most).collect()
+    h, k, n = (np.array([r[i] for r in top], np.int64) for i in range(3))
+    voc = fitted_vocabulary(h.view(np.uint64), k, counts=n, share=share)
+    known = np.isin(h.view(np.uint64), voc.words)
+    np.subtract.at(share, k[known], n[known])
+    np.subtract.at(kinds, k[known], 1)
+    nk, vk = (np.bincount(voc.suffix, weights=x, minlength=voc.others) for x in (share, kinds))
+    return voc, nk, vk
+
+
+def train_shard(shared, pieces_: int, streams: int, epochs: int, rate: float):
+    """Trains a copy of the network on a shard's texts, in an order of their own."""
+
+    def run(table: pa.Table) -> pa.Table:
+        net = shared.value
+        order = table.select(["doc_id", "_t"]).combine_chunks().sort_by([("doc_id", "ascending"), ("_t", "ascending")])
+        _, _, symbols, sizes = tokens(order["_t"].to_pylist(), net.voc)
+        texts = np.split(symbols, np.cumsum(sizes)[:-1])
+        p = trained(net.voc, texts, net.hidden, streams, epochs=epochs, start=net, rate=rate).p
+        flat = np.concatenate([p[k].reshape(-1) for k in sorted(p)])
+        cuts = [x.tobytes() for x in np.array_split(flat, pieces_)]
+        same = lambda x: pa.array([x] * pieces_, pa.int64())
+        return pa.table({"piece": pa.array(range(pieces_), pa.int32()), "shard": same(table["_s"][0].as_py()), "n": same(len(symbols)), "p": pa.array(cuts, pa.binary())})
+
+    return run
+
+
+def mean_of_shards(table: pa.Table) -> pa.Table:
+    table = table.sort_by("shard")  # so that sums don't depend on how rows are dealt
+    total = 0.0
+    for n, p in zip(table["n"].to_pylist(), table["p"], strict=True):
+        total = total + n * np.frombuffer(p.as_py(), np.float32).astype(np.float64)
+    out = (total / sum(table["n"].to_pylist())).astype(np.float32).tobytes()
+    return pa.table({"piece": table["piece"][:1], "p": pa.array([out], pa.binary())})
+
+
+def rounds(n: int, most: int) -> list[tuple[int, int]]:
+    """(from, to) of the rows of each round; together they are all n rows."""
+    edges = [0, most]
+    while edges[-1] < n:
+        edges.append(edges[-1] * GROWTH)
+    edges[-1] = max(n, 1)
+    return list(zip(edges[:-1], edges[1:], strict=True))
+
+
+def network(docs: DataFrame, voc: Vocabulary, n: int, most: int, block_docs: int, hidden: int) -> Gru:
+    """The network after all rounds over the training rows."""
+    spark, net = docs.sparkSession, Gru(voc, hidden)
     key = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) / (1 << 30)
-    rows = docs.filter(~F.col("held_out") & (key < most / max(n, 1)) & F.col("_t").isNotNull())
-    return [bytes(r["_t"]) for r in rows.select("doc_id", "_t").orderBy("doc_id").limit(2 * most).collect()]
+    rows = docs.filter(~F.col("held_out")).select("doc_id", "_t", (key * max(n, 1)).alias("_at"))
+    for start, end in rounds(n, most):
+        shards = max(1, -(-(end - start) // block_docs))
+        own = rows.filter((F.col("_at") >= start) & (F.col("_at") < end))
+        own = own.select("doc_id", "_t", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(shards)).alias("_s"))
+        shared, cuts = spark.sparkContext.broadcast(net), max(PIECES, shards // PIECES)
+        learn = train_shard(shared, cuts, *((128, 1, 0.01) if start else (32, 3, 0.02)))
+        copies = own.repartition(min(partitions(spark, end - start), shards), "_s").groupBy("_s").applyInArrow(learn, COPY)
+        found = copies.groupBy("piece").applyInArrow(mean_of_shards, MEAN).orderBy("piece").collect()
+        if found:  # a round may have no rows
+            flat, at, p = np.concatenate([np.frombuffer(r["p"], np.float32) for r in found]), 0, {}
+            for k in sorted(net.p):
+                p[k] = flat[at : at + net.p[k].size].reshape(net.p[k].shape).copy()
+                at += net.p[k].size
+            net = Gru(voc, hidden, p)
+        shared.unpersist()
+    return net
 
 
 def score(docs: DataFrame, most: int = 500, block_docs: int = 4000, hidden: int = 16) -> DataFrame:
@@ -311,18 +417,13 @@ def score(docs: DataFrame, most: int = 500, block_docs: int = 4000, hidden: int
     spark, n = docs.sparkSession, docs.count()
     blocks, parts = max(1, -(-n // block_docs)), partitions(docs.sparkSession, n)
     marked = docs.select("doc_id", F.col("text").cast("binary").alias("_t"), (crc_mod(F.col("doc_id"), 10) == 0).alias("held_out"))
-    texts = sample(marked, most, n)
-    h, k, _, sizes = tokens(texts)
-    voc = fitted_vocabulary(h[h != END], k[h != END])
-    _, _, symbols, _ = tokens(texts, voc)
-    net = trained(voc, np.split(symbols, np.cumsum(sizes)[:-1]) if len(sizes) else [], hidden)
     base = marked.withColumn("_b", F.pmod(F.xxhash64("doc_id"), F.lit(blocks))).repartition(min(parts, max(blocks, 1)), "_b")
-    asked = base.groupBy("_b").applyInArrow(ask_words(voc, parts), ASK)
-    counts = stored(asked.groupBy("bucket").applyInArrow(add_up(voc.others), COUNTS), "counts")
-    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v")]
-    sums += [F.coalesce(F.sum(F.get(c, i)), F.lit(0)).alias(f"{c}{i}") for c in ("nk", "vk") for i in range(voc.others)]
-    t = counts.agg(*sums).first()
-    totals = [np.array([t[f"{c}{i}"] for i in range(voc.others)], dtype=np.float64) for c in ("nk", "vk")]
-    shared = spark.sparkContext.broadcast((net, t["n"], t["v"], *totals))
+    asked = base.groupBy("_b").applyInArrow(ask_words(parts), ASK)
+    words = 24 * 32 - 1  # of the vocabulary: its classes times their width, less the end
+    counts = stored(asked.groupBy("bucket").applyInArrow(add_up(words), COUNTS), "counts")
+    t = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v")]).first()
+    voc, nk, vk = corpus_vocabulary(counts, words)
+    net = network(marked, voc, n, most, block_docs, hidden)
+    shared = spark.sparkContext.broadcast((net, t["n"], t["v"], nk, vk))
     answers = counts.select("_b", "bucket", "c")
     return base.groupBy("_b").cogroup(answers.groupBy("_b")).applyInArrow(score_texts(shared, parts), OUT)

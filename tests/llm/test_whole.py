@@ -1,0 +1,38 @@
+"""Operators do the whole job: nothing is judged or learned from a part alone."""
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from quirefold.llm import lm
+
+DOC = "doc_id bigint, text string"
+
+
+def test_lm_learns_from_rows_of_every_round(spark):
+    texts = [" ".join(f"w{(i * 7 + j * (1 + i % 3)) % 23}" for j in range(40)) for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOC)
+    key = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) / (1 << 30)
+    later = {r["doc_id"] for r in docs.filter(key >= 10 / 60).collect()}
+    turned = [(i, " ".join(sorted(t.split())) if i in later else t) for i, t in enumerate(texts)]
+    one, other = (
+        {r["doc_id"]: r for r in lm.score(d, most=10, block_docs=20).collect()} for d in (docs, spark.createDataFrame(turned, DOC))
+    )
+    same = [i for i in one if i not in later]
+    assert same and all(abs(one[i].base_score - other[i].base_score) < 1e-9 for i in same)  # equal counts
+    assert any(abs(one[i].score - other[i].score) > 1e-6 for i in same)
+
+
+def test_lm_rounds_are_all_rows():
+    for n in (0, 1, 499, 500, 501, 4000, 300_000):
+        found = lm.rounds(n, 500)
+        assert found[0][0] == 0 and found[-1][1] == max(n, 1)
+        assert all(a[1] == b[0] for a, b in zip(found[:-1], found[1:], strict=True))
+
+
+def test_lm_trains_on_short_streams_and_tails():
+    voc = lm.fitted_vocabulary(np.arange(200, dtype=np.uint64) % np.uint64(20), np.zeros(200, np.int64), classes=3, width=8, suffixes=3)
+    short = lm.trained(voc, [np.array([1, 2, 3, 0])], 4)
+    assert any(not np.array_equal(short.p[k], x) for k, x in lm.Gru(voc, 4).p.items())
+    body = [np.arange(768) % 20]
+    with_tail = lm.trained(voc, [*body, np.array([5, 0])], 4)
+    assert any(not np.array_equal(with_tail.p[k], x) for k, x in lm.trained(voc, body, 4).p.items())
