@@ -148,9 +148,8 @@ def q_section_lines(spark, sf_dir):
     return own.groupBy("doc_id", "pos").agg(F.count(F.lit(1)).alias("n"))
 
 
-def q_table_overlap(spark, sf_dir):
+def boxes_outside_tables(li: DataFrame) -> DataFrame:
     """Lines and tables from lineitem: an order is a page, lines 1 to 3 are text, others tables."""
-    li = table("lineitem")(spark, sf_dir).filter("l_orderkey % 10 = 0")
     box = li.select(
         F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page_no"), F.lit(0).alias("block_no"), F.col("l_linenumber").alias("line_no"),
         (F.col("l_quantity") * 2).alias("x0"), (F.col("l_discount") * 200).alias("y0"), (F.col("l_quantity") * 2 + 60).alias("x1"), (F.col("l_discount") * 200 + 12).alias("y1"),
@@ -158,6 +157,15 @@ def q_table_overlap(spark, sf_dir):
     return layout.outside_tables(box.filter("line_no <= 3"), box.filter("line_no > 3")).select("doc_id", "line_no")
 
 
+def q_table_overlap(spark, sf_dir):
+    """The orders that its SQL judges: one in ten. ``table_overlap_whole`` judges all."""
+    return boxes_outside_tables(table("lineitem")(spark, sf_dir).filter("l_orderkey % 10 = 0"))
+
+
+def q_table_overlap_whole(spark, sf_dir):
+    return boxes_outside_tables(table("lineitem")(spark, sf_dir))
+
+
 def q_reading_order(spark, sf_dir):
     """Conversations as two-column pages: the user on the left, the assistant on the right."""
     c = table("conversations")(spark, sf_dir).select("conv_id", "turn", "role", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("k", "text"))
