@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from quirefold.llm.common import partitions, stored
 from quirefold.llm.graph import components
-from quirefold.llm.hashing import Rolling, Words, distinct, mixed, pieces
+from quirefold.llm.hashing import Words, distinct, mixed, pieces, runs
 
 ROW = "doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint, sig array<bigint>"
 _rng = np.random.default_rng(20240229)
@@ -43,7 +43,7 @@ ADDENDS = _rng.integers(0, 1 << 63, 256, dtype=np.uint64)
 
 #: Groups of up to this many classes in all (three longs each) are broadcast to the texts.
 MAX_IDS = 400_000
-ROLL = Rolling(0x9E3779B97F4A7C15)
+BASE = 0x9E3779B97F4A7C15  # of the hashes of runs of words
 
 
 def shingle_sets(texts: list[bytes | None], words: int) -> Iterator[np.ndarray]:
@@ -51,12 +51,12 @@ def shingle_sets(texts: list[bytes | None], words: int) -> Iterator[np.ndarray]:
     texts = [(t or b"").lower() for t in texts]
     for s, e in pieces(texts):
         w = Words(texts[s:e])
-        h = mixed(ROLL.runs(w.hashes, words))
+        h = mixed(runs(w.hashes, words, BASE))
         for a, b in zip(w.starts, w.ends, strict=True):
             if b - a >= words:
                 yield distinct(h[a : b - words + 1])
             else:  # the whole sequence, named as no longer run is
-                yield mixed(ROLL.runs(w.hashes[a:b], int(b - a))) if b > a else w.hashes[:0]
+                yield mixed(runs(w.hashes[a:b], int(b - a), BASE)) if b > a else w.hashes[:0]
 
 
 def signature(s: np.ndarray, coordinates: int) -> np.ndarray:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.llm.common import partitions
-from quirefold.llm.hashing import Rolling, Words, least_places, mixed, pieces
+from quirefold.llm.hashing import Words, least_places, mixed, pieces, runs
 
 LAST = (1 << 63) - 1
 ASK = "bucket int, _b bigint, h binary, g binary, lo binary, hi binary"
@@ -42,22 +42,22 @@ class Hasher:
 
     def __init__(self, size: int, gram: int):
         self.size, self.gram = size, gram
-        self.a, self.b = Rolling(0x9E3779B97F4A7C15), Rolling(0xC2B2AE3D27D4EB4F)
+        self.a, self.b = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
     def anchors(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(starts of windows, which of the distinct anchors each has, hashes of these)."""
         start = np.flatnonzero(w.whole(self.size))
         if not len(start):
             return start, start, np.empty(0, np.uint64)
-        h = mixed(self.a.runs(w.hashes, self.gram))
+        h = mixed(runs(w.hashes, self.gram, self.a))
         at = least_places(h, self.size - self.gram + 1)[start]
         new = np.concatenate(([True], at[1:] != at[:-1]))
         return start, np.cumsum(new) - 1, h[at[new]]
 
     def windows(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
         """(64, 32 bits) of hash of every run of words, by its start."""
-        second = mixed(self.b.runs(w.hashes, self.size)) >> np.uint64(32)
-        return mixed(self.a.runs(w.hashes, self.size)), second.astype(np.uint32)
+        second = mixed(runs(w.hashes, self.size, self.b)) >> np.uint64(32)
+        return mixed(runs(w.hashes, self.size, self.a)), second.astype(np.uint32)
 
 
 def grouped_min_max(h: np.ndarray, ids: np.ndarray, g: np.ndarray | None = None):
