@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,9 +36,13 @@ def slugify(c: Column, most: int = 64) -> Column:
 
 
 def match_key(c: Column, unicode_keys: bool = False) -> Column:
-    """The comparison key: tags dropped, lower case, only a-z and 0-9 (or all letters and digits)."""
-    s = F.regexp_replace(F.lower(clean_line(c)), "<[^>]+>", " ")
-    return clean_line(F.regexp_replace(s, U + (r"[^\p{L}\p{N}]+" if unicode_keys else "[^a-z0-9]+"), " "))
+    """The comparison key: tags dropped, lower case, only a-z and 0-9 (or all letters and digits).
+
+    White space and controls end as single blanks with all else that isn't kept, so the text needs
+    no cleaning but for the characters that vanish.
+    """
+    s = F.regexp_replace(F.lower(F.translate(F.coalesce(c, F.lit("")), "\x00\ufffc", "")), "<[^>]+>", " ")
+    return F.trim(F.regexp_replace(s, r"[^\p{L}\p{N}]+" if unicode_keys else "[^a-z0-9]+", " "))
 
 
 def margin_key(c: Column) -> Column:
@@ -46,16 +52,34 @@ def margin_key(c: Column) -> Column:
     return match_key(F.regexp_replace(s, U + r"(?i)^page\s+\d{1,4}\s*", ""))
 
 
-#: Twice encoded punctuation and what it stood for (fixed values).
-MOJIBAKE = (
-    ("â€™", "’"), ("â€˜", "‘"), ("â€œ", "“"),
-    ("â€\u009d", "”"), ("â€“", "–"), ("â€”", "—"),
-    ("â€¢", "•"), ("â€¦", "…"), ("Â ", " "), ("Â", ""),
-)
+#: Punctuation that decoding UTF-8 as Windows-1252 garbles (fixed values).
+GARBLED = "•–—‘’“”…"
+
+
+def garbled(c: str, times: int) -> str:
+    """A text after ``times`` rounds of being encoded in UTF-8 and read as Windows-1252."""
+    for _ in range(times):
+        read = lambda b: bytes([b]).decode("cp1252") if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else chr(b)
+        c = "".join(read(b) for b in c.encode())
+    return c
+
+
+@lru_cache
+def mojibake_pairs(compat: bool = False) -> tuple[tuple[str, str], ...]:
+    """(garbled, repaired) in the order in which they are replaced.
+
+    ``compat`` lifts twice garbled punctuation by one level and a bullet garbled three times by two;
+    else every level is repaired to the true character. Stray pairs from no-break spaces go in both.
+    """
+    stray = [(garbled("\u00c2", 1) + " ", " "), (garbled("\u00c2", 1), "")]
+    if compat:
+        return ((garbled("•", 3), garbled("•", 1)), *((garbled(c, 2), garbled(c, 1)) for c in GARBLED), *stray)
+    whole = [(garbled(c, n), c) for n in (3, 2, 1) for c in GARBLED]
+    return (*whole, *stray, ("\u00c2 ", " "), ("\u00c2\u00a0", " "))
 
 
-def repair_mojibake(c: Column) -> Column:
-    for bad, good in MOJIBAKE:
+def repair_mojibake(c: Column, compat: bool = False) -> Column:
+    for bad, good in mojibake_pairs(compat):
         c = F.replace(c, F.lit(bad), F.lit(good))
     return c
 
@@ -83,6 +107,7 @@ def cell_escape(c: Column) -> Column:
 
 
 def html_escape(c: Column, keep_sup: bool = False) -> Column:
+    """The five entities; ``keep_sup`` gives superscript numbers of up to three digits their tags back."""
     for bad, good in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
         c = F.replace(c, F.lit(bad), F.lit(good))
-    return F.regexp_replace(c, r"&lt;sup&gt;(\d+)&lt;/sup&gt;", "<sup>$1</sup>") if keep_sup else c
+    return F.regexp_replace(c, U + r"(?i)&lt;sup&gt;\s*([0-9]{1,3})\s*&lt;/sup&gt;", "<sup>$1</sup>") if keep_sup else c

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import difflib
+from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirefold.functions.text import match_key, words
+from quirefold.operators.layout import streamed
+from quirefold.operators.post import alike
 
 
 def candidates(paras: DataFrame, unicode_keys: bool = False) -> DataFrame:
@@ -19,29 +20,30 @@ def candidates(paras: DataFrame, unicode_keys: bool = False) -> DataFrame:
 
 
 def exact(paras: DataFrame, scope: list[str]) -> DataFrame:
-    """The first of each key in its scope; paragraphs without a key go, short ones stay."""
-    c = candidates(paras).filter("norm <> ''")
-    w = Window.partitionBy(*scope, "norm", "candidate").orderBy("para")
-    return c.withColumn("_k", F.row_number().over(w)).filter("not candidate or _k = 1").select(*paras.columns)
+    """The first of each key in its scope; paragraphs without a key go, short ones stay.
+
+    Keys are shuffled as 128-bit names, not as texts.
+    """
+    c = candidates(paras).withColumn("_name", F.when(F.col("norm") != "", F.md5("norm"))).drop("norm")
+    w = Window.partitionBy(*scope, "_name", "candidate").orderBy("para")
+    first = c.withColumn("_k", F.when(F.col("candidate"), F.row_number().over(w)))
+    return first.filter("_name is not null and coalesce(_k, 1) = 1").select(*paras.columns)
 
 
 def near(paras: DataFrame, scope: list[str], ratio: float = 0.94, autojunk: bool = True) -> DataFrame:
     """Of candidates that share ten first key words, those unlike every earlier kept one."""
     c = candidates(paras)
     key = F.concat_ws(" ", F.slice(F.split("norm", " "), 1, 10))
-    keyed = c.filter("candidate").withColumn("_p", key)
-    schema = keyed.select(*paras.columns).schema
+    keyed = c.filter("candidate").select(*paras.columns, "norm", key.alias("_p"))
 
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
+    def keep(k: tuple, rows: list[tuple]) -> Iterator[tuple]:
         kept: list[str] = []
-        rows = []
-        for i, norm in pdf.sort_values("para").norm.items():
-            if not any(difflib.SequenceMatcher(None, k, norm, autojunk=autojunk).ratio() >= ratio for k in kept):
+        for *row, norm, _ in rows:
+            if not any(alike(x, norm, autojunk, ratio) for x in kept):
                 kept.append(norm)
-                rows.append(i)
-        return pdf.loc[rows, schema.fieldNames()]
+                yield tuple(row)
 
-    once = keyed.groupBy(*scope, "_p").applyInPandas(keep, schema)
+    once = streamed(keyed, [*scope, "_p"], ["para"], keep, paras.schema)
     return c.filter("not candidate and norm <> ''").select(*paras.columns).unionByName(once)
 
 

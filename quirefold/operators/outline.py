@@ -2,22 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirefold.functions.text import clean_line, heading_shaped, match_key, repair_mojibake
+from quirefold.operators.layout import key_type, streamed
 
-TAIL_WORDS = ("and", "or", "of", "the", "to", "for", "in", "with", "a", "an", "on")
-LEAD_WORDS = ("and", "or", "of", "to", "for", "in", "with")
+# Words after which a heading goes on, and words with which it goes on.
+TAIL_WORDS = ("for", "and", "or", "to", "in", "on", "of", "with", "program", "course", "grade")
+LEAD_WORDS = ("and", "or", "for", "to", "in", "of", "the")
 ENTRY = "doc_id string, pos int, level int, title string, page_start int, y0 double, source string"
 
 
-def percentile(values, p: float):
-    """Sorted value at floor((n - 1) p); 0.0 when empty."""
-    s = F.array_sort(values)
-    return F.coalesce(F.get(s, F.floor((F.size(s) - 1) * F.lit(p).cast("double")).cast("int")), F.lit(0.0))
-
-
 def font_cutoff(lines: DataFrame) -> DataFrame:
     """(doc_id, cutoff) = max(P75, P50 + 1) of sizes. Sizes are few: value counts, not all values.
 
@@ -60,21 +56,23 @@ def joins(a: str, b: str) -> bool:
 
 def wrapped_headings(headings: DataFrame) -> DataFrame:
     """Joins titles that run over several lines: greedy, in reading order, per document."""
-    schema = "doc_id string, page_no int, y0 double, size double, text string"
-
-    def merge(pdf):
-        out: list[dict] = []
-        for r in pdf.sort_values(["page_no", "y0", "line_no"]).itertuples():
-            last = out[-1] if out else None
-            if last and last["page_no"] == r.page_no and abs(last["size"] - r.size) <= 0.2 and abs(r.y0 - last["y0"]) <= 90 and joins(last["text"], r.text):
-                last["text"] = f"{last['text']} {r.text}"
+    own = headings.select("doc_id", "page_no", "y0", "size", "text", "block_no", "line_no")
+    schema = f"doc_id {key_type(own, 'doc_id')}, page_no int, y0 double, size double, text string, line_no int"
+
+    def fold(k, rows):
+        now = None
+        for doc, page, y0, size, text, _, line in rows:
+            near = now and now[1] == page and abs(now[3] - size) <= 0.2 and abs(y0 - now[2]) <= 90.0
+            if near and joins(now[4], text):
+                now = (*now[:4], f"{now[4]} {text}", now[5])
             else:
-                out.append({"doc_id": r.doc_id, "page_no": r.page_no, "y0": r.y0, "size": r.size, "text": r.text})
-        import pandas as pd
-
-        return pd.DataFrame(out, columns=["doc_id", "page_no", "y0", "size", "text"])
+                if now:
+                    yield now
+                now = (doc, page, y0, size, text, line)
+        if now:
+            yield now
 
-    return headings.select("doc_id", "page_no", "line_no", "y0", "size", "text").groupBy("doc_id").applyInPandas(merge, schema)
+    return streamed(own, ["doc_id"], ["page_no", "y0", "block_no", "line_no"], fold, schema)
 
 
 def normalized(outline: DataFrame) -> DataFrame:
@@ -106,8 +104,38 @@ def from_toc(toc: DataFrame) -> DataFrame:
     return t.select("doc_id", F.col("toc_no").alias("pos"), one("level").alias("level"), "title", one("page").alias("page_start"), F.lit(None).cast("double").alias("y0"), F.lit("pdf-outline").alias("source"))
 
 
+def anchored(outline: DataFrame, lines: DataFrame) -> DataFrame:
+    """Gives entries without y0 that of the line of their page that says their title.
+
+    A line fits that has the title's key, holds it (6 characters or more) or is held by it (8 or
+    more). Entries of a page go in order: the key itself before a part, lines from the last anchor
+    on before earlier ones, then the nearest to it. An entry no line fits keeps none. Only fitting
+    lines are gathered, by page; the order is a fold over them in the JVM.
+    """
+    entries = outline.withColumn("_t", match_key(F.col("title")))
+    rows = lines.select("doc_id", F.col("page_no").alias("page_start"), F.col("y0").alias("_y"), match_key(F.col("text")).alias("_n")).filter("_n <> ''")
+    same = F.col("_n") == F.col("_t")
+    holds = F.contains("_n", "_t") & (F.length("_t") >= 6)
+    held = F.contains("_t", "_n") & (F.length("_n") >= 8)
+    open_ = entries.filter("y0 is null and _t <> ''")
+    fits = open_.select("doc_id", "page_start", "pos", "_t").join(rows, ["doc_id", "page_start"]).filter(same | holds | held)
+    cands = fits.groupBy("doc_id", "pos").agg(F.collect_list(F.struct(F.when(same, 0).otherwise(1).alias("part"), F.col("_y").alias("y"))).alias("c"))
+    pages = entries.join(cands, ["doc_id", "pos"], "left").groupBy("doc_id", "page_start").agg(F.array_sort(F.collect_list(F.struct("pos", "y0", "c"))).alias("e"))
+    kind = "array<struct<pos:int,y0:double>>"
+
+    def add(acc, e):
+        last = acc["last"]
+        order = lambda c: F.struct(c["part"], (c["y"] < last - 0.5).cast("int"), F.abs(c["y"] - F.greatest(last, F.lit(0.0))), c["y"].alias("y"))
+        y = F.coalesce(e["y0"], F.array_min(F.transform(e["c"], order))["y"])
+        return F.struct(F.coalesce(y, last).alias("last"), F.concat(acc["out"], F.array(F.struct(e["pos"].alias("pos"), y.alias("y0")))).cast(kind).alias("out"))
+
+    folded = F.aggregate("e", F.struct(F.lit(-1e9).alias("last"), F.array().cast(kind).alias("out")), add, lambda acc: acc["out"])
+    found = pages.select("doc_id", F.inline(folded))
+    return outline.drop("y0").join(found, ["doc_id", "pos"]).select(*outline.columns)
+
+
 def from_fonts(lines: DataFrame) -> DataFrame:
-    h = heading_levels(heading_candidates(lines))
+    h = heading_levels(wrapped_headings(heading_candidates(lines)))
     return h.select("doc_id", "pos", "level", F.col("text").alias("title"), F.col("page_no").alias("page_start"), "y0", F.lit("text-heuristic").alias("source"))
 
 
@@ -115,18 +143,31 @@ def with_fallback(toc: DataFrame, fonts: DataFrame, docs: DataFrame) -> DataFram
     """Per document: its table of contents, else headings by font, else one entry."""
     rest = fonts.join(toc.select("doc_id").distinct(), "doc_id", "left_anti")
     have = toc.select("doc_id").union(rest.select("doc_id")).distinct()
-    none = docs.join(have, "doc_id", "left_anti").select(
-        "doc_id", F.lit(0).alias("pos"), F.lit(1).alias("level"), F.lit("Document").alias("title"),
-        F.lit(1).alias("page_start"), F.lit(None).cast("double").alias("y0"), F.lit("fallback").alias("source"),
+    none = docs.join(have, "doc_id", "left_anti")
+    return toc.unionByName(rest).unionByName(one_entry(none, F.lit("Document"), "fallback"))
+
+
+def one_entry(docs: DataFrame, title: Column, source: str) -> DataFrame:
+    """An outline of one entry, on page 1, for each document."""
+    return docs.select(
+        "doc_id", F.lit(0).alias("pos"), F.lit(1).alias("level"), title.alias("title"), F.lit(1).alias("page_start"),
+        F.lit(None).cast("double").alias("y0"), F.lit(source).alias("source"),
     )
-    return toc.unionByName(rest).unionByName(none)
+
+
+def collapsed(outline: DataFrame, titles: DataFrame) -> DataFrame:
+    """For one output file: outlines found by font become one entry with the document's title."""
+    by_font = outline.filter(F.col("source") == "text-heuristic").select("doc_id").distinct()
+    whole = one_entry(titles.join(by_font, "doc_id", "left_semi"), F.col("title"), "single-fallback")
+    return outline.join(by_font, "doc_id", "left_anti").unionByName(whole)
 
 
 def document_title(lines: DataFrame, height: float = 792.0) -> DataFrame:
     """Up to three long lines of the top of page 1, while they come to at most 140 characters."""
     w = Window.partitionBy("doc_id").orderBy("y0", "block_no", "line_no")
-    top = lines.withColumn("text", clean_line(F.col("text"))).filter((F.col("page_no") == 1) & (F.col("y0") <= 0.28 * height) & (F.length("text") >= 12))
-    top = top.withColumn("_k", F.row_number().over(w)).filter("_k <= 3").withColumn("_len", F.sum(F.length("text") + 1).over(w) - 1)
+    top = lines.filter((F.col("page_no") == 1) & (F.col("y0") <= 0.28 * height)).withColumn("text", clean_line(repair_mojibake(clean_line(F.col("text")))))
+    top = top.filter(F.length("text") >= 12).withColumn("_k", F.row_number().over(w)).filter("_k <= 3")
+    top = top.withColumn("_len", F.sum(F.length("text") + 1).over(w) - 1)
     fits = top.filter((F.col("_len") <= 140) | (F.col("_k") == 1))
     joined = fits.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("_k", "text")))["text"], " ").alias("title"))
     stems = lines.select("doc_id").distinct()

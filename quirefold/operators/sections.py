@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirefold.functions.text import is_page_number, margin_key
@@ -16,11 +16,16 @@ def banded(lines: DataFrame, height: float = 792.0, share: float = 0.10) -> Data
 
 
 def noise_profile(lines: DataFrame) -> DataFrame:
-    """(doc_id, band, norm): keys on at least max(2, 15 % of pages) distinct pages of a document."""
-    pages = lines.groupBy("doc_id").agg(F.countDistinct("page_no").alias("_pages"))
-    seen = banded(lines).filter(F.length("norm") >= 4).groupBy("doc_id", "band", "norm").agg(F.countDistinct("page_no").alias("_n"))
+    """(doc_id, band, norm): keys on at least max(2, 15 % of pages) distinct pages of a document.
+
+    One pass: a page's distinct keys first, then a document's, so lines are read and shuffled once.
+    """
+    key = F.when(F.col("band").isNotNull() & (F.length("norm") >= 4), F.struct("band", "norm"))
+    pages = banded(lines).groupBy("doc_id", "page_no").agg(F.collect_set(key).alias("keys"))
+    docs = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_pages"), F.flatten(F.collect_list("keys")).alias("keys"))
+    seen = docs.select("doc_id", "_pages", F.explode("keys").alias("k")).groupBy("doc_id", "_pages", "k").agg(F.count(F.lit(1)).alias("_n"))
     need = F.greatest(F.lit(2), F.ceil(F.col("_pages") * 0.15))
-    return seen.join(pages, "doc_id").filter(F.col("_n") >= need).select("doc_id", "band", "norm")
+    return seen.filter(F.col("_n") >= need).select("doc_id", "k.band", "k.norm")
 
 
 def denoised(lines: DataFrame, noise: DataFrame) -> DataFrame:
@@ -57,10 +62,16 @@ def section_ranges(outline: DataFrame, page_counts: DataFrame) -> DataFrame:
     return o.select(*outline.columns, start.alias("start"), end.alias("end"), F.col("y0").alias("y_min"), F.when(F.col("_p") == end, F.col("_y")).alias("y_max"))
 
 
-def section_lines(ranges: DataFrame, lines: DataFrame) -> DataFrame:
-    """Lines of each section: an equi-join on pages, then the cut by y on its first and last page."""
+def window_of(ranges: DataFrame, rows: DataFrame, height: float = 792.0) -> tuple[DataFrame, Column, Column]:
+    """Rows of each section's pages (an equi-join), and the top and bottom of its part of the page."""
     pages = ranges.filter(F.col("end") >= F.col("start")).withColumn("page_no", F.explode(F.sequence("start", "end")))
-    joined = pages.select("doc_id", "pos", "page_no", "start", "end", "y_min", "y_max").join(lines, ["doc_id", "page_no"])
-    top = F.when(F.col("page_no") == F.col("start"), F.coalesce("y_min", F.lit(0.0)) + 0.5).otherwise(0.0)
-    bottom = F.when((F.col("page_no") == F.col("end")) & F.col("y_max").isNotNull(), F.col("y_max")).otherwise(792.0)
+    joined = pages.select("doc_id", "pos", "page_no", "start", "end", "y_min", "y_max").join(rows, ["doc_id", "page_no"])
+    top = F.when(F.col("page_no") == F.col("start"), F.greatest(F.lit(0.0), F.coalesce(F.col("y_min") + 0.5, F.lit(0.0)))).otherwise(0.0)
+    bottom = F.when((F.col("page_no") == F.col("end")) & F.col("y_max").isNotNull(), F.col("y_max")).otherwise(height)
+    return joined, top, bottom
+
+
+def section_lines(ranges: DataFrame, lines: DataFrame, height: float = 792.0) -> DataFrame:
+    """Lines of each section, cut by y on its first and last page."""
+    joined, top, bottom = window_of(ranges, lines, height)
     return joined.filter((bottom > top) & (F.col("y1") > top) & (F.col("y0") < bottom)).drop("start", "end", "y_min", "y_max")

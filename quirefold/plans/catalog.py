@@ -8,16 +8,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirefold.functions import text as T
 from quirefold.operators import dedup, grouping, layout, outline, post, readback, render, sections, tables
-from quirefold.plans.convert import ConvertOptions, convert, files, outlines
+from quirefold.operators.post import NOTHING
+from quirefold.plans.convert import ConvertOptions, convert, markdown_files, outlines, segment_rows
 from quirefold.sources.adapters import binder, prose
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: A paragraph long enough to be judged a repeat.
+PROSE = "The quick brown fox jumps over the lazy dog while twelve more words follow on to make it long enough."
+
 #: name: (function, [(input, expected), ...])
 CASES: dict[str, tuple[Callable[[Column], Column], list[tuple[str, object]]]] = {
     "case_clean_line": (T.clean_line, [("  a\tb  ", "a b"), ("a\x01b", "a b"), ("a  b", "a b"), ("", "")]),
@@ -26,33 +30,115 @@ CASES: dict[str, tuple[Callable[[Column], Column], list[tuple[str, object]]]] =
     "case_slugify": (T.slugify, [("Hello, World!", "hello-world"), ("***", "section"), ("a" * 70, "a" * 64)]),
     "case_match_key": (T.match_key, [("A <b>Bold</b> Title!", "a bold title"), ("Été", "t"), ("***", "")]),
     "case_margin_key": (T.margin_key, [("12 Guide 3", "guide"), ("Page 3 Notes", "notes"), ("Page 3", "page"), ("Page 3 of 10", "of")]),
-    "mojibake": (T.repair_mojibake, [("itâ€™s", "it’s"), ("aÂ b", "a b"), ("plain", "plain")]),
+    "mojibake": (T.repair_mojibake, [("itâ€™s", "it’s"), ("aÂ b", "a b"), ("plain", "plain"), *[(T.garbled(c, n), c) for c in "•–—‘’“”…" for n in (1, 2)]]),
+    "mojibake_compat": (lambda c: T.repair_mojibake(c, compat=True), [(T.garbled("•", 3), "â€¢"), (T.garbled("–", 2), "â€“"), (T.garbled("…", 2), "â€¦"), ("â€¢", "â€¢")]),
     "page_number_lines": (T.is_page_number, [("12", True), ("Page 3 of 10", True), ("3/10", True), ("12345", False), ("page", False)]),
     "bullet_lines": (T.is_bullet, [("• a", True), ("- a", True), ("12. a", True), ("-a", False), ("a - b", False)]),
     "case_heading_shape": (T.heading_shaped, [("abc", False), ("Intro", True), ("- Intro", False), ("one two three four five six seven eight nine.", False)]),
     "case_cell_escape": (T.cell_escape, [("a|b", "a\\|b")]),
     "case_html_escape": (T.html_escape, [("<a href=\"x\">&'", "&lt;a href=&quot;x&quot;&gt;&amp;&#39;")]),
-    "post_readability": (post.readability, [("Extract 3 Text", "Text"), ("• item", "- item"), ("word 12 next", "word<sup>12</sup> next"), ("end.3 x", "end.<sup>3</sup> x")]),
-    "post_definition_breaks": (post.definition_breaks, [("<sup>1</sup> Note\nmore", "<sup>1</sup> Note\n\nmore"), ("a\nb", "a\nb")]),
-    "post_attach_markers": (lambda c: post.folded(post.attach_markers)(c), [("Text.\n\n<sup>1</sup> Note", "Text.<sup>1</sup>\n\n<sup>1</sup> Note")]),
-    "post_definitions_last": (post.definitions_last, [("<sup>1</sup> N\n\nBody", "Body\n\n<sup>1</sup> N")]),
-    "post_stitch": (lambda c: post.folded(post.stitch)(c), [("Open text\n\ngoes on", "Open text goes on"), ("Done.\n\ngoes on", "Done.\n\ngoes on")]),
+    "html_escape_sup": (lambda c: T.html_escape(c, keep_sup=True), [("a<SUP> 12 </sup> <b>", "a<sup>12</sup> &lt;b&gt;"), ("<sup>1234</sup>", "&lt;sup&gt;1234&lt;/sup&gt;")]),
+    "section_cleanup": (
+        post.step(lambda b: post.cleaned_section(b, "Scope", "Methods")),
+        [
+            ("Scope\n\nText of the part stays.\n\nMethods", "Text of the part stays."), ("Guide Affiliates 3\n\nBody text here.\n\nRunning Head", "Body text here."),
+            ("Scope", NOTHING), ("12 A numbered line that is long enough\n\nkept.", "kept."), ("Extract 4 One.\n\nAll in\nLower case", "One.\n\nAll in\nLower case"), ("", NOTHING),
+        ],
+    ),
+    "post_readability": (
+        post.step(post.readability),
+        [
+            ("Extract 3 Text", "Text"), ("** EXTRACT 12\nText", "Text"), ("• item", "- item"), ("*item", "- item"), ("word 12 next", "word <sup>12</sup> next"),
+            ("end.3 x", "end.<sup>3</sup> x"), ("123 The word", "<sup>123</sup> The word"), ("19 | Header", "19 | Header"), ("a\n\n\n\nb", "a\n\nb"),
+        ],
+    ),
+    "post_definition_breaks": (post.step(post.definition_breaks), [("<sup>1</sup> Note\nmore", "<sup>1</sup> Note\n\nmore"), ("x <sup>123</sup> y\nz", "x <sup>123</sup> y\n\nz"), ("a\nb", "a\nb")]),
+    "post_attach_markers": (
+        post.step(post.attach_markers),
+        [("Text.\n\n<sup>1</sup> Note", "Text. <sup>1</sup>\n\n<sup>1</sup> Note"), ("Text<sup>1</sup>.\n\n<sup>1</sup> Note", "Text<sup>1</sup>.\n\n<sup>1</sup> Note"), ("<sup>1</sup> Note", "<sup>1</sup> Note")],
+    ),
+    "post_definitions_last": (post.step(post.definitions_last), [("<sup>1</sup> N\n\nBody", "Body\n\n<sup>1</sup> N"), ("a\n\n\n\nb", "a\n\nb")]),
+    "post_stitch": (post.step(post.stitch), [("Open text\n\ngoes on", "Open text goes on"), ("Done.\n\ngoes on", "Done.\n\ngoes on"), ("a <sup>1</sup>\n\nB.\n\ngoes on", "a <sup>1</sup> goes on\n\nB.")]),
     "post_dot_leaders": (
-        lambda c: post.folded(post.dot_leaders)(c),
-        [("A .... 1\nB .... 2\nC .... 3", "| Section | Page |\n| --- | --- |\n| A | 1 |\n| B | 2 |\n| C | 3 |"), ("A .... 1\nB .... 2", "A .... 1\nB .... 2")],
+        post.step(post.dot_leaders),
+        [
+            ("A .... 1\nB . . . . 2\n\nC|D....<sup>3</sup>\n\nend", "| Section | Page |\n|---|---:|\n| A | 1 |\n| B | 2 |\n| C\\|D | 3 |\n\nend"),
+            ("A .... 1\nB .... 2", "A .... 1\nB .... 2"), ("A .... 1\nB .... 2\nC .... 1234", "A .... 1\nB .... 2\nC .... 1234"),
+        ],
+    ),
+    "post_course_tables": (
+        post.step(post.course_tables),
+        [
+            (
+                "Courses\n\nGrade\nCourse Name\nCourse Type\nCourse Code\nPrerequisite\n10\nComputer Studies\nOpen\nICS2O\nNone\n11\nIntro to Science\nUniversity\nICS3U\nNone\n12\n"
+                "Computer Science\nUniversity\nICS4U\nGrade 11 Introduction to Computer Science, University\n\nNote: end",
+                "Courses\n\n| Grade | Course | Type | Code | Prerequisite |\n|---:|---|---|---|---|\n| 10 | Computer Studies | Open | ICS2O | None |\n| 11 | Intro to Science | University | ICS3U | None |\n"
+                "| 12 | Computer Science | University | ICS4U | Grade 11 Introduction to Computer Science, University |\n\nNote: end",
+            ),
+            ("Grade\nCourse Name\nCourse Type\nCourse Code\n10\nA\nOpen\nICS2O", "Grade\nCourse Name\nCourse Type\nCourse Code\n10\nA\nOpen\nICS2O"),
+        ],
+    ),
+    "post_as_follows": (
+        post.step(post.as_follows),
+        [("It is as follows:\nA. one\nB. two\nprose", "It is as follows:\n- A. one\n- B. two\nprose"), ("AS FOLLOWS:\n* A. one •\n\n- B.  two\n| x |\nC. y", "AS FOLLOWS:\n- A. one\n\n- B. two\n| x |\nC. y")],
+    ),
+    "post_redundant_table_headers": (
+        post.step(post.redundant_table_headers),
+        [
+            ("Categories\nLevel 1\nLevel 2\nLevel 3\nLevel 4\n| a | b |", "| a | b |"), ("Intro\n\ncategories\n\nlevel 1\nLevel 2\nLevel 3\nLevel 4\n| a | b |", "Intro\n\n| a | b |"),
+            ("Categories\nLevel 1\nLevel 2\nLevel 3\nLevel 4 ", "Categories\nLevel 1\nLevel 2\nLevel 3\nLevel 4 "),
+        ],
+    ),
+    "post_repeated_headers": (
+        post.step(post.repeated_headers),
+        [(f"{post.RUBRIC_HEAD}\n{post.RUBRIC_RULE}\n| a | b | c | d | e |\n{post.RUBRIC_HEAD}\n{post.RUBRIC_RULE}\n| f | g | h | i | j |", f"{post.RUBRIC_HEAD}\n{post.RUBRIC_RULE}\n| a | b | c | d | e |\n| f | g | h | i | j |")],
+    ),
+    "post_row_prefixes": (post.step(post.row_prefixes), [("<sup>19</sup> | x |", "| x |")]),
+    "post_detached_text": (post.step(post.detached_text), [("| a | b | tail", "| a | b |\n\ntail")]),
+    "post_bullet_runs": (post.step(post.bullet_runs), [("a • b • c", "- a\n- b\n- c"), ("- a • b", "- a\n- b"), ("# a • b", "# a • b"), ("* a • b", "* a • b"), ("• a", "• a")]),
+    "post_bullet_glyphs": (post.step(post.bullet_glyphs), [("a • b", "a b"), ("a\t\tb", "a b")]),
+    "post_no_sup": (post.step(post.no_sup), [("a<sup>1</sup>", "a1"), ("19 | Header", "| Header"), ("  123 | x", "| x")]),
+    "body_dedupe": (post.step(post.unrepeated), [(f"{PROSE}\n\nshort\n\n{PROSE.upper()}\n\nshort", f"{PROSE}\n\nshort\n\nshort"), (f"{PROSE}\n\n{PROSE[:-6]}tails", PROSE), ("***", NOTHING), ("", "")]),
+    "md_to_html": (
+        lambda c: render.markdown_html(c),
+        [
+            ("# T\ntext", "<h1>T</h1>\n<p>text</p>"), ("- a\n  goes on\n\n* b<sup>2</sup>\nend", "<ul>\n<li>a goes on</li>\n<li>b<sup>2</sup></li>\n</ul>\n<p>end</p>"),
+            ("| a | b |\n|---|:--:|\n| 1 | 2 |", "<p>| a | b |</p>\n<p>|---|:--:|</p>\n<p>| 1 | 2 |</p>"),
+            ("a | b\n---|:---:\n| 1 | < |\n\nx", "<table><thead><tr>\n<th>a</th>\n<th>b</th>\n</tr></thead><tbody>\n<tr>\n<td>1</td>\n<td>&lt;</td>\n</tr>\n</tbody></table>\n<p>x</p>"),
+        ],
+    ),
+    "error_class": (
+        readback.error_class,
+        [("mupdf: No objects found", "corrupt"), ("FzErrorFormat: x", "corrupt"), ("PermissionError: x", "locked"), ("[WinError 32]", "locked"), ("EBUSY: permission denied", "other"), ("boom", "other")],
+    ),
+    "failure_message": (
+        lambda c: readback.failure_message(F.lit(2), c, F.lit("/x/my file.pdf")),
+        [("", "Conversion failed with exit code 2."), (" boom ", "Conversion failed with exit code 2.\n\nboom"), ("WinError 32", readback.LOCKED_TEXT), ("no objects found", "my file.pdf".join(readback.CORRUPT_TEXT) + "\n\nTechnical details:\nno objects found")],
+    ),
+    "dropped_path": (
+        readback.dropped_path,
+        [("file:///C:/a%20b.pdf", "C:/a b.pdf"), ("\"/x/y.pdf\"", "/x/y.pdf"), ("file:///x/a+b.pdf", "/x/a+b.pdf"), ("file://localhost/x.pdf", "/x.pdf"), ("file://other/x.pdf", ""), ("/C:/x.pdf", "C:/x.pdf")],
+    ),
+    "path_tokens": (
+        lambda c: F.array_join(readback.path_tokens(c), "¦"),
+        [("see \"a b.PDF\"\r\nfile:/x/y.pdf now", "see \"a b.PDF\"¦a b.PDF¦file:/x/y.pdf now¦file:/x/y.pdf¦e:/x/y.pdf"), ("at C:\\d\\e.pdf", "at C:\\d\\e.pdf¦C:\\d\\e.pdf"), ("/C:/d.pdf", "/C:/d.pdf¦C:/d.pdf¦/C:/d.pdf"), ("", "")],
     ),
-    "post_as_follows": (lambda c: post.folded(post.as_follows)(c), [("It is as follows:\nA. one\nB. two\nprose", "It is as follows:\n- A. one\n- B. two\nprose")]),
-    "post_redundant_table_headers": (post.redundant_table_headers, [("Categories\nLevel 1\nLevel 2\nLevel 3\nLevel 4\n| a | b |", "| a | b |")]),
-    "post_row_prefixes": (post.row_prefixes, [("<sup>19</sup> | x |", "| x |")]),
-    "post_detached_text": (post.detached_text, [("| a | b | tail", "| a | b |\n\ntail")]),
-    "post_bullet_runs": (post.bullet_runs, [("a • b • c", "- a\n- b\n- c"), ("# a • b", "# a • b")]),
-    "post_bullet_glyphs": (post.bullet_glyphs, [("a • b", "a b")]),
-    "post_no_sup": (post.no_sup, [("a<sup>1</sup>", "a1"), ("19 | Header", "| Header")]),
-    "md_to_html": (lambda c: render.markdown_html(c), [("# T\ntext", "<h1>T</h1>\n<p>text</p>"), ("- a\n\n- b", "<ul><li>a</li><li>b</li></ul>"), ("| a | b |\n| --- | --- |\n| 1 | 2 |", "<table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td>2</td></tr></table>")]),
-    "error_class": (readback.error_class, [("mupdf: no objects found", "corrupt"), ("EBUSY: locked", "locked"), ("boom", "other")]),
-    "dropped_path": (readback.dropped_path, [("file:///C:/a%20b.pdf", "C:/a b.pdf"), ("\"/x/y.pdf\"", "/x/y.pdf"), ("file:///x/a+b.pdf", "/x/a+b.pdf")]),
-    "ellipsized_path": (readback.ellipsized, [("/home/user/documents/archive/2020/january/file.pdf", "home/user/.../file.pdf"), ("/a/b.pdf", "/a/b.pdf")]),
-    "user_error": (readback.user_error, [("Error: Bad file\nTechnical details: x", "Bad file"), ("plain", "plain")]),
+    "ellipsized_path": (
+        readback.ellipsized,
+        [("/home/user/documents/archive/2020/january/file.pdf", "home/user/.../file.pdf"), ("/a/b.pdf", "/a/b.pdf"), ("C:\\Users\\someone\\Documents\\archive\\file.pdf", "C:\\Users\\...\\file.pdf"), ("x" * 50, "x" * 50)],
+    ),
+    "user_error": (
+        readback.user_error,
+        [
+            ("Error: Bad file\nTechnical details: x", "Bad file"), ("plain", "plain"), ("", readback.FALLBACK), ("Error invoking remote method 'run': Error: No\n  PROGRESS: 3", "No"),
+            ("y" * 500, "y" * 417 + "..."), ("x" * 416 + "  " + "y" * 9, "x" * 416 + "..."),
+        ],
+    ),
+    "without_preamble": (readback.without_preamble, [("# A\n\n- Level: 1\n- Pages: 1-2\n- Source: s\n\nText", "Text"), ("# A\n\nText", "# A\n\nText"), ("x\n# A\n\n- Level: 1\n- Pages: 1-2\n- Source: s\n\nText", "x\n# A\n\n- Level: 1\n- Pages: 1-2\n- Source: s\n\nText")]),
+    "without_metadata": (readback.without_metadata, [("# A\n\n- Level: 1\n- Pages: 1-2\n- Source: s\n\nText", "# A\n\nText"), ("# A\n\nText", "# A\n\nText")]),
+    "has_metadata": (readback.has_metadata, [("# A\n\n- Level: 1\n- Pages: 1-2\n- Source: s\n\nText", True), ("# A\n\n- Level: 1\n\nText", False)]),
+    "heading_offset": (lambda c: readback.heading_offset(c, F.lit("The (End)")), [("x the (end)\n\n## the (END) \nmore", "13"), ("x the (end)", "2"), ("none", "-1")]),
+    "local_time": (lambda c: readback.local_time(F.try_to_timestamp(c)), [("2024-03-05 06:07:08", "2024-03-05 06:07"), ("never", "unknown")]),
 }
 
 
@@ -158,11 +244,6 @@ def boxes_outside_tables(li: DataFrame) -> DataFrame:
 
 
 def q_table_overlap(spark, sf_dir):
-    """The orders that its SQL judges: one in ten. ``table_overlap_whole`` judges all."""
-    return boxes_outside_tables(table("lineitem")(spark, sf_dir).filter("l_orderkey % 10 = 0"))
-
-
-def q_table_overlap_whole(spark, sf_dir):
     return boxes_outside_tables(table("lineitem")(spark, sf_dir))
 
 
@@ -220,8 +301,104 @@ def q_major_groups(spark, sf_dir):
     return grouping.major_groups(binder_outline(spark, sf_dir)).select("doc_id", "pos", "grp")
 
 
+def told(outline_: DataFrame) -> DataFrame:
+    """An outline with files and counts made up from its rows."""
+    name = F.when(F.col("level") == 1, F.concat(F.lit("Sections/"), F.col("pos").cast("string"), F.lit(".md")))
+    return outline_.withColumn("section_file", name).withColumn("line_count", F.col("pos")).withColumn("char_count", F.length("title"))
+
+
 def q_outline_md(spark, sf_dir):
-    return render.outline_markdown(binder_outline(spark, sf_dir))
+    return render.outline_markdown(told(binder_outline(spark, sf_dir)))
+
+
+def q_outline_text(spark, sf_dir):
+    return render.outline_text(binder_outline(spark, sf_dir))
+
+
+def q_viewer_groups(spark, sf_dir):
+    return grouping.viewer_groups(told(binder_outline(spark, sf_dir))).select("doc_id", "pos", "shown_in", "depth")
+
+
+def q_segments(spark, sf_dir):
+    o = grouping.major_groups(told(binder_outline(spark, sf_dir))).withColumn("start", F.col("page_start")).withColumn("end", F.col("page_start") + 1)
+    return grouping.segments(o).select("doc_id", "grp", "title", "level", "page_start", "page_end", F.col("char_count").alias("chars"))
+
+
+def q_sections_segments(spark, sf_dir):
+    return segment_rows(convert(lines_of(spark, sf_dir)), "sections")
+
+
+def q_span_lines(spark, sf_dir):
+    """Words of documents as spans of their lines."""
+    rows = documents(spark, sf_dir).select(F.col("doc_id"), F.lit(1).alias("page_no"), F.lit(0).alias("block_no"), F.posexplode(F.split("text", "\n")).alias("line_no", "l"))
+    s = rows.select("doc_id", "page_no", "block_no", "line_no", F.posexplode(F.split("l", " ")).alias("span_no", "text"))
+    box = [F.lit(float(v)).alias(c) for c, v in (("x0", 72), ("y0", 40), ("x1", 300), ("y1", 50))]
+    spans = s.select("*", *box, F.length("text").cast("double").alias("size"))
+    return layout.lines_of_spans(spans).select("doc_id", "line_no", "size", "text")
+
+
+def q_toc_outline(spark, sf_dir):
+    """Nations as contents of regions; some levels, pages and titles can't be used as they are."""
+    n = table("nation")(spark, sf_dir)
+    toc = n.select(
+        F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("doc_id"), F.col("n_nationkey").cast("int").alias("toc_no"), (F.col("n_nationkey") % 3).cast("int").alias("level"),
+        F.when(F.col("n_nationkey") % 7 != 0, F.concat(F.lit(" "), "n_name", F.lit("\t"))).otherwise("").alias("title"), (F.col("n_nationkey") - 2).cast("int").alias("page"),
+    )
+    return outline.from_toc(toc).drop("y0")
+
+
+def q_toc_anchors(spark, sf_dir):
+    """Contents made of the first words of some lines, anchored to the lines that say them."""
+    lines = lines_of(spark, sf_dir)
+    picked = lines.filter((F.col("line_no") % 3 == 0) & (F.length("text") > 0))
+    title = F.array_join(F.slice(F.split("text", " "), 1, 3), " ")
+    pos = (F.row_number().over(Window.partitionBy("doc_id").orderBy("page_no", F.desc("line_no"))) - 1).cast("int")
+    o = picked.select("doc_id", pos.alias("pos"), F.lit(1).alias("level"), title.alias("title"), F.col("page_no").alias("page_start"), F.lit(None).cast("double").alias("y0"), F.lit("pdf-outline").alias("source"))
+    return outline.anchored(o, lines).select("doc_id", "pos", F.round("y0", 6).alias("y0"))
+
+
+def q_snapshot(spark, sf_dir):
+    rows = [("Sections/a.md", 5), ("By Major Heading/b.MD", 9), ("outline.md", 99), ("outline.json", 3), ("Sections/deep/c.md", 77), ("whole.md", 1)]
+    return readback.snapshot(spark.createDataFrame(rows, "path string, modified int"))
+
+
+def q_heartbeat(spark, sf_dir):
+    rows = [("Core extraction complete", 0, 0, 0, False), ("x", 3, 12, 12, True), ("x", 3, 11, 12, True), ("x", 0, 50, 50, True), (None, 3, 50, 50, False)]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "id int, stage string, n int, age int, idle int, ready boolean")
+    return df.select("id", readback.heartbeat(*[F.col(c) for c in ("stage", "n", "age", "idle", "ready")]).alias("result"))
+
+
+def q_resolved_drop(spark, sf_dir):
+    rows = [(1, ["/x/a.txt", "/x/b.pdf"], ["a.txt", "b.pdf"], []), (2, [], [], ["file:///x/gone.pdf"]), (3, ["/x/a.txt"], ["a.txt"], []), (4, [], [], ["see \"/x/c.pdf\""]), (5, [], [], [])]
+    drops = spark.createDataFrame(rows, "drop_id int, paths array<string>, names array<string>, texts array<string>")
+    return readback.resolved_drop(drops, spark.createDataFrame([("/x/b.pdf",), ("/x/c.pdf",), ("/x/a.txt",)], "path string"))
+
+
+def q_valid_paths(spark, sf_dir):
+    rows = [(1, "/x/b.PDF"), (2, " "), (3, "/x/a.txt"), (4, "/x/no.pdf"), (5, None)]
+    found = readback.validated(spark.createDataFrame(rows, "id int, path string"), spark.createDataFrame([("/x/b.PDF",)], "path string"))
+    return found.select("id", "ok", "message")
+
+
+def q_resolved_sections(spark, sf_dir):
+    rows = [(1, "Sections/a.md"), (2, "../a.md"), (3, "Sections/no.md"), (4, "Sections/../whole.md"), (5, "a/../../b.md")]
+    listing = spark.createDataFrame([("Sections/a.md",), ("Sections/../whole.md",), ("../a.md",)], "path string")
+    return readback.resolved_sections(spark.createDataFrame(rows, "id int, path string"), listing).select("id", "message")
+
+
+def q_outline_payload(spark, sf_dir):
+    rows = [("d", 0, "Sections/a.md"), ("d", 1, "Sections/gone.md"), ("d", 2, "../x.md"), ("d", 3, None)]
+    listing = spark.createDataFrame([("d", "Sections/a.md"), ("d", "../x.md")], "doc_id string, path string")
+    return readback.outline_with_files(spark.createDataFrame(rows, "doc_id string, pos int, section_file string"), listing)
+
+
+def q_rubric_tables(spark, sf_dir):
+    rows = [
+        (1, [["a", "b"], ["1", "x|y"], ["--", "---"], ["", None]]), (2, [["Some Categories", "Level 1", "Level 2", "Level 3", "Level 4 (top)"], ["k", "1", "2", "3", "4"]]),
+        (3, [["k", "1", "2", "3", "4"], ["Categories", "Level 1", "L2", "L3", "Level 4"]]), (4, [["a"], ["b"]]), (5, [["a", "b"], ["", ""]]), (6, [["a", "b"], ["c"]]),
+    ]
+    df = spark.createDataFrame(rows, "id int, cells array<array<string>>")
+    return df.select("id", tables.markdown_table(F.col("cells")).alias("md"))
 
 
 def q_html_escape(spark, sf_dir):
@@ -233,7 +410,7 @@ def q_sections(spark, sf_dir):
 
 
 def q_files(mode: str) -> Query:
-    return lambda spark, sf_dir: files(convert(lines_of(spark, sf_dir)), ConvertOptions(mode=mode))
+    return lambda spark, sf_dir: markdown_files(convert(lines_of(spark, sf_dir), options=ConvertOptions(mode=mode)), ConvertOptions(mode=mode))
 
 
 def q_footnotes(f) -> Query:
@@ -242,12 +419,13 @@ def q_footnotes(f) -> Query:
 
 
 def q_orphans(spark, sf_dir):
-    rows = [("a", 0, "Text<sup>1</sup>.\n\n<sup>1</sup> Note."), ("a", 1, "More<sup>1</sup> text<sup>2</sup>.")]
+    rows = [("a", 0, "Text<sup>1</sup>.\n\n<sup>1</sup> Note."), ("a", 1, "More <sup>1</sup> text<sup>2</sup>."), ("a", 2, "\n<sup>1</sup> ")]
     return grouping.orphan_markers(spark.createDataFrame(rows, "doc_id string, pos int, body string"))
 
 
 def q_parts(spark, sf_dir):
-    rows = [("a-part-2.md", "# A\n\ntwo"), ("a-part-10.md", "# A\n\nten"), ("a-part-1.md", "# A\n\none"), ("b.md", "# B\n\nall")]
+    head = "# A\n\n- Level: 1\n- Pages: 1-2\n- Source: s\n\n"
+    rows = [("a-part-2.md", head + "two\n"), ("A-PART-10.md", head + "ten\n"), ("a-part-1.md", head + "one\n"), ("a.md", "all"), ("b-part-3.md", head + "b")]
     return readback.combined_parts(spark.createDataFrame(rows, "path string, text string"))
 
 
@@ -280,7 +458,22 @@ cutoff AS (SELECT doc_id, greatest(s[(floor((len(s) - 1) * 0.75))::INT + 1], s[(
 cand AS (SELECT full_.* FROM full_ JOIN cutoff USING (doc_id) WHERE size >= cutoff AND length(text) BETWEEN 4 AND 120
   AND NOT regexp_matches(text, '^[•*-]') AND NOT (text LIKE '%.' AND len(string_split(text, ' ')) > 8)),
 firsts AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY doc_id, lower(text) ORDER BY page_no, line_no) = 1),
-levels AS (SELECT *, least(3, dense_rank() OVER (PARTITION BY doc_id ORDER BY size DESC))::INT AS level FROM firsts),
+steps AS MATERIALIZED (SELECT doc_id, page_no, line_no, y0, size, text, row_number() OVER (PARTITION BY doc_id ORDER BY page_no, y0, line_no) AS k FROM firsts),
+fold AS (
+  SELECT doc_id, k, k AS g, page_no, line_no, y0, size, text FROM steps WHERE k = 1
+  UNION ALL
+  SELECT doc_id, k, CASE WHEN goes THEN g ELSE k END, page_no, CASE WHEN goes THEN l0 ELSE line_no END, CASE WHEN goes THEN y00 ELSE y0 END,
+    CASE WHEN goes THEN s0 ELSE size END, CASE WHEN goes THEN t0 || ' ' || text ELSE text END
+  FROM (SELECT n.*, f.g, f.line_no AS l0, f.y0 AS y00, f.size AS s0, f.text AS t0,
+    f.page_no = n.page_no AND abs(f.size - n.size) <= 0.2 AND abs(n.y0 - f.y0) <= 90 AND NOT regexp_matches(f.text, '[\\.:;!?]$')
+    AND ((len(string_split(f.text, ' ')) <= 6 AND len(string_split(n.text, ' ')) <= 6 AND (regexp_matches(n.text, '^\p{Ll}')
+        OR lower(string_split(f.text, ' ')[-1]) IN ('for', 'and', 'or', 'to', 'in', 'on', 'of', 'with', 'program', 'course', 'grade') OR f.text LIKE '%-'
+        OR lower(string_split(n.text, ' ')[1]) IN ('and', 'or', 'for', 'to', 'in', 'of', 'the')))
+      OR (len(string_split(f.text, ' ')) >= 6 AND len(string_split(n.text, ' ')) <= 8
+        AND (contains(n.text, ',') OR length(f.text) >= 35 OR lower(string_split(n.text, ' ')[1]) IN ('and', 'or', 'for', 'to', 'in', 'of', 'the')))) AS goes
+    FROM fold f JOIN steps n ON n.doc_id = f.doc_id AND n.k = f.k + 1)),
+joined AS (SELECT * FROM fold QUALIFY k = max(k) OVER (PARTITION BY doc_id, g)),
+levels AS (SELECT *, least(3, dense_rank() OVER (PARTITION BY doc_id ORDER BY size DESC))::INT AS level FROM joined),
 heads AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY page_no, y0, level, lower(text), line_no) - 1)::INT AS pos FROM levels)"""
 )
 RANGES = (
@@ -308,24 +501,40 @@ def oracle_sql() -> dict[str, str]:
         "match_keys": f"SELECT doc_id, {key('text')} AS norm FROM documents",
         "slugs": "SELECT p_partkey, left(CASE WHEN s = '' THEN 'section' ELSE s END, 64) AS slug FROM (SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM part)",
         "line_frame": f"WITH {BINDER} SELECT doc_id, page_no, line_no, round(y0, 6) AS y0, x1, size, length(text)::BIGINT AS chars FROM lines",
-        "font_cutoff": f"WITH {HEADINGS} SELECT doc_id, cutoff FROM cutoff",
-        "heading_levels": f"WITH {HEADINGS} SELECT doc_id, pos, level, text AS title, page_no AS page_start FROM heads",
+        "font_cutoff": f"WITH RECURSIVE {HEADINGS} SELECT doc_id, cutoff FROM cutoff",
+        "heading_levels": f"WITH RECURSIVE {HEADINGS} SELECT doc_id, pos, level, text AS title, page_no AS page_start FROM heads",
         "noise_profile": f"WITH {NOISE} SELECT * FROM noise",
         "denoised_lines": f"WITH {NOISE} SELECT doc_id, page_no, count(*) AS n FROM banded b WHERE NOT (coalesce(band, '') = 'bottom' AND regexp_matches({clean('text')}, '(?i)^(page\\s+)?\\d{{1,4}}(\\s*(/|of)\\s*\\d{{1,4}})?$')) AND NOT EXISTS (SELECT 1 FROM noise WHERE noise.doc_id = b.doc_id AND noise.band = b.band AND noise.norm = {MARGIN.format('b.text')}) GROUP BY doc_id, page_no",
-        "section_ranges": f"WITH {RANGES} SELECT doc_id, pos, start, finish FROM rng",
-        "section_lines": f"WITH {RANGES} SELECT r.doc_id, r.pos, count(*) AS n FROM rng r JOIN lines l ON l.doc_id = r.doc_id AND l.page_no BETWEEN r.start AND r.finish WHERE l.y0 + 10 > (CASE WHEN l.page_no = r.start THEN r.y0 + 0.5 ELSE 0 END) AND l.y0 < (CASE WHEN l.page_no = r.finish AND r.np = r.finish THEN r.ny ELSE 792 END) AND (CASE WHEN l.page_no = r.finish AND r.np = r.finish THEN r.ny ELSE 792 END) > (CASE WHEN l.page_no = r.start THEN r.y0 + 0.5 ELSE 0 END) GROUP BY r.doc_id, r.pos",
-        "table_overlap": "WITH b AS (SELECT l_orderkey AS doc_id, l_linenumber AS line_no, l_quantity * 2 AS x0, l_discount * 200 AS y0, l_quantity * 2 + 60 AS x1, l_discount * 200 + 12 AS y1 FROM lineitem WHERE l_orderkey % 10 = 0) SELECT doc_id, line_no FROM b l WHERE line_no <= 3 AND NOT EXISTS (SELECT 1 FROM b t WHERE t.doc_id = l.doc_id AND t.line_no > 3 AND (greatest(least(l.x1, t.x1) - greatest(l.x0, t.x0), 0::DOUBLE) / greatest(l.x1 - l.x0, 1)) * (greatest(least(l.y1, t.y1) - greatest(l.y0, t.y0), 0::DOUBLE) / greatest(l.y1 - l.y0, 1)) >= 0.45)",
+        "section_ranges": f"WITH RECURSIVE {RANGES} SELECT doc_id, pos, start, finish FROM rng",
+        "section_lines": f"WITH RECURSIVE {RANGES} SELECT r.doc_id, r.pos, count(*) AS n FROM rng r JOIN lines l ON l.doc_id = r.doc_id AND l.page_no BETWEEN r.start AND r.finish WHERE l.y0 + 10 > (CASE WHEN l.page_no = r.start THEN r.y0 + 0.5 ELSE 0 END) AND l.y0 < (CASE WHEN l.page_no = r.finish AND r.np = r.finish THEN r.ny ELSE 792 END) AND (CASE WHEN l.page_no = r.finish AND r.np = r.finish THEN r.ny ELSE 792 END) > (CASE WHEN l.page_no = r.start THEN r.y0 + 0.5 ELSE 0 END) GROUP BY r.doc_id, r.pos",
+        "table_overlap": "WITH b AS (SELECT l_orderkey AS doc_id, l_linenumber AS line_no, l_quantity * 2 AS x0, l_discount * 200 AS y0, l_quantity * 2 + 60 AS x1, l_discount * 200 + 12 AS y1 FROM lineitem) SELECT doc_id, line_no FROM b l WHERE line_no <= 3 AND NOT EXISTS (SELECT 1 FROM b t WHERE t.doc_id = l.doc_id AND t.line_no > 3 AND (greatest(least(l.x1, t.x1) - greatest(l.x0, t.x0), 0::DOUBLE) / greatest(l.x1 - l.x0, 1)) * (greatest(least(l.y1, t.y1) - greatest(l.y0, t.y0), 0::DOUBLE) / greatest(l.y1 - l.y0, 1)) >= 0.45)",
         "exact_dedupe": f"WITH c AS (SELECT source, doc_id AS para, {key('text')} AS norm, length(text) >= 80 AND len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) >= 12 AND NOT regexp_matches(text, '^(\\||#|- (Level|Pages|Source):)') AS cand FROM documents) SELECT source, para FROM c WHERE norm <> '' QUALIFY NOT cand OR row_number() OVER (PARTITION BY source, norm, cand ORDER BY para) = 1",
-        "md_table": "SELECT r_name, '| Key | Name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || ' |', chr(10) ORDER BY n_nationkey) AS md FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name",
-        "toc_table": f"WITH {HEADINGS}, k AS (SELECT *, {key('text')} AS norm FROM heads), f AS (SELECT doc_id, min(pos) AS pos, arg_min(text, pos) AS title, page_no FROM k WHERE norm <> '' GROUP BY doc_id, norm, page_no) SELECT doc_id, '| Section | Page |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || replace(title, '|', '\\|') || ' | ' || page_no || ' |', chr(10) ORDER BY pos) AS md FROM f GROUP BY doc_id",
-        "numbering": f"WITH {HEADINGS}, g AS (SELECT doc_id, pos, level, sum((level < 2)::INT) OVER w AS g2, sum((level < 3)::INT) OVER w AS g3, sum((level = 1)::INT) OVER w AS c1 FROM heads WINDOW w AS (PARTITION BY doc_id ORDER BY pos)), c AS (SELECT *, sum((level = 2)::INT) OVER (PARTITION BY doc_id, g2 ORDER BY pos) AS c2, sum((level = 3)::INT) OVER (PARTITION BY doc_id, g3 ORDER BY pos) AS c3 FROM g) SELECT doc_id, pos, level, c1::VARCHAR || (CASE WHEN level >= 2 THEN '.' || c2 ELSE '' END) || (CASE WHEN level >= 3 THEN '.' || c3 ELSE '' END) AS code FROM c",
+        "md_table": "SELECT r_name, '| Key | Name |' || chr(10) || '|---|---|' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || ' |', chr(10) ORDER BY n_nationkey) AS md FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name",
+        "toc_table": f"WITH RECURSIVE {HEADINGS}, f AS (SELECT doc_id, min(pos) AS pos, arg_min(text, pos) AS title, page_no FROM heads GROUP BY doc_id, {key('text')}, page_no) SELECT doc_id, '## Table of Contents' || chr(10) || chr(10) || '| Section | Page |' || chr(10) || '|---|---:|' || chr(10) || string_agg('| ' || replace(title, '|', '\\|') || ' | ' || page_no || ' |' || chr(10), '' ORDER BY pos) AS md FROM f GROUP BY doc_id",
+        "numbering": f"WITH RECURSIVE {HEADINGS}, g AS (SELECT doc_id, pos, level, sum((level < 2)::INT) OVER w AS g2, sum((level < 3)::INT) OVER w AS g3, sum((level = 1)::INT) OVER w AS c1 FROM heads WINDOW w AS (PARTITION BY doc_id ORDER BY pos)), c AS (SELECT *, sum((level = 2)::INT) OVER (PARTITION BY doc_id, g2 ORDER BY pos) AS c2, sum((level = 3)::INT) OVER (PARTITION BY doc_id, g3 ORDER BY pos) AS c3 FROM g) SELECT doc_id, pos, level, c1 || '.' || c2 || '.' || c3 AS code FROM c",
         "section_counts": "SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''))::BIGINT AS line_count, length(text)::BIGINT AS char_count FROM documents",
-        "major_level": f"WITH {HEADINGS}, n AS (SELECT doc_id, level, count(*) AS n FROM heads GROUP BY doc_id, level) SELECT doc_id, coalesce(min(level) FILTER (WHERE n >= 2), min(level)) AS major FROM n GROUP BY doc_id",
-        "major_groups": f"WITH {HEADINGS}, n AS (SELECT doc_id, level, count(*) AS n FROM heads GROUP BY doc_id, level), m AS (SELECT doc_id, coalesce(min(level) FILTER (WHERE n >= 2), min(level)) AS major FROM n GROUP BY doc_id), o AS (SELECT heads.doc_id, pos, CASE WHEN level = major THEN pos END AS own FROM heads JOIN m USING (doc_id)) SELECT doc_id, pos, coalesce(max(own) OVER (PARTITION BY doc_id ORDER BY pos), min(own) OVER (PARTITION BY doc_id)) AS grp FROM o",
-        "outline_md": f"WITH {HEADINGS} SELECT doc_id, string_agg(repeat('  ', level - 1) || '- L' || level || ' p' || page_no || ' ' || text, chr(10) ORDER BY pos) AS md FROM heads GROUP BY doc_id",
+        "major_level": f"WITH RECURSIVE {HEADINGS}, n AS (SELECT doc_id, level, count(*) AS n FROM heads GROUP BY doc_id, level) SELECT doc_id, coalesce(min(level) FILTER (WHERE n >= 2), min(level)) AS major FROM n GROUP BY doc_id",
+        "major_groups": f"WITH RECURSIVE {HEADINGS}, n AS (SELECT doc_id, level, count(*) AS n FROM heads GROUP BY doc_id, level), m AS (SELECT doc_id, coalesce(min(level) FILTER (WHERE n >= 2), min(level)) AS major FROM n GROUP BY doc_id), o AS (SELECT heads.doc_id, pos, CASE WHEN level = major THEN pos END AS own FROM heads JOIN m USING (doc_id)) SELECT doc_id, pos, coalesce(max(own) OVER (PARTITION BY doc_id ORDER BY pos), min(own) OVER (PARTITION BY doc_id)) AS grp FROM o",
+        "outline_md": f"WITH RECURSIVE {HEADINGS} SELECT doc_id, '# Outline' || chr(10) || chr(10) || string_agg(repeat('  ', level - 1) || '- L' || level || ' p' || page_no || ' ' || (CASE WHEN level = 1 THEN '[' || text || '](Sections/' || pos || '.md)' ELSE text END) || ' (lines: ' || pos || ', chars: ' || length(text) || ')' || chr(10), '' ORDER BY pos) AS md FROM heads GROUP BY doc_id",
+        "outline_text": f"WITH RECURSIVE {HEADINGS} SELECT doc_id, string_agg('L' || level || ' p' || page_no || ' ' || text, '\\n' ORDER BY pos) AS text FROM heads GROUP BY doc_id",
+        "viewer_groups": f"WITH RECURSIVE {HEADINGS}, v AS (SELECT doc_id, pos, level, last_value(CASE WHEN level = 1 THEN 'Sections/' || pos || '.md' END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos) AS shown_in FROM heads) SELECT doc_id, pos, shown_in, least(4, greatest(1, level))::INT AS depth FROM v WHERE shown_in IS NOT NULL",
+        "segments": f"WITH RECURSIVE {HEADINGS}, n AS (SELECT doc_id, level, count(*) AS n FROM heads GROUP BY doc_id, level), m AS (SELECT doc_id, coalesce(min(level) FILTER (WHERE n >= 2), min(level)) AS major FROM n GROUP BY doc_id), o AS (SELECT heads.*, CASE WHEN level = major THEN pos END AS own FROM heads JOIN m USING (doc_id)), g AS (SELECT *, coalesce(max(own) OVER (PARTITION BY doc_id ORDER BY pos), min(own) OVER (PARTITION BY doc_id)) AS grp FROM o) SELECT doc_id, grp, max(text) FILTER (WHERE pos = grp) AS title, max(level) FILTER (WHERE pos = grp) AS level, arg_min(page_no, pos) AS page_start, arg_max(page_no, pos) + 1 AS page_end, sum(length(text))::BIGINT AS chars FROM g GROUP BY doc_id, grp",
+        "wrapped_headings": f"WITH RECURSIVE {HEADINGS} SELECT doc_id, page_no, y0, size, text, line_no FROM joined",
+        "document_title": f"WITH {BINDER}, top AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY y0, line_no) AS k FROM (SELECT * REPLACE ({clean('text')} AS text) FROM lines WHERE page_no = 1 AND y0 <= 0.28::DOUBLE * 792) WHERE length(text) >= 12), fits AS (SELECT *, sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY k) - 1 AS n FROM top WHERE k <= 3), named AS (SELECT doc_id, string_agg(text, ' ' ORDER BY k) AS title FROM fits WHERE n <= 140 OR k = 1 GROUP BY doc_id) SELECT doc_id, coalesce(title, replace(doc_id, '-', ' ')) AS title FROM (SELECT DISTINCT doc_id FROM lines) LEFT JOIN named USING (doc_id)",
+        "span_lines": f"WITH w AS (SELECT doc_id, i - 1 AS line_no, string_split(l[i], ' ') AS s FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))), p AS (SELECT doc_id, line_no, length(s[j])::DOUBLE AS size, {clean('s[j]')} AS t, j FROM (SELECT doc_id, line_no, s, unnest(range(1, len(s) + 1)) AS j FROM w)) SELECT doc_id, line_no::INT AS line_no, max(size) AS size, string_agg(t, ' ' ORDER BY j) AS text FROM p WHERE t <> '' GROUP BY doc_id, line_no",
+        "toc_outline": "SELECT 'r' || n_regionkey AS doc_id, n_nationkey::INT AS pos, greatest(1, n_nationkey % 3)::INT AS level, n_name AS title, greatest(1, n_nationkey - 2)::INT AS page_start, 'pdf-outline' AS source FROM nation WHERE n_nationkey % 7 <> 0",
+        "outline_normalized": f"WITH RECURSIVE {HEADINGS}, o AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k, level, text, page_no, y0, {key('text')} AS norm FROM heads), nf AS (SELECT doc_id, k, true AS kept, level, text, page_no, y0, [{{'n': norm, 'p': page_no}}] AS recent, level AS last FROM o WHERE k = 1 UNION ALL SELECT doc_id, k, NOT again, lev, text, pg, y0, CASE WHEN again THEN recent ELSE list_append(recent[-7:], {{'n': norm, 'p': pg}}) END, CASE WHEN again THEN last ELSE lev END FROM (SELECT o.doc_id, o.k, o.text, o.y0, o.norm, f.recent, f.last, least(o.level, f.last + 1) AS lev, greatest(o.page_no, f.recent[-1].p) AS pg, len(list_filter(f.recent, lambda x: x.n = o.norm AND greatest(o.page_no, f.recent[-1].p) - x.p <= 2)) > 0 AS again FROM nf f JOIN o ON o.doc_id = f.doc_id AND o.k = f.k + 1)), kept AS (SELECT * FROM nf WHERE kept), alld AS (SELECT doc_id, k, level, text AS title, page_no AS page_start, 'text-heuristic' AS source FROM kept UNION ALL SELECT doc_id, 0, 1, 'Front Matter', 1, 'synthetic-front-matter' FROM kept GROUP BY doc_id HAVING arg_min(page_no, k) > 1 OR arg_min(y0, k) > 2 UNION ALL SELECT DISTINCT doc_id, 1, 1, 'Document', 1, 'fallback' FROM lines WHERE doc_id NOT IN (SELECT doc_id FROM kept)) SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::INT AS pos, level, title, page_start, source FROM alld",
+        "paragraphs": f"WITH RECURSIVE cut AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents), flat AS (SELECT doc_id, len(l) AS n, unnest(range(0, len(l))) AS i, l FROM cut), ln AS (SELECT doc_id, i, CASE WHEN n > 1 THEN 40.0::DOUBLE + 700.0::DOUBLE * i / (n - 1) ELSE 40.0::DOUBLE END AS y0, {clean('l[i + 1]')} AS text FROM flat), own AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k, y0, text, regexp_matches(text, '^([•*-]|\\d+\\.)\\s') AS b FROM ln WHERE text <> ''), fold AS (SELECT doc_id, k, y0, b AS inside, 0 AS para, text FROM own WHERE k = 1 UNION ALL SELECT doc_id, k, y0, CASE WHEN fresh THEN b ELSE inside END, para + fresh::INT, CASE WHEN fresh THEN text WHEN regexp_matches(t0, '\\p{{L}}-$') AND regexp_matches(text, '^\\p{{L}}') THEN left(t0, length(t0) - 1) || text ELSE t0 || ' ' || text END FROM (SELECT n.*, f.inside, f.para, f.text AS t0, n.b OR (n.y0 - (f.y0 + 10) > 4 AND NOT (f.inside AND n.y0 - (f.y0 + 10) <= 10)) AS fresh FROM fold f JOIN own n ON n.doc_id = f.doc_id AND n.k = f.k + 1)) SELECT doc_id, 1 AS page_no, para, text FROM fold QUALIFY k = max(k) OVER (PARTITION BY doc_id, para)",
+        "snapshot": "SELECT 3::BIGINT AS n, 'By Major Heading/b.MD' AS newest, 9 AS at, true AS outline_ready",
+        "heartbeat": "SELECT * FROM (VALUES (0, 'exit'), (1, 'exit'), (2, 'working'), (3, 'working'), (4, 'working')) AS t(id, result)",
+        "resolved_drop": f"SELECT * FROM (VALUES (1, '/x/b.pdf', NULL), (2, NULL, '{readback.NOT_FOUND}'), (3, NULL, '{readback.NO_DROP}'), (4, '/x/c.pdf', NULL), (5, NULL, '{readback.NO_DROP}')) AS t(drop_id, path, message)",
+        "valid_paths": f"SELECT * FROM (VALUES (1, true, NULL), (2, false, '{readback.MISSING}'), (3, false, '{readback.NOT_PDF}'), (4, false, '{readback.NOT_FOUND}'), (5, false, '{readback.MISSING}')) AS t(id, ok, message)",
+        "resolved_sections": "SELECT * FROM (VALUES (1, NULL), (2, 'Invalid section path.'), (3, 'Section file not found.'), (4, NULL), (5, 'Invalid section path.')) AS t(id, message)",
+        "outline_payload": "SELECT * FROM (VALUES ('d', 0, 'Sections/a.md'), ('d', 1, NULL), ('d', 2, NULL), ('d', 3, NULL)) AS t(doc_id, pos, section_file)",
+        "rubric_tables": "SELECT id, replace(md, '~', chr(10)) AS md FROM (VALUES (1, '| a | b |~|---|---|~| 1 | x\\|y |'), (2, '| Some Categories | Level 1 | Level 2 | Level 3 | Level 4 (top) |~|---|---|---|---|---|~| k | 1 | 2 | 3 | 4 |'), (3, '| Categories | Level 1 | Level 2 | Level 3 | Level 4 |~|---|---|---|---|---|~| k | 1 | 2 | 3 | 4 |'), (4, NULL), (5, NULL), (6, '| a | b |~|---|---|~| c |  |')) AS t(id, md)",
         "html_escape": "SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS html FROM pages",
         "footnote_rebalance": "SELECT * FROM (VALUES ('a', 0, 'Text<sup>1</sup> here.' || chr(10) || chr(10) || '<sup>1</sup> The note.'), ('a', 1, 'Other.')) AS t(doc_id, pos, body)",
-        "orphan_markers": "SELECT * FROM (VALUES ('a', 0, 'Text<sup>1</sup>.' || chr(10) || chr(10) || '<sup>1</sup> Note.'), ('a', 1, 'More text<sup>2</sup>.')) AS t(doc_id, pos, body)",
-        "parts_combined": "SELECT * FROM (VALUES ('a', '# A' || chr(10) || chr(10) || 'one' || chr(10) || chr(10) || 'two' || chr(10) || chr(10) || 'ten'), ('b', '# B' || chr(10) || chr(10) || 'all')) AS t(stem, text)",
+        "orphan_markers": f"SELECT * FROM (VALUES ('a', 0, 'Text<sup>1</sup>.' || chr(10) || chr(10) || '<sup>1</sup> Note.'), ('a', 1, 'More text<sup>2</sup>.'), ('a', 2, '<sup>1</sup>')) AS t(doc_id, pos, body)",
+        "parts_combined": "SELECT stem, replace(text, '~', chr(10)) AS text FROM (VALUES ('a', '# A~~- Level: 1~- Pages: 1-2~- Source: s~~one~~~two~~~ten~'), ('a', 'all'), ('b', '# A~~- Level: 1~- Pages: 1-2~- Source: s~~b')) AS t(stem, text)",
     }
     return sql

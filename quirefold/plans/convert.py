@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirefold.functions.text import clean_line, slugify
-from quirefold.operators import dedup, grouping, layout, outline, post, render, sections
+from quirefold.operators import bodies, grouping, outline, render, sections, tables
+from quirefold.plans.sinks import json_file
+from quirefold.store import stored
 
 
 @dataclass(frozen=True)
@@ -16,9 +18,10 @@ class ConvertOptions:
     """``max_section_chars`` is accepted and not used; ``mode`` is single, major or sections."""
 
     mode: str = "sections"
-    metadata: bool = False
+    metadata: bool = True
     keep_footnotes: bool = False
     autojunk: bool = True
+    rubric_tables: bool = True
     max_section_chars: int = 8000
     decoder: str = "auto"
 
@@ -29,42 +32,100 @@ class ConvertOptions:
             raise ValueError(f"unsupported decoder {self.decoder!r}")
 
 
-def outlines(lines: DataFrame, toc: DataFrame | None = None) -> DataFrame:
+def outlines(lines: DataFrame, toc: DataFrame | None = None, mode: str = "sections") -> DataFrame:
+    """Per document its contents table, anchored to lines, else headings by font, else one entry."""
     fonts = outline.from_fonts(lines)
-    docs = lines.select("doc_id").distinct()
-    chosen = outline.with_fallback(outline.from_toc(toc) if toc is not None else fonts.limit(0), fonts, docs)
+    own = outline.anchored(outline.from_toc(toc), lines) if toc is not None else fonts.limit(0)
+    chosen = outline.with_fallback(own, fonts, lines.select("doc_id").distinct())
+    if mode == "single":
+        chosen = outline.collapsed(chosen, outline.document_title(lines))
     return sections.front_matter(outline.normalized(chosen))
 
 
-def convert(lines: DataFrame, toc: DataFrame | None = None, options: ConvertOptions | None = None) -> DataFrame:
-    """(doc_id, pos, code, title, level, source, start, end, line_count, char_count, file, body)."""
+def convert(lines: DataFrame, toc: DataFrame | None = None, options: ConvertOptions | None = None, cells: DataFrame | None = None, page_counts: DataFrame | None = None) -> DataFrame:
+    """One row per section: doc_id, pos, code, title, level, source, page_start, y0, start, end, line_count,
+    char_count, file, body. ``cells`` are decoded tables (doc_id, page_no, x0, y0, x1, y1, cells);
+    ``page_counts`` (doc_id, page_count) is the last page with a line unless given.
+
+    Decoded lines are written once, cleaned; the outline, the noise profile and the bodies read them.
+    """
     o = options or ConvertOptions()
-    counts = lines.groupBy("doc_id").agg(F.max("page_no").alias("page_count"))
-    ranges = sections.section_ranges(outlines(lines, toc), counts)
+    lines = stored(lines.withColumn("text", clean_line(F.col("text"))), "lines")
+    counts = page_counts or lines.groupBy("doc_id").agg(F.max("page_no").alias("page_count"))
+    found = stored(outlines(lines, toc, o.mode), "outlines")
+    following = F.lead("title").over(Window.partitionBy("doc_id").orderBy("pos"))
+    ranges = sections.section_ranges(found, counts).withColumn("next_title", following)
     quiet = sections.denoised(lines, sections.noise_profile(lines))
-    own = sections.section_lines(ranges, quiet)
-    key = F.concat_ws("\x1f", "doc_id", F.col("pos").cast("string"))
-    paras = layout.paragraphs(own.withColumn("doc_id", key))
-    paras = paras.withColumn("para", F.col("page_no") * 100000 + F.col("para")).withColumn("text", clean_line(F.col("text")))
-    paras = dedup.deduplicated(paras, ["doc_id"], autojunk=o.autojunk)
-    bodies = paras.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("para", "text")))["text"], "\n\n").alias("body"))
-    bodies = bodies.select(F.split("doc_id", "\x1f")[0].alias("doc_id"), F.split("doc_id", "\x1f")[1].cast("int").alias("pos"), "body")
-    body = F.coalesce(post.post_process(F.col("body"), o.keep_footnotes), F.lit("_No text extracted._"))
-    s = grouping.numbered(ranges).join(bodies, ["doc_id", "pos"], "left").withColumn("body", body)
+    drawn = bodies.section_tables(ranges, bodies.page_tables(cells, o.rubric_tables)) if cells is not None else None
+    made = bodies.section_bodies(ranges, sections.section_lines(ranges, quiet), drawn, o.keep_footnotes, o.autojunk)
+    if o.keep_footnotes:  # without markers both passes and the last one for repeats change nothing
+        made = grouping.footnotes_settled(made, o.autojunk)
+    s = grouping.numbered(ranges).join(made, ["doc_id", "pos"])
     return s.select(
-        "doc_id", "pos", "code", "title", "level", "source", "start", "end", grouping.line_count(F.col("body")).alias("line_count"),
+        "doc_id", "pos", "code", "title", "level", "source", "page_start", "y0", "start", "end", grouping.line_count(F.col("body")).alias("line_count"),
         F.length("body").cast("long").alias("char_count"), F.concat(F.col("code"), F.lit("-"), slugify(F.col("title")), F.lit(".md")).alias("file"), "body",
     )
 
 
-def files(converted: DataFrame, options: ConvertOptions | None = None) -> DataFrame:
-    """(doc_id, file, text): what the sink writes in the chosen mode."""
+def with_files(converted: DataFrame, mode: str) -> DataFrame:
+    """Adds ``id`` and ``section_file``, the file that an entry stands for (null: it is inside another's)."""
+    doc = Window.partitionBy("doc_id")
+    synthetic = F.max((F.col("source") == "synthetic-front-matter").cast("int")).over(doc)
+    s = converted.withColumn("id", F.concat(F.lit("h"), (F.col("pos") + 1 - synthetic).cast("string")))
+    if mode == "sections":
+        return s.withColumn("section_file", F.concat(F.lit("Sections/"), F.col("file")))
+    if mode == "major":
+        name = F.when(F.col("grp") == F.col("pos"), F.concat(F.lit("By Major Heading/"), F.col("file")))
+        return grouping.major_groups(s).withColumn("section_file", name)
+    return s.withColumn("section_file", F.when(F.col("pos") == 0, F.concat("doc_id", F.lit(".md"))))
+
+
+def markdown_files(converted: DataFrame, options: ConvertOptions | None = None) -> DataFrame:
+    """(doc_id, file, text): the Markdown files of the chosen mode.
+
+    One file for a document starts with its contents when they come from its own contents table.
+    """
     o = options or ConvertOptions()
-    s = converted.withColumn("md", render.section_markdown(o.metadata))
+    s = with_files(converted, o.mode).withColumn("md", render.section_markdown(o.metadata))
     if o.mode == "sections":
-        return s.select("doc_id", F.concat(F.lit("Sections/"), F.col("file")).alias("file"), F.col("md").alias("text"))
-    by = ["grp"] if o.mode == "major" else []
-    s = grouping.major_groups(s) if o.mode == "major" else s
-    text = F.array_join(F.array_sort(F.collect_list(F.struct("pos", "md")))["md"], "\n")
-    name = F.concat(F.lit("By Major Heading/"), F.min_by("file", "pos")) if o.mode == "major" else F.concat(F.first("doc_id"), F.lit(".md"))
-    return s.groupBy("doc_id", *by).agg(name.alias("file"), text.alias("text")).select("doc_id", "file", "text")
+        return s.select("doc_id", F.col("section_file").alias("file"), F.col("md").alias("text"))
+    packed = F.array_sort(F.collect_list(F.struct("pos", "md", "line")))
+    plain = lambda c: F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
+    by = ["doc_id", "grp"] if o.mode == "major" else ["doc_id"]
+    s = s.withColumn("line", tables.contents_line("start") if o.mode == "single" else F.lit(None).cast("string"))
+    whole = s.groupBy(*by).agg(F.max("section_file").alias("file"), packed.alias("p"), F.max(F.col("source") == "pdf-outline").alias("own"))
+    lines = F.filter(F.col("p")["line"], lambda x: x.isNotNull())
+    head = F.array(plain(F.concat(F.lit(tables.CONTENTS), F.array_join(lines, ""))))
+    contents = F.when(F.lit(o.mode == "single") & F.col("own") & (F.size(lines) > 0), head).otherwise(F.array().cast("array<string>"))
+    text = F.concat(F.array_join(F.concat(contents, F.transform(F.col("p")["md"], plain)), "\n\n"), F.lit("\n"))
+    return whole.select("doc_id", "file", text.alias("text"))
+
+
+def outline_rows(converted: DataFrame, mode: str) -> DataFrame:
+    """Entries of outline.json and outline.md, in order of ``pos``."""
+    return with_files(converted, mode).select("doc_id", "pos", "id", "level", "title", "page_start", "source", "y0", "line_count", "char_count", "section_file")
+
+
+def segment_rows(converted: DataFrame, mode: str) -> DataFrame:
+    """(doc_id, n, id, title, level, page_start, page_end, file, char_count): one for each Markdown file."""
+    s = with_files(converted, mode)
+    if mode != "major":
+        s = s.withColumn("grp", F.lit(0) if mode == "single" else F.col("pos"))
+    n = F.row_number().over(Window.partitionBy("doc_id").orderBy("grp"))
+    rows = grouping.segments(s).withColumn("n", n).withColumn("id", F.concat(F.lit("s"), F.col("n").cast("string")))
+    if mode == "single":
+        rows = rows.withColumn("title", F.lit("Document")).withColumn("level", F.lit(1))
+    return rows.select("doc_id", "n", "id", "title", "level", "page_start", "page_end", "file", "char_count")
+
+
+def files(converted: DataFrame, options: ConvertOptions | None = None) -> DataFrame:
+    """(doc_id, file, text): everything that a conversion writes for each document."""
+    mode = (options or ConvertOptions()).mode
+    converted = stored(converted, "converted")
+    o = outline_rows(converted, mode)
+    listed = render.outline_markdown(o).select("doc_id", F.lit("outline.md").alias("file"), F.col("md").alias("text"))
+    parts = [json_file(o, "pos", "outline.json"), json_file(segment_rows(converted, mode), "n", "segments.json"), listed]
+    out = markdown_files(converted, options)
+    for p in parts:
+        out = out.unionByName(p)
+    return out

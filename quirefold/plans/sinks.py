@@ -1,17 +1,62 @@
-"""Sinks: converted sections as partitioned Parquet, and outline and segments as JSON."""
+"""Sinks: a document's files as text, and outline and segments as JSON."""
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+#: Folder of the Markdown files of each mode, below a document's.
+FOLDERS = {"sections": "Sections", "major": "By Major Heading", "single": ""}
+
+
+@F.pandas_udf(StringType())
+def indented(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: json.dumps(json.loads(x), indent=2))
+
+
+def json_file(rows: DataFrame, order: str, name: str) -> DataFrame:
+    """(doc_id, file, text): all rows of a document as an indented JSON array; nulls are written."""
+    kept = [c for c in rows.columns if c not in ("doc_id", order)]
+    packed = F.transform(F.array_sort(F.collect_list(F.struct(order, F.struct(*kept).alias("r")))), lambda x: x["r"])
+    told = rows.groupBy("doc_id").agg(F.to_json(packed, {"ignoreNullFields": "false"}).alias("text"))
+    return told.select("doc_id", F.lit(name).alias("file"), indented(F.col("text")).alias("text"))
+
+
+def write_files(files: DataFrame, root: str, mode: str = "sections") -> DataFrame:
+    """Writes (doc_id, file, text) below ``root``/doc_id; returns what was written as (path, n_chars).
 
+    ``root`` is a path or URI that all executors see. A document's rows are in one task, which first
+    deletes the Markdown files that an earlier run of the mode left; a task that runs again writes
+    the same. Path separators in a doc_id become dashes.
+    """
+    target = FOLDERS[mode]
 
-def write_files(files: DataFrame, path: str) -> None:
-    """(doc_id, file, text) as Parquet; Spark writes from the executors, and each run replaces the last."""
-    files.write.mode("overwrite").parquet(path)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
 
+        system, base = fs.FileSystem.from_uri(root) if re.match(r"\w+:", root) else (fs.LocalFileSystem(), root)
+        last = None
+        for b in batches:
+            done: list[tuple[str, int]] = []
+            for doc, file, text in zip(*[b.column(c).to_pylist() for c in ("doc_id", "file", "text")], strict=True):
+                home = f"{base}/{re.sub(r'[/\\\\]', '-', str(doc))}"
+                if doc != last:
+                    system.create_dir(f"{home}/{target}".rstrip("/"), recursive=True)
+                    for old in system.get_file_info(fs.FileSelector(f"{home}/{target}".rstrip("/"))):
+                        if old.path.endswith(".md") and (target or old.base_name.lower() != "outline.md"):
+                            system.delete_file(old.path)
+                    last = doc
+                with system.open_output_stream(f"{home}/{file}") as out:
+                    out.write(text.encode())
+                done.append((f"{home}/{file}", len(text)))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in done], pa.string()), pa.array([n for _, n in done], pa.int64())], names=["path", "n_chars"])
 
-def outline_json(outline: DataFrame) -> DataFrame:
-    """(doc_id, json): the outline as one JSON array in order."""
-    rows = F.array_sort(F.collect_list(F.struct("pos", *[c for c in outline.columns if c not in ("doc_id", "pos")])))
-    return outline.groupBy("doc_id").agg(F.to_json(rows).alias("json"))
+    dealt = files.select("doc_id", "file", "text").repartition("doc_id").sortWithinPartitions("doc_id", "file")
+    return dealt.mapInArrow(run, "path string, n_chars bigint")

@@ -1,5 +1,7 @@
 """Hand-written cases of the catalog against their expected rows, and properties of the plan."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,3 +60,19 @@ def test_normalized_is_stable(spark):
 def test_keys_are_idempotent(spark):
     df = spark.createDataFrame([("A <i>b</i> C-d",), (None,), ("  ",)], "x string").select(T.match_key(F.col("x")).alias("k"))
     assert df.select(T.match_key(F.col("k")).alias("k")).collect() == df.collect()
+
+
+def test_table_overlap_judges_every_order(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [(o, n, float(rng.randrange(1, 51)), float(rng.randrange(11)) / 100) for o in range(1, 41) for n in range(1, 8)]
+    spark.createDataFrame(rows, "l_orderkey bigint, l_linenumber int, l_quantity double, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    box = lambda q, d: (q * 2, d * 200, q * 2 + 60, d * 200 + 12)
+
+    def share(x, y):
+        w, h = (max(min(x[k + 2], y[k + 2]) - max(x[k], y[k]), 0) / max(x[k + 2] - x[k], 1) for k in (0, 1))
+        return w * h
+
+    boxes = {(o, n): box(q, d) for o, n, q, d in rows}
+    want = {k for k, x in boxes.items() if k[1] <= 3 and not any(share(x, boxes[k[0], n]) >= 0.45 for n in range(4, 8))}
+    got = {tuple(r) for r in catalog.queries()["table_overlap"](spark, str(tmp_path)).collect()}
+    assert got == want and any(o % 10 for o, _ in got)
