@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -366,9 +367,10 @@ class Reader:
     def turn(self, raw: str) -> None:
         """All turns that end in ``raw``: an unescaped CLOSE can't be inside a role or text."""
         for part in raw.split(CLOSE)[:-1]:
-            if not part.startswith(OPEN):
-                raise ValueError(f"no turn begins at {part[:40]!r}")
-            role, _, text = part[len(OPEN) :].partition(":\n")
+            _, begins, turn = part.partition(OPEN)  # text before a turn isn't part of it
+            if not begins:
+                raise ValueError(f"no turn begins in {part[:40]!r}")
+            role, _, text = turn.partition(":\n")
             role, text = unescape(role), unescape(text)
             self.n_turns += 1
             self.turns.update(f"{role}\n{text}\n".encode())
@@ -378,39 +380,51 @@ OUT = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, l
 KINDS = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
 
 
+def mentions(tree: object, name: str) -> int:
+    """How often a syntax tree names a variable."""
+    if tree == ("name", name):
+        return 1
+    return sum(mentions(x, name) for x in tree) if isinstance(tree, (list, tuple)) else 0
+
+
+def streams(template: str) -> bool:
+    """Whether a template goes through the messages once, in a loop of its own: they may stream then."""
+    tree = fold(parse(template))
+    loops = sum(node[0] == "for" and node[2] == ("name", "messages") for node in tree)
+    return loops == 1 and mentions(tree, "messages") == 1
+
+
 def formatted(conversations: DataFrame, template: str = TEMPLATE) -> DataFrame:
     """One row per conversation: digests of its turns and loss texts, read back from the output.
 
-    Rows are dealt by conversation and sorted in each part; a conversation is rendered and read as
-    its rows stream by, so its length isn't bounded by memory. ``template`` must keep TEMPLATE's
-    turn format, which the reader checks.
+    Rows are dealt by conversation and sorted in each part. A conversation is rendered as one list of
+    messages. A template that goes through them once gets them as its rows stream by, so their number
+    isn't bounded by memory; for others the list is held. ``template`` must keep TEMPLATE's turn
+    format, which the reader checks; other text around turns isn't read. Rows without a conv_id are
+    one conversation; an empty table gives no rows.
     """
+    once = streams(template)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        render, current, reader, rows = compiled(template), None, None, []
+        render, rows = compiled(template), []
+        names = [c.split()[0] for c in OUT.split(", ")]
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            names = [c.split()[0] for c in OUT.split(", ")]
+        def flush() -> pa.RecordBatch:
             columns = [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), KINDS, strict=True)]
-            if rows:
-                yield pa.RecordBatch.from_arrays(columns, names=names)
             rows.clear()
-
-        def close() -> None:
-            rows.append((current[0], reader.n_turns, reader.turns.hexdigest(), reader.loss_chars, reader.loss.hexdigest(), reader.formatted_chars))
-
-        for batch in batches:
-            for conv, role, text in zip(*[batch.column(c).to_pylist() for c in ("conv_id", "role", "text")], strict=True):
-                if current != (conv,):
-                    if current is not None:
-                        close()
-                    current, reader = (conv,), Reader()
-                for piece, mask in render({"messages": [{"role": role or "", "text": text or ""}]}):
-                    reader.feed(piece, mask)
-            yield from flush()
-        if current is not None:
-            close()
-        yield from flush()
+            return pa.RecordBatch.from_arrays(columns, names=names)
+
+        told = (r for b in batches for r in zip(*[b.column(c).to_pylist() for c in ("conv_id", "role", "text")], strict=True))
+        for conv, group in groupby(told, key=lambda r: r[0]):
+            messages = ({"role": role or "", "text": text or ""} for _, role, text in group)
+            reader = Reader()
+            for piece, mask in render({"messages": messages if once else list(messages)}):
+                reader.feed(piece, mask)
+            rows.append((conv, reader.n_turns, reader.turns.hexdigest(), reader.loss_chars, reader.loss.hexdigest(), reader.formatted_chars))
+            if len(rows) >= 1000:
+                yield flush()
+        if rows:
+            yield flush()
 
     by = ["conv_id", "turn", "role", "text"]
     dealt = conversations.select(*by).repartition("conv_id").sortWithinPartitions(*by)

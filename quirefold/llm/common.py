@@ -2,35 +2,20 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirefold.store import shared_dir, stored  # noqa: F401
+
 #: Word separators of most contracts: space and U+0009 to U+000D.
 BLANKS = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see: ``spark.checkpoint.dir``.
-
-    Only a local session (tests) may go without the setting; it gets a folder of its own.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return "file:/tmp/quirefold-shared"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table in the shared folder and read it back: cuts lineage, outlives executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quirefold/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def volume(docs: DataFrame) -> tuple[int, int]:
+    """(rows, bytes of text) of a table with ``text``."""
+    n, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    return n, size
 
 
 def small(df: DataFrame, max_rows: int) -> DataFrame:

@@ -17,7 +17,7 @@ rows are labelled alike; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import crc_mod
+from quirefold.llm.common import crc_mod, small
 from quirefold.llm.hashing import mixed
 
 #: First code points of ranges of scripts, in order (fixed values); "" ends a range.
@@ -43,6 +43,8 @@ NAMES = sorted({s for _, s in SCRIPTS})
 SCRIPT = np.array([NAMES.index(s) for _, s in SCRIPTS], dtype=np.int8)
 BITS = 18  # of an n-gram's hash
 GRAMS = (1, 2, 3, 4)
+PART = 1 << 20  # characters worked on at once
+BLANK = re.compile(r"\s")
 LETTER = np.array([chr(i).isalpha() for i in range(0x30000)])
 
 
@@ -57,12 +59,12 @@ class Texts:
     """Letters of texts side by side, in words."""
 
     def __init__(self, texts: list[str]):
-        joined = "\n".join(texts).lower() + "\n"
+        joined = "\n" + "\n".join(texts).lower() + "\n"  # a mark before each word, the first one's too
         self.points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         letter = LETTER[np.minimum(self.points, len(LETTER) - 1)] & (self.points < len(LETTER))
         edge = np.diff(np.concatenate(([False], letter)).view(np.int8))
         self.starts, self.ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        after = np.cumsum([len(t.lower()) + 1 for t in texts])
+        after = 1 + np.cumsum([len(t.lower()) + 1 for t in texts])
         self.counts = np.diff(np.concatenate(([0], np.searchsorted(self.starts, after))))
         self.letters = self.ends - self.starts
         place = np.searchsorted(FIRST, self.points[self.starts], side="right") - 1
@@ -122,13 +124,13 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, switch: float) -> np.ndarray
 
     Texts are stepped side by side, longest first, so the ones still running are a prefix.
     """
-    labels = np.zeros(len(scores), dtype=np.int8)
+    labels = np.zeros(len(scores), dtype=np.int32)
     order = np.argsort(-counts, kind="stable")
     start = (np.cumsum(counts) - counts)[order]
     size = counts[order]
     running = np.searchsorted(-size, -np.arange(1, (size[0] if len(size) else 0) + 1), side="right")
     stay = np.zeros(scores.shape, dtype=bool)
-    come = np.zeros(len(scores), dtype=np.int8)
+    come = np.zeros(len(scores), dtype=np.int32)
     best: np.ndarray | None = None
     final = np.zeros((len(size), scores.shape[1]), dtype=np.float32)
     for step, n in enumerate(running):
@@ -144,7 +146,7 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, switch: float) -> np.ndarray
             best = np.where(keep, best, other) + scores[at]
         best -= best.max(axis=1, keepdims=True)
         final[:n] = best
-    state = final.argmax(axis=1).astype(np.int8)
+    state = final.argmax(axis=1).astype(np.int32)
     for step in range(len(running) - 1, -1, -1):
         n = running[step]
         at = start[:n] + step
@@ -154,25 +156,62 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, switch: float) -> np.ndarray
     return labels
 
 
+def cut(text: str) -> list[str]:
+    """Pieces of about PART characters that end at a blank, so no word is cut."""
+    out, at = [], 0
+    while len(text) - at > PART:
+        blank = BLANK.search(text, at + PART)
+        end = blank.end() if blank else len(text)
+        out.append(text[at:end])
+        at = end
+    return [*out, text[at:]]
+
+
+def runs(texts: list[str | None]) -> Iterator[list[str]]:
+    """Texts, in order, some PART characters at a time."""
+    own, size = [], 0
+    for t in texts:
+        if own and size + len(t or "") > PART:
+            yield own
+            own, size = [], 0
+        own.append(t or "")
+        size += len(t or "")
+    if own:
+        yield own
+
+
 def label_texts(texts: list[str | None], model: Model, switch: float) -> Iterator[tuple[str, float, list[tuple[int, int, str]]]]:
     """(language, score, spans) of each text; spans are (first word, one past the last, language)."""
-    t = Texts([x or "" for x in texts])
-    scores = word_scores(t, model)
-    labels = viterbi(scores, t.counts, switch)
+    for part in runs(texts):
+        yield from label_run(part, model, switch) if model.langs else [("und", 0.0, [])] * len(part)
+
+
+def label_run(texts: list[str], model: Model, switch: float) -> Iterator[tuple[str, float, list[tuple[int, int, str]]]]:
+    pieces = [cut(t) for t in texts] if sum(map(len, texts)) > PART else [[t] for t in texts]
+    lengths, found, sizes = [], [], []
+    for own in runs([p for x in pieces for p in x]):
+        t = Texts(own)
+        found.append(word_scores(t, model))
+        lengths.append(t.letters)
+        sizes.append(t.counts)
+    scores, letters_of = np.concatenate(found), np.concatenate(lengths)
+    owner = np.repeat(np.arange(len(texts)), [len(x) for x in pieces])
+    counts = np.bincount(owner, weights=np.concatenate(sizes), minlength=len(texts)).astype(np.int64)
+    labels = viterbi(scores, counts, switch)
     shares = np.exp(np.minimum(scores - scores.max(axis=1, keepdims=True), 0)) if len(scores) else scores
     own = shares[np.arange(len(labels)), labels] / shares.sum(axis=1) if len(scores) else np.empty(0)
     at = 0
-    for n in t.counts.tolist():
-        label, letters, sure = labels[at : at + n], t.letters[at : at + n], own[at : at + n]
+    for n in counts.tolist():
+        label, letters, sure = labels[at : at + n], letters_of[at : at + n], own[at : at + n]
         at += n
-        if not n or not model.langs:
+        if not n:
             yield "und", 0.0, []
             continue
         by = np.bincount(label, weights=letters, minlength=len(model.langs))
         lang = int(by.argmax())
         score = float((sure * letters)[label == lang].sum() / letters.sum())
-        cut = np.flatnonzero(np.diff(label)) + 1
-        edges = [0, *cut.tolist(), n]
+        edge = np.flatnonzero(np.diff(label)) + 1
+        edges = [0, *edge.tolist(), n]
         yield model.langs[lang], min(max(score, 0.0), 1.0), [
             (s, e, model.langs[label[s]]) for s, e in zip(edges, edges[1:], strict=False)
         ]
@@ -184,7 +223,7 @@ def sample(docs: DataFrame, per_lang: int) -> DataFrame:
     Hashes below a bound from the language's count come first, so few rows reach the ranking.
     """
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = F.broadcast(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).limit(10_000))
+    sizes = small(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")), 10_000)
     key = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / (1 << 30)
     near = rows.join(sizes, "lang").withColumn("_k", key).filter(F.col("_k") * F.col("_n") <= 1.2 * per_lang + 30)
     ranked = near.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_k", "doc_id")))
@@ -201,21 +240,19 @@ def identify(docs: DataFrame, model: Model, switch: float = 6.0) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                part = batch.slice(lo, 2000)
-                found = list(label_texts(part.column("text").to_pylist(), shared.value, switch))
-                spans = [[dict(zip(("first", "last", "lang"), s, strict=True)) for s in f[2]] for f in found]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"),
-                        part.column("held_out"),
-                        pa.array([f[0] for f in found], pa.string()),
-                        pa.array([f[1] for f in found], pa.float64()),
-                        pa.array([len(s) for s in spans], pa.int64()),
-                        pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("lang", pa.string())]))),
-                    ],
-                    names=["doc_id", "held_out", "lang_pred", "score", "n_spans", "spans"],
-                )
+            found = list(label_texts(batch.column("text").to_pylist(), shared.value, switch))
+            spans = [[dict(zip(("first", "last", "lang"), s, strict=True)) for s in f[2]] for f in found]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"),
+                    batch.column("held_out"),
+                    pa.array([f[0] for f in found], pa.string()),
+                    pa.array([f[1] for f in found], pa.float64()),
+                    pa.array([len(s) for s in spans], pa.int64()),
+                    pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("lang", pa.string())]))),
+                ],
+                names=["doc_id", "held_out", "lang_pred", "score", "n_spans", "spans"],
+            )
 
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, OUT)
 
@@ -231,7 +268,3 @@ def language(docs: DataFrame, per_lang: int = 400, switch: float = 6.0) -> DataF
 def digest(d: DataFrame) -> DataFrame:
     return d.select("doc_id", "held_out", "lang_pred", "score", "n_spans")
 
-
-def tally(spans: list[tuple[int, int, str]]) -> Counter:
-    """Words by language."""
-    return Counter({lang: sum(e - s for s, e, own in spans if own == lang) for _, _, lang in spans})

@@ -9,7 +9,7 @@ window; a text is scored from its first word to its end with the state carried t
 
 Every training row is trained on, in rounds of rows chosen by hash: about ``most`` rows first, each
 round ``GROWTH`` times as many as all before it, less those. A round's rows are dealt into shards of
-about ``block_docs``; each shard trains a copy of the network, and the mean of the copies, weighted
+about ``block_bytes`` of text; each shard trains a copy of the network, and the mean of the copies, weighted
 by their symbols, goes on to the next round. The network has a fixed size; nothing else of training
 comes to the driver.
 
@@ -32,11 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import crc_mod, partitions, stored
+from quirefold.llm.common import crc_mod, partitions, stored, volume
 from quirefold.llm.hashing import Words, pieces
 
 ALPHA = 0.1  # of the counts' smoothing
 GROWTH = 8  # of the rows trained on, from round to round
+CHUNK = 8192  # states scored at once
 PIECES = 16  # of a network's numbers, at least; each is averaged in one task
 ASK = "bucket int, _b bigint, h binary, c binary, k binary"
 COUNTS = (
@@ -111,46 +112,56 @@ class Gru:
     def step(self, state: np.ndarray, symbol: np.ndarray):
         h, x = self.hidden, self.p["E"][symbol]
         u = state @ self.p["U"]
-        gates = 1 / (1 + np.exp(-(x[:, : 2 * h] + u[:, : 2 * h])))
-        new = np.tanh(x[:, 2 * h :] + gates[:, :h] * u[:, 2 * h :])
-        return state + gates[:, h:] * (new - state), gates, new, u[:, 2 * h :]
+        gates = x[:, : 2 * h]
+        gates += u[:, : 2 * h]
+        np.negative(gates, out=gates)
+        np.exp(gates, out=gates)
+        gates += 1
+        np.reciprocal(gates, out=gates)
+        new = gates[:, :h] * u[:, 2 * h :]
+        new += x[:, 2 * h :]
+        np.tanh(new, out=new)
+        after = new - state
+        after *= gates[:, h:]
+        after += state
+        return after, gates, new, u[:, 2 * h :]
 
     def log_probs(self, states: np.ndarray, target: np.ndarray, grads: dict | None = None):
-        """Natural log P(symbol | state); with ``grads``, also adds gradients and returns dstates."""
+        """Natural log P(symbol | state); with ``grads``, also adds gradients and returns dstates.
+
+        Rows are put in order of their class once, so that each class of words is a slice.
+        """
         v, p, n = self.voc, self.p, len(target)
         inside = target < v.classes * v.width
         cls = np.where(inside, target // v.width, v.classes + target - v.classes * v.width)
-        logits = states @ p["Wc"] + p["bc"]
-        logits -= logits.max(axis=1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(axis=1)
-        out = logits[np.arange(n), cls] - np.log(total)
+        order = np.argsort(cls, kind="stable")
+        states, target, cls = states[order], target[order], cls[order]
+        logs, e = softmax(states @ p["Wc"] + p["bc"], cls)
         back = None
         if grads is not None:
-            d = e / total[:, None]
-            d[np.arange(n), cls] -= 1
-            grads["Wc"] += states.T @ d
-            grads["bc"] += d.sum(axis=0)
-            back = d @ p["Wc"].T
-        order = np.argsort(cls, kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(v.classes + 1))
+            e[np.arange(n), cls] -= 1
+            grads["Wc"] += states.T @ e
+            grads["bc"] += e.sum(axis=0)
+            back = e @ p["Wc"].T
+        edges = np.searchsorted(cls, np.arange(v.classes + 1))
         for c in range(v.classes):
-            rows = order[edges[c] : edges[c + 1]]
-            if not len(rows):
+            own = slice(edges[c], edges[c + 1])
+            if edges[c] == edges[c + 1]:
                 continue
-            s = states[rows]
-            z = s @ p["Ww"][c] + p["bw"][c]
-            z -= z.max(axis=1, keepdims=True)
-            ez = np.exp(z)
-            tz = ez.sum(axis=1)
-            word = target[rows] - c * v.width
-            out[rows] += z[np.arange(len(rows)), word] - np.log(tz)
+            s, word = states[own], target[own] - c * v.width
+            more, e = softmax(s @ p["Ww"][c] + p["bw"][c], word)
+            logs[own] += more
             if grads is not None:
-                d = ez / tz[:, None]
-                d[np.arange(len(rows)), word] -= 1
-                grads["Ww"][c] += s.T @ d
-                grads["bw"][c] += d.sum(axis=0)
-                back[rows] += d @ p["Ww"][c].T
+                e[np.arange(len(word)), word] -= 1
+                grads["Ww"][c] += s.T @ e
+                grads["bw"][c] += e.sum(axis=0)
+                back[own] += e @ p["Ww"][c].T
+        out = np.empty_like(logs)
+        out[order] = logs
+        if back is not None:
+            unsorted = np.empty_like(back)
+            unsorted[order] = back
+            back = unsorted
         return out, back
 
     def window(self, state: np.ndarray, symbols: np.ndarray, fresh: np.ndarray, live: np.ndarray | None = None):
@@ -163,7 +174,7 @@ class Gru:
         grads = {k: np.zeros_like(x) for k, x in p.items()}
         kept = []
         for t in range(len(symbols)):
-            state = np.where(fresh[t][:, None], 0, state).astype(np.float32)
+            state = np.where(fresh[t][:, None], np.float32(0), state)
             after, gates, new, uc = self.step(state, symbols[t])
             kept.append((state, gates, new, uc))
             state = after
@@ -199,21 +210,32 @@ class Gru:
         start, size = (np.cumsum(counts) - counts)[order], counts[order]
         longest = int(size[0]) if len(size) else 0
         running = np.searchsorted(-size, -np.arange(1, longest + 1), side="right")
-        states, places = np.empty((len(symbols), self.hidden), np.float32), np.empty(len(symbols), np.int64)
-        state, at = np.zeros((len(size), self.hidden), np.float32), 0
+        out = np.empty(len(symbols), np.float64)
+        state, states, places, held = np.zeros((len(size), self.hidden), np.float32), [], [], 0
         for t, n in enumerate(running.tolist()):
             where = start[:n] + t
             state = state[:n]
-            states[at : at + n], places[at : at + n] = state, where
-            at += n
+            states.append(state)
+            places.append(where)
+            held += n
+            if held >= CHUNK or t == longest - 1:  # a bounded number of states is held
+                at = np.concatenate(places)
+                out[at] = self.log_probs(np.concatenate(states), symbols[at])[0]
+                states, places, held = [], [], 0
             state = self.step(state, symbols[where])[0]
-        out = np.empty(len(symbols), np.float64)
-        for k in range(0, len(symbols), 1 << 17):
-            own = places[k : k + (1 << 17)]
-            out[own] = self.log_probs(states[k : k + (1 << 17)], symbols[own])[0]
         return out
 
 
+def softmax(logits: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(log probability of each row's target, probabilities); logits are used up."""
+    logits -= logits.max(axis=1, keepdims=True)
+    own = logits[np.arange(len(target)), target]
+    e = np.exp(logits, out=logits)
+    total = e.sum(axis=1)
+    e /= total[:, None]
+    return own - np.log(total), e
+
+
 def trained(
     voc: Vocabulary, texts: list[np.ndarray], hidden: int = 16, streams: int = 32, window: int = 24, epochs: int = 3,
     start: Gru | None = None, rate: float = 0.02,
@@ -389,17 +411,17 @@ def rounds(n: int, most: int) -> list[tuple[int, int]]:
     return list(zip(edges[:-1], edges[1:], strict=True))
 
 
-def network(docs: DataFrame, voc: Vocabulary, n: int, most: int, block_docs: int, hidden: int) -> Gru:
+def network(docs: DataFrame, voc: Vocabulary, n: int, size: int, most: int, block_bytes: int, hidden: int) -> Gru:
     """The network after all rounds over the training rows."""
     spark, net = docs.sparkSession, Gru(voc, hidden)
     key = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) / (1 << 30)
     rows = docs.filter(~F.col("held_out")).select("doc_id", "_t", (key * max(n, 1)).alias("_at"))
     for start, end in rounds(n, most):
-        shards = max(1, -(-(end - start) // block_docs))
+        shards = max(1, -(-(end - start) * size // (max(n, 1) * block_bytes)))
         own = rows.filter((F.col("_at") >= start) & (F.col("_at") < end))
         own = own.select("doc_id", "_t", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(shards)).alias("_s"))
         shared, cuts = spark.sparkContext.broadcast(net), max(PIECES, shards // PIECES)
-        learn = train_shard(shared, cuts, *((128, 1, 0.01) if start else (32, 3, 0.02)))
+        learn = train_shard(shared, cuts, *((256, 1, 0.01) if start else (32, 3, 0.02)))
         copies = own.repartition(min(partitions(spark, end - start), shards), "_s").groupBy("_s").applyInArrow(learn, COPY)
         found = copies.groupBy("piece").applyInArrow(mean_of_shards, MEAN).orderBy("piece").collect()
         if found:  # a round may have no rows
@@ -412,10 +434,10 @@ def network(docs: DataFrame, voc: Vocabulary, n: int, most: int, block_docs: int
     return net
 
 
-def score(docs: DataFrame, most: int = 500, block_docs: int = 4000, hidden: int = 16) -> DataFrame:
+def score(docs: DataFrame, most: int = 500, block_bytes: int = 12_000_000, hidden: int = 16) -> DataFrame:
     """One row per document row: counts, the smoothed unigram score and the model's; see OUT."""
-    spark, n = docs.sparkSession, docs.count()
-    blocks, parts = max(1, -(-n // block_docs)), partitions(docs.sparkSession, n)
+    spark, (n, size) = docs.sparkSession, volume(docs)
+    blocks, parts = max(1, -(-size // block_bytes)), partitions(docs.sparkSession, n)
     marked = docs.select("doc_id", F.col("text").cast("binary").alias("_t"), (crc_mod(F.col("doc_id"), 10) == 0).alias("held_out"))
     base = marked.withColumn("_b", F.pmod(F.xxhash64("doc_id"), F.lit(blocks))).repartition(min(parts, max(blocks, 1)), "_b")
     asked = base.groupBy("_b").applyInArrow(ask_words(parts), ASK)
@@ -423,7 +445,7 @@ def score(docs: DataFrame, most: int = 500, block_docs: int = 4000, hidden: int
     counts = stored(asked.groupBy("bucket").applyInArrow(add_up(words), COUNTS), "counts")
     t = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v")]).first()
     voc, nk, vk = corpus_vocabulary(counts, words)
-    net = network(marked, voc, n, most, block_docs, hidden)
+    net = network(marked, voc, n, size, most, block_bytes, hidden)
     shared = spark.sparkContext.broadcast((net, t["n"], t["v"], nk, vk))
     answers = counts.select("_b", "bucket", "c")
     return base.groupBy("_b").cogroup(answers.groupBy("_b")).applyInArrow(score_texts(shared, parts), OUT)

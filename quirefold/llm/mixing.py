@@ -8,7 +8,8 @@ shards splits the vector of quotas at each node by a multivariate hypergeometric
 shard gets whole numbers of disjoint blocks that sum exactly to the quotas; a source's permuted
 draws go to the shards in order, and rows are shuffled inside a shard by hash.
 
-Only one row per source comes to the driver. Prefix sums run over blocks in two levels, so a source
+Only one row per source comes to the driver (a bound of 100,000 sources is checked before they are
+broadcast; beyond it they are joined by a shuffle). Prefix sums run over blocks in two levels, so a source
 that holds a third of all rows meets nowhere in one task.
 
 Edge cases: null or wordless texts have size 0 and follow their block; a null source is a source of
@@ -62,22 +63,31 @@ def split_quotas(quotas: list[int], shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def mix(docs: DataFrame, block_docs: int = 32, shards: int = 16, seed: int = 7) -> DataFrame:
-    """One row per document row: size, source_size, target, times, taken, shards (of its copies).
-
-    ``times`` counts whole copies; ``order`` sorts rows inside a shard.
-    """
-    spark = docs.sparkSession
-    rows = docs.select(
+def sized(docs: DataFrame, seed: int, *more: str) -> DataFrame:
+    """Rows with their source's key, size in words and the hash that deals them into blocks."""
+    return docs.select(
         "doc_id",
         "source",
         F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-")).alias("_s"),
         F.size(blank_words(F.col("text"))).cast("long").alias("size"),
         F.xxhash64("doc_id", F.lit(seed)).alias("_h"),
+        *more,
     )
-    rows = stored(rows, "sizes")
+
+
+def mix(docs: DataFrame, block_docs: int = 32, shards: int = 16, seed: int = 7, with_text: bool = False) -> DataFrame:
+    """One row per document row: size, source_size, target, times, taken, shards (of its copies), order.
+
+    ``times`` counts whole copies; ``order`` sorts rows inside a shard. ``with_text`` adds the columns of
+    ``docs`` whose names differ from these: what becomes of a row follows from its source and id, so
+    texts are read once more and joined to small tables, never shuffled.
+    """
+    spark = docs.sparkSession
+    rows = stored(sized(docs, seed), "sizes")
     found = rows.groupBy("_s").agg(F.sum("size").alias("w"), F.count(F.lit(1)).alias("n")).collect()
     found = sorted(found, key=lambda r: (r["_s"] == "-", r["_s"].encode()))
+    # numpy draws from fewer than 10^9 blocks; each may be drawn three times.
+    block_docs = max(block_docs, -(-sum(r["n"] for r in found) // 250_000_000))
     sizes = [r["w"] for r in found]
     want = targets(sizes, [1 + i % 3 for i in range(len(found))])
     whole = [int(t // s) if s else 0 for t, s in zip(want, sizes, strict=True)]
@@ -87,8 +97,8 @@ def mix(docs: DataFrame, block_docs: int = 32, shards: int = 16, seed: int = 7)
     plan = spark.createDataFrame(
         [(r["_s"], s, float(t), e, float(x), b) for r, s, t, e, x, b in zip(found, sizes, want, whole, rest, blocks, strict=True)], schema
     )
-    dealt = rows.join(small(plan, 100_000), "_s").withColumn("block", F.pmod("_h", F.col("blocks")))
-    cut = stored(boundaries(dealt), "cuts")
+    deal = lambda rows: rows.join(small(plan, 100_000), "_s").withColumn("block", F.pmod("_h", F.col("blocks")))
+    cut = stored(boundaries(deal(rows)), "cuts")
     last = {r["_s"]: r["block"] for r in cut.collect()}
     drawn = [e * b + last.get(r["_s"], 0) + (r["_s"] in last) for r, e, b in zip(found, whole, blocks, strict=True)]
     quota = split_quotas(drawn, shards, seed)
@@ -96,23 +106,9 @@ def mix(docs: DataFrame, block_docs: int = 32, shards: int = 16, seed: int = 7)
         [(r["_s"], [int(x) for x in np.cumsum(q)]) for r, q in zip(found, quota, strict=True)], "_s string, ends array<long>"
     )
     side = ends.join(cut.select("_s", F.col("block").alias("last"), "need"), "_s", "left")
-    dealt = dealt.join(small(side, 100_000), "_s")
-    # The block in which a prefix ends is cut between documents: largest first, each is taken that
-    # still fits, give or take half of it, so that the words come as near as the sizes allow.
-    edge = dealt.filter(F.col("block") == F.col("last")).groupBy("_s", "_h", "need").agg(F.sum("size").alias("w"))
-    packed = edge.groupBy("_s", "need").agg(F.sort_array(F.collect_list(F.struct("w", "_h")), asc=False).alias("a"))
-    room = lambda acc, x: acc["left"] >= F.when(x["w"] <= EDGE_WORDS, x["w"] / 2).otherwise(x["w"])
-    fill = F.aggregate(
-        "a",
-        F.struct(F.col("need").alias("left"), F.array().cast("array<bigint>").alias("took")),
-        lambda acc, x: F.struct(
-            (acc["left"] - F.when(room(acc, x), x["w"]).otherwise(0)).alias("left"),
-            F.when(room(acc, x), F.concat(acc["took"], F.array(x["_h"]))).otherwise(acc["took"]).alias("took"),
-        ),
-        lambda acc: acc["took"],
-    )
-    chosen = packed.select("_s", F.explode(fill).alias("_h"), F.lit(1).alias("_edge"))
-    once = dealt.join(small(chosen, 1_000_000), ["_s", "_h"], "left")
+    chosen = stored(edges(deal(rows).join(small(side, 100_000), "_s")), "edges")
+    base = sized(docs, seed, *[c for c in docs.columns if c not in OWN]) if with_text else rows
+    once = deal(base).join(small(side, 100_000), "_s").join(small(chosen, 1_000_000), ["_s", "_h"], "left")
     extra = F.when(F.col("block") < F.col("last"), 1).otherwise(F.coalesce("_edge", F.lit(0)))
     once = once.withColumn("times", F.col("whole") + extra)
     shard = lambda j: F.size(F.filter("ends", lambda e: e <= j))
@@ -127,7 +123,54 @@ def mix(docs: DataFrame, block_docs: int = 32, shards: int = 16, seed: int = 7)
         (F.col("size") * F.col("times")).cast("long").alias("taken"),
         F.transform(copies, lambda e: shard(e * F.col("blocks") + F.col("block"))).alias("shards"),
         F.transform(copies, lambda e: F.xxhash64("doc_id", e, F.lit(seed + 1))).alias("order"),
+        *[c for c in docs.columns if with_text and c not in OWN],
+    )
+
+
+#: Columns of ``mix`` and those it works with; columns of documents with these names don't pass through.
+OWN = (
+    "doc_id", "source", "size", "source_size", "target", "times", "taken", "shards", "order",
+    "_s", "_h", "whole", "rest", "blocks", "block", "ends", "last", "need", "_edge",
+)
+
+
+def edges(dealt: DataFrame) -> DataFrame:
+    """(_s, _h, _edge): documents taken of the block in which a source's prefix ends.
+
+    Largest first, each is taken that still fits, give or take half of it, so that the words come as
+    near as the sizes allow.
+    """
+    edge = dealt.filter(F.col("block") == F.col("last")).groupBy("_s", "_h", "need").agg(F.sum("size").alias("w"))
+    packed = edge.groupBy("_s", "need").agg(F.sort_array(F.collect_list(F.struct("w", "_h")), asc=False).alias("a"))
+    room = lambda acc, x: acc["left"] >= F.when(x["w"] <= EDGE_WORDS, x["w"] / 2).otherwise(x["w"])
+    fill = F.aggregate(
+        "a",
+        F.struct(F.col("need").alias("left"), F.array().cast("array<bigint>").alias("took")),
+        lambda acc, x: F.struct(
+            (acc["left"] - F.when(room(acc, x), x["w"]).otherwise(0)).alias("left"),
+            F.when(room(acc, x), F.concat(acc["took"], F.array(x["_h"]))).otherwise(acc["took"]).alias("took"),
+        ),
+        lambda acc: acc["took"],
     )
+    return packed.select("_s", F.explode(fill).alias("_h"), F.lit(1).alias("_edge"))
+
+
+def copies(mixed: DataFrame) -> DataFrame:
+    """One row for each copy that the mix takes: its shard, its place in it, and the document's columns."""
+    both = F.explode(F.arrays_zip(F.col("shards").alias("shard"), F.col("order").alias("place"))).alias("_c")
+    rest = [c for c in mixed.columns if c not in ("shards", "order", "times", "taken", "shard", "place")]
+    return mixed.select(both, *rest).select("_c.shard", "_c.place", *rest)
+
+
+def write_shards(mixed: DataFrame, path: str) -> None:
+    """Writes the copies as Parquet, a folder for each shard, in shuffled order inside it.
+
+    Rows are dealt by ranges of (shard, place), so a shard larger than a task's share spans several
+    files, whose names follow its order.
+    """
+    taken = copies(mixed)
+    parts = max(int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    taken.repartitionByRange(parts, "shard", "place").sortWithinPartitions("shard", "place").write.partitionBy("shard").parquet(path)
 
 
 def boundaries(dealt: DataFrame) -> DataFrame:

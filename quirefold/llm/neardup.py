@@ -43,6 +43,7 @@ ADDENDS = _rng.integers(0, 1 << 63, 256, dtype=np.uint64)
 
 #: Groups of up to this many classes in all (three longs each) are broadcast to the texts.
 MAX_IDS = 400_000
+SET = 1024  # shingles of a class for which a group has room, on average
 BASE = 0x9E3779B97F4A7C15  # of the hashes of runs of words
 
 
@@ -136,7 +137,7 @@ def searched(coordinates: int, matches: int, words: int, percent: int):
 
 
 def candidate_groups(classes: DataFrame, coordinates: int, matches: int) -> DataFrame:
-    """(doc_id, grp, n, k): classes that may have a link, their group, its size and their rank in it."""
+    """(doc_id, grp, n_shingles): classes that may have a link, and their candidate group."""
     posts = classes.select("doc_id", F.explode("sig").alias("pair"))
     shared = posts.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     met = posts.join(shared, "pair").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("n", "pair"))).alias("p"))
@@ -147,14 +148,16 @@ def candidate_groups(classes: DataFrame, coordinates: int, matches: int) -> Data
     stars = prefix.groupBy("pair").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     links = prefix.join(stars, "pair").select("a", F.col("doc_id").alias("b"))
     groups = components(links).select(F.col("id").alias("doc_id"), F.col("component").alias("grp"))
-    return groups
+    return groups.join(classes.select("doc_id", "n_shingles"), "doc_id")
 
 
 def links_within(docs: DataFrame, groups: DataFrame, check, most: int) -> DataFrame:
     """Links (a, b) between classes of the same group that connect whatever is connected."""
-    sizes = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
+    # A group counts as larger than its number of classes if their sets are: ``most`` of SET shingles fit.
+    share = F.ceil(F.sum("n_shingles") / SET)
+    sizes = groups.groupBy("grp").agg(F.greatest(F.count(F.lit(1)), share).alias("n"))
     large = sizes.filter(F.col("n") > most)
-    sized = stored(groups.join(sizes, "grp"), "sized")
+    sized = stored(groups.select("doc_id", "grp").join(sizes, "grp"), "sized")
     # Few enough ids go to the texts; else all texts are shuffled to meet theirs.
     hint = F.broadcast if sized.count() <= MAX_IDS else lambda x: x
     texts = docs.select("doc_id", "_t").join(hint(sized), "doc_id").dropDuplicates(["doc_id"])

@@ -1,22 +1,28 @@
 """Quality rules by robust multivariate outliers (minimum covariance determinant).
 
 Only DataFrame functions are used. Per document: plain counts, then a vector of five transformed
-statistics in fixed point. Per pool of documents (language and source; small ones share a pool of
-their language, and the rest one pool) the estimate starts from two robust or plain moments and
-takes concentration steps: rank rows by Mahalanobis distance, keep the nearest ``share`` and take
-their mean and covariance. The start with the least determinant wins, distances are scaled so that
-their median is that of a chi-square, and documents beyond ``cutoff`` are rejected.
+statistics in fixed point. Per pool of documents, a language and source, the estimate starts from
+robust moments, plain moments and moments of ``tries`` small subsets chosen by hash, and takes
+concentration steps until no determinant changes: rank rows by Mahalanobis distance, keep the nearest
+``share`` and take their mean and covariance. The start with the least determinant wins; rows within
+the 97.5 % quantile of the chi-square then give the final mean and covariance. Documents are rejected
+beyond ``cutoff``, the quantile that one in 100,000 normal vectors exceeds. A pool whose median
+distance is above the chi-square's has its distances scaled down to it; none are scaled up.
+
+A pool below ``min_rows`` rows is judged by an estimate from all rows of its language, or from all rows
+at all if these are too few.
 
 Sums are exact (decimals of fixed-point integers) and ranks come from per-pool histograms of the
 distance's logarithm, so the verdicts don't depend on how rows are dealt, and no pool, however
 large, meets in one task: only its bounded histogram and its moments do.
 
-A statistic that hardly varies in a pool (no symbols anywhere, say) would make the covariance
-singular, so each variance gets ``floors`` squared added.
+Three of the statistics are 0 in most documents, so their covariance would be singular: each variance
+gets ``floors`` squared added, small enough that each statistic alone can reject a document.
 
-Edge cases: null text has no words and fails the base rule; null language or source is a value of
-its own; a pool that stays below ``min_rows`` rejects nothing beyond the base rule; repeated rows
-are judged one by one; extra columns pass through ``measured`` untouched and are ignored here.
+Edge cases: null text has no words and fails the base rule; null language or source is a value of its
+own; with fewer than ``least`` rows in all nothing is rejected beyond the base rule; repeated rows are
+judged one by one; extra columns pass through ``measured`` and are ignored here; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -33,6 +39,10 @@ SCALE = 1000
 MAX_POOLS = 20_000
 #: Median of the chi-square of 5 degrees of freedom.
 CHI2_MEDIAN = 4.35146
+#: Its quantiles at 0.975 and at 1 - 1e-5.
+CHI2_NEAR, CHI2_FAR = 12.8325, 30.8562
+SUBSET = 30  # rows of a start from a small subset, about
+MOST_STEPS = 12
 SYMBOLS = r"[#*$%&|<>]+"
 P = len(STATS)
 
@@ -52,15 +62,22 @@ def measured(docs: DataFrame) -> DataFrame:
         ).bitwiseOR(i.cast("long")),
     )
     d = d.withColumn("_s", F.sort_array(F.coalesce(packed, F.array().cast("array<bigint>"))))
-    same = lambda x, y: F.call_function("shiftright", x.bitwiseXOR(y), F.col("_bits")) == 0
+    low = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_bits")) - 1
+    d = d.withColumn("_low", low)
+    word = lambda x, k: F.get("_words", x.bitwiseAND(F.col("_low")).cast("int") + k)
+
+    def same(x: Column, y: Column) -> Column:
+        """Equal hashes, and equal words: a long text leaves fewer bits to the hash."""
+        out = F.call_function("shiftright", x.bitwiseXOR(y), F.col("_bits")) == 0
+        for k in range(3):
+            out = out & (word(x, k) == word(y, k))
+        return out
+
     later = F.filter("_s", lambda x, i: same(x, F.get("_s", i - 1)))  # get() is null outside the array
     d = d.withColumn("_later", later)
     first = F.filter("_s", lambda x, i: same(x, F.get("_s", i + 1)))
     d = d.withColumn("_first", F.when(F.size("_later") > 0, first).otherwise(F.col("_later")))
-    low = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_bits")) - 1
-    d = d.withColumn("_low", low).withColumn(
-        "_at", F.transform(F.concat("_first", "_later"), lambda x: x.bitwiseAND(F.col("_low")))
-    )
+    d = d.withColumn("_at", F.transform(F.concat("_first", "_later"), lambda x: x.bitwiseAND(F.col("_low"))))
     step = lambda k: F.transform("_at", lambda x: x + k)
     covered = F.when(F.size("_at") > 0, F.size(F.array_distinct(F.concat("_at", step(1), step(2))))).otherwise(0)
     return d.select(
@@ -91,20 +108,26 @@ def vector(m: DataFrame) -> DataFrame:
     return m.select("*", *[F.round(v * SCALE).cast("long").alias(x) for x, v in zip(STATS, values, strict=True)])
 
 
-def pooled(v: DataFrame, min_rows: int) -> tuple[DataFrame, bool]:
-    """Adds ``pool``: language and source, or what small ones share; null: too few rows.
+def pooled(v: DataFrame, min_rows: int, least: int) -> tuple[DataFrame, bool]:
+    """Adds ``pool``, whose estimate judges a row (null: none does), and ``fits``, the pools it is a sample of.
 
     Also tells whether there are few enough pools to broadcast a table of them.
     """
     key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
     v = v.withColumn("_lang", key("lang")).withColumn("_both", F.concat_ws("\n", "_lang", key("source")))
-    n = v.filter(~F.col("base_failed")).groupBy("_both", "_lang").agg(F.count(F.lit(1)).alias("n"))
-    few = F.col("n") < min_rows
-    of_lang = F.sum(F.when(few, F.col("n"))).over(Window.partitionBy("_lang"))
-    name = F.when(~few, F.col("_both")).when(F.col("of_lang") >= min_rows, F.col("_lang")).otherwise("")
-    names = n.withColumn("of_lang", of_lang).withColumn("pool", name)
-    size = F.sum("n").over(Window.partitionBy("pool"))
-    names = stored(names.withColumn("pool", F.when(size >= min_rows, F.col("pool"))).select("_both", "pool"), "pools")
+    n = v.groupBy("_both", "_lang").agg(F.count(F.when(~F.col("base_failed"), 1)).alias("n"))
+    n = stored(n, "sizes")
+    whole = (n.agg(F.sum("n")).first()[0] or 0) >= least
+    of_lang, own = Window.partitionBy("_lang"), F.col("n") >= min_rows
+    wide = F.sum("n").over(of_lang) >= min_rows
+    names = n.withColumn("pool", F.when(own, F.col("_both")).when(wide, F.col("_lang")).when(F.lit(whole), F.lit("*")))
+    of_all = names.filter("pool = '*'").limit(1).count() > 0
+    asked = F.array(
+        F.when(own, F.col("_both")),
+        F.when(F.max((F.col("pool") == F.col("_lang")).cast("int")).over(of_lang) == 1, F.col("_lang")),
+        F.lit("*" if of_all else None).cast("string"),
+    )
+    names = stored(names.select("_both", "pool", F.array_compact(asked).alias("fits")), "pools")
     light = names.count() <= MAX_POOLS
     return v.join(F.broadcast(names) if light else names, "_both", "left").drop("_lang", "_both"), light
 
@@ -169,8 +192,8 @@ def quantile(share: float) -> Column:
     return F.min(F.expr(f"if(_run >= _all * {share!r}D, bin, null)"))
 
 
-def starts(fit: DataFrame, floors: tuple[float, ...]) -> DataFrame:
-    """Both first estimates of each pool: medians with quartile spreads, and plain moments."""
+def starts(fit: DataFrame, floors: tuple[float, ...], tries: int, hint) -> DataFrame:
+    """The first estimates of each pool: medians with quartile spreads, plain moments, small subsets."""
     long = fit.select("pool", F.posexplode(F.array(*STATS)).alias("dim", "bin"))
     hist = long.groupBy("pool", "dim", "bin").agg(F.count(F.lit(1)).alias("n"))
     three = running(hist, ["pool", "dim"]).groupBy("pool", "dim").agg(
@@ -184,49 +207,63 @@ def starts(fit: DataFrame, floors: tuple[float, ...]) -> DataFrame:
             for i, j in CELLS
         ],
     )
-    plain = moments(fit.groupBy("pool").agg(*sums()), ["pool"], floors)
-    return factored(robust.withColumn("start", F.lit(0)).unionByName(plain.withColumn("start", F.lit(1))))
+    totals = stored(fit.groupBy("pool").agg(*sums()), "totals")
+    some = fit.join(hint(totals.select("pool", F.col("n").alias("_n"))), "pool")
+    some = some.withColumn("start", F.explode(F.sequence(F.lit(2), F.lit(1 + tries))))
+    some = some.filter(F.pmod(F.xxhash64(*STATS, "start"), F.lit(1 << 30)) * F.col("_n") < SUBSET * (1 << 30))
+    small = moments(some.groupBy("pool", "start").agg(*sums()), ["pool", "start"], floors)
+    first = robust.withColumn("start", F.lit(0)).unionByName(moments(totals, ["pool"], floors).withColumn("start", F.lit(1)))
+    return factored(first.unionByName(small))
+
+
+def median_scale(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by, scale): what brings the median distance of binned rows down to the chi-square's; 1 at least."""
+    hist = rows.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"))
+    mid = running(hist, by).groupBy(*by).agg(quantile(0.5).alias("mid"))
+    return mid.select(*by, F.expr(f"greatest(power(2D, (mid + 0.5D) / 16) / {CHI2_MEDIAN!r}D, 1D) as scale"))
 
 
-def estimates(fit: DataFrame, light: bool, share: float, steps: int, floors: tuple[float, ...]) -> DataFrame:
-    """(pool, m, l, scale) of the minimum covariance determinant found.
+def estimates(fit: DataFrame, light: bool, share: float, floors: tuple[float, ...], tries: int) -> DataFrame:
+    """(pool, m, l, scale) of the minimum covariance determinant found, reweighted.
 
     A step reads the rows once: each bin of distance keeps its rows' sums, and those of the
     nearest bins are added up.
     """
     hint = F.broadcast if light else lambda x: x
     by = ["pool", "start"]
-    params = stored(starts(fit, floors), "mcd")
-    for _ in range(steps):
+    params = stored(starts(fit, floors, tries, hint), "mcd")
+    for _ in range(MOST_STEPS):
         cells = binned(fit.join(hint(params), "pool")).groupBy(*by, "bin").agg(*sums())
         near = running(cells, by).filter(F.expr(f"_run - n < _all * {share!r}D"))
-        params = stored(factored(moments(near.groupBy(*by).agg(*added()), by, floors)), "mcd")
-    hist = binned(fit.join(hint(params), "pool")).groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"))
-    mid = running(hist, by).groupBy(*by).agg(quantile(0.5).alias("mid"))
+        new = stored(factored(moments(near.groupBy(*by).agg(*added()), by, floors)), "mcd")
+        moved = new.join(params.select(*by, F.col("log_det").alias("_old")), by).filter("abs(log_det - _old) > 1e-6").limit(1).count()
+        params = new
+        if not moved:
+            break
     best = Window.partitionBy("pool").orderBy("log_det", "start")
-    found = (
-        params.join(mid, by)
-        .withColumn("scale", F.expr(f"greatest(power(2D, (mid + 0.5D) / 16) / {CHI2_MEDIAN!r}D, 0.5D)"))
-        .withColumn("_k", F.row_number().over(best))
-        .filter("_k = 1")
-        .drop("_k", "start", "mid", "log_det")
-    )
-    return hint(stored(found, "mcd"))
+    params = stored(params.withColumn("_k", F.row_number().over(best)).filter("_k = 1").drop("_k", "start", "log_det"), "mcd")
+    ranked = binned(fit.join(hint(params), "pool"))
+    kept = ranked.join(hint(median_scale(ranked, ["pool"])), "pool").filter(F.col("d2") <= CHI2_NEAR * F.col("scale"))
+    params = stored(factored(moments(kept.groupBy("pool").agg(*sums()), ["pool"], floors)).drop("log_det"), "mcd")
+    scale = median_scale(binned(fit.join(hint(params), "pool")), ["pool"])
+    return hint(stored(params.join(scale, "pool"), "mcd"))
 
 
 def quality(
     docs: DataFrame,
     share: float = 0.75,
-    steps: int = 4,
-    cutoff: float = 30.0,
+    cutoff: float = CHI2_FAR,
     min_rows: int = 60,
-    floors: tuple[float, ...] = (1.0, 0.2, 0.06, 0.4, 0.4),
+    least: int = 30,
+    floors: tuple[float, ...] = (0.2, 0.06, 0.03, 0.12, 0.12),
+    tries: int = 3,
 ) -> DataFrame:
     """One row per document row: its counts, base_failed, distance2 (null: no estimate), kept."""
     m = measured(docs.select("doc_id", "text", "lang", "source")).drop("text").withColumn("base_failed", base_failed())
-    v, light = pooled(stored(vector(m), "quality"), min_rows)
-    fit = v.filter(~F.col("base_failed") & F.col("pool").isNotNull()).select("pool", *STATS)
-    found = estimates(fit, light, share, steps, floors)
+    v, light = pooled(stored(vector(m), "quality"), min_rows, least)
+    v = stored(v, "pooled")
+    fit = v.filter(~F.col("base_failed") & F.col("pool").isNotNull()).select(F.explode("fits").alias("pool"), *STATS)
+    found = estimates(fit, light, share, floors, tries)
     judged = distanced(v.join(found, "pool", "left")).withColumn("distance2", F.col("d2") / F.col("scale"))
     far = F.coalesce(F.col("distance2") > cutoff, F.lit(False))
     return judged.select(

@@ -60,6 +60,39 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 #: Words of the contracts that take runs of characters other than space and U+0009 to U+000D.
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+OP1_SQL = rf"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+iw AS (SELECT item_id::VARCHAR AS item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[s:s + 9], ' ') AS seq
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 8, 2))) AS s FROM iw WHERE len(w) > 0)
+),
+occ AS (
+  SELECT * FROM (SELECT doc_id, s, n, array_to_string(w[s:s + n - 1], ' ') AS seq
+    FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM dw, (SELECT DISTINCT n FROM win) WHERE len(w) >= n))
+  SEMI JOIN win USING (seq, n)
+),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM occ) GROUP BY doc_id),
+own AS (SELECT doc_id, list_sort(list(DISTINCT item_id)) AS items FROM occ JOIN win USING (seq, n) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items,
+  sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, items IS NOT NULL AS contaminated
+FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN own USING (doc_id)
+"""
+
+OP7_SQL = rf"""
+WITH c AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -7, k, role, '{chat.PROBE}' FROM (VALUES (0, 'user'), (1, 'assistant')) AS t(k, role)
+),
+o AS (SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS t,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS k FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY k)) AS turns_sha256,
+  sum(CASE WHEN r = 'assistant' THEN length(t) ELSE 0 END)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(t, '' ORDER BY k) FILTER (WHERE r = 'assistant'), '')) AS loss_sha256,
+  sum(20 + length(r || t) + length(regexp_replace(r || t, '[^\\<#:]', '', 'g')))::BIGINT AS formatted_chars
+FROM o GROUP BY conv_id
+"""
+
 OP8_SQL = rf"""
 WITH w AS (SELECT doc_id, {_WORDS} AS words FROM documents),
 win AS (
@@ -100,4 +133,4 @@ FROM w LEFT JOIN sizes USING (doc_id) LEFT JOIN firsts USING (doc_id)
 
 def oracle_sql() -> dict[str, str]:
     """SQL where it can say the whole result; the others are tested against brute force."""
-    return {"op8_substring": OP8_SQL, "op9_neardup": OP9_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op7_chat": OP7_SQL, "op8_substring": OP8_SQL, "op9_neardup": OP9_SQL}

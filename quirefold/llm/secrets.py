@@ -200,8 +200,14 @@ def blanked(text: Column, spans: Column) -> Column:
 
 
 def scanned(docs: DataFrame, model: list[float], threshold: float = 0.35) -> DataFrame:
-    """Every row with ``base`` and ``spans`` (arrays of SPAN's struct, by start, then kind)."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+    """Every row with ``base`` and ``spans`` (arrays of SPAN's struct, by start, then kind).
+
+    Columns of these two names are replaced; all others pass through, whatever their names. An empty
+    table gives no rows.
+    """
+    kept = [c for c in docs.columns if c not in ("base", "spans")]
+    docs = docs.select(F.struct(*kept).alias("_row"), F.coalesce(F.col("text"), F.lit("")).alias("_text"))
+    text = F.col("_text")
     ratios = F.array(*[F.lit(x) for x in model])
     keyed = F.contains(text, F.lit("=")) | F.contains(text, F.lit(":"))
     long = F.lit(True)
@@ -224,7 +230,7 @@ def scanned(docs: DataFrame, model: list[float], threshold: float = 0.35) -> Dat
     d = d.withColumn("_s", F.filter(found, mixed))
     added = merged(F.concat("_w", likely("_p"), "_s"))
     d = d.withColumn("spans", F.when(F.size("_m") > 0, F.array_sort(F.concat("base", added))).otherwise(F.col("base")))
-    return d.select(*docs.columns, "base", "spans")
+    return d.select("_row.*", "base", "spans")
 
 
 def joined(spans: Column) -> Column:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import partitions
+from quirefold.llm.common import partitions, volume
 from quirefold.llm.hashing import Words, least_places, mixed, pieces, runs
 
 LAST = (1 << 63) - 1
@@ -212,10 +212,10 @@ def remove(size: int, gram: int):
     return run
 
 
-def dedup(docs: DataFrame, size: int = 50, gram: int = 20, block_docs: int = 1000) -> DataFrame:
+def dedup(docs: DataFrame, size: int = 50, gram: int = 20, block_bytes: int = 2_500_000) -> DataFrame:
     """One row per document row: n_words, n_removed, kept_sha256, and the repeats' word spans."""
-    n = docs.count()
-    blocks = max(1, -(-n // block_docs))
+    n, size_ = volume(docs)
+    blocks = max(1, -(-size_ // block_bytes))
     parts = partitions(docs.sparkSession, n)
     base = (
         docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("_id"), F.col("text").cast("binary").alias("_t"))

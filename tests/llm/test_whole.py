@@ -15,7 +15,7 @@ def test_lm_learns_from_rows_of_every_round(spark):
     later = {r["doc_id"] for r in docs.filter(key >= 10 / 60).collect()}
     turned = [(i, " ".join(sorted(t.split())) if i in later else t) for i, t in enumerate(texts)]
     one, other = (
-        {r["doc_id"]: r for r in lm.score(d, most=10, block_docs=20).collect()} for d in (docs, spark.createDataFrame(turned, DOC))
+        {r["doc_id"]: r for r in lm.score(d, most=10, block_bytes=4000).collect()} for d in (docs, spark.createDataFrame(turned, DOC))
     )
     same = [i for i in one if i not in later]
     assert same and all(abs(one[i].base_score - other[i].base_score) < 1e-9 for i in same)  # equal counts
