@@ -43,16 +43,20 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; a changed text gets its new length."""
-    found = secrets.scanned(docs, secrets.trained(secrets.labelled_samples(spark)))
-    clean = found.withColumn("text", F.when(F.size("spans") > 0, secrets.redacted(F.col("text"), F.col("spans"))).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        clean = clean.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return clean.select(*docs.columns)
+    whole = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    found = secrets.scanned(whole, secrets.trained(secrets.labelled_samples(spark)))
+    changed = F.size("spans") > 0
+    clean = found.withColumn("clean", F.when(changed, secrets.redacted(F.col("text"), F.col("spans"))).otherwise(F.col("text")))
+    new = {"text": F.col("clean"), "n_chars": F.when(changed, F.length("clean").cast("long")).otherwise(F.col("row")["n_chars"]) if "n_chars" in docs.columns else None}
+    return clean.select(*[(F.col("row")[c] if new.get(c) is None else new[c]).alias(c) for c in docs.columns])
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per document with the times that the mix takes it, and the output shards."""
-    return mixing.digest(mixing.mix(docs))
+    """One row per document, text and all, with the times that the mix takes it and its output shards.
+
+    ``mixing.write_shards`` writes these rows' copies by shard, in shuffled order.
+    """
+    return mixing.mix(docs, with_text=True)
 
 
 STAGES = [
