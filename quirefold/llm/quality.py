@@ -3,7 +3,7 @@
 Only DataFrame functions are used. Per document: plain counts, then a vector of five transformed
 statistics in fixed point. Per pool of documents, a language and source, the estimate starts from
 robust moments, plain moments and moments of ``tries`` small subsets chosen by hash, and takes
-concentration steps until no determinant changes: rank rows by Mahalanobis distance, keep the nearest
+concentration steps until its determinant no longer changes: rank rows by Mahalanobis distance, keep the nearest
 ``share`` and take their mean and covariance. The start with the least determinant wins; rows within
 the 97.5 % quantile of the chi-square then give the final mean and covariance. Documents are rejected
 beyond ``cutoff``, the quantile that one in 100,000 normal vectors exceeds. A pool whose median
@@ -27,6 +27,8 @@ no rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -227,19 +229,22 @@ def estimates(fit: DataFrame, light: bool, share: float, floors: tuple[float, ..
     """(pool, m, l, scale) of the minimum covariance determinant found, reweighted.
 
     A step reads the rows once: each bin of distance keeps its rows' sums, and those of the
-    nearest bins are added up.
+    nearest bins are added up. A start whose determinant no longer changes takes no further step.
     """
     hint = F.broadcast if light else lambda x: x
     by = ["pool", "start"]
-    params = stored(starts(fit, floors, tries, hint), "mcd")
+    moving, settled = stored(starts(fit, floors, tries, hint), "mcd"), []
     for _ in range(MOST_STEPS):
-        cells = binned(fit.join(hint(params), "pool")).groupBy(*by, "bin").agg(*sums())
+        cells = binned(fit.join(hint(moving), "pool")).groupBy(*by, "bin").agg(*sums(), F.max("log_det").alias("_old"))
         near = running(cells, by).filter(F.expr(f"_run - n < _all * {share!r}D"))
-        new = stored(factored(moments(near.groupBy(*by).agg(*added()), by, floors)), "mcd")
-        moved = new.join(params.select(*by, F.col("log_det").alias("_old")), by).filter("abs(log_det - _old) > 1e-6").limit(1).count()
-        params = new
-        if not moved:
+        new = near.groupBy(*by).agg(*added(), F.max("_old").alias("_old"))
+        new = factored(moments(new, [*by, "_old"], floors)).selectExpr("*", "abs(log_det - _old) > 1e-6 as _moved")
+        new = stored(new.drop("_old"), "mcd")
+        settled.append(new.filter("not _moved").drop("_moved"))
+        moving = new.filter("_moved").drop("_moved")
+        if moving.isEmpty():
             break
+    params = reduce(DataFrame.unionByName, settled, moving)
     best = Window.partitionBy("pool").orderBy("log_det", "start")
     params = stored(params.withColumn("_k", F.row_number().over(best)).filter("_k = 1").drop("_k", "start", "log_det"), "mcd")
     ranked = binned(fit.join(hint(params), "pool"))
