@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quirefold.llm import chat, decontam, langid, lm, mixing, neardup, quality, secrets, substring, toxicity
 from quirefold.llm.common import LOWER, UPPER, documents
+from quirefold.llm.shop import OP12_SQL, op12_intervals  # noqa: F401
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,4 +134,4 @@ FROM w LEFT JOIN sizes USING (doc_id) LEFT JOIN firsts USING (doc_id)
 
 def oracle_sql() -> dict[str, str]:
     """SQL where it can say the whole result; the others are tested against brute force."""
-    return {"op1_decontaminate": OP1_SQL, "op7_chat": OP7_SQL, "op8_substring": OP8_SQL, "op9_neardup": OP9_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op7_chat": OP7_SQL, "op8_substring": OP8_SQL, "op9_neardup": OP9_SQL, "op12_intervals": OP12_SQL}
