@@ -64,6 +64,9 @@ def rows(n, hot, seed):
     clicks = [(k, client(), r.choice(["error", "click", None]), time(60), "x") for k in range(3 * n)]
     clicks += [(c[0], c[1], "error", c[3], "x") for c in clicks[:40]]  # ties at a time
     clicks += [(k, 7, "click", START + dt.timedelta(minutes=30 * k), "x") for k in range(5)]  # exactly 30 minutes apart
+    clicks += [(k, 3, "click", START + dt.timedelta(minutes=29 * k), "x") for k in range(99)]  # a session over several slots
+    sales += [(n + k, 3, "done", START + dt.timedelta(hours=6 * k), 1) for k in range(12)]
+    lines += [(n + k, START + dt.timedelta(days=40)) for k in range(6)]
     return sales, lines, clicks
 
 
