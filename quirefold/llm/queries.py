@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirefold.llm import chat, decontam, langid, lm, mixing, neardup, quality, secrets, substring, toxicity
+from quirefold.llm import chat, decontam, langid, lm, mixing, neardup, quality, secrets, substring, toxicity, vectors, whitening
 from quirefold.llm.common import LOWER, UPPER, documents
 from quirefold.llm.shop import OP12_SQL, op12_intervals  # noqa: F401
 
@@ -54,6 +54,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(toxicity.toxicity(documents(spark, sf_dir), labels))
 
 
+def op11_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector's links at cosine 0.9 or more, and its component."""
+    return vectors.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each usable vector on the first four components of the distinct vectors' covariance."""
+    return whitening.whitening(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2:].split("_")[0].isdigit()}
 
@@ -132,6 +142,19 @@ FROM w LEFT JOIN sizes USING (doc_id) LEFT JOIN firsts USING (doc_id)
 """
 
 
+OP11_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda c: c::DOUBLE) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+links AS MATERIALIZED (SELECT x.vec_id AS a, y.vec_id AS b FROM v x, v y WHERE x.vec_id <> y.vec_id AND list_cosine_similarity(x.e, y.e) >= 0.9),
+counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a),
+reach AS (SELECT vec_id AS a, vec_id AS c FROM v UNION SELECT b, c FROM reach JOIN links USING (a)),
+firsts AS (SELECT a AS vec_id, min(c) AS c FROM reach GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(c, vec_id) AS component_id, coalesce(c, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN counts USING (vec_id) LEFT JOIN firsts USING (vec_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL where it can say the whole result; the others are tested against brute force."""
-    return {"op1_decontaminate": OP1_SQL, "op7_chat": OP7_SQL, "op8_substring": OP8_SQL, "op9_neardup": OP9_SQL, "op12_intervals": OP12_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op7_chat": OP7_SQL, "op8_substring": OP8_SQL, "op9_neardup": OP9_SQL, "op11_vectors": OP11_SQL, "op12_intervals": OP12_SQL}
