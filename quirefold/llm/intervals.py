@@ -154,8 +154,9 @@ def overlapping(left: DataFrame, right: DataFrame, most: int = 4096, batch: int
     both = both.unionByName(right.select("client_id", "lo", "hi", F.lit(False).alias("is_left"), "n", "crc"))
     sizes = both.groupBy("client_id").agg(F.count(F.lit(1)).alias("_n"), F.min("lo").alias("_a"), F.max("lo").alias("_z"))
     width = F.greatest(F.lit(1), F.floor((F.col("_z") - F.col("_a") + 1) * most / F.col("_n"))).cast("bigint")
-    hot = sizes.filter(F.col("_n") > most).select("client_id", "_a", "_z", width.alias("_w"))
-    rows = both.join(hot, "client_id", "left")
+    # Written first, so the join with it starts from rows alone and a hot client's can be split among tasks.
+    hot = stored(sizes.filter(F.col("_n") > most).select("client_id", "_a", "_z", width.alias("_w")), "hot-clients")
+    rows = both.join(hot.hint("merge"), "client_id", "left")
     # No pair's later start is beyond the client's last one, so open intervals end there.
     shard = lambda c: whole(c - F.col("_a"), F.col("_w"))
     covered = F.when(F.col("_w").isNull(), F.array(F.lit(0).cast("bigint"))).otherwise(F.sequence(shard(F.col("lo")), shard(F.least("hi", "_z"))))
