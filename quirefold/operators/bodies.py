@@ -22,38 +22,40 @@ def page_tables(tables: DataFrame, rubric_tables: bool = True) -> DataFrame:
     t = tables.withColumn("md", markdown_table(F.col("cells"), rubric_tables)).filter("md is not null")
     edge = [F.bround("y0", 1).alias("_a"), F.bround("y1", 1).alias("_b")]
     first = Window.partitionBy("doc_id", "page_no", "_a", "_b", "md").orderBy("x0", "y0")
-    t = t.select("doc_id", "page_no", "x0", "y0", "x1", "y1", "md", *edge).withColumn("_k", F.row_number().over(first))
-    return t.filter("_k = 1").select("doc_id", "page_no", "x0", "y0", "x1", "y1", "md")
+    own = [c for c in layout.SIZE if c in t.columns]
+    t = t.select("doc_id", "page_no", "x0", "y0", "x1", "y1", "md", *own, *edge).withColumn("_k", F.row_number().over(first))
+    return t.filter("_k = 1").drop("_a", "_b", "_k")
 
 
-def section_tables(ranges: DataFrame, tables: DataFrame, height: float = 792.0) -> DataFrame:
+def section_tables(ranges: DataFrame, tables: DataFrame) -> DataFrame:
     """Tables of each section, cut to its window on the page."""
-    own, top, bottom = window_of(ranges, tables, height)
+    own, top, bottom = window_of(ranges, tables)
     own = own.filter((bottom > top) & (F.col("y1") > top) & (F.col("y0") < bottom))
     cut = own.withColumn("_y0", F.greatest("y0", top)).withColumn("_y1", F.least("y1", bottom))
-    return cut.select("doc_id", "pos", "page_no", "x0", F.col("_y0").alias("y0"), "x1", F.col("_y1").alias("y1"), "md")
+    return cut.select("doc_id", "pos", "page_no", "x0", F.col("_y0").alias("y0"), "x1", F.col("_y1").alias("y1"), "md", layout.page_size(tables, "width").alias("width"))
 
 
 def section_bodies(
-    ranges: DataFrame, lines: DataFrame, tables: DataFrame | None = None, keep_footnotes: bool = False, autojunk: bool = True, width: float = 612.0
+    ranges: DataFrame, lines: DataFrame, tables: DataFrame | None = None, keep_footnotes: bool = False, autojunk: bool = True
 ) -> DataFrame:
-    """(doc_id, pos, body) of every section: ``lines`` (and ``tables``) are those of the sections.
+    """(doc_id, pos, body, is_empty) of every section: ``lines`` (and ``tables``) are those of the sections.
 
     ``ranges`` gives each section's title and, as ``next_title``, the one after it. Every section has
-    a row, so one without lines gets the text that says so. Lines arrive without margin noise.
+    a row, so one without lines gets the text that says so. Lines arrive without margin noise. Each
+    page is laid out by its own width.
     """
-    own = lines.filter("text <> ''").select("doc_id", "pos", "page_no", "block_no", "line_no", "x0", "y0", "x1", "y1", "text", F.lit(1).alias("kind"))
+    own = lines.filter("text <> ''").select("doc_id", "pos", "page_no", "block_no", "line_no", "x0", "y0", "x1", "y1", "text", F.lit(1).alias("kind"), layout.page_size(lines, "width").alias("width"))
     if tables is not None:
         own = layout.outside_tables(own, tables).select(own.columns)
-        drawn = tables.select("doc_id", "pos", "page_no", F.lit(0).alias("block_no"), F.lit(0).alias("line_no"), "x0", "y0", "x1", "y1", F.col("md").alias("text"), F.lit(2).alias("kind"))
+        drawn = tables.select("doc_id", "pos", "page_no", F.lit(0).alias("block_no"), F.lit(0).alias("line_no"), "x0", "y0", "x1", "y1", F.col("md").alias("text"), F.lit(2).alias("kind"), layout.page_size(tables, "width").alias("width"))
         own = own.unionByName(drawn)
     # Each section's titles come first, as a row of their own; kind 0 sorts before its lines.
     none = F.lit(0.0)
     heads = ranges.select(
         "doc_id", "pos", F.lit(0).alias("page_no"), F.lit(0).alias("block_no"), F.lit(0).alias("line_no"), none.alias("x0"), none.alias("y0"),
-        none.alias("x1"), none.alias("y1"), F.concat_ws("\n", "title", "next_title").alias("text"), F.lit(0).alias("kind"),
+        none.alias("x1"), none.alias("y1"), F.concat_ws("\n", "title", "next_title").alias("text"), F.lit(0).alias("kind"), none.alias("width"),
     )
-    schema = f"doc_id {layout.key_type(ranges, 'doc_id')}, pos int, body string"
+    schema = f"doc_id {layout.key_type(ranges, 'doc_id')}, pos int, body string, is_empty boolean"
 
     def fold(k: tuple, rows: list[tuple]) -> Iterator[tuple]:
         title, _, next_title = rows[0][9].partition("\n")
@@ -61,10 +63,10 @@ def section_bodies(
         for _, page in groupby(rows[1:], key=lambda r: r[2]):
             own = list(page)
             box = lambda kind, make, own=own: [make(*r[5:10]) for r in own if r[10] == kind]
-            blocks = layout.page_blocks(box(1, Line), box(2, Table), width)
+            blocks = layout.page_blocks(box(1, Line), box(2, Table), own[0][11])
             if blocks:
                 pages.append("\n\n".join(blocks))
         body = post.cleaned_section("\n\n".join(pages).strip() or post.NOTHING, title, next_title or None)
-        yield (*k, post.post_processed(body, keep_footnotes, autojunk))
+        yield (*k, post.post_processed(body, keep_footnotes, autojunk), not pages)
 
     return layout.streamed(heads.unionByName(own), ["doc_id", "pos"], ["page_no", "kind", "block_no", "line_no"], fold, schema)

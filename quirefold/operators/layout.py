@@ -26,6 +26,24 @@ BULLET = re.compile(r"([•\-*]|\d+\.)\s+")
 # Shares of the page's width, counts and distances in points.
 NARROW, FULL, APART, NEAR, NEAR_LEAST = 0.62, 0.72, 0.18, 0.08, 18.0
 LEAST_LINES, LEAST_NARROW, LEAST_CLUSTER, CLUSTER_SHARE = 10, 6, 3, 0.12
+#: Points of a page whose size isn't told.
+SIZE = {"width": 612.0, "height": 792.0}
+
+
+def page_size(rows: DataFrame, side: str) -> Column:
+    """Width or height of the page that a row is on: its own column, else the default."""
+    return F.coalesce(F.col(side), F.lit(SIZE[side])) if side in rows.columns else F.lit(SIZE[side])
+
+
+def sized(rows: DataFrame, pages: DataFrame | None) -> DataFrame:
+    """Rows with the ``width`` and ``height`` of their page of ``pages`` (doc_id, page_no, width, height).
+
+    Rows that carry both from decoding need no join; a page that isn't told has the default size.
+    """
+    if pages is not None and not set(SIZE) <= set(rows.columns):
+        told = pages.select("doc_id", "page_no", *SIZE).dropDuplicates(["doc_id", "page_no"])
+        rows = rows.drop(*SIZE).join(told, ["doc_id", "page_no"], "left")
+    return rows.withColumns({side: page_size(rows, side) for side in SIZE})
 
 
 class Line(NamedTuple):
@@ -48,12 +66,14 @@ def lines_of_spans(spans: DataFrame) -> DataFrame:
     """Lines of spans (doc_id, page_no, block_no, line_no, span_no, x0, y0, x1, y1, size, text).
 
     A line's text is its cleaned spans joined by spaces, its size the largest of spans with text;
-    lines without text go. The box is the line's, so any span's (x0 ... y1) tells it.
+    lines without text go. The box is the line's, so any span's (x0 ... y1) tells it. The page's
+    width and height stay with the line if the spans have them.
     """
     s = spans.withColumn("text", clean_line(F.col("text"))).filter("text <> ''")
     by = ["doc_id", "page_no", "block_no", "line_no"]
     parts = F.array_sort(F.collect_list(F.struct("span_no", "text")))["text"]
     box = [f(c).alias(c) for c, f in (("x0", F.min), ("y0", F.min), ("x1", F.max), ("y1", F.max))]
+    box += [F.max(c).alias(c) for c in SIZE if c in spans.columns]
     return s.groupBy(*by).agg(*box, F.max(F.coalesce("size", F.lit(0.0))).alias("size"), F.array_join(parts, " ").alias("text"))
 
 
@@ -210,19 +230,15 @@ def key_type(df: DataFrame, column: str) -> str:
     return dict(df.dtypes)[column]
 
 
-def reading_order(lines: DataFrame, width: float = 612.0) -> DataFrame:
-    """Adds ``seq``, the place of a line in the reading order of its page."""
-    own = lines.select("doc_id", "page_no", "block_no", "line_no", "x0", "y0", "x1", "y1", F.coalesce("text", F.lit("")).alias("text"))
+def reading_order(lines: DataFrame) -> DataFrame:
+    """Adds ``seq``, the place of a line in the reading order of its page, whose own width decides."""
+    own = lines.select("doc_id", "page_no", "block_no", "line_no", "x0", "y0", "x1", "y1", F.coalesce("text", F.lit("")).alias("text"), page_size(lines, "width").alias("width"))
     schema = f"doc_id {key_type(own, 'doc_id')}, page_no int, block_no int, line_no int, x0 double, y0 double, x1 double, y1 double, text string, seq int"
 
     def fold(k: tuple, rows: list[tuple]) -> Iterator[tuple]:
-        names = {}
-        boxes = []
-        for n, r in enumerate(rows):
-            boxes.append(Line(*r[4:8], n))
-            names[n] = r
-        for seq, x in enumerate(ordered(boxes, width)):
-            yield (*names[x.text], seq)
+        boxes = [Line(*r[4:8], n) for n, r in enumerate(rows)]
+        for seq, x in enumerate(ordered(boxes, rows[0][9])):
+            yield (*rows[x.text][:9], seq)
 
     return streamed(own, ["doc_id", "page_no"], ["block_no", "line_no"], fold, schema)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirefold.functions.text import clean_line, heading_shaped, match_key, repair_mojibake
-from quirefold.operators.layout import key_type, streamed
+from quirefold.operators.layout import key_type, page_size, streamed
 
 # Words after which a heading goes on, and words with which it goes on.
 TAIL_WORDS = ("for", "and", "or", "to", "in", "on", "of", "with", "program", "course", "grade")
@@ -162,13 +162,17 @@ def collapsed(outline: DataFrame, titles: DataFrame) -> DataFrame:
     return outline.join(by_font, "doc_id", "left_anti").unionByName(whole)
 
 
-def document_title(lines: DataFrame, height: float = 792.0) -> DataFrame:
-    """Up to three long lines of the top of page 1, while they come to at most 140 characters."""
+def document_title(lines: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """Up to three long lines of the top of page 1, while they come to at most 140 characters.
+
+    The top is a share of that page's own height. ``docs`` (doc_id): documents to name, also those
+    without lines; else all that have one.
+    """
     w = Window.partitionBy("doc_id").orderBy("y0", "block_no", "line_no")
-    top = lines.filter((F.col("page_no") == 1) & (F.col("y0") <= 0.28 * height)).withColumn("text", clean_line(repair_mojibake(clean_line(F.col("text")))))
+    top = lines.filter((F.col("page_no") == 1) & (F.col("y0") <= 0.28 * page_size(lines, "height"))).withColumn("text", clean_line(repair_mojibake(clean_line(F.col("text")))))
     top = top.filter(F.length("text") >= 12).withColumn("_k", F.row_number().over(w)).filter("_k <= 3")
     top = top.withColumn("_len", F.sum(F.length("text") + 1).over(w) - 1)
     fits = top.filter((F.col("_len") <= 140) | (F.col("_k") == 1))
     joined = fits.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("_k", "text")))["text"], " ").alias("title"))
-    stems = lines.select("doc_id").distinct()
+    stems = (lines if docs is None else docs).select("doc_id").distinct()
     return stems.join(joined, "doc_id", "left").withColumn("title", F.coalesce("title", F.replace(F.col("doc_id"), F.lit("-"), F.lit(" "))))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirefold.functions.text import clean_line, slugify
-from quirefold.operators import bodies, grouping, outline, render, sections, tables
+from quirefold.operators import bodies, grouping, layout, outline, render, sections, tables
 from quirefold.plans.sinks import json_file
 from quirefold.store import stored
 
@@ -32,31 +32,53 @@ class ConvertOptions:
             raise ValueError(f"unsupported decoder {self.decoder!r}")
 
 
-def outlines(lines: DataFrame, toc: DataFrame | None = None, mode: str = "sections") -> DataFrame:
-    """Per document its contents table, anchored to lines, else headings by font, else one entry."""
+def outlines(lines: DataFrame, toc: DataFrame | None = None, mode: str = "sections", docs: DataFrame | None = None) -> DataFrame:
+    """Per document its contents table, anchored to lines, else headings by font, else one entry.
+
+    ``docs`` (doc_id) are all documents, also those without a line; else those with one.
+    """
     fonts = outline.from_fonts(lines)
     own = outline.anchored(outline.from_toc(toc), lines) if toc is not None else fonts.limit(0)
-    chosen = outline.with_fallback(own, fonts, lines.select("doc_id").distinct())
+    chosen = outline.with_fallback(own, fonts, (lines if docs is None else docs).select("doc_id").distinct())
     if mode == "single":
-        chosen = outline.collapsed(chosen, outline.document_title(lines))
+        chosen = outline.collapsed(chosen, outline.document_title(lines, docs))
     return sections.front_matter(outline.normalized(chosen))
 
 
-def convert(lines: DataFrame, toc: DataFrame | None = None, options: ConvertOptions | None = None, cells: DataFrame | None = None, page_counts: DataFrame | None = None) -> DataFrame:
+def spine(lines: DataFrame, pages: DataFrame | None = None, page_counts: DataFrame | None = None) -> DataFrame:
+    """(doc_id, page_count) of every document: by ``page_counts``, else its last page, with or without text."""
+    told = lines.select("doc_id", "page_no")
+    if pages is not None:
+        told = told.unionByName(pages.select("doc_id", "page_no"))
+    if page_counts is not None:
+        told = told.unionByName(page_counts.select("doc_id", F.col("page_count").alias("page_no")))
+        own = page_counts.select("doc_id", F.col("page_count").alias("_own"))
+        last = told.groupBy("doc_id").agg(F.max("page_no").alias("_last")).join(own, "doc_id", "left")
+        return last.select("doc_id", F.coalesce("_own", "_last").alias("page_count"))
+    return told.groupBy("doc_id").agg(F.max("page_no").alias("page_count"))
+
+
+def convert(
+    lines: DataFrame, toc: DataFrame | None = None, options: ConvertOptions | None = None, cells: DataFrame | None = None, page_counts: DataFrame | None = None,
+    pages: DataFrame | None = None,
+) -> DataFrame:
     """One row per section: doc_id, pos, code, title, level, source, page_start, y0, start, end, line_count,
-    char_count, file, body. ``cells`` are decoded tables (doc_id, page_no, x0, y0, x1, y1, cells);
-    ``page_counts`` (doc_id, page_count) is the last page with a line unless given.
+    char_count, file, body, is_empty. ``cells`` are decoded tables (doc_id, page_no, x0, y0, x1, y1, cells);
+    ``pages`` (doc_id, page_no, width, height) all pages, also those without text; ``page_counts``
+    (doc_id, page_count) is the last page unless given. Lines and cells that carry width and height
+    keep them. A document of ``pages`` without any line has one section, which says that it is empty.
 
-    Decoded lines are written once, cleaned; the outline, the noise profile and the bodies read them.
+    Decoded lines are written once, cleaned and with their page's size; the outline, the noise profile
+    and the bodies read them.
     """
     o = options or ConvertOptions()
-    lines = stored(lines.withColumn("text", clean_line(F.col("text"))), "lines")
-    counts = page_counts or lines.groupBy("doc_id").agg(F.max("page_no").alias("page_count"))
-    found = stored(outlines(lines, toc, o.mode), "outlines")
+    lines = stored(layout.sized(lines, pages).withColumn("text", clean_line(F.col("text"))), "lines")
+    counts = stored(spine(lines, pages, page_counts), "spine")
+    found = stored(outlines(lines, toc, o.mode, counts), "outlines")
     following = F.lead("title").over(Window.partitionBy("doc_id").orderBy("pos"))
     ranges = sections.section_ranges(found, counts).withColumn("next_title", following)
-    quiet = sections.denoised(lines, sections.noise_profile(lines))
-    drawn = bodies.section_tables(ranges, bodies.page_tables(cells, o.rubric_tables)) if cells is not None else None
+    quiet = sections.denoised(lines, sections.noise_profile(lines, counts))
+    drawn = bodies.section_tables(ranges, bodies.page_tables(layout.sized(cells, pages), o.rubric_tables)) if cells is not None else None
     made = bodies.section_bodies(ranges, sections.section_lines(ranges, quiet), drawn, o.keep_footnotes, o.autojunk)
     if o.keep_footnotes:  # without markers both passes and the last one for repeats change nothing
         made = grouping.footnotes_settled(made, o.autojunk)
@@ -64,6 +86,7 @@ def convert(lines: DataFrame, toc: DataFrame | None = None, options: ConvertOpti
     return s.select(
         "doc_id", "pos", "code", "title", "level", "source", "page_start", "y0", "start", "end", grouping.line_count(F.col("body")).alias("line_count"),
         F.length("body").cast("long").alias("char_count"), F.concat(F.col("code"), F.lit("-"), slugify(F.col("title")), F.lit(".md")).alias("file"), "body",
+        "is_empty",
     )
 
 

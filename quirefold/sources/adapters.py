@@ -1,38 +1,44 @@
 """Frames of decoded lines from plain tables.
 
-The engine's input is ``lines(doc_id, page_no, block_no, line_no, x0, y0, x1, y1, size, text)`` on
-pages of 612 by 792 points. ``binder`` makes ten-page volumes of each source's texts.
+The engine's input is ``lines(doc_id, page_no, block_no, line_no, x0, y0, x1, y1, size, text)`` and
+``pages(doc_id, page_no, width, height)``, one row for every page with or without text. ``binder``
+makes ten-page volumes of each source's texts.
 """
 
 from __future__ import annotations
 
-import glob
-import os
-from collections.abc import Iterator
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from quirefold.operators.layout import lines_of_spans
+from quirefold.operators.layout import SIZE, page_size
+
+#: Sheets of mixed volumes, by the remainder of the text's id: letter, A4, both lying (fixed values).
+SHEETS = ((612.0, 792.0), (595.0, 842.0), (792.0, 612.0), (842.0, 595.0))
 
-WIDTH, HEIGHT = 612.0, 792.0
+
+def sheet(number: Column) -> dict[str, Column]:
+    """Width and height of the page that holds the text of this number."""
+    kind = F.pmod(number, F.lit(len(SHEETS))).cast("int")
+    return {side: F.get(F.array(*[F.lit(s[k]) for s in SHEETS]), kind) for k, side in enumerate(SIZE)}
 
 
 def text_lines(pages: DataFrame) -> DataFrame:
-    """Lines of (doc_id, page_no, text): y by line, size by place and length."""
-    cut = pages.withColumn("_l", F.split(F.coalesce("text", F.lit("")), "\n"))
-    rows = cut.select("doc_id", "page_no", F.size("_l").alias("_n"), F.posexplode("_l").alias("line_no", "text"))
-    y0 = F.when(F.col("_n") > 1, 40.0 + 700.0 * F.col("line_no") / (F.col("_n") - 1)).otherwise(40.0)
+    """Lines of (doc_id, page_no, text[, width, height]): y by line, size by place and length.
+
+    Lines fill the page between margins of 40 and 52 points, and its width but for 72 points a side.
+    """
+    cut = pages.withColumn("_l", F.split(F.coalesce("text", F.lit("")), "\n")).withColumns({f"_{side}": page_size(pages, side) for side in SIZE})
+    rows = cut.select("doc_id", "page_no", "_width", "_height", F.size("_l").alias("_n"), F.posexplode("_l").alias("line_no", "text"))
+    y0 = F.when(F.col("_n") > 1, 40.0 + (F.col("_height") - 92.0) * F.col("line_no") / (F.col("_n") - 1)).otherwise(40.0)
     size = F.when((F.col("line_no") == 0) & (F.length("text") <= 60), 18.0).when(F.length("text") <= 40, 14.0).otherwise(10.0)
     return rows.select(
         "doc_id", "page_no", F.lit(0).alias("block_no"), "line_no", F.lit(72.0).alias("x0"), y0.alias("y0"),
-        (72.0 + F.least(F.lit(468.0), 5.5 * F.length("text"))).alias("x1"), (y0 + 10.0).alias("y1"), size.alias("size"), "text",
+        (72.0 + F.least(F.col("_width") - 144.0, 5.5 * F.length("text"))).alias("x1"), (y0 + 10.0).alias("y1"), size.alias("size"), "text",
     )
 
 
-def binder(docs: DataFrame, pages_each: int = 10, rows_each: int = 50_000) -> DataFrame:
-    """Lines of volumes: ``pages_each`` documents of a source in order of doc_id.
+def volumes(docs: DataFrame, pages_each: int = 10, rows_each: int = 50_000) -> DataFrame:
+    """(doc_id, page_no, text, number) of volumes: ``pages_each`` documents of a source in order of doc_id.
 
     Ranks come in two steps, so no source, however large, is sorted in one task: ids are cut into
     ranges of about ``rows_each`` rows, a range's offset is the number of rows in those before it, and
@@ -48,92 +54,33 @@ def binder(docs: DataFrame, pages_each: int = 10, rows_each: int = 50_000) -> Da
     ranked = inner.join(offsets, F.col("source").eqNullSafe(F.col("_s")) & F.col("_g").eqNullSafe(F.col("_k")))
     rank = F.col("_o") + F.col("_i")
     pages = ranked.select(
-        F.concat_ws("-", "source", F.floor(rank / pages_each).cast("string")).alias("doc_id"), (rank % pages_each + 1).cast("int").alias("page_no"), "text"
-    )
-    return text_lines(pages)
+        F.concat_ws("-", "source", F.floor(rank / pages_each).cast("string")).alias("doc_id"), (rank % pages_each + 1).cast("int").alias("page_no"), "text",
+        F.col("doc_id").alias("number"),
+    )
+    return pages
+
+
+def binder(docs: DataFrame, pages_each: int = 10, rows_each: int = 50_000) -> DataFrame:
+    """Lines of volumes, all pages of the default size."""
+    return text_lines(volumes(docs, pages_each, rows_each))
+
+
+def mixed_binder(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lines, pages) of volumes whose sheets differ from page to page."""
+    pages = volumes(docs)
+    pages = pages.withColumns(sheet(F.col("number")))
+    return text_lines(pages), pages.select("doc_id", "page_no", *SIZE)
 
 
 def prose(docs: DataFrame) -> DataFrame:
     return text_lines(docs.select("doc_id", F.lit(1).alias("page_no"), "text"))
 
 
-def page_frame(lines: DataFrame) -> DataFrame:
-    return lines.select("doc_id", "page_no").distinct().select("doc_id", "page_no", F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"))
-
-
-#: Rows of a decoded document: lines of spans, cells of tables, entries of its contents table.
-DECODED = (
-    "doc_id string, kind string, page_no int, block_no int, line_no int, span_no int, x0 double, y0 double, x1 double, y1 double, "
-    "size double, text string, cells array<array<string>>, level int, page_count int"
-)
-
-
-def decoded_rows(doc_id: str, document) -> Iterator[tuple]:
-    """DECODED rows of an open document (pages with get_text, find_tables; get_toc; page_count)."""
-    count = document.page_count
-    for n, entry in enumerate(document.get_toc(simple=True)):
-        if len(entry) >= 3:
-            level, title, page = entry[:3]
-            yield (doc_id, "toc", int(page), 0, n, 0, None, None, None, None, None, str(title), None, int(level), count)
-    for number in range(1, count + 1):
-        page = document.load_page(number - 1)
-        for b, block in enumerate(page.get_text("dict").get("blocks", [])):
-            for k, line in enumerate(block.get("lines", []) if block.get("type") == 0 else []):
-                box = [float(v) for v in line.get("bbox", (0, 0, 0, 0))]
-                for j, span in enumerate(line.get("spans", [])):
-                    yield (doc_id, "span", number, b, k, j, *box, float(span.get("size", 0)), span.get("text", ""), None, None, count)
-        try:
-            found = page.find_tables().tables
-        except Exception:  # a page whose tables can't be found has none
-            found = []
-        for k, t in enumerate(found):
-            if len(t.bbox or ()) >= 4:
-                yield (doc_id, "table", number, 0, k, 0, *[float(v) for v in t.bbox[:4]], None, None, t.extract() or [], None, count)
-
-
-class DocumentSource(DataSource):
-    """``spark.read.format("documents").load(path)``: decoded rows of PDF files, one partition a file.
-
-    ``path`` may be a file, a folder or a pattern that all executors see. Executors need PyMuPDF; a
-    session without it gets an error that says so when the read starts. Option ``decoder``: auto or pymupdf.
-    """
+def partly_scanned(docs: DataFrame, every: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(lines, pages) of texts as documents of two pages, the second blank.
 
-    @classmethod
-    def name(cls) -> str:
-        return "documents"
-
-    def schema(self) -> str:
-        return DECODED
-
-    def reader(self, schema) -> DataSourceReader:
-        return DocumentReader(dict(self.options))
-
-
-class DocumentReader(DataSourceReader):
-    def __init__(self, options: dict):
-        if options.get("decoder", "auto") not in ("auto", "pymupdf"):
-            raise ValueError(f"unsupported decoder {options['decoder']!r}")
-        self.path = options.get("path", "")
-
-    def partitions(self) -> list[InputPartition]:
-        pattern = os.path.join(self.path, "*") if os.path.isdir(self.path) else self.path
-        found = sorted(p for p in glob.glob(pattern) if p.lower().endswith(".pdf"))
-        if not found:
-            raise FileNotFoundError(f"no .pdf file at {self.path!r}")
-        return [InputPartition(p) for p in found]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        try:
-            import fitz
-        except ImportError as e:
-            raise RuntimeError("reading PDF files needs PyMuPDF on every executor; give decoded frames instead") from e
-        stem = os.path.splitext(os.path.basename(partition.value))[0]
-        with fitz.open(partition.value) as document:
-            yield from decoded_rows(stem, document)
-
-
-def frames(decoded: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(lines, contents entries, tables) of DECODED rows, as the plan takes them."""
-    toc = decoded.filter("kind = 'toc'").select("doc_id", F.col("line_no").alias("toc_no"), "level", F.col("text").alias("title"), F.col("page_no").alias("page"))
-    cells = decoded.filter("kind = 'table'").select("doc_id", "page_no", "x0", "y0", "x1", "y1", "cells")
-    return lines_of_spans(decoded.filter("kind = 'span'")), toc, cells
+    Documents of every ``every``-th id stand for scans: their pages are decoded and hold no text.
+    """
+    first = docs.select("doc_id", F.lit(1).alias("page_no"), "text").withColumns(sheet(F.col("doc_id")))
+    pages = first.select("doc_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("page_no"), *SIZE)
+    return text_lines(first.filter(F.coalesce(F.pmod("doc_id", F.lit(every)) != 0, F.lit(True)))), pages

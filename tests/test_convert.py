@@ -2,16 +2,19 @@
 
 import json
 import random
+import sys
 import types
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from quirefold.operators import bodies, dedup, layout, outline, post
+from quirefold.operators import bodies, dedup, layout, outline, post, sections
 from quirefold.plans.convert import ConvertOptions, convert, files, markdown_files
 from quirefold.plans.sinks import write_files
-from quirefold.sources import adapters
+from quirefold.sources import adapters, decoded
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers can't import a test
 LINE = "doc_id string, page_no int, block_no int, line_no int, x0 double, y0 double, x1 double, y1 double, size double, text string"
 
 
@@ -140,21 +143,136 @@ def test_near_repeats_against_a_plain_scan(spark):
     assert "\n\n".join(paras[k] for k in got) == post.unrepeated("\n\n".join(paras))
 
 
+class Page:
+    """A stand-in for a page of an open document: (text, size) spans, a table or none, its sheet."""
+
+    def __init__(self, spans=(), table=None, width=612.0, height=792.0):
+        self.spans, self.table, self.rect = spans, table, types.SimpleNamespace(width=width, height=height)
+
+    def get_text(self, kind):
+        spans = [{"text": t, "size": z} for t, z in self.spans]
+        return {"blocks": [{"type": 1}, {"type": 0, "lines": [{"bbox": (72, 40, 300, 50), "spans": spans}]}]}
+
+    def find_tables(self):
+        if self.table is None:
+            raise ValueError("no tables here")
+        return types.SimpleNamespace(tables=[types.SimpleNamespace(bbox=(1, 2, 3, 4), extract=lambda: self.table)])
+
+
+class Document:
+    """A stand-in for an open document: pages made from numbers; ``bad`` ones can't be loaded."""
+
+    def __init__(self, count, make, toc=(), bad=()):
+        self.page_count, self.make, self.toc, self.bad = count, make, toc, bad
+
+    def get_toc(self, simple):
+        return list(self.toc)
+
+    def load_page(self, k):
+        if k in self.bad:
+            raise ValueError("code=7: no objects found")
+        return self.make(k)
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        pass
+
+
 def test_decoded_documents(spark):
-    """A stand-in for an open document: spans to lines, contents and tables."""
-    span = lambda text, size: {"text": text, "size": size}
-    blocks = [{"type": 1}, {"type": 0, "lines": [{"bbox": (72, 40, 300, 50), "spans": [span("A ", 10), span(" ", 30), span("title", 12)]}]}]
-    table = types.SimpleNamespace(bbox=(1, 2, 3, 4), extract=lambda: [["a", None]])
-    page = types.SimpleNamespace(get_text=lambda kind: {"blocks": blocks}, find_tables=lambda: types.SimpleNamespace(tables=[table]))
-    doc = types.SimpleNamespace(page_count=1, get_toc=lambda simple: [[1, "A title", 1]], load_page=lambda k: page)
-    rows = spark.createDataFrame(list(adapters.decoded_rows("d", doc)), adapters.DECODED)
-    lines, toc, cells = adapters.frames(rows)
-    assert [(r.text, r["size"], r.y1) for r in lines.collect()] == [("A title", 12.0, 50.0)]
+    """Spans to lines, contents, tables, and pages with their sizes, also those without text."""
+    pages = [Page([("A ", 10), (" ", 30), ("title", 12)], [["a", None]]), Page([(" ", 9)], width=842.0, height=595.0)]
+    doc = Document(2, pages.__getitem__, [[1, "A title", 1], [2]])
+    rows = spark.createDataFrame(list(decoded.decoded_rows("d", doc)), decoded.DECODED)
+    lines, toc, cells, sheets = decoded.frames(rows)
+    assert [(r.text, r["size"], r.y1, r.width) for r in lines.collect()] == [("A title", 12.0, 50.0, 612.0)]
     assert toc.count() == 1 and cells.first().cells == [["a", None]]
+    assert sorted(map(tuple, sheets.collect())) == [("d", 1, 612.0, 792.0), ("d", 2, 842.0, 595.0)]
+
+
+def opened(path):
+    """Opens a test file: its first line is a number of pages; other content is corrupt."""
+    with open(path.removeprefix("file:")) as f:
+        count = int(f.readline())
+    return Document(count, lambda k: Page([(f"page {k + 1}", 10)] if k % 2 == 0 else ()), [[1, "All", 1]], bad=(4,) if "torn" in path else ())
+
+
+def test_files_are_read_in_parts(spark, tmp_path):
+    for name, text in (("long.pdf", "1000\n" + "x" * 10_000), ("short.PDF", "3"), ("bad.pdf", "no number"), ("torn.pdf", "6"), ("notes.txt", "5")):
+        (tmp_path / name).write_text(text)
+    rows = decoded.read_documents(spark, str(tmp_path), opened, part_bytes=1500).withColumn("task", F.spark_partition_id()).persist()
+    pages = rows.filter("kind = 'page'").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("page_no").alias("m"), F.countDistinct("task").alias("t"))
+    got = {r.doc_id: (r.n, r.m) for r in pages.collect()}
+    assert got == {"long": (1000, 1000), "short": (3, 3), "torn": (5, 5)}
+    assert {r.doc_id: r.t for r in pages.collect()}["long"] > 1
+    assert {(r.doc_id, r.n) for r in rows.filter("kind = 'toc'").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).collect()} == {("long", 1), ("short", 1), ("torn", 1)}
+    wrong = {(r.doc_id, r.page_no, r["class"]) for r in decoded.failures(rows).collect()}
+    assert wrong == {("bad", None, "other"), ("torn", 5, "corrupt")}
+    lines, toc, cells, sheets = decoded.frames(rows)
+    out = convert(lines, toc, cells=cells, pages=sheets).collect()
+    assert {(r.doc_id, r.start, r.end) for r in out} == {("long", 1, 1000), ("short", 1, 3), ("torn", 1, 6)}
+
+
+def test_document_reader_lists_parts(tmp_path):
     with pytest.raises(FileNotFoundError):
-        adapters.DocumentReader({"path": "/nowhere/*.pdf"}).partitions()
+        decoded.DocumentReader({"path": "/nowhere/x"}).partitions()
     with pytest.raises(ValueError):
-        adapters.DocumentReader({"decoder": "other"})
+        decoded.DocumentReader({"decoder": "other"})
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a/x.pdf").write_text("4\n" + "x" * 100)
+    (tmp_path / "y.pdf").write_text("2")
+    for path in (str(tmp_path), f"file://{tmp_path}"):
+        reader = decoded.DocumentReader({"path": path, "part_bytes": "40"})
+        reader.opener = opened
+        parts = reader.partitions()
+        assert [(p.value[0].endswith("a/x.pdf"), *p.value[1:]) for p in parts] == [(True, 0, 3), (True, 1, 3), (True, 2, 3), (False, 0, 1)]
+    reader = decoded.DocumentReader({"path": str(tmp_path), "part_bytes": "40"})
+    reader.opener = opened
+    rows = [r for p in reader.partitions() for r in reader.read(p)]
+    assert [r[2] for r in rows if r[:2] == ("x", "page")] == [1, 2, 3, 4] and sum(r[1] == "toc" for r in rows) == 2
+
+
+SHEET = "doc_id string, page_no int, width double, height double"
+
+
+def test_pages_of_other_sizes(spark):
+    """A lying page between two standing ones: its margins, columns, clip and title are its own."""
+    pages = spark.createDataFrame([("m", 1, 842.0, 595.0), ("m", 2, 612.0, 792.0), ("m", 3, 842.0, 595.0), ("s", 1, 300.0, 200.0)], SHEET)
+    foot = [line("m", p, 30, y, "Running foot") for p, y in ((1, 560.0), (2, 760.0), (3, 560.0))]
+    body = [line("m", 1, 0, 150.0, "A title for the whole"), line("m", 2, 0, 560.0, "Running foot of no margin here."), line("s", 1, 0, 60.0, "Too low for a title")]
+    # Columns 200 points apart: enough on a page of 842 points; lines of 500 points are full on neither.
+    rows = foot + body + [line("m", 3, k, 100.0 + 30 * k, f"Left {k}.", width=100.0) for k in range(6)]
+    rows += [line("m", 3, 10 + k, 100.0 + 30 * k, f"Right {k}.", x=272.0, width=100.0) for k in range(6)]
+    rows += [line("m", 3, 20, 90.0, "Wide on a page of 612 points only.", width=480.0)]
+    lines = layout.sized(spark.createDataFrame(rows, LINE), pages)
+    assert {(r.band, r.norm) for r in sections.noise_profile(lines).collect()} == {("bottom", "running foot")}
+    assert sections.denoised(lines, sections.noise_profile(lines)).filter("text like 'Running%'").count() == 1
+    assert {(r.doc_id, r.title) for r in outline.document_title(lines).collect()} == {("m", "A title for the whole"), ("s", "s")}
+    order = [r.text for r in layout.reading_order(lines.filter("page_no = 3 and line_no < 30")).orderBy("seq").collect()]
+    assert order == ["Wide on a page of 612 points only.", *[f"Left {k}." for k in range(6)], *[f"Right {k}." for k in range(6)]]
+    narrow = [r.text for r in layout.reading_order(lines.filter("page_no = 3 and line_no < 30").drop("width").withColumn("width", F.lit(1200.0))).orderBy("seq").collect()]
+    assert narrow[1:3] == ["Left 0.", "Right 0."]  # too near to be two columns there
+    toc = spark.createDataFrame([("m", 0, 1, "All", 1)], TOC_SCHEMA)
+    got = convert(spark.createDataFrame(rows, LINE), toc, pages=pages).filter("doc_id = 'm'").first()
+    assert got.body.startswith("A title for the whole\n\nRunning foot of no margin here.") and got.body.count("foot") == 1
+
+
+def test_documents_without_text(spark):
+    """Scans have an entry with the text that says so; a section whose pages are blank is empty too."""
+    pages = [("scan", p, 595.0, 842.0) for p in (1, 2)] + [("part", p, 595.0, 842.0) for p in (1, 2, 3)]
+    rows = [line("part", 1, 0, 60.0, "First words of it.")]
+    toc = spark.createDataFrame([("part", 0, 1, "One", 1), ("part", 1, 1, "Two", 3), ("listed", 0, 1, "Alone", 1)], TOC_SCHEMA)
+    frame = spark.createDataFrame(pages + [("listed", 1, 595.0, 842.0)], SHEET)
+    got = convert(spark.createDataFrame(rows, LINE), toc, pages=frame).orderBy("doc_id", "pos").collect()
+    assert [(r.doc_id, r.title, r.source, r.start, r.end, r.is_empty) for r in got] == [
+        ("listed", "Alone", "pdf-outline", 1, 1, True), ("part", "One", "pdf-outline", 1, 2, False), ("part", "Two", "pdf-outline", 3, 3, True), ("scan", "Document", "fallback", 1, 2, True),
+    ]
+    assert [r.body for r in got if r.is_empty] == ["(No extractable text in this range.)"] * 3
+    single = convert(spark.createDataFrame(rows, LINE), None, ConvertOptions(mode="single"), pages=frame).collect()
+    assert {(r.doc_id, r.title, r.end) for r in single} == {("listed", "Document", 1), ("part", "Document", 3), ("scan", "Document", 2)}
+    told = {r.doc_id: r.text for r in markdown_files(convert(spark.createDataFrame([], LINE), pages=frame)).collect()}
+    assert set(told) == {"listed", "part", "scan"} and told["scan"].endswith("- Pages: 1-2\n- Source: fallback\n\n(No extractable text in this range.)\n")
 
 
 def test_binder_ranks_in_ranges(spark):
