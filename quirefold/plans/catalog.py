@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quirefold.functions import text as T
 from quirefold.operators import dedup, grouping, layout, outline, post, readback, render, sections, tables
 from quirefold.operators.post import NOTHING
+from quirefold.plans import geometry
 from quirefold.plans.convert import ConvertOptions, convert, markdown_files, outlines, segment_rows
 from quirefold.sources.adapters import binder, prose
 
@@ -247,18 +248,6 @@ def q_table_overlap(spark, sf_dir):
     return boxes_outside_tables(table("lineitem")(spark, sf_dir))
 
 
-def q_reading_order(spark, sf_dir):
-    """Conversations as two-column pages: the user on the left, the assistant on the right."""
-    c = table("conversations")(spark, sf_dir).select("conv_id", "turn", "role", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("k", "text"))
-    x0 = F.when(F.col("role") == "user", 72.0).otherwise(324.0)
-    y0 = 40.0 + 12.0 * F.col("turn") + 3.0 * F.col("k")
-    rows = c.select(
-        F.col("conv_id").alias("doc_id"), F.lit(1).alias("page_no"), F.col("turn").cast("int").alias("block_no"), F.col("k").alias("line_no"), x0.alias("x0"),
-        y0.alias("y0"), (x0 + F.least(F.lit(216.0), 5.5 * F.length("text"))).alias("x1"), (y0 + 10).alias("y1"), "text",
-    )
-    return layout.reading_order(rows).select("doc_id", "block_no", "line_no", "seq")
-
-
 def q_paragraphs(spark, sf_dir):
     return layout.paragraphs(prose(documents(spark, sf_dir)))
 
@@ -431,21 +420,13 @@ def q_parts(spark, sf_dir):
 
 def queries() -> dict[str, Query]:
     own = {k[2:]: f for k, f in globals().items() if k.startswith("q_") and k not in ("q_files", "q_footnotes", "q_orphans", "q_parts")}
+    own |= geometry.queries()
     own |= {f"files_{m}": q_files(m) for m in ("single", "major", "sections")}
     own |= {"footnote_rebalance": q_footnotes(grouping.rebalanced), "orphan_markers": q_orphans, "parts_combined": q_parts}
     return own | {name: case(name) for name in CASES}
 
 
-BINDER = r"""
-pages AS (SELECT source || '-' || ((r - 1) // 10)::VARCHAR AS doc_id, ((r - 1) % 10 + 1)::INT AS page_no, text
-  FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents)),
-cut AS (SELECT doc_id, page_no, string_split(coalesce(text, ''), chr(10)) AS l FROM pages),
-flat AS (SELECT doc_id, page_no, len(l) AS n, unnest(range(0, len(l))) AS line_no, l FROM cut),
-lines AS (SELECT doc_id, page_no, line_no::INT AS line_no, l[line_no + 1] AS text,
-  CASE WHEN n > 1 THEN 40.0::DOUBLE + 700.0::DOUBLE * line_no / (n - 1) ELSE 40.0::DOUBLE END AS y0,
-  72.0::DOUBLE + least(468.0::DOUBLE, 5.5::DOUBLE * length(l[line_no + 1])) AS x1,
-  CASE WHEN line_no = 0 AND length(l[line_no + 1]) <= 60 THEN 18.0::DOUBLE WHEN length(l[line_no + 1]) <= 40 THEN 14.0::DOUBLE ELSE 10.0::DOUBLE END AS size
-  FROM flat)"""
+BINDER = geometry.lines_sql(geometry.volume_pages("612.0::DOUBLE", "792.0::DOUBLE"))
 CLEAN = "trim(regexp_replace(regexp_replace({}, '[\\x01-\\x1f\\x7f]', ' ', 'g'), '\\s+', ' ', 'g'))"
 KEY = "trim(regexp_replace(regexp_replace(lower(" + CLEAN + "), '<[^>]+>', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'))"
 MARGIN = KEY.format("regexp_replace(regexp_replace(regexp_replace(" + CLEAN + r", '^\d{{1,3}}\s+', ''), '\s+\d{{1,3}}$', ''), '(?i)^page\s+\d{{1,4}}\s*', '')")
@@ -484,7 +465,7 @@ rng AS (SELECT *, page_no AS start, greatest(page_no - 1, least(CASE WHEN np IS
 )
 NOISE = (
     BINDER
-    + ", banded AS (SELECT *, CASE WHEN y0 <= 79.2 THEN 'top' WHEN y0 + 10 >= 712.8 THEN 'bottom' END AS band FROM lines), normed AS (SELECT *, "
+    + ", banded AS (SELECT *, CASE WHEN y0 <= height * 0.1::DOUBLE THEN 'top' WHEN y0 + 10 >= height * 0.9::DOUBLE THEN 'bottom' END AS band FROM lines), normed AS (SELECT *, "
     + MARGIN.format("text")
     + """ AS norm FROM banded WHERE band IS NOT NULL),
 total AS (SELECT doc_id, count(DISTINCT page_no) AS n FROM lines GROUP BY doc_id),
@@ -492,6 +473,23 @@ noise AS (SELECT doc_id, band, norm FROM normed JOIN total USING (doc_id) WHERE
   GROUP BY doc_id, band, norm, total.n HAVING count(DISTINCT page_no) >= greatest(2, ceil(total.n * 0.15)))"""
 )
 
+NORMALIZED = f"""WITH RECURSIVE {HEADINGS}, o AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k, level, text, page_no, y0, {KEY.format('text')} AS norm FROM heads), nf AS (SELECT doc_id, k, true AS kept, level, text, page_no, y0, [{{'n': norm, 'p': page_no}}] AS recent, level AS last FROM o WHERE k = 1 UNION ALL SELECT doc_id, k, NOT again, lev, text, pg, y0, CASE WHEN again THEN recent ELSE list_append(recent[-7:], {{'n': norm, 'p': pg}}) END, CASE WHEN again THEN last ELSE lev END FROM (SELECT o.doc_id, o.k, o.text, o.y0, o.norm, f.recent, f.last, least(o.level, f.last + 1) AS lev, greatest(o.page_no, f.recent[-1].p) AS pg, len(list_filter(f.recent, lambda x: x.n = o.norm AND greatest(o.page_no, f.recent[-1].p) - x.p <= 2)) > 0 AS again FROM nf f JOIN o ON o.doc_id = f.doc_id AND o.k = f.k + 1)), kept AS (SELECT * FROM nf WHERE kept), alld AS (SELECT doc_id, k, level, text AS title, page_no AS page_start, 'text-heuristic' AS source, y0 FROM kept UNION ALL SELECT doc_id, 0, 1, 'Front Matter', 1, 'synthetic-front-matter', 0 FROM kept GROUP BY doc_id HAVING arg_min(page_no, k) > 1 OR arg_min(y0, k) > 2 UNION ALL SELECT DISTINCT doc_id, 1, 1, 'Document', 1, 'fallback', NULL FROM lines WHERE doc_id NOT IN (SELECT doc_id FROM kept)),
+found AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::INT AS pos, level, title, page_start, source, y0 FROM alld)"""
+#: Texts of one page and a blank one; a fifth of the documents have no text. The title's own lines are in its section's window.
+SCANNED = f"""{NORMALIZED},
+cut2 AS (SELECT *, lead(page_start) OVER w AS np, lead(y0) OVER w AS ny FROM found WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+part AS (SELECT *, page_start AS start, CASE WHEN np IS NULL THEN 2 ELSE np END AS finish, CASE WHEN np IS NULL THEN NULL ELSE ny END AS y_max FROM cut2),
+shown AS (SELECT p.doc_id, p.pos FROM part p JOIN lines l USING (doc_id)
+  WHERE {CLEAN.format('l.text')} <> '' AND l.y0 + 10 > coalesce(p.y0 + 0.5, 0) AND l.y0 < coalesce(p.y_max, l.height) AND coalesce(p.y_max, l.height) > coalesce(p.y0 + 0.5, 0)
+    AND NOT (l.y0 + 10 >= l.height * 0.9::DOUBLE AND regexp_matches({CLEAN.format('l.text')}, '(?i)^(page\\s+)?\\d{{1,4}}(\\s*(/|of)\\s*\\d{{1,4}})?$'))
+  GROUP BY ALL)
+SELECT doc_id, pos, level, title, source, start, finish::INT AS finish, shown.doc_id IS NULL AS is_empty,
+  CASE WHEN source = 'fallback' AND shown.doc_id IS NULL THEN '(No extractable text in this range.)' END AS fallback_body
+FROM part LEFT JOIN shown USING (doc_id, pos)
+UNION ALL
+SELECT doc_id, 0, 1, 'Document', 'fallback', 1, 2, true, '(No extractable text in this range.)' FROM documents WHERE doc_id % 5 = 0
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     sql = {name: case_sql(name) for name in CASES}
@@ -506,7 +504,7 @@ def oracle_sql() -> dict[str, str]:
         "noise_profile": f"WITH {NOISE} SELECT * FROM noise",
         "denoised_lines": f"WITH {NOISE} SELECT doc_id, page_no, count(*) AS n FROM banded b WHERE NOT (coalesce(band, '') = 'bottom' AND regexp_matches({clean('text')}, '(?i)^(page\\s+)?\\d{{1,4}}(\\s*(/|of)\\s*\\d{{1,4}})?$')) AND NOT EXISTS (SELECT 1 FROM noise WHERE noise.doc_id = b.doc_id AND noise.band = b.band AND noise.norm = {MARGIN.format('b.text')}) GROUP BY doc_id, page_no",
         "section_ranges": f"WITH RECURSIVE {RANGES} SELECT doc_id, pos, start, finish FROM rng",
-        "section_lines": f"WITH RECURSIVE {RANGES} SELECT r.doc_id, r.pos, count(*) AS n FROM rng r JOIN lines l ON l.doc_id = r.doc_id AND l.page_no BETWEEN r.start AND r.finish WHERE l.y0 + 10 > (CASE WHEN l.page_no = r.start THEN r.y0 + 0.5 ELSE 0 END) AND l.y0 < (CASE WHEN l.page_no = r.finish AND r.np = r.finish THEN r.ny ELSE 792 END) AND (CASE WHEN l.page_no = r.finish AND r.np = r.finish THEN r.ny ELSE 792 END) > (CASE WHEN l.page_no = r.start THEN r.y0 + 0.5 ELSE 0 END) GROUP BY r.doc_id, r.pos",
+        "section_lines": f"WITH RECURSIVE {RANGES} SELECT r.doc_id, r.pos, count(*) AS n FROM rng r JOIN lines l ON l.doc_id = r.doc_id AND l.page_no BETWEEN r.start AND r.finish WHERE l.y0 + 10 > (CASE WHEN l.page_no = r.start THEN r.y0 + 0.5 ELSE 0 END) AND l.y0 < (CASE WHEN l.page_no = r.finish AND r.np = r.finish THEN r.ny ELSE l.height END) AND (CASE WHEN l.page_no = r.finish AND r.np = r.finish THEN r.ny ELSE l.height END) > (CASE WHEN l.page_no = r.start THEN r.y0 + 0.5 ELSE 0 END) GROUP BY r.doc_id, r.pos",
         "table_overlap": "WITH b AS (SELECT l_orderkey AS doc_id, l_linenumber AS line_no, l_quantity * 2 AS x0, l_discount * 200 AS y0, l_quantity * 2 + 60 AS x1, l_discount * 200 + 12 AS y1 FROM lineitem) SELECT doc_id, line_no FROM b l WHERE line_no <= 3 AND NOT EXISTS (SELECT 1 FROM b t WHERE t.doc_id = l.doc_id AND t.line_no > 3 AND (greatest(least(l.x1, t.x1) - greatest(l.x0, t.x0), 0::DOUBLE) / greatest(l.x1 - l.x0, 1)) * (greatest(least(l.y1, t.y1) - greatest(l.y0, t.y0), 0::DOUBLE) / greatest(l.y1 - l.y0, 1)) >= 0.45)",
         "exact_dedupe": f"WITH c AS (SELECT source, doc_id AS para, {key('text')} AS norm, length(text) >= 80 AND len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) >= 12 AND NOT regexp_matches(text, '^(\\||#|- (Level|Pages|Source):)') AS cand FROM documents) SELECT source, para FROM c WHERE norm <> '' QUALIFY NOT cand OR row_number() OVER (PARTITION BY source, norm, cand ORDER BY para) = 1",
         "md_table": "SELECT r_name, '| Key | Name |' || chr(10) || '|---|---|' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || ' |', chr(10) ORDER BY n_nationkey) AS md FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name",
@@ -520,10 +518,10 @@ def oracle_sql() -> dict[str, str]:
         "viewer_groups": f"WITH RECURSIVE {HEADINGS}, v AS (SELECT doc_id, pos, level, last_value(CASE WHEN level = 1 THEN 'Sections/' || pos || '.md' END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos) AS shown_in FROM heads) SELECT doc_id, pos, shown_in, least(4, greatest(1, level))::INT AS depth FROM v WHERE shown_in IS NOT NULL",
         "segments": f"WITH RECURSIVE {HEADINGS}, n AS (SELECT doc_id, level, count(*) AS n FROM heads GROUP BY doc_id, level), m AS (SELECT doc_id, coalesce(min(level) FILTER (WHERE n >= 2), min(level)) AS major FROM n GROUP BY doc_id), o AS (SELECT heads.*, CASE WHEN level = major THEN pos END AS own FROM heads JOIN m USING (doc_id)), g AS (SELECT *, coalesce(max(own) OVER (PARTITION BY doc_id ORDER BY pos), min(own) OVER (PARTITION BY doc_id)) AS grp FROM o) SELECT doc_id, grp, max(text) FILTER (WHERE pos = grp) AS title, max(level) FILTER (WHERE pos = grp) AS level, arg_min(page_no, pos) AS page_start, arg_max(page_no, pos) + 1 AS page_end, sum(length(text))::BIGINT AS chars FROM g GROUP BY doc_id, grp",
         "wrapped_headings": f"WITH RECURSIVE {HEADINGS} SELECT doc_id, page_no, y0, size, text, line_no FROM joined",
-        "document_title": f"WITH {BINDER}, top AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY y0, line_no) AS k FROM (SELECT * REPLACE ({clean('text')} AS text) FROM lines WHERE page_no = 1 AND y0 <= 0.28::DOUBLE * 792) WHERE length(text) >= 12), fits AS (SELECT *, sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY k) - 1 AS n FROM top WHERE k <= 3), named AS (SELECT doc_id, string_agg(text, ' ' ORDER BY k) AS title FROM fits WHERE n <= 140 OR k = 1 GROUP BY doc_id) SELECT doc_id, coalesce(title, replace(doc_id, '-', ' ')) AS title FROM (SELECT DISTINCT doc_id FROM lines) LEFT JOIN named USING (doc_id)",
+        "document_title": f"WITH {BINDER}, top AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY y0, line_no) AS k FROM (SELECT * REPLACE ({clean('text')} AS text) FROM lines WHERE page_no = 1 AND y0 <= 0.28::DOUBLE * height) WHERE length(text) >= 12), fits AS (SELECT *, sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY k) - 1 AS n FROM top WHERE k <= 3), named AS (SELECT doc_id, string_agg(text, ' ' ORDER BY k) AS title FROM fits WHERE n <= 140 OR k = 1 GROUP BY doc_id) SELECT doc_id, coalesce(title, replace(doc_id, '-', ' ')) AS title FROM (SELECT DISTINCT doc_id FROM lines) LEFT JOIN named USING (doc_id)",
         "span_lines": f"WITH w AS (SELECT doc_id, i - 1 AS line_no, string_split(l[i], ' ') AS s FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))), p AS (SELECT doc_id, line_no, length(s[j])::DOUBLE AS size, {clean('s[j]')} AS t, j FROM (SELECT doc_id, line_no, s, unnest(range(1, len(s) + 1)) AS j FROM w)) SELECT doc_id, line_no::INT AS line_no, max(size) AS size, string_agg(t, ' ' ORDER BY j) AS text FROM p WHERE t <> '' GROUP BY doc_id, line_no",
         "toc_outline": "SELECT 'r' || n_regionkey AS doc_id, n_nationkey::INT AS pos, greatest(1, n_nationkey % 3)::INT AS level, n_name AS title, greatest(1, n_nationkey - 2)::INT AS page_start, 'pdf-outline' AS source FROM nation WHERE n_nationkey % 7 <> 0",
-        "outline_normalized": f"WITH RECURSIVE {HEADINGS}, o AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k, level, text, page_no, y0, {key('text')} AS norm FROM heads), nf AS (SELECT doc_id, k, true AS kept, level, text, page_no, y0, [{{'n': norm, 'p': page_no}}] AS recent, level AS last FROM o WHERE k = 1 UNION ALL SELECT doc_id, k, NOT again, lev, text, pg, y0, CASE WHEN again THEN recent ELSE list_append(recent[-7:], {{'n': norm, 'p': pg}}) END, CASE WHEN again THEN last ELSE lev END FROM (SELECT o.doc_id, o.k, o.text, o.y0, o.norm, f.recent, f.last, least(o.level, f.last + 1) AS lev, greatest(o.page_no, f.recent[-1].p) AS pg, len(list_filter(f.recent, lambda x: x.n = o.norm AND greatest(o.page_no, f.recent[-1].p) - x.p <= 2)) > 0 AS again FROM nf f JOIN o ON o.doc_id = f.doc_id AND o.k = f.k + 1)), kept AS (SELECT * FROM nf WHERE kept), alld AS (SELECT doc_id, k, level, text AS title, page_no AS page_start, 'text-heuristic' AS source FROM kept UNION ALL SELECT doc_id, 0, 1, 'Front Matter', 1, 'synthetic-front-matter' FROM kept GROUP BY doc_id HAVING arg_min(page_no, k) > 1 OR arg_min(y0, k) > 2 UNION ALL SELECT DISTINCT doc_id, 1, 1, 'Document', 1, 'fallback' FROM lines WHERE doc_id NOT IN (SELECT doc_id FROM kept)) SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::INT AS pos, level, title, page_start, source FROM alld",
+        "outline_normalized": f"{NORMALIZED} SELECT doc_id, pos, level, title, page_start, source FROM found",
         "paragraphs": f"WITH RECURSIVE cut AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents), flat AS (SELECT doc_id, len(l) AS n, unnest(range(0, len(l))) AS i, l FROM cut), ln AS (SELECT doc_id, i, CASE WHEN n > 1 THEN 40.0::DOUBLE + 700.0::DOUBLE * i / (n - 1) ELSE 40.0::DOUBLE END AS y0, {clean('l[i + 1]')} AS text FROM flat), own AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k, y0, text, regexp_matches(text, '^([•*-]|\\d+\\.)\\s') AS b FROM ln WHERE text <> ''), fold AS (SELECT doc_id, k, y0, b AS inside, 0 AS para, text FROM own WHERE k = 1 UNION ALL SELECT doc_id, k, y0, CASE WHEN fresh THEN b ELSE inside END, para + fresh::INT, CASE WHEN fresh THEN text WHEN regexp_matches(t0, '\\p{{L}}-$') AND regexp_matches(text, '^\\p{{L}}') THEN left(t0, length(t0) - 1) || text ELSE t0 || ' ' || text END FROM (SELECT n.*, f.inside, f.para, f.text AS t0, n.b OR (n.y0 - (f.y0 + 10) > 4 AND NOT (f.inside AND n.y0 - (f.y0 + 10) <= 10)) AS fresh FROM fold f JOIN own n ON n.doc_id = f.doc_id AND n.k = f.k + 1)) SELECT doc_id, 1 AS page_no, para, text FROM fold QUALIFY k = max(k) OVER (PARTITION BY doc_id, para)",
         "snapshot": "SELECT 3::BIGINT AS n, 'By Major Heading/b.MD' AS newest, 9 AS at, true AS outline_ready",
         "heartbeat": "SELECT * FROM (VALUES (0, 'exit'), (1, 'exit'), (2, 'working'), (3, 'working'), (4, 'working')) AS t(id, result)",
@@ -537,4 +535,12 @@ def oracle_sql() -> dict[str, str]:
         "orphan_markers": f"SELECT * FROM (VALUES ('a', 0, 'Text<sup>1</sup>.' || chr(10) || chr(10) || '<sup>1</sup> Note.'), ('a', 1, 'More text<sup>2</sup>.'), ('a', 2, '<sup>1</sup>')) AS t(doc_id, pos, body)",
         "parts_combined": "SELECT stem, replace(text, '~', chr(10)) AS text FROM (VALUES ('a', '# A~~- Level: 1~- Pages: 1-2~- Source: s~~one~~~two~~~ten~'), ('a', 'all'), ('b', '# A~~- Level: 1~- Pages: 1-2~- Source: s~~b')) AS t(stem, text)",
     }
+    # The same over pages of mixed sizes, and over conversations as pages.
+    other = geometry.lines_sql(geometry.MIXED_PAGES)
+    for name in ("noise_profile", "denoised_lines", "document_title"):
+        sql[f"mixed_{name}"] = sql[name].replace(BINDER, other)
+    sql["mixed_section_lines"] = sql["section_lines"].replace(BINDER, other).replace("count(*) AS n FROM rng", "count(*) AS n, max(l.height) AS height FROM rng")
+    sql["mixed_pages"] = f"SELECT doc_id, page_no, width, height FROM ({geometry.MIXED_PAGES})"
+    sql["reading_order"], sql["mixed_reading_order"] = geometry.order_sql(geometry.PLAIN_TALK), geometry.order_sql(geometry.MIXED_TALK)
+    sql["scanned_sections"] = SCANNED.replace(BINDER, geometry.lines_sql(geometry.SCANNED_PAGES))
     return sql
