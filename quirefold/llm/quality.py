@@ -3,7 +3,7 @@
 Only DataFrame functions are used. Per document: plain counts, then a vector of five transformed
 statistics in fixed point. Per pool of documents, a language and source, the estimate starts from
 robust moments, plain moments and moments of ``tries`` small subsets chosen by hash, and takes
-concentration steps until its determinant no longer changes: rank rows by Mahalanobis distance, keep the nearest
+concentration steps until its determinant no longer falls, however many that takes: rank rows by Mahalanobis distance, keep the nearest
 ``share`` and take their mean and covariance. The start with the least determinant wins; rows within
 the 97.5 % quantile of the chi-square then give the final mean and covariance. Documents are rejected
 beyond ``cutoff``, the quantile that one in 100,000 normal vectors exceeds. A pool whose median
@@ -27,7 +27,9 @@ no rows.
 
 from __future__ import annotations
 
+import logging
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,9 +46,9 @@ CHI2_MEDIAN = 4.35146
 #: Its quantiles at 0.975 and at 1 - 1e-5.
 CHI2_NEAR, CHI2_FAR = 12.8325, 30.8562
 SUBSET = 30  # rows of a start from a small subset, about
-MOST_STEPS = 12
 SYMBOLS = r"[#*$%&|<>]+"
 P = len(STATS)
+log = logging.getLogger(__name__)
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -229,20 +231,23 @@ def estimates(fit: DataFrame, light: bool, share: float, floors: tuple[float, ..
     """(pool, m, l, scale) of the minimum covariance determinant found, reweighted.
 
     A step reads the rows once: each bin of distance keeps its rows' sums, and those of the
-    nearest bins are added up. A start whose determinant no longer changes takes no further step.
+    nearest bins are added up. A start whose determinant no longer falls takes no further step. Falling
+    values of finitely many sets of rows come to an end, so no number of steps is set.
     """
     hint = F.broadcast if light else lambda x: x
     by = ["pool", "start"]
     moving, settled = stored(starts(fit, floors, tries, hint), "mcd"), []
-    for _ in range(MOST_STEPS):
+    for step in count(1):
         cells = binned(fit.join(hint(moving), "pool")).groupBy(*by, "bin").agg(*sums(), F.max("log_det").alias("_old"))
         near = running(cells, by).filter(F.expr(f"_run - n < _all * {share!r}D"))
         new = near.groupBy(*by).agg(*added(), F.max("_old").alias("_old"))
-        new = factored(moments(new, [*by, "_old"], floors)).selectExpr("*", "abs(log_det - _old) > 1e-6 as _moved")
+        new = factored(moments(new, [*by, "_old"], floors)).selectExpr("*", f"{step == 1} or log_det < _old - 1e-6D as _moved")
         new = stored(new.drop("_old"), "mcd")
         settled.append(new.filter("not _moved").drop("_moved"))
         moving = new.filter("_moved").drop("_moved")
-        if moving.isEmpty():
+        left = moving.count()
+        log.info("concentration step %d: %d starts still move", step, left)
+        if not left:
             break
     params = reduce(DataFrame.unionByName, settled, moving)
     best = Window.partitionBy("pool").orderBy("log_det", "start")
