@@ -8,6 +8,7 @@ from itertools import groupby
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quirefold.functions.text import clean_line
 from quirefold.operators import layout, post
 from quirefold.operators.layout import Line, Table
 from quirefold.operators.sections import window_of
@@ -35,6 +36,24 @@ def section_tables(ranges: DataFrame, tables: DataFrame) -> DataFrame:
     return cut.select("doc_id", "pos", "page_no", "x0", F.col("_y0").alias("y0"), "x1", F.col("_y1").alias("y1"), "md", layout.page_size(tables, "width").alias("width"))
 
 
+def page_blocks(lines: DataFrame, tables: DataFrame) -> DataFrame:
+    """(doc_id, page_no, seq, text): paragraphs and tables of whole pages in reading order.
+
+    Lines that a table covers go. ``tables`` are those of ``page_tables``; a page of tables alone is one too.
+    """
+    own = lines.select("doc_id", "page_no", "block_no", "line_no", "x0", "y0", "x1", "y1", clean_line(F.col("text")).alias("text"), F.lit(1).alias("kind"), layout.page_size(lines, "width").alias("width"))
+    own = layout.outside_tables(own.filter("text <> ''"), tables).select(own.columns)
+    drawn = tables.select("doc_id", "page_no", F.lit(0).alias("block_no"), F.lit(0).alias("line_no"), "x0", "y0", "x1", "y1", F.col("md").alias("text"), F.lit(2).alias("kind"), layout.page_size(tables, "width").alias("width"))
+    schema = f"doc_id {layout.key_type(own, 'doc_id')}, page_no int, seq int, text string"
+
+    def fold(k: tuple, rows: list[tuple]) -> Iterator[tuple]:
+        boxes = [[make(*r[4:9]) for r in rows if r[9] == kind] for kind, make in ((1, Line), (2, Table))]
+        for seq, text in enumerate(layout.page_blocks(*boxes, rows[0][10])):
+            yield (*k, seq, text)
+
+    return layout.streamed(own.unionByName(drawn), ["doc_id", "page_no"], ["kind", "block_no", "line_no"], fold, schema)
+
+
 def section_bodies(
     ranges: DataFrame, lines: DataFrame, tables: DataFrame | None = None, keep_footnotes: bool = False, autojunk: bool = True
 ) -> DataFrame:

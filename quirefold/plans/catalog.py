@@ -540,6 +540,7 @@ def oracle_sql() -> dict[str, str]:
     for name in ("noise_profile", "denoised_lines", "document_title"):
         sql[f"mixed_{name}"] = sql[name].replace(BINDER, other)
     sql["mixed_section_lines"] = sql["section_lines"].replace(BINDER, other).replace("count(*) AS n FROM rng", "count(*) AS n, max(l.height) AS height FROM rng")
+    sql["page_tables"] = geometry.PAGE_TABLES
     sql["mixed_pages"] = f"SELECT doc_id, page_no, width, height FROM ({geometry.MIXED_PAGES})"
     sql["reading_order"], sql["mixed_reading_order"] = geometry.order_sql(geometry.PLAIN_TALK), geometry.order_sql(geometry.MIXED_TALK)
     sql["scanned_sections"] = SCANNED.replace(BINDER, geometry.lines_sql(geometry.SCANNED_PAGES))

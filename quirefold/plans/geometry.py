@@ -9,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.operators import layout, outline, sections
+from quirefold.operators import bodies, layout, outline, sections
 from quirefold.plans.convert import convert
 from quirefold.sources.adapters import SHEETS, mixed_binder, partly_scanned, sheet
+from quirefold.sources.decoded import frames
+from quirefold.sources.web import decoded_web
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +85,27 @@ def q_scanned_sections(spark, sf_dir):
     return s.select("doc_id", "pos", "level", "title", "source", "start", F.col("end").alias("finish"), "is_empty", empty.alias("fallback_body"))
 
 
+def web_frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    return frames(decoded_web(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+
+
+def q_page_tables(spark, sf_dir):
+    """Tables found on web pages, with their places."""
+    return bodies.page_tables(web_frames(spark, sf_dir)[2]).drop("height")
+
+
+def q_page_blocks(spark, sf_dir):
+    """Web pages on sheets, back to paragraphs and tables in reading order."""
+    lines, _, cells, _ = web_frames(spark, sf_dir)
+    return bodies.page_blocks(lines, bodies.page_tables(cells))
+
+
+def q_web_sections(spark, sf_dir):
+    """Web pages through the whole plan: outline by font, bodies with their tables."""
+    lines, _, cells, pages = web_frames(spark, sf_dir)
+    return convert(lines, cells=cells, pages=pages)
+
+
 def side_sql(number: str, side: int) -> str:
     """A sheet's width (0) or height (1) by a text's number."""
     return f"CASE (({number}) % 4 + 4) % 4 " + " ".join(f"WHEN {k} THEN {s[side]}" for k, s in enumerate(SHEETS)) + " END::DOUBLE"
@@ -147,5 +170,21 @@ SELECT conv_id AS doc_id, turn::INT AS block_no, k AS line_no, x0, CASE WHEN rol
 FROM (SELECT *, CASE WHEN role = 'assistant' THEN width / 2 + 18 * (turn % 2) ELSE 36.0::DOUBLE END AS x0 FROM ({_TALKS.format(side_sql('conv_id', 0))}))"""
 
 
+#: The list of links heads each page, so its table starts at the top margin; named entities as letters.
+_TEXT = "{}"
+for _name, _letter in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+    _TEXT = f"replace({_TEXT}, '{_name}', '{_letter}')"
+_CELL = f"replace(trim(regexp_replace({_TEXT}, '\\s+', ' ', 'g')), '|', '\\|')"
+PAGE_TABLES = f"""
+WITH nav AS (SELECT page_id, regexp_extract_all(regexp_extract(html, '<nav>.*?</nav>', 0), '<a href="([^"]*)">', 1) AS h,
+  regexp_extract_all(regexp_extract(html, '<nav>.*?</nav>', 0), '<a href="[^"]*">([^<]*)</a>', 1) AS t, {side_sql('page_id', 0)} AS width FROM pages),
+cells AS (SELECT page_id, width, len(t) AS n, i, t[i] AS t, h[i] AS h FROM (SELECT *, unnest(range(1, len(t) + 1)) AS i FROM nav)),
+rows_ AS (SELECT page_id, width, n, i, '| ' || {_CELL.format('t')} || ' | ' || {_CELL.format('h')} || ' |' AS line FROM cells)
+SELECT page_id::VARCHAR AS doc_id, 1 AS page_no, 72.0::DOUBLE AS x0, 100.0::DOUBLE AS y0, CASE WHEN page_id % 2 = 1 THEN 72 + (width - 180) / 2 ELSE width - 72 END AS x1,
+  100 + 14.0::DOUBLE * n AS y1, string_agg(line || CASE WHEN i = 1 THEN chr(10) || '|---|---|' ELSE '' END, chr(10) ORDER BY i) AS md, width
+FROM rows_ GROUP BY page_id, width, n HAVING n > 1
+"""
+
+
 def queries() -> dict:
     return {k[2:]: f for k, f in globals().items() if k.startswith("q_")}
