@@ -194,16 +194,20 @@ def resolved_sections(wanted: DataFrame, files: DataFrame) -> DataFrame:
     return wanted.join(have, "path", "left").withColumn("message", message).drop("_ok")
 
 
-def snapshot(files: DataFrame) -> DataFrame:
-    """(n, newest, at, outline_ready) of a listing (path, modified), paths from the output folder.
+def snapshot(files: DataFrame, now: Column | None = None) -> DataFrame:
+    """(doc_id, n, newest, age, outline_ready) of a listing (doc_id, path, modified), paths from the output folder.
 
-    Markdown files of the output folders count, but outline.md doesn't.
+    Markdown files of the output folders count, but outline.md doesn't. ``age`` is in whole seconds up
+    to ``now``, -1 if there is no such file; of files of the same time the last by name is the newest.
     """
     folder, name = F.regexp_extract("path", r"^(.*/)?[^/]*$", 1), F.regexp_extract("path", r"([^/]*)$", 1)
     md = folder.isin(*FOLDERS) & F.lower(name).endswith(".md") & ~((folder == "") & (F.lower(name) == "outline.md"))
-    ready = F.coalesce(F.max(F.col("path") == "outline.json"), F.lit(False))
-    newest = F.coalesce(F.max_by(F.when(md, F.col("path")), F.when(md, F.col("modified"))), F.lit("none"))
-    return files.agg(F.count(F.when(md, 1)).alias("n"), newest.alias("newest"), F.max(F.when(md, F.col("modified"))).alias("at"), ready.alias("outline_ready"))
+    own = files.withColumn("_md", md)
+    when = F.max(F.when(F.col("_md"), F.struct("modified", "path"))).alias("_new")
+    told = own.groupBy("doc_id").agg(F.count(F.when(F.col("_md"), 1)).alias("n"), when, F.max(F.col("path") == "outline.json").alias("outline_ready"))
+    seconds = F.unix_seconds(F.current_timestamp() if now is None else now) - F.unix_seconds(F.col("_new.modified"))
+    age = F.when(F.col("_new").isNull(), -1).otherwise(F.greatest(F.lit(0), seconds)).cast("bigint")
+    return told.select("doc_id", "n", F.coalesce("_new.path", F.lit("none")).alias("newest"), age.alias("age"), "outline_ready")
 
 
 def heartbeat(stage: Column, sections: Column, file_age: Column, idle: Column, outline_ready: Column) -> Column:

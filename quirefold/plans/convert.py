@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quirefold.functions.text import clean_line, slugify
 from quirefold.operators import bodies, grouping, layout, outline, render, sections, tables
-from quirefold.plans.sinks import json_file
+from quirefold.plans.sinks import folder_names, json_file
 from quirefold.store import stored
 
 
@@ -100,7 +100,7 @@ def with_files(converted: DataFrame, mode: str) -> DataFrame:
     if mode == "major":
         name = F.when(F.col("grp") == F.col("pos"), F.concat(F.lit("By Major Heading/"), F.col("file")))
         return grouping.major_groups(s).withColumn("section_file", name)
-    return s.withColumn("section_file", F.when(F.col("pos") == 0, F.concat("doc_id", F.lit(".md"))))
+    return s.withColumn("section_file", F.when(F.col("pos") == 0, F.concat(folder_names(F.col("doc_id").cast("string")), F.lit(".md"))))
 
 
 def markdown_files(converted: DataFrame, options: ConvertOptions | None = None) -> DataFrame:
