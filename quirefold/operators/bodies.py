@@ -76,10 +76,10 @@ def section_bodies(
     )
     schema = f"doc_id {layout.key_type(ranges, 'doc_id')}, pos int, body string, is_empty boolean"
 
-    def fold(k: tuple, rows: list[tuple]) -> Iterator[tuple]:
-        title, _, next_title = rows[0][9].partition("\n")
-        pages = []
-        for _, page in groupby(rows[1:], key=lambda r: r[2]):
+    def fold(k: tuple, rows: Iterator[tuple]) -> Iterator[tuple]:
+        title, _, next_title = next(rows)[9].partition("\n")
+        pages = []  # texts; lines are held for a page at a time
+        for _, page in groupby(rows, key=lambda r: r[2]):
             own = list(page)
             box = lambda kind, make, own=own: [make(*r[5:10]) for r in own if r[10] == kind]
             blocks = layout.page_blocks(box(1, Line), box(2, Table), own[0][11])
@@ -88,4 +88,4 @@ def section_bodies(
         body = post.cleaned_section("\n\n".join(pages).strip() or post.NOTHING, title, next_title or None)
         yield (*k, post.post_processed(body, keep_footnotes, autojunk), not pages)
 
-    return layout.streamed(heads.unionByName(own), ["doc_id", "pos"], ["page_no", "kind", "block_no", "line_no"], fold, schema)
+    return layout.streamed(heads.unionByName(own), ["doc_id", "pos"], ["page_no", "kind", "block_no", "line_no"], fold, schema, whole=False)

@@ -199,11 +199,14 @@ def page_blocks(lines: list[Line], tables: list[Table], width: float) -> list[st
     return [b for b in blocks if clean(b)]
 
 
-def streamed(df: DataFrame, by: list[str], order: list[str], fold: Callable[[tuple, list[tuple]], Iterator[tuple]], schema: str | StructType) -> DataFrame:
+def streamed(
+    df: DataFrame, by: list[str], order: list[str], fold: Callable[[tuple, Iterable[tuple]], Iterator[tuple]], schema: str | StructType, whole: bool = True
+) -> DataFrame:
     """Folds each group of rows, in ``order``, into rows of ``schema``; one group is held at a time.
 
-    ``fold`` gets the group's key and its rows as tuples of df's columns. Groups are dealt by key and
-    stream through one Python worker per partition, with no start-up cost per group.
+    ``fold`` gets the group's key and its rows as tuples of df's columns: a list, or, if not ``whole``,
+    an iterator that holds no row which was passed. Groups are dealt by key and stream through one
+    Python worker per partition, with no start-up cost per group.
     """
     columns, at = df.columns, [df.columns.index(c) for c in by]
     dealt = df.repartition(*by).sortWithinPartitions(*by, *order)
@@ -213,7 +216,7 @@ def streamed(df: DataFrame, by: list[str], order: list[str], fold: Callable[[tup
         rows = (r for b in batches for r in zip(*[b.column(c).to_pylist() for c in columns], strict=True))
         out: list[tuple] = []
         for k, group in groupby(rows, key=lambda r: tuple(r[i] for i in at)):
-            out.extend(fold(k, list(group)))
+            out.extend(fold(k, list(group) if whole else group))
             if len(out) >= 5000:
                 yield batch(out)
                 out = []

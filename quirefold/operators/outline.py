@@ -72,7 +72,7 @@ def wrapped_headings(headings: DataFrame) -> DataFrame:
         if now:
             yield now
 
-    return streamed(own, ["doc_id"], ["page_no", "y0", "block_no", "line_no"], fold, schema)
+    return streamed(own, ["doc_id"], ["page_no", "y0", "block_no", "line_no"], fold, schema, whole=False)
 
 
 def normalized(outline: DataFrame) -> DataFrame:

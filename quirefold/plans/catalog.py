@@ -1,164 +1,28 @@
 """Queries over the test tables, and the SQL that says what each should return.
 
-``case`` queries run an operator on hand-written rows; their SQL is a table of expected rows worked
-out from the operator's description, never from its output. The rest run on the test tables.
+Those of ``cases`` run single operators on worked cases filled from every document, those of
+``geometry`` on pages of mixed sizes, scans and web pages.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirefold.functions import text as T
-from quirefold.operators import dedup, grouping, layout, outline, post, readback, render, sections, tables
-from quirefold.operators.post import NOTHING
-from quirefold.plans import geometry
-from quirefold.plans.convert import ConvertOptions, convert, markdown_files, outlines, segment_rows
+from quirefold.operators import dedup, grouping, layout, outline, readback, render, sections, tables
+from quirefold.plans import cases, geometry
+from quirefold.plans.convert import ConvertOptions, convert, files, markdown_files, outlines, segment_rows, with_files
+from quirefold.plans.sinks import write_files
+from quirefold.sources import written
 from quirefold.sources.adapters import binder, prose
+from quirefold.store import shared_dir, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-#: A paragraph long enough to be judged a repeat.
-PROSE = "The quick brown fox jumps over the lazy dog while twelve more words follow on to make it long enough."
-
-#: name: (function, [(input, expected), ...])
-CASES: dict[str, tuple[Callable[[Column], Column], list[tuple[str, object]]]] = {
-    "case_clean_line": (T.clean_line, [("  a\tb  ", "a b"), ("a\x01b", "a b"), ("a  b", "a b"), ("", "")]),
-    "case_clean_paragraph": (T.clean_paragraph, [("a \n\n b", "a b"), ("\n", "")]),
-    "case_console_text": (T.console_text, [("é a", "? a"), ("x" * 90, "x" * 80)]),
-    "case_slugify": (T.slugify, [("Hello, World!", "hello-world"), ("***", "section"), ("a" * 70, "a" * 64)]),
-    "case_match_key": (T.match_key, [("A <b>Bold</b> Title!", "a bold title"), ("Été", "t"), ("***", "")]),
-    "case_margin_key": (T.margin_key, [("12 Guide 3", "guide"), ("Page 3 Notes", "notes"), ("Page 3", "page"), ("Page 3 of 10", "of")]),
-    "mojibake": (T.repair_mojibake, [("itâ€™s", "it’s"), ("aÂ b", "a b"), ("plain", "plain"), *[(T.garbled(c, n), c) for c in "•–—‘’“”…" for n in (1, 2)]]),
-    "mojibake_compat": (lambda c: T.repair_mojibake(c, compat=True), [(T.garbled("•", 3), "â€¢"), (T.garbled("–", 2), "â€“"), (T.garbled("…", 2), "â€¦"), ("â€¢", "â€¢")]),
-    "page_number_lines": (T.is_page_number, [("12", True), ("Page 3 of 10", True), ("3/10", True), ("12345", False), ("page", False)]),
-    "bullet_lines": (T.is_bullet, [("• a", True), ("- a", True), ("12. a", True), ("-a", False), ("a - b", False)]),
-    "case_heading_shape": (T.heading_shaped, [("abc", False), ("Intro", True), ("- Intro", False), ("one two three four five six seven eight nine.", False)]),
-    "case_cell_escape": (T.cell_escape, [("a|b", "a\\|b")]),
-    "case_html_escape": (T.html_escape, [("<a href=\"x\">&'", "&lt;a href=&quot;x&quot;&gt;&amp;&#39;")]),
-    "html_escape_sup": (lambda c: T.html_escape(c, keep_sup=True), [("a<SUP> 12 </sup> <b>", "a<sup>12</sup> &lt;b&gt;"), ("<sup>1234</sup>", "&lt;sup&gt;1234&lt;/sup&gt;")]),
-    "section_cleanup": (
-        post.step(lambda b: post.cleaned_section(b, "Scope", "Methods")),
-        [
-            ("Scope\n\nText of the part stays.\n\nMethods", "Text of the part stays."), ("Guide Affiliates 3\n\nBody text here.\n\nRunning Head", "Body text here."),
-            ("Scope", NOTHING), ("12 A numbered line that is long enough\n\nkept.", "kept."), ("Extract 4 One.\n\nAll in\nLower case", "One.\n\nAll in\nLower case"), ("", NOTHING),
-        ],
-    ),
-    "post_readability": (
-        post.step(post.readability),
-        [
-            ("Extract 3 Text", "Text"), ("** EXTRACT 12\nText", "Text"), ("• item", "- item"), ("*item", "- item"), ("word 12 next", "word <sup>12</sup> next"),
-            ("end.3 x", "end.<sup>3</sup> x"), ("123 The word", "<sup>123</sup> The word"), ("19 | Header", "19 | Header"), ("a\n\n\n\nb", "a\n\nb"),
-        ],
-    ),
-    "post_definition_breaks": (post.step(post.definition_breaks), [("<sup>1</sup> Note\nmore", "<sup>1</sup> Note\n\nmore"), ("x <sup>123</sup> y\nz", "x <sup>123</sup> y\n\nz"), ("a\nb", "a\nb")]),
-    "post_attach_markers": (
-        post.step(post.attach_markers),
-        [("Text.\n\n<sup>1</sup> Note", "Text. <sup>1</sup>\n\n<sup>1</sup> Note"), ("Text<sup>1</sup>.\n\n<sup>1</sup> Note", "Text<sup>1</sup>.\n\n<sup>1</sup> Note"), ("<sup>1</sup> Note", "<sup>1</sup> Note")],
-    ),
-    "post_definitions_last": (post.step(post.definitions_last), [("<sup>1</sup> N\n\nBody", "Body\n\n<sup>1</sup> N"), ("a\n\n\n\nb", "a\n\nb")]),
-    "post_stitch": (post.step(post.stitch), [("Open text\n\ngoes on", "Open text goes on"), ("Done.\n\ngoes on", "Done.\n\ngoes on"), ("a <sup>1</sup>\n\nB.\n\ngoes on", "a <sup>1</sup> goes on\n\nB.")]),
-    "post_dot_leaders": (
-        post.step(post.dot_leaders),
-        [
-            ("A .... 1\nB . . . . 2\n\nC|D....<sup>3</sup>\n\nend", "| Section | Page |\n|---|---:|\n| A | 1 |\n| B | 2 |\n| C\\|D | 3 |\n\nend"),
-            ("A .... 1\nB .... 2", "A .... 1\nB .... 2"), ("A .... 1\nB .... 2\nC .... 1234", "A .... 1\nB .... 2\nC .... 1234"),
-        ],
-    ),
-    "post_course_tables": (
-        post.step(post.course_tables),
-        [
-            (
-                "Courses\n\nGrade\nCourse Name\nCourse Type\nCourse Code\nPrerequisite\n10\nComputer Studies\nOpen\nICS2O\nNone\n11\nIntro to Science\nUniversity\nICS3U\nNone\n12\n"
-                "Computer Science\nUniversity\nICS4U\nGrade 11 Introduction to Computer Science, University\n\nNote: end",
-                "Courses\n\n| Grade | Course | Type | Code | Prerequisite |\n|---:|---|---|---|---|\n| 10 | Computer Studies | Open | ICS2O | None |\n| 11 | Intro to Science | University | ICS3U | None |\n"
-                "| 12 | Computer Science | University | ICS4U | Grade 11 Introduction to Computer Science, University |\n\nNote: end",
-            ),
-            ("Grade\nCourse Name\nCourse Type\nCourse Code\n10\nA\nOpen\nICS2O", "Grade\nCourse Name\nCourse Type\nCourse Code\n10\nA\nOpen\nICS2O"),
-        ],
-    ),
-    "post_as_follows": (
-        post.step(post.as_follows),
-        [("It is as follows:\nA. one\nB. two\nprose", "It is as follows:\n- A. one\n- B. two\nprose"), ("AS FOLLOWS:\n* A. one •\n\n- B.  two\n| x |\nC. y", "AS FOLLOWS:\n- A. one\n\n- B. two\n| x |\nC. y")],
-    ),
-    "post_redundant_table_headers": (
-        post.step(post.redundant_table_headers),
-        [
-            ("Categories\nLevel 1\nLevel 2\nLevel 3\nLevel 4\n| a | b |", "| a | b |"), ("Intro\n\ncategories\n\nlevel 1\nLevel 2\nLevel 3\nLevel 4\n| a | b |", "Intro\n\n| a | b |"),
-            ("Categories\nLevel 1\nLevel 2\nLevel 3\nLevel 4 ", "Categories\nLevel 1\nLevel 2\nLevel 3\nLevel 4 "),
-        ],
-    ),
-    "post_repeated_headers": (
-        post.step(post.repeated_headers),
-        [(f"{post.RUBRIC_HEAD}\n{post.RUBRIC_RULE}\n| a | b | c | d | e |\n{post.RUBRIC_HEAD}\n{post.RUBRIC_RULE}\n| f | g | h | i | j |", f"{post.RUBRIC_HEAD}\n{post.RUBRIC_RULE}\n| a | b | c | d | e |\n| f | g | h | i | j |")],
-    ),
-    "post_row_prefixes": (post.step(post.row_prefixes), [("<sup>19</sup> | x |", "| x |")]),
-    "post_detached_text": (post.step(post.detached_text), [("| a | b | tail", "| a | b |\n\ntail")]),
-    "post_bullet_runs": (post.step(post.bullet_runs), [("a • b • c", "- a\n- b\n- c"), ("- a • b", "- a\n- b"), ("# a • b", "# a • b"), ("* a • b", "* a • b"), ("• a", "• a")]),
-    "post_bullet_glyphs": (post.step(post.bullet_glyphs), [("a • b", "a b"), ("a\t\tb", "a b")]),
-    "post_no_sup": (post.step(post.no_sup), [("a<sup>1</sup>", "a1"), ("19 | Header", "| Header"), ("  123 | x", "| x")]),
-    "body_dedupe": (post.step(post.unrepeated), [(f"{PROSE}\n\nshort\n\n{PROSE.upper()}\n\nshort", f"{PROSE}\n\nshort\n\nshort"), (f"{PROSE}\n\n{PROSE[:-6]}tails", PROSE), ("***", NOTHING), ("", "")]),
-    "md_to_html": (
-        lambda c: render.markdown_html(c),
-        [
-            ("# T\ntext", "<h1>T</h1>\n<p>text</p>"), ("- a\n  goes on\n\n* b<sup>2</sup>\nend", "<ul>\n<li>a goes on</li>\n<li>b<sup>2</sup></li>\n</ul>\n<p>end</p>"),
-            ("| a | b |\n|---|:--:|\n| 1 | 2 |", "<p>| a | b |</p>\n<p>|---|:--:|</p>\n<p>| 1 | 2 |</p>"),
-            ("a | b\n---|:---:\n| 1 | < |\n\nx", "<table><thead><tr>\n<th>a</th>\n<th>b</th>\n</tr></thead><tbody>\n<tr>\n<td>1</td>\n<td>&lt;</td>\n</tr>\n</tbody></table>\n<p>x</p>"),
-        ],
-    ),
-    "error_class": (
-        readback.error_class,
-        [("mupdf: No objects found", "corrupt"), ("FzErrorFormat: x", "corrupt"), ("PermissionError: x", "locked"), ("[WinError 32]", "locked"), ("EBUSY: permission denied", "other"), ("boom", "other")],
-    ),
-    "failure_message": (
-        lambda c: readback.failure_message(F.lit(2), c, F.lit("/x/my file.pdf")),
-        [("", "Conversion failed with exit code 2."), (" boom ", "Conversion failed with exit code 2.\n\nboom"), ("WinError 32", readback.LOCKED_TEXT), ("no objects found", "my file.pdf".join(readback.CORRUPT_TEXT) + "\n\nTechnical details:\nno objects found")],
-    ),
-    "dropped_path": (
-        readback.dropped_path,
-        [("file:///C:/a%20b.pdf", "C:/a b.pdf"), ("\"/x/y.pdf\"", "/x/y.pdf"), ("file:///x/a+b.pdf", "/x/a+b.pdf"), ("file://localhost/x.pdf", "/x.pdf"), ("file://other/x.pdf", ""), ("/C:/x.pdf", "C:/x.pdf")],
-    ),
-    "path_tokens": (
-        lambda c: F.array_join(readback.path_tokens(c), "¦"),
-        [("see \"a b.PDF\"\r\nfile:/x/y.pdf now", "see \"a b.PDF\"¦a b.PDF¦file:/x/y.pdf now¦file:/x/y.pdf¦e:/x/y.pdf"), ("at C:\\d\\e.pdf", "at C:\\d\\e.pdf¦C:\\d\\e.pdf"), ("/C:/d.pdf", "/C:/d.pdf¦C:/d.pdf¦/C:/d.pdf"), ("", "")],
-    ),
-    "ellipsized_path": (
-        readback.ellipsized,
-        [("/home/user/documents/archive/2020/january/file.pdf", "home/user/.../file.pdf"), ("/a/b.pdf", "/a/b.pdf"), ("C:\\Users\\someone\\Documents\\archive\\file.pdf", "C:\\Users\\...\\file.pdf"), ("x" * 50, "x" * 50)],
-    ),
-    "user_error": (
-        readback.user_error,
-        [
-            ("Error: Bad file\nTechnical details: x", "Bad file"), ("plain", "plain"), ("", readback.FALLBACK), ("Error invoking remote method 'run': Error: No\n  PROGRESS: 3", "No"),
-            ("y" * 500, "y" * 417 + "..."), ("x" * 416 + "  " + "y" * 9, "x" * 416 + "..."),
-        ],
-    ),
-    "without_preamble": (readback.without_preamble, [("# A\n\n- Level: 1\n- Pages: 1-2\n- Source: s\n\nText", "Text"), ("# A\n\nText", "# A\n\nText"), ("x\n# A\n\n- Level: 1\n- Pages: 1-2\n- Source: s\n\nText", "x\n# A\n\n- Level: 1\n- Pages: 1-2\n- Source: s\n\nText")]),
-    "without_metadata": (readback.without_metadata, [("# A\n\n- Level: 1\n- Pages: 1-2\n- Source: s\n\nText", "# A\n\nText"), ("# A\n\nText", "# A\n\nText")]),
-    "has_metadata": (readback.has_metadata, [("# A\n\n- Level: 1\n- Pages: 1-2\n- Source: s\n\nText", True), ("# A\n\n- Level: 1\n\nText", False)]),
-    "heading_offset": (lambda c: readback.heading_offset(c, F.lit("The (End)")), [("x the (end)\n\n## the (END) \nmore", "13"), ("x the (end)", "2"), ("none", "-1")]),
-    "local_time": (lambda c: readback.local_time(F.try_to_timestamp(c)), [("2024-03-05 06:07:08", "2024-03-05 06:07"), ("never", "unknown")]),
-}
-
-
-def case(name: str) -> Query:
-    f, rows = CASES[name]
-    kind = "boolean" if isinstance(rows[0][1], bool) else "string"
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(rows)], "id int, x string")
-        return df.select("id", f(F.col("x")).cast(kind).alias("result"))
-
-    return run
-
-
-def case_sql(name: str) -> str:
-    quote = lambda v: str(v).upper() if isinstance(v, bool) else "'" + v.replace("'", "''") + "'"
-    return "SELECT * FROM (VALUES " + ", ".join(f"({i}, {quote(y)})" for i, (_, y) in enumerate(CASES[name][1])) + ") AS t(id, result)"
-
-
 def table(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -346,50 +210,6 @@ def q_toc_anchors(spark, sf_dir):
     return outline.anchored(o, lines).select("doc_id", "pos", F.round("y0", 6).alias("y0"))
 
 
-def q_snapshot(spark, sf_dir):
-    rows = [("Sections/a.md", 5), ("By Major Heading/b.MD", 9), ("outline.md", 99), ("outline.json", 3), ("Sections/deep/c.md", 77), ("whole.md", 1)]
-    return readback.snapshot(spark.createDataFrame(rows, "path string, modified int"))
-
-
-def q_heartbeat(spark, sf_dir):
-    rows = [("Core extraction complete", 0, 0, 0, False), ("x", 3, 12, 12, True), ("x", 3, 11, 12, True), ("x", 0, 50, 50, True), (None, 3, 50, 50, False)]
-    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "id int, stage string, n int, age int, idle int, ready boolean")
-    return df.select("id", readback.heartbeat(*[F.col(c) for c in ("stage", "n", "age", "idle", "ready")]).alias("result"))
-
-
-def q_resolved_drop(spark, sf_dir):
-    rows = [(1, ["/x/a.txt", "/x/b.pdf"], ["a.txt", "b.pdf"], []), (2, [], [], ["file:///x/gone.pdf"]), (3, ["/x/a.txt"], ["a.txt"], []), (4, [], [], ["see \"/x/c.pdf\""]), (5, [], [], [])]
-    drops = spark.createDataFrame(rows, "drop_id int, paths array<string>, names array<string>, texts array<string>")
-    return readback.resolved_drop(drops, spark.createDataFrame([("/x/b.pdf",), ("/x/c.pdf",), ("/x/a.txt",)], "path string"))
-
-
-def q_valid_paths(spark, sf_dir):
-    rows = [(1, "/x/b.PDF"), (2, " "), (3, "/x/a.txt"), (4, "/x/no.pdf"), (5, None)]
-    found = readback.validated(spark.createDataFrame(rows, "id int, path string"), spark.createDataFrame([("/x/b.PDF",)], "path string"))
-    return found.select("id", "ok", "message")
-
-
-def q_resolved_sections(spark, sf_dir):
-    rows = [(1, "Sections/a.md"), (2, "../a.md"), (3, "Sections/no.md"), (4, "Sections/../whole.md"), (5, "a/../../b.md")]
-    listing = spark.createDataFrame([("Sections/a.md",), ("Sections/../whole.md",), ("../a.md",)], "path string")
-    return readback.resolved_sections(spark.createDataFrame(rows, "id int, path string"), listing).select("id", "message")
-
-
-def q_outline_payload(spark, sf_dir):
-    rows = [("d", 0, "Sections/a.md"), ("d", 1, "Sections/gone.md"), ("d", 2, "../x.md"), ("d", 3, None)]
-    listing = spark.createDataFrame([("d", "Sections/a.md"), ("d", "../x.md")], "doc_id string, path string")
-    return readback.outline_with_files(spark.createDataFrame(rows, "doc_id string, pos int, section_file string"), listing)
-
-
-def q_rubric_tables(spark, sf_dir):
-    rows = [
-        (1, [["a", "b"], ["1", "x|y"], ["--", "---"], ["", None]]), (2, [["Some Categories", "Level 1", "Level 2", "Level 3", "Level 4 (top)"], ["k", "1", "2", "3", "4"]]),
-        (3, [["k", "1", "2", "3", "4"], ["Categories", "Level 1", "L2", "L3", "Level 4"]]), (4, [["a"], ["b"]]), (5, [["a", "b"], ["", ""]]), (6, [["a", "b"], ["c"]]),
-    ]
-    df = spark.createDataFrame(rows, "id int, cells array<array<string>>")
-    return df.select("id", tables.markdown_table(F.col("cells")).alias("md"))
-
-
 def q_html_escape(spark, sf_dir):
     return table("pages")(spark, sf_dir).select("page_id", T.html_escape(F.col("html")).alias("html"))
 
@@ -402,28 +222,32 @@ def q_files(mode: str) -> Query:
     return lambda spark, sf_dir: markdown_files(convert(lines_of(spark, sf_dir), options=ConvertOptions(mode=mode)), ConvertOptions(mode=mode))
 
 
-def q_footnotes(f) -> Query:
-    rows = [("a", 0, "Text<sup>1</sup> here."), ("a", 1, "Other.\n\n<sup>1</sup> The note.")]
-    return lambda spark, sf_dir: f(spark.createDataFrame(rows, "doc_id string, pos int, body string"))
+def written_out(spark: SparkSession, sf_dir: str) -> str:
+    """Converts volumes and writes their files, without those of every seventh entry; tells where."""
+    converted = stored(convert(lines_of(spark, sf_dir)), "converted")
+    gone = with_files(converted, "sections").filter("pos % 7 = 3").select("doc_id", F.col("section_file").alias("file"))
+    root = f"{shared_dir(spark)}/quirefold/files-{uuid.uuid4().hex}"
+    write_files(files(converted).join(gone, ["doc_id", "file"], "left_anti"), root)
+    return root
 
 
-def q_orphans(spark, sf_dir):
-    rows = [("a", 0, "Text<sup>1</sup>.\n\n<sup>1</sup> Note."), ("a", 1, "More <sup>1</sup> text<sup>2</sup>."), ("a", 2, "\n<sup>1</sup> ")]
-    return grouping.orphan_markers(spark.createDataFrame(rows, "doc_id string, pos int, body string"))
+def q_outline_payload(spark, sf_dir):
+    """Outlines written to disk and read back; entries whose file isn't there have none."""
+    found = written.outlines(spark, written_out(spark, sf_dir))
+    return found.select("doc_id", "pos", "id", "level", "title", "page_start", "source", "section_file")
 
 
-def q_parts(spark, sf_dir):
-    head = "# A\n\n- Level: 1\n- Pages: 1-2\n- Source: s\n\n"
-    rows = [("a-part-2.md", head + "two\n"), ("A-PART-10.md", head + "ten\n"), ("a-part-1.md", head + "one\n"), ("a.md", "all"), ("b-part-3.md", head + "b")]
-    return readback.combined_parts(spark.createDataFrame(rows, "path string, text string"))
+def q_snapshot(spark, sf_dir):
+    """The state of every document's folder on disk."""
+    found = readback.snapshot(written.listed(spark, written_out(spark, sf_dir)))
+    return found.select("doc_id", "n", "outline_ready", (F.col("age") >= 0).alias("is_aged"), F.col("newest").startswith("Sections/").alias("in_sections"))
 
 
 def queries() -> dict[str, Query]:
-    own = {k[2:]: f for k, f in globals().items() if k.startswith("q_") and k not in ("q_files", "q_footnotes", "q_orphans", "q_parts")}
-    own |= geometry.queries()
+    own = {k[2:]: f for k, f in globals().items() if k.startswith("q_") and k != "q_files"}
+    own |= geometry.queries() | cases.queries()
     own |= {f"files_{m}": q_files(m) for m in ("single", "major", "sections")}
-    own |= {"footnote_rebalance": q_footnotes(grouping.rebalanced), "orphan_markers": q_orphans, "parts_combined": q_parts}
-    return own | {name: case(name) for name in CASES}
+    return own
 
 
 BINDER = geometry.lines_sql(geometry.volume_pages("612.0::DOUBLE", "792.0::DOUBLE"))
@@ -490,9 +314,35 @@ UNION ALL
 SELECT doc_id, 0, 1, 'Document', 'fallback', 1, 2, true, '(No extractable text in this range.)' FROM documents WHERE doc_id % 5 = 0
 """
 
+#: Anchors of contents, one after the other on each page; every entry carries the lines that fit it.
+ANCHORS = f"""WITH RECURSIVE {BINDER},
+keyed AS MATERIALIZED (SELECT doc_id, page_no, line_no, y0, text, {KEY.format('text')} AS n FROM lines),
+toc AS (SELECT doc_id, page_no, array_to_string(string_split(text, ' ')[1:3], ' ') AS title, row_number() OVER (PARTITION BY doc_id ORDER BY page_no, line_no DESC) - 1 AS pos
+  FROM keyed WHERE line_no % 3 = 0 AND length(text) > 0),
+entries AS (SELECT *, {KEY.format('title')} AS t FROM toc),
+fits AS (SELECT e.doc_id, e.pos, list({{'part': (l.n <> e.t)::INT, 'y': l.y0}}) AS c FROM entries e JOIN keyed l USING (doc_id, page_no)
+  WHERE e.t <> '' AND l.n <> '' AND (l.n = e.t OR (contains(l.n, e.t) AND length(e.t) >= 6) OR (contains(e.t, l.n) AND length(l.n) >= 8)) GROUP BY ALL),
+steps AS MATERIALIZED (SELECT e.doc_id, e.page_no, e.pos, c, row_number() OVER (PARTITION BY e.doc_id, e.page_no ORDER BY e.pos) AS k FROM entries e LEFT JOIN fits USING (doc_id, pos)),
+fold AS (
+  SELECT doc_id, page_no, 0::BIGINT AS k, NULL::BIGINT AS pos, NULL::DOUBLE AS y0, -1e9::DOUBLE AS last FROM steps GROUP BY ALL
+  UNION ALL
+  SELECT doc_id, page_no, k, pos, y, coalesce(y, last) FROM (
+    SELECT n.doc_id, n.page_no, n.k, n.pos, f.last,
+      list_sort(list_transform(n.c, lambda x: {{'part': x.part, 'early': (x.y < f.last - 0.5)::INT, 'far': abs(x.y - greatest(f.last, 0)), 'y': x.y}}))[1].y AS y
+    FROM fold f JOIN steps n ON n.doc_id = f.doc_id AND n.page_no = f.page_no AND n.k = f.k + 1))
+SELECT doc_id, pos::INT AS pos, round(y0, 6) AS y0 FROM fold WHERE k > 0"""
+FILED = NORMALIZED + """,
+g AS (SELECT *, sum((level < 2)::INT) OVER w AS g2, sum((level < 3)::INT) OVER w AS g3, sum((level = 1)::INT) OVER w AS c1 FROM found WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+coded AS (SELECT *, c1 || '.' || sum((level = 2)::INT) OVER (PARTITION BY doc_id, g2 ORDER BY pos) || '.' || sum((level = 3)::INT) OVER (PARTITION BY doc_id, g3 ORDER BY pos) AS code,
+  trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-') AS slug, max((source = 'synthetic-front-matter')::INT) OVER (PARTITION BY doc_id) AS extra FROM g)"""
+PAYLOAD = f"""{FILED}
+SELECT doc_id, pos, 'h' || (pos + 1 - extra) AS id, level, title, page_start, source,
+  CASE WHEN pos % 7 <> 3 THEN 'Sections/' || code || '-' || left(CASE WHEN slug = '' THEN 'section' ELSE slug END, 64) || '.md' END AS section_file FROM coded"""
+SNAPSHOT = f"{FILED} SELECT doc_id, count(*) FILTER (WHERE pos % 7 <> 3) AS n, true AS outline_ready, true AS is_aged, true AS in_sections FROM coded GROUP BY doc_id"
+
 
 def oracle_sql() -> dict[str, str]:
-    sql = {name: case_sql(name) for name in CASES}
+    sql = cases.oracle_sql()
     clean, key = CLEAN.format, KEY.format
     sql |= {
         "clean_lines": f"SELECT doc_id, (i - 1)::INT AS line_no, {clean('l[i]')} AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))",
@@ -523,17 +373,7 @@ def oracle_sql() -> dict[str, str]:
         "toc_outline": "SELECT 'r' || n_regionkey AS doc_id, n_nationkey::INT AS pos, greatest(1, n_nationkey % 3)::INT AS level, n_name AS title, greatest(1, n_nationkey - 2)::INT AS page_start, 'pdf-outline' AS source FROM nation WHERE n_nationkey % 7 <> 0",
         "outline_normalized": f"{NORMALIZED} SELECT doc_id, pos, level, title, page_start, source FROM found",
         "paragraphs": f"WITH RECURSIVE cut AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents), flat AS (SELECT doc_id, len(l) AS n, unnest(range(0, len(l))) AS i, l FROM cut), ln AS (SELECT doc_id, i, CASE WHEN n > 1 THEN 40.0::DOUBLE + 700.0::DOUBLE * i / (n - 1) ELSE 40.0::DOUBLE END AS y0, {clean('l[i + 1]')} AS text FROM flat), own AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k, y0, text, regexp_matches(text, '^([•*-]|\\d+\\.)\\s') AS b FROM ln WHERE text <> ''), fold AS (SELECT doc_id, k, y0, b AS inside, 0 AS para, text FROM own WHERE k = 1 UNION ALL SELECT doc_id, k, y0, CASE WHEN fresh THEN b ELSE inside END, para + fresh::INT, CASE WHEN fresh THEN text WHEN regexp_matches(t0, '\\p{{L}}-$') AND regexp_matches(text, '^\\p{{L}}') THEN left(t0, length(t0) - 1) || text ELSE t0 || ' ' || text END FROM (SELECT n.*, f.inside, f.para, f.text AS t0, n.b OR (n.y0 - (f.y0 + 10) > 4 AND NOT (f.inside AND n.y0 - (f.y0 + 10) <= 10)) AS fresh FROM fold f JOIN own n ON n.doc_id = f.doc_id AND n.k = f.k + 1)) SELECT doc_id, 1 AS page_no, para, text FROM fold QUALIFY k = max(k) OVER (PARTITION BY doc_id, para)",
-        "snapshot": "SELECT 3::BIGINT AS n, 'By Major Heading/b.MD' AS newest, 9 AS at, true AS outline_ready",
-        "heartbeat": "SELECT * FROM (VALUES (0, 'exit'), (1, 'exit'), (2, 'working'), (3, 'working'), (4, 'working')) AS t(id, result)",
-        "resolved_drop": f"SELECT * FROM (VALUES (1, '/x/b.pdf', NULL), (2, NULL, '{readback.NOT_FOUND}'), (3, NULL, '{readback.NO_DROP}'), (4, '/x/c.pdf', NULL), (5, NULL, '{readback.NO_DROP}')) AS t(drop_id, path, message)",
-        "valid_paths": f"SELECT * FROM (VALUES (1, true, NULL), (2, false, '{readback.MISSING}'), (3, false, '{readback.NOT_PDF}'), (4, false, '{readback.NOT_FOUND}'), (5, false, '{readback.MISSING}')) AS t(id, ok, message)",
-        "resolved_sections": "SELECT * FROM (VALUES (1, NULL), (2, 'Invalid section path.'), (3, 'Section file not found.'), (4, NULL), (5, 'Invalid section path.')) AS t(id, message)",
-        "outline_payload": "SELECT * FROM (VALUES ('d', 0, 'Sections/a.md'), ('d', 1, NULL), ('d', 2, NULL), ('d', 3, NULL)) AS t(doc_id, pos, section_file)",
-        "rubric_tables": "SELECT id, replace(md, '~', chr(10)) AS md FROM (VALUES (1, '| a | b |~|---|---|~| 1 | x\\|y |'), (2, '| Some Categories | Level 1 | Level 2 | Level 3 | Level 4 (top) |~|---|---|---|---|---|~| k | 1 | 2 | 3 | 4 |'), (3, '| Categories | Level 1 | Level 2 | Level 3 | Level 4 |~|---|---|---|---|---|~| k | 1 | 2 | 3 | 4 |'), (4, NULL), (5, NULL), (6, '| a | b |~|---|---|~| c |  |')) AS t(id, md)",
         "html_escape": "SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS html FROM pages",
-        "footnote_rebalance": "SELECT * FROM (VALUES ('a', 0, 'Text<sup>1</sup> here.' || chr(10) || chr(10) || '<sup>1</sup> The note.'), ('a', 1, 'Other.')) AS t(doc_id, pos, body)",
-        "orphan_markers": f"SELECT * FROM (VALUES ('a', 0, 'Text<sup>1</sup>.' || chr(10) || chr(10) || '<sup>1</sup> Note.'), ('a', 1, 'More text<sup>2</sup>.'), ('a', 2, '<sup>1</sup>')) AS t(doc_id, pos, body)",
-        "parts_combined": "SELECT stem, replace(text, '~', chr(10)) AS text FROM (VALUES ('a', '# A~~- Level: 1~- Pages: 1-2~- Source: s~~one~~~two~~~ten~'), ('a', 'all'), ('b', '# A~~- Level: 1~- Pages: 1-2~- Source: s~~b')) AS t(stem, text)",
     }
     # The same over pages of mixed sizes, and over conversations as pages.
     other = geometry.lines_sql(geometry.MIXED_PAGES)
@@ -543,5 +383,7 @@ def oracle_sql() -> dict[str, str]:
     sql["page_tables"] = geometry.PAGE_TABLES
     sql["mixed_pages"] = f"SELECT doc_id, page_no, width, height FROM ({geometry.MIXED_PAGES})"
     sql["reading_order"], sql["mixed_reading_order"] = geometry.order_sql(geometry.PLAIN_TALK), geometry.order_sql(geometry.MIXED_TALK)
+    sql["toc_anchors"] = ANCHORS
+    sql["outline_payload"], sql["snapshot"] = PAYLOAD, SNAPSHOT
     sql["scanned_sections"] = SCANNED.replace(BINDER, geometry.lines_sql(geometry.SCANNED_PAGES))
     return sql

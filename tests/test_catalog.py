@@ -1,22 +1,67 @@
 """Hand-written cases of the catalog against their expected rows, and properties of the plan."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from quirefold.functions import text as T
-from quirefold.operators import layout, outline, sections
-from quirefold.plans import catalog
+from quirefold.operators import layout, outline, post, sections
+from quirefold.plans import cases, catalog
 from quirefold.plans.convert import ConvertOptions
 
 LINE = "doc_id string, page_no int, block_no int, line_no int, x0 double, y0 double, x1 double, y1 double, size double, text string"
 
 
-@pytest.mark.parametrize("name", sorted(catalog.CASES))
-def test_case(spark, name):
-    got = [r["result"] for r in catalog.case(name)(spark, "").orderBy("id").collect()]
-    assert got == [y for _, y in catalog.CASES[name][1]]
+@pytest.fixture(scope="module")
+def few(spark, tmp_path_factory):
+    """Three documents, one without text and one with too few words, as a folder of tables."""
+    path = tmp_path_factory.mktemp("few")
+    rows = [(7, "Some ünusual words come, and then others follow."), (8, None), (-9, "only A FEW x1")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{path}/documents.parquet")
+    return str(path), {7: ["ome", "nusual", "words", "come", "and"], 8: [*cases.SPARE], -9: ["only", *cases.SPARE[:4]]}
+
+
+def filled(template, doc, words):
+    if not isinstance(template, str):
+        return template
+    of = {p: w for p, w in zip("abcde", words, strict=True)}
+    of |= {p.upper(): w.capitalize() for p, w in of.items()} | {"id": str(doc)}
+    return re.sub(r"\{(id|[a-eA-E])\}", lambda m: of[m[1]], template)
+
+
+@pytest.mark.parametrize("name", sorted(cases.CASES))
+def test_case(spark, few, name):
+    path, words = few
+    got = {(r.doc_id, r.k): r.result for r in cases.case(name)(spark, path).collect()}
+    assert got == {(d, k): filled(y, d, w) for d, w in words.items() for k, (_, y) in enumerate(cases.CASES[name][1])}
+
+
+def test_cases_of_rows(spark, few):
+    path, words = few
+    q = cases.queries()
+    rows = lambda name, *c: {tuple(r[x] for x in c) for r in q[name](spark, path).collect()}
+    each = lambda templates, f: {f(d, w, k, t) for d, w in words.items() for k, t in enumerate(templates)}
+    assert rows("rubric_tables", "doc_id", "k", "md") == each(cases.CELLS, lambda d, w, k, t: (d, k, filled(t[1], d, w)))
+    for name, (_, after) in (("footnote_rebalance", cases.MOVED), ("orphan_markers", cases.ORPHANS)):
+        assert rows(name, "doc_id", "pos", "body") == each(after, lambda d, w, k, t: (d, k, filled(t, d, w)))
+    assert rows("parts_combined", "stem", "text") == each(cases.PARTS[1], lambda d, w, k, t: (filled(t[0], d, w), filled(t[1], d, w)))
+    assert rows("heartbeat", "doc_id", "k", "result") == each(cases.BEATS, lambda d, w, k, t: (d, k, t[5]))
+    assert rows("resolved_drop", "drop_id", "path", "message") == each(cases.DROPS, lambda d, w, k, t: (10 * d + k, filled(t[3], d, w), t[4]))
+    assert rows("valid_paths", "id", "ok", "message") == each(cases.INPUTS, lambda d, w, k, t: (10 * d + k, t[1] is None, t[1]))
+    assert rows("resolved_sections", "id", "message") == each(cases.WANTED, lambda d, w, k, t: (10 * d + k, t[1]))
+
+
+def test_course_rows():
+    flat = "Course Name Course Type Course Code Prerequisite 10 Art Open AVI1O None 11 University ICS3U Some words 12 Nothing 11 Art, Open x AVI2O"
+    assert list(post.course_rows(flat)) == [
+        ("10", "Art", "Open", "AVI1O", "None"), ("11", "Some words 12 Nothing 11 Art, Open x", "University", "ICS3U", "(unspecified)"), ("11", "Art,".strip(","), "Open", "AVI2O", "(unspecified)"),
+    ]
+    assert list(post.course_rows("AVI1O 10 AVI2O Open AVI3O")) == [] and list(post.course_rows("")) == []
+    assert list(post.course_rows("Open 12 AVI1O")) == [("12", "(unknown)", "Open", "AVI1O", "(unspecified)")]
+    need = "Grade 11 Introduction to Computer Programming, College"
+    assert list(post.course_rows(f"12 College ICS4C {need} Last one 10 More words Open")) == [("12", "Last one", "College", "ICS4C", need)]
 
 
 def test_every_oracle_has_a_query():
