@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quirefold.functions.text import match_key, words
 from quirefold.operators.layout import streamed
-from quirefold.operators.post import alike
+from quirefold.operators.post import Kept
 
 
 def candidates(paras: DataFrame, unicode_keys: bool = False) -> DataFrame:
@@ -31,19 +31,22 @@ def exact(paras: DataFrame, scope: list[str]) -> DataFrame:
 
 
 def near(paras: DataFrame, scope: list[str], ratio: float = 0.94, autojunk: bool = True) -> DataFrame:
-    """Of candidates that share ten first key words, those unlike every earlier kept one."""
+    """Of candidates that share ten first key words, those unlike every earlier kept one.
+
+    ``Kept`` proves most pairs unlike, so a large bucket costs few matches; it holds the bucket's kept keys.
+    """
     c = candidates(paras)
     key = F.concat_ws(" ", F.slice(F.split("norm", " "), 1, 10))
     keyed = c.filter("candidate").select(*paras.columns, "norm", key.alias("_p"))
 
-    def keep(k: tuple, rows: list[tuple]) -> Iterator[tuple]:
-        kept: list[str] = []
+    def keep(k: tuple, rows: Iterator[tuple]) -> Iterator[tuple]:
+        kept = Kept(autojunk, ratio)
         for *row, norm, _ in rows:
-            if not any(alike(x, norm, autojunk, ratio) for x in kept):
-                kept.append(norm)
+            if not kept.like(norm):
+                kept.add(norm)
                 yield tuple(row)
 
-    once = streamed(keyed, [*scope, "_p"], ["para"], keep, paras.schema)
+    once = streamed(keyed, [*scope, "_p"], ["para"], keep, paras.schema, whole=False)
     return c.filter("not candidate and norm <> ''").select(*paras.columns).unionByName(once)
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 from itertools import groupby
 from typing import NamedTuple
 
@@ -77,22 +78,49 @@ def lines_of_spans(spans: DataFrame) -> DataFrame:
     return s.groupBy(*by).agg(*box, F.max(F.coalesce("size", F.lit(0.0))).alias("size"), F.array_join(parts, " ").alias("text"))
 
 
+#: A grid over pages, in points: its cells, how many of them a side has, and the largest lines that it takes.
+CELL, CELLS, WIDEST, HIGHEST = 100.0, 64, 1000.0, 200.0
+
+
+def celled(lines: DataFrame, tables: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lines and tables with a ``cell``: what covers 45 % of a line has a row in the line's cell.
+
+    It covers as much of the line's width and of its height, so it comes within a twentieth of them
+    to the line's middle, whose cell is the line's. Boxes with an edge that is null or not finite cover
+    nothing and aren't covered. A table has a row for each cell that it or that
+    margin reaches. Beyond the grid the outer cells go on, and lines too large for the margin meet
+    all tables of their page, in a cell of their own.
+    """
+    place = lambda v: F.floor(F.greatest(F.lit(-CELL), F.least(F.lit(CELL * CELLS), v)) / CELL).cast("int")
+    key = lambda x, y: x * F.lit(2 * CELLS) + y
+    large = (F.col("x1") - F.col("x0") > WIDEST) | (F.col("y1") - F.col("y0") > HIGHEST)
+    middle = key(place((F.col("x0") + F.col("x1")) / 2), place((F.col("y0") + F.col("y1")) / 2))
+    reach = lambda a, b, most: F.sequence(place(F.col(a) - most / 20), place(F.greatest(F.col(a), F.col(b)) + most / 20))
+    across, down_ = reach("x0", "x1", WIDEST), reach("y0", "y1", HIGHEST)
+    cells = F.flatten(F.transform(across, lambda x: F.transform(down_, lambda y: key(x, y))))
+    every = F.lit(-10 * CELLS * CELLS)
+    sound = reduce(lambda p, q: p & q, [F.coalesce(F.abs(c) < float("inf"), F.lit(False)) for c in ("x0", "y0", "x1", "y1")])
+    own = F.when(sound, F.when(large, every).otherwise(middle))
+    return lines.withColumn("cell", own), tables.filter(sound).withColumn("cell", F.explode(F.concat(cells, F.array(every))))
+
+
 def outside_tables(lines: DataFrame, tables: DataFrame) -> DataFrame:
     """Lines that no table of the page covers by 45 % of their area.
 
-    A line covered by 60 % of its width and 80 % of its height is covered by 48 % of its area.
+    A line covered by 60 % of its width and 80 % of its height is covered by 48 % of its area. Lines
+    meet only tables of their cell, so a page of very many boxes isn't compared with itself.
     """
-    line, t = lines.alias("l"), tables.alias("t")
+    own, there = celled(lines, tables)
+    line, t = own.alias("l"), there.alias("t")
     col = lambda side, c: F.col(f"{side}.{c}")
 
     def share(a: str, b: str) -> Column:
         common = F.least(col("l", b), col("t", b)) - F.greatest(col("l", a), col("t", a))
         return F.greatest(common, F.lit(0.0)) / F.greatest(col("l", b) - col("l", a), F.lit(1.0))
 
-    same = (col("l", "doc_id") == col("t", "doc_id")) & (col("l", "page_no") == col("t", "page_no"))
-    if "pos" in lines.columns and "pos" in tables.columns:
-        same = same & (col("l", "pos") == col("t", "pos"))
-    return line.join(t, same & (share("x0", "x1") * share("y0", "y1") >= 0.45), "left_anti")
+    by = ["doc_id", "page_no", "cell", *(["pos"] if "pos" in lines.columns and "pos" in tables.columns else [])]
+    same = reduce(lambda p, q: p & q, [col("l", c) == col("t", c) for c in by])
+    return line.join(t, same & (share("x0", "x1") * share("y0", "y1") >= 0.45), "left_anti").drop("cell")
 
 
 def clusters(edges: Iterable[float], reach: float) -> list[tuple[float, int]]:

@@ -121,3 +121,41 @@ def test_table_overlap_judges_every_order(spark, tmp_path):
     want = {k for k, x in boxes.items() if k[1] <= 3 and not any(share(x, boxes[k[0], n]) >= 0.45 for n in range(4, 8))}
     got = {tuple(r) for r in catalog.queries()["table_overlap"](spark, str(tmp_path)).collect()}
     assert got == want and any(o % 10 for o, _ in got)
+
+
+BOX = "doc_id string, page_no int, line_no int, x0 double, y0 double, x1 double, y1 double"
+
+
+def covered(x, t):
+    common = [max(0.0, min(x[b], t[b]) - max(x[a], t[a])) / max(1.0, x[b] - x[a]) for a, b in ((3, 5), (4, 6))]
+    return common[0] * common[1] >= 0.45
+
+
+def test_covered_lines_of_any_size_and_place(spark):
+    rng = random.Random(4)
+    inf, nan = float("inf"), float("nan")
+    side = lambda: rng.choice([0.0, 0.5, 9.0, 30.0, 120.0, 199.0, 400.0, 999.0, 2500.0])
+    place = lambda: rng.choice([rng.uniform(-300, 900), rng.uniform(6000, 7000), rng.uniform(90, 110)])
+
+    def box(k):
+        x, y = place(), place()
+        return ("d", rng.randrange(2), k, x, y, x + side(), y + side())
+
+    lines, tables = [box(k) for k in range(700)], [box(k) for k in range(60)]
+    lines += [("d", 0, 700, nan, 1.0, nan, 2.0), ("d", 0, 701, -inf, 0.0, inf, 9.0), ("d", 0, 702, None, 1.0, 2.0, 3.0)]
+    lines += [("d", 0, 703 + k, t[3] + 0.54 * (t[5] - t[3]), t[4], t[5] + 0.17 * (t[5] - t[3]), t[6]) for k, t in enumerate(tables)]  # just covered or just not
+    got = {r.line_no for r in layout.outside_tables(spark.createDataFrame(lines, BOX), spark.createDataFrame(tables + [("d", 0, 0, None, nan, 1.0, 2.0)], BOX)).collect()}
+    plain = {x[2] for x in lines if not (700 <= x[2] <= 702) and any(x[1] == t[1] and covered(x, t) for t in tables)}
+    assert got == {x[2] for x in lines} - plain and len(plain) > 60
+
+
+def test_page_of_very_many_boxes(spark):
+    """Ten thousand lines and tables on one page: few pairs are tried."""
+    n = 100
+    lines = [("d", 1, r * n + c, 60.0 * c, 20.0 * r, 60.0 * c + 50, 20.0 * r + 10) for r in range(n) for c in range(n)]
+    tables = [(*x[:5], x[5] - 26.0, x[6]) for x in lines if (x[2] * 7) % 3]  # cover 48 % of two lines of three
+    own, there = layout.celled(spark.createDataFrame(lines, BOX), spark.createDataFrame(tables, BOX))
+    tried = own.join(there, ["doc_id", "page_no", "cell"]).count()
+    assert tried <= len(lines) * len(tables) / 200
+    left = layout.outside_tables(spark.createDataFrame(lines, BOX), spark.createDataFrame(tables, BOX))
+    assert left.count() == len(lines) - len(tables) and left.columns == own.columns[:-1]

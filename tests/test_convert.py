@@ -286,3 +286,54 @@ def test_empty_input(spark):
     assert convert(none).count() == 0 and files(convert(none)).count() == 0
     blank = spark.createDataFrame([line("b", 1, 0, 40.0, " ")], LINE)
     assert [(r.title, r.body) for r in convert(blank).select("title", F.col("body")).collect()] == [("Document", post.NOTHING)]
+
+
+def test_kept_keys_against_a_plain_scan():
+    """Every key that the scan finds alike is found, with and without junk, at any length and ratio."""
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    base = ["".join(rng.choice(letters) for _ in range(rng.choice([0, 3, 30, 120, 199, 230, 400]))) for _ in range(60)]
+
+    def edited(s):
+        for _ in range(rng.choice([1, 2, 5, 12, 30])):
+            at = rng.randrange(len(s) + 1)
+            s = rng.choice([s[:at] + s[at + 1 :], s[:at] + rng.choice(letters) + s[at:], s[:at] + rng.choice(letters) + s[at + 1 :]])
+        return s
+
+    keys = base + [edited(rng.choice(base)) for _ in range(240)]
+    rng.shuffle(keys)
+    for autojunk in (True, False):
+        for ratio in (0.94, 0.8, 0.99):
+            kept, plain = post.Kept(autojunk, ratio), []
+            for k in keys:
+                want = k in plain or any(post.alike(x, k, autojunk, ratio) for x in plain)
+                assert kept.like(k) == want
+                if not want:
+                    kept.add(k)
+                    plain.append(k)
+
+
+def test_large_bucket_needs_few_matches():
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randrange(2, 9))) for _ in range(3000)]
+    head = " ".join(words[:10])
+    texts = [f"{head} " + " ".join(rng.choice(words) for _ in range(rng.randrange(60, 70))) for _ in range(4000)]
+    kept, again = post.Kept(True, 0.94), 0
+    for t in texts + [t[:-4] + "zzzz" for t in texts[:400]]:
+        if kept.like(t):
+            again += 1
+        else:
+            kept.add(t)
+    assert again == 400 and len(kept.keys) == 4000
+    assert kept.matched <= 2 * 4400  # of nine million pairs
+
+
+def test_long_sections_stream_by_page(spark):
+    """A document without headings is one section, however long."""
+    n = 1500
+    rows = spark.range(n).select(F.lit("long").alias("doc_id"), (F.col("id") + 1).cast("int").alias("page_no"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("line_no"))
+    y = 100.0 + 30.0 * F.col("line_no")
+    lines = rows.select("doc_id", "page_no", F.lit(0).alias("block_no"), "line_no", F.lit(72.0).alias("x0"), y.alias("y0"), F.lit(300.0).alias("x1"), (y + 10.0).alias("y1"), F.lit(10.0).alias("size"), F.concat(F.lit("Page "), F.col("page_no").cast("string"), F.lit(" line "), F.col("line_no").cast("string"), F.lit(" ends.")).alias("text"))
+    got = convert(lines).collect()
+    assert len(got) == 1 and got[0].end == n
+    assert got[0].body == "\n\n".join(f"Page {p} line {k} ends." for p in range(1, n + 1) for k in range(10))
