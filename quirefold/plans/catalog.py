@@ -237,6 +237,32 @@ def q_outline_payload(spark, sf_dir):
     return found.select("doc_id", "pos", "id", "level", "title", "page_start", "source", "section_file")
 
 
+def q_segment_payload(spark, sf_dir):
+    """Segments written to disk and read back."""
+    return written.segments(spark, written_out(spark, sf_dir)).drop("char_count")
+
+
+def q_section_files(spark, sf_dir):
+    """What section files on disk begin with, and whether a viewer finds their metadata."""
+    texts = written.section_texts(spark, written_out(spark, sf_dir))
+    head = F.regexp_extract("text", readback.PREAMBLE, 0)
+    return texts.select("doc_id", "path", head.alias("head"), readback.has_metadata(F.col("text")).alias("has_metadata"), (readback.without_preamble(F.col("text")) != "").alias("has_body"))
+
+
+def q_major_files(spark, sf_dir):
+    """Files of the major headings, with the number of sections that each holds."""
+    o = ConvertOptions(mode="major")
+    made = markdown_files(convert(lines_of(spark, sf_dir), options=o), o)
+    return made.select("doc_id", "file", F.regexp_count("text", F.lit(r"\n\n- Level: [1-6]\n- Pages: [0-9]+-[0-9]+\n- Source: ")).alias("sections"))
+
+
+def q_single_files(spark, sf_dir):
+    """One file for a document, under the title found on its first page."""
+    o = ConvertOptions(mode="single")
+    made = markdown_files(convert(lines_of(spark, sf_dir), options=o), o)
+    return made.select("doc_id", "file", F.regexp_extract("text", r"\A[^\n]*\n\n- Level: 1\n- Pages: [^\n]*\n- Source: [^\n]*", 0).alias("head"))
+
+
 def q_snapshot(spark, sf_dir):
     """The state of every document's folder on disk."""
     found = readback.snapshot(written.listed(spark, written_out(spark, sf_dir)))
@@ -340,6 +366,27 @@ SELECT doc_id, pos, 'h' || (pos + 1 - extra) AS id, level, title, page_start, so
   CASE WHEN pos % 7 <> 3 THEN 'Sections/' || code || '-' || left(CASE WHEN slug = '' THEN 'section' ELSE slug END, 64) || '.md' END AS section_file FROM coded"""
 SNAPSHOT = f"{FILED} SELECT doc_id, count(*) FILTER (WHERE pos % 7 <> 3) AS n, true AS outline_ready, true AS is_aged, true AS in_sections FROM coded GROUP BY doc_id"
 
+ENDED = FILED + """,
+counts AS (SELECT doc_id, max(page_no) AS pc FROM lines GROUP BY doc_id),
+named AS (SELECT *, code || '-' || left(CASE WHEN slug = '' THEN 'section' ELSE slug END, 64) || '.md' AS file,
+  lead(page_start) OVER w AS np, lead(y0) OVER w AS ny FROM coded JOIN counts USING (doc_id) WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+ended AS (SELECT *, greatest(page_start - 1, least(CASE WHEN np IS NULL THEN pc WHEN ny IS NOT NULL THEN np WHEN np = page_start THEN page_start - 1 ELSE np - 1 END, pc))::INT AS finish FROM named)"""
+_HEAD = "repeat('#', level) || ' ' || title || chr(10) || chr(10) || '- Level: ' || level || chr(10) || '- Pages: ' || page_start || '-' || finish || chr(10) || '- Source: ' || source"
+SEGMENT_PAYLOAD = f"{ENDED} SELECT doc_id, (pos + 1)::INT AS n, 's' || (pos + 1) AS id, title, level, page_start, finish AS page_end, 'Sections/' || file AS file FROM ended"
+SECTION_FILES = f"{ENDED} SELECT doc_id, 'Sections/' || file AS path, {_HEAD} || chr(10) || chr(10) AS head, true AS has_metadata, true AS has_body FROM ended WHERE pos % 7 <> 3"
+MAJOR_FILES = f"""{ENDED},
+sizes_ AS (SELECT doc_id, level, count(*) AS many FROM ended GROUP BY doc_id, level), majors AS (SELECT doc_id, coalesce(min(level) FILTER (WHERE many >= 2), min(level)) AS major FROM sizes_ GROUP BY doc_id),
+owned AS (SELECT *, CASE WHEN level = major THEN pos END AS own FROM ended JOIN majors USING (doc_id)),
+groups_ AS (SELECT *, coalesce(max(own) OVER (PARTITION BY doc_id ORDER BY pos), min(own) OVER (PARTITION BY doc_id)) AS grp FROM owned)
+SELECT doc_id, 'By Major Heading/' || max(file) FILTER (WHERE pos = grp) AS file, count(*)::INT AS sections FROM groups_ GROUP BY doc_id, grp"""
+TITLES = f"""{BINDER}, top AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY y0, line_no) AS k FROM (SELECT * REPLACE ({CLEAN.format('text')} AS text) FROM lines WHERE page_no = 1 AND y0 <= 0.28::DOUBLE * height) WHERE length(text) >= 12), fits AS (SELECT *, sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY k) - 1 AS n FROM top WHERE k <= 3), named AS (SELECT doc_id, string_agg(text, ' ' ORDER BY k) AS title FROM fits WHERE n <= 140 OR k = 1 GROUP BY doc_id),
+titles AS (SELECT doc_id, coalesce(title, replace(doc_id, '-', ' ')) AS title FROM (SELECT DISTINCT doc_id FROM lines) LEFT JOIN named USING (doc_id))"""
+SINGLE_FILES = f"""WITH RECURSIVE {TITLES}, {HEADINGS.removeprefix(BINDER + ',')},
+pages_ AS (SELECT doc_id, max(page_no) AS pc FROM lines GROUP BY doc_id)
+SELECT doc_id, doc_id || '.md' AS file, CASE WHEN doc_id IN (SELECT doc_id FROM heads) THEN '# ' || title ELSE '# Document' END || chr(10) || chr(10) || '- Level: 1' || chr(10) || '- Pages: 1-' || pc || chr(10)
+  || '- Source: ' || CASE WHEN doc_id IN (SELECT doc_id FROM heads) THEN 'single-fallback' ELSE 'fallback' END AS head
+FROM titles JOIN pages_ USING (doc_id)"""
+
 
 def oracle_sql() -> dict[str, str]:
     sql = cases.oracle_sql()
@@ -368,7 +415,7 @@ def oracle_sql() -> dict[str, str]:
         "viewer_groups": f"WITH RECURSIVE {HEADINGS}, v AS (SELECT doc_id, pos, level, last_value(CASE WHEN level = 1 THEN 'Sections/' || pos || '.md' END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos) AS shown_in FROM heads) SELECT doc_id, pos, shown_in, least(4, greatest(1, level))::INT AS depth FROM v WHERE shown_in IS NOT NULL",
         "segments": f"WITH RECURSIVE {HEADINGS}, n AS (SELECT doc_id, level, count(*) AS n FROM heads GROUP BY doc_id, level), m AS (SELECT doc_id, coalesce(min(level) FILTER (WHERE n >= 2), min(level)) AS major FROM n GROUP BY doc_id), o AS (SELECT heads.*, CASE WHEN level = major THEN pos END AS own FROM heads JOIN m USING (doc_id)), g AS (SELECT *, coalesce(max(own) OVER (PARTITION BY doc_id ORDER BY pos), min(own) OVER (PARTITION BY doc_id)) AS grp FROM o) SELECT doc_id, grp, max(text) FILTER (WHERE pos = grp) AS title, max(level) FILTER (WHERE pos = grp) AS level, arg_min(page_no, pos) AS page_start, arg_max(page_no, pos) + 1 AS page_end, sum(length(text))::BIGINT AS chars FROM g GROUP BY doc_id, grp",
         "wrapped_headings": f"WITH RECURSIVE {HEADINGS} SELECT doc_id, page_no, y0, size, text, line_no FROM joined",
-        "document_title": f"WITH {BINDER}, top AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY y0, line_no) AS k FROM (SELECT * REPLACE ({clean('text')} AS text) FROM lines WHERE page_no = 1 AND y0 <= 0.28::DOUBLE * height) WHERE length(text) >= 12), fits AS (SELECT *, sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY k) - 1 AS n FROM top WHERE k <= 3), named AS (SELECT doc_id, string_agg(text, ' ' ORDER BY k) AS title FROM fits WHERE n <= 140 OR k = 1 GROUP BY doc_id) SELECT doc_id, coalesce(title, replace(doc_id, '-', ' ')) AS title FROM (SELECT DISTINCT doc_id FROM lines) LEFT JOIN named USING (doc_id)",
+        "document_title": f"WITH {TITLES} SELECT doc_id, title FROM titles",
         "span_lines": f"WITH w AS (SELECT doc_id, i - 1 AS line_no, string_split(l[i], ' ') AS s FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))), p AS (SELECT doc_id, line_no, length(s[j])::DOUBLE AS size, {clean('s[j]')} AS t, j FROM (SELECT doc_id, line_no, s, unnest(range(1, len(s) + 1)) AS j FROM w)) SELECT doc_id, line_no::INT AS line_no, max(size) AS size, string_agg(t, ' ' ORDER BY j) AS text FROM p WHERE t <> '' GROUP BY doc_id, line_no",
         "toc_outline": "SELECT 'r' || n_regionkey AS doc_id, n_nationkey::INT AS pos, greatest(1, n_nationkey % 3)::INT AS level, n_name AS title, greatest(1, n_nationkey - 2)::INT AS page_start, 'pdf-outline' AS source FROM nation WHERE n_nationkey % 7 <> 0",
         "outline_normalized": f"{NORMALIZED} SELECT doc_id, pos, level, title, page_start, source FROM found",
@@ -384,6 +431,7 @@ def oracle_sql() -> dict[str, str]:
     sql["mixed_pages"] = f"SELECT doc_id, page_no, width, height FROM ({geometry.MIXED_PAGES})"
     sql["reading_order"], sql["mixed_reading_order"] = geometry.order_sql(geometry.PLAIN_TALK), geometry.order_sql(geometry.MIXED_TALK)
     sql["toc_anchors"] = ANCHORS
+    sql |= {"segment_payload": SEGMENT_PAYLOAD, "section_files": SECTION_FILES, "major_files": MAJOR_FILES, "single_files": SINGLE_FILES}
     sql["outline_payload"], sql["snapshot"] = PAYLOAD, SNAPSHOT
     sql["scanned_sections"] = SCANNED.replace(BINDER, geometry.lines_sql(geometry.SCANNED_PAGES))
     return sql

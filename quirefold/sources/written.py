@@ -19,6 +19,7 @@ from quirefold.operators.readback import combined_parts, outline_with_files, wit
 ENTRIES = (
     "array<struct<id:string, level:int, title:string, page_start:int, source:string, y0:double, line_count:bigint, char_count:bigint, section_file:string>>"
 )
+SEGMENTS = "array<struct<id:string, title:string, level:int, page_start:int, page_end:int, file:string, char_count:bigint>>"
 NO_DOCUMENT = "\u0001"
 NO_OUTLINE, BAD_OUTLINE = "outline.json not found. Run conversion first.", "outline.json holds no list."
 
@@ -44,9 +45,9 @@ def listed(spark: SparkSession, root: str, pattern: str | None = None) -> DataFr
     return at.select(document_of(F.get(parts, F.lit(0))).alias("doc_id"), F.get(parts, F.lit(1)).alias("path"), F.col("modificationTime").alias("modified"), "length", "content")
 
 
-def entries_of(json: Column) -> Column:
+def entries_of(json: Column, kind: str = ENTRIES) -> Column:
     """The entries that a text holds as a JSON list; null for any other text."""
-    return F.when(json.rlike(r"\A\s*\["), F.from_json(json, ENTRIES))
+    return F.when(json.rlike(r"\A\s*\["), F.from_json(json, kind))
 
 
 def outlines(spark: SparkSession, root: str) -> DataFrame:
@@ -56,6 +57,12 @@ def outlines(spark: SparkSession, root: str) -> DataFrame:
     return outline_with_files(entries, listed(spark, root).select("doc_id", "path"))
 
 
+def segments(spark: SparkSession, root: str) -> DataFrame:
+    """(doc_id, n, entry columns): the entries of every segments.json, numbered from 1."""
+    found = listed(spark, root, "segments.json").filter("path = 'segments.json'")
+    return found.select("doc_id", F.posexplode(entries_of(F.decode("content", "UTF-8"), SEGMENTS)).alias("n", "e")).select("doc_id", (F.col("n") + 1).alias("n"), "e.*")
+
+
 def payloads(spark: SparkSession, root: str) -> DataFrame:
     """(doc_id, outline_markdown, n_entries, message) of every document's folder; a missing outline.md is empty."""
     text = lambda name: listed(spark, root, name).filter(F.col("path") == name).select("doc_id", F.decode("content", "UTF-8").alias(name.split(".")[1]))
