@@ -10,14 +10,15 @@ Examples are put in blocks of similar ones. A block holds its postings by featur
 features as whole rows, and the index the largest weight of each feature in each block. A query visits
 blocks by their upper bound and stops when no block can change its ``k`` nearest, so the result
 equals a full scan's. Neighbours vote, each weighed by its cosine. The vote becomes a probability by
-isotonic regression over labelled rows that aren't examples. The nearest ones are the evidence.
+isotonic regression over labelled rows that aren't examples and had no part in the weights. The nearest
+ones are the evidence.
 
 The classifier is fitted on bounded samples of labelled rows, chosen by hash: at most ``most`` rows and
-``most_bytes`` of text for the features' counts and the calibration, ``per_label`` of each label among
-them as examples. All rows are scored, each by itself, so memory is bounded by a batch of texts.
+``most_bytes`` of text; ``per_label`` of each label among them are the examples, from which the features'
+weights come too, and the others are for the calibration alone. All rows are scored, each by itself, so memory is bounded by a batch of texts.
 
 Edge cases: null or empty text has no feature and gets the rate of toxic rows in the sample; with no
-usable label every score is 0; a doc_id that ``labels`` has twice counts as toxic if any row says so;
+usable label every score is 0; a label other than 0 and 1 is none; a doc_id that ``labels`` has twice counts as toxic if any row says so;
 repeated rows are scored alike; extra columns are ignored; an empty table gives no rows.
 """
 
@@ -242,16 +243,16 @@ def rising(v: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray
     return sums / total, labels / total
 
 
-def fitted(ids: list[int], texts: list[str | None], toxic: list[int], per_label: int = 256, k: int = 15) -> Index:
+def fitted(ids: list[int], texts: list[str | None], toxic: list[int], per_label: int = 750, k: int = 25) -> Index:
     """The index and its calibration from a sample of labelled rows."""
     y = np.array(toxic, dtype=np.int64)
     own = list(text_features(texts))
-    index = Index(leaning(own, y) if len(y) else np.ones(1 << BITS), float(y.mean()) if len(y) else 0.0)
+    keys = mixed(np.array(ids, dtype=np.int64).view(np.uint64) + np.uint64(17))
+    rows = chosen(keys, y, per_label)
+    index = Index(leaning([own[i] for i in rows], y[rows]) if len(y) else np.ones(1 << BITS), float(y.mean()) if len(y) else 0.0)
     index.number = np.full(1 << BITS, -1, np.int32)
     if not len(y):
         return index
-    keys = mixed(np.array(ids, dtype=np.int64).view(np.uint64) + np.uint64(17))
-    rows = chosen(keys, y, per_label)
     rows = rows[alike([own[i] for i in rows], index.weights)]
     index.ids, index.toxic = np.array(ids, dtype=np.int64)[rows], y[rows]
     names = np.unique(np.concatenate([own[i][0] for i in rows]))
@@ -296,7 +297,7 @@ def made(part: list[tuple[np.ndarray, np.ndarray]], names: int) -> Block:
 def sample(docs: DataFrame, labels: DataFrame, most: int, most_bytes: int) -> list:
     """(doc_id, text, toxic) of labelled rows that are not held out, chosen by hash: at most ``most``
     rows and ``most_bytes`` of text. Only ids and lengths come to the driver before the choice."""
-    own = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), 5) != 0))
+    own = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), 5) != 0))
     own = own.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     share = most / max(own.count(), 1)
     key = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) / (1 << 30)
@@ -346,7 +347,7 @@ def scored(docs: DataFrame, index: Index, k: int) -> DataFrame:
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, OUT)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, most: int = 10_000, most_bytes: int = 48 << 20, per_label: int = 256, k: int = 15) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, most: int = 10_000, most_bytes: int = 48 << 20, per_label: int = 750, k: int = 25) -> DataFrame:
     """Learns from labels of rows whose crc32 of the id modulo 5 is not 0, and scores all rows."""
     marked = docs.select("doc_id", "text", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"))
     rows = sample(docs, labels, most, most_bytes)

@@ -212,7 +212,7 @@ def test_toxic_query(spark):
     texts, y = toxic_sample()
     texts += [None, "", "ALPHAA VILEHORROR", "x " * 200_000 + "vilehorror"]
     docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(texts)], DOC)
-    labels = spark.createDataFrame([(k, v) for k, v in enumerate(y)] + [(7, None), (None, 1)], "doc_id bigint, toxic int")
+    labels = spark.createDataFrame([(k, v) for k, v in enumerate(y)] + [(7, None), (None, 1), (5, 2), (6, -1)], "doc_id bigint, toxic int")
     got = {r.doc_id: r for r in toxicity.toxicity(docs, labels).collect()}
     assert all(got[k].predicted == v for k, v in enumerate(y)) and got[402].predicted == 1
     assert got[400].score == got[401].score and 0.1 < got[400].score < 0.4 and got[8].evidence
