@@ -19,7 +19,7 @@ from quirefold.plans.convert import ConvertOptions, convert, files, markdown_fil
 from quirefold.plans.sinks import write_files
 from quirefold.sources import written
 from quirefold.sources.adapters import binder, prose
-from quirefold.store import shared_dir, stored
+from quirefold.store import own_dir, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -226,7 +226,7 @@ def written_out(spark: SparkSession, sf_dir: str) -> str:
     """Converts volumes and writes their files, without those of every seventh entry; tells where."""
     converted = stored(convert(lines_of(spark, sf_dir)), "converted")
     gone = with_files(converted, "sections").filter("pos % 7 = 3").select("doc_id", F.col("section_file").alias("file"))
-    root = f"{shared_dir(spark)}/quirefold/files-{uuid.uuid4().hex}"
+    root = f"{own_dir(spark)}/files-{uuid.uuid4().hex}"
     write_files(files(converted).join(gone, ["doc_id", "file"], "left_anti"), root)
     return root
 

@@ -50,7 +50,7 @@ def volumes(docs: DataFrame, pages_each: int = 10, rows_each: int = 50_000) -> D
     sizes = cut.groupBy("source", "_g").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("source").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sizes.select(F.col("source").alias("_s"), F.col("_g").alias("_k"), F.coalesce(before, F.lit(0)).alias("_o"))
-    inner = cut.withColumn("_i", F.row_number().over(Window.partitionBy("source", "_g").orderBy("doc_id")) - 1)
+    inner = cut.withColumn("_i", F.row_number().over(Window.partitionBy("source", "_g").orderBy("doc_id", "text")) - 1)
     ranked = inner.join(offsets, F.col("source").eqNullSafe(F.col("_s")) & F.col("_g").eqNullSafe(F.col("_k")))
     rank = F.col("_o") + F.col("_i")
     pages = ranked.select(

@@ -20,16 +20,21 @@ def shared_dir(spark: SparkSession) -> str:
     return "file:/tmp/quirefold-shared"
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's folder in the shared one."""
+    return f"{shared_dir(spark)}/quirefold/{spark.sparkContext.applicationId}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table in the shared folder and read it back: cuts lineage, outlives executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quirefold/{name}-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def clear(spark: SparkSession) -> None:
-    """Deletes every table that ``stored`` has written in this folder; no query may still read them."""
+    """Deletes every table that this application has stored; no query may still read them."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/quirefold")
+    path = jvm.org.apache.hadoop.fs.Path(own_dir(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -9,9 +9,11 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+from quirefold import store
 from quirefold.operators import bodies, dedup, layout, outline, post, sections
 from quirefold.plans.convert import ConvertOptions, convert, files, markdown_files
 from quirefold.plans.sinks import write_files
+from quirefold.streaming.ingest import convert_stream
 from quirefold.sources import adapters, decoded
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers can't import a test
@@ -337,3 +339,24 @@ def test_long_sections_stream_by_page(spark):
     got = convert(lines).collect()
     assert len(got) == 1 and got[0].end == n
     assert got[0].body == "\n\n".join(f"Page {p} line {k} ends." for p in range(1, n + 1) for k in range(10))
+
+
+def test_an_application_clears_its_own_tables(spark):
+    from pathlib import Path
+
+    df = store.stored(spark.range(3), "mine")
+    other = Path(store.shared_dir(spark).removeprefix("file:")) / "quirefold" / "another-application" / "theirs"
+    other.mkdir(parents=True, exist_ok=True)
+    files_ = df.inputFiles()
+    store.clear(spark)
+    assert other.exists() and files_ and not any(Path(f.removeprefix("file://")).exists() for f in files_)
+
+
+def test_a_batch_that_runs_again_is_there_once(spark, tmp_path):
+    """Two runs over the same new files, the second without the first's checkpoint, as after a lost commit."""
+    spark.createDataFrame(guide(), LINE).write.parquet(str(tmp_path / "in"))
+    schema = spark.read.parquet(str(tmp_path / "in")).schema
+    for k in (1, 2):
+        convert_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / f"state{k}"), schema).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.count() == got.select("doc_id", "pos").distinct().count() > 0 and "batch" in got.columns
