@@ -1,8 +1,10 @@
 """Interval overlap join: sales with the click sessions of their clients, classified and summed.
 
-1. Clicks become sessions in two steps: per client and half hour first (clicks of one half hour are
-   never over 30 minutes apart, so they share a session; the sums combine before the shuffle), then a
-   window over a client's half hours, whose number follows the time covered and not the clicks.
+1. Clicks become sessions in steps. Per client and half hour: clicks of one half hour are never over
+   30 minutes apart, so they share a session, and their sums combine before the shuffle. Per client and
+   day, a window over its half hours; what came before a day's first one can only matter if it was on
+   the day before, so that day's end is joined. Then a client's days, a row each, tell which session
+   was open when a day began. No task holds a client's clicks, whatever their number.
 2. Both sides become distinct slot intervals with counts. An open end is a sentinel beyond every
    slot, so open ends are equal and everything later is before them. However many sales or clicks a
    client has, its distinct intervals are bounded by the pairs of slots in the time covered.
@@ -35,6 +37,7 @@ from quirefold.llm.common import stored
 
 MINUTE = 60_000_000
 GAP, SLOT = 30 * MINUTE, 360 * MINUTE
+HALVES = 48  # half hours of a day
 #: Slots are told from ZERO on, so that all that a timestamp can give lie in 0 ... OPEN - 1.
 ZERO, AXIS = 1 << 22, 1 << 25
 OPEN = AXIS - 1
@@ -78,11 +81,19 @@ def sessions(clicks: DataFrame) -> DataFrame:
     c = c.filter("client_id is not null and us is not null")
     # The last bit of ``last`` tells of an error at the last time: one number, so sums stay hashed.
     by_half = c.groupBy("client_id", whole(F.col("us"), GAP).alias("half")).agg(F.min("us").alias("first"), F.max(F.col("us") * 2 + F.col("bad")).alias("last"))
-    w = Window.partitionBy("client_id").orderBy("half")
-    gap = F.col("first") - F.shiftright(F.lag("last").over(w), 1)
-    begins = F.coalesce((gap > GAP).cast("int"), F.lit(1))
-    numbered = by_half.withColumn("_b", begins).withColumn("_s", F.sum("_b").over(w))
-    found = numbered.groupBy("client_id", "_s").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    halves = stored(by_half.withColumn("day", whole(F.col("half"), HALVES)), "half-hours")
+    ends = halves.groupBy("client_id", "day").agg(F.max("last").alias("_end")).withColumn("day", F.col("day") + 1)
+    w = Window.partitionBy("client_id", "day").orderBy("half")
+    before = F.coalesce(F.lag("last").over(w), F.col("_end"))
+    begins = F.coalesce(F.col("first") - F.shiftright("_before", 1) > GAP, F.lit(True))
+    marked = halves.join(ends, ["client_id", "day"], "left").withColumn("_before", before).withColumn("_own", F.when(begins, F.col("first")))
+    marked = stored(marked.select("client_id", "day", "first", "last", F.last("_own", ignorenulls=True).over(w).alias("session")), "half-hours")
+    days = marked.groupBy("client_id", "day").agg(F.max("session").alias("_last"))
+    earlier = Window.partitionBy("client_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    opened = days.select("client_id", "day", F.last("_last", ignorenulls=True).over(earlier).alias("session"))
+    going = marked.filter("session is null").drop("session").join(opened, ["client_id", "day"])
+    whole_ = marked.filter("session is not null").unionByName(going).groupBy("client_id", "session")
+    found = whole_.agg(F.min("first").alias("first"), F.max("last").alias("last"))
     return found.select("client_id", "first", F.shiftright("last", 1).alias("last"), (F.col("last") % 2 != 0).alias("open"))
 
 

@@ -65,6 +65,8 @@ def rows(n, hot, seed):
     clicks += [(c[0], c[1], "error", c[3], "x") for c in clicks[:40]]  # ties at a time
     clicks += [(k, 7, "click", START + dt.timedelta(minutes=30 * k), "x") for k in range(5)]  # exactly 30 minutes apart
     clicks += [(k, 3, "click", START + dt.timedelta(minutes=29 * k), "x") for k in range(99)]  # a session over several slots
+    clicks += [(k, 4, "click", START + dt.timedelta(minutes=29 * k, days=9), "x") for k in range(300)]  # over six days, one without a begin
+    clicks += [(k, 4, "error", START + dt.timedelta(days=8, minutes=m), "x") for k, m in ((1, 1409), (2, 1410), (3, 1439))]  # one minute before midnight
     sales += [(n + k, 3, "done", START + dt.timedelta(hours=6 * k), 1) for k in range(12)]
     lines += [(n + k, START + dt.timedelta(days=40)) for k in range(6)]
     return sales, lines, clicks
