@@ -27,6 +27,8 @@ CORRUPT_TEXT = (
 ENDING = ("waiting for subprocess exit", "Extraction pipeline complete", "Core extraction complete")
 FOLDERS = ("", "Sections/", "By Major Heading/", "Per Major Headings/", "sections/", "per-major-headings/")
 IDLE = 12  # seconds
+PDF_NAME = r"""[^<>:"|?*\r\n]+\.pdf"""
+DRIVES = (r"[A-Za-z]:\\", "[A-Za-z]:/", "/[A-Za-z]:/")  # what paths of drives begin with
 
 
 def without_preamble(c: Column) -> Column:
@@ -62,11 +64,9 @@ def combined_parts(files: DataFrame) -> DataFrame:
 
 def path_tokens(c: Column) -> Column:
     """Things in a dropped text that may be paths: by line the line, quoted names, URIs and drive paths."""
-    rest = r"""[^<>:"|?*\r\n]+\.pdf"""
-
     def of_line(x: Column) -> Column:
         all_of = lambda p, group=0: F.regexp_extract_all(x, F.lit("(?i)" + p), F.lit(group))
-        drives = [all_of(p + rest) for p in (r"[A-Za-z]:\\", "[A-Za-z]:/", "/[A-Za-z]:/")]
+        drives = [all_of(p + PDF_NAME) for p in DRIVES]
         return F.concat(F.array(x), all_of(r'"([^"]+\.pdf)"', 1), all_of(r"file:\S+"), *drives)
 
     lines = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "\r?\n|\x00+"), strip), lambda x: x != "")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quirefold.functions import text as T
 from quirefold.operators import dedup, grouping, layout, outline, readback, render, sections, tables
-from quirefold.plans import cases, geometry
+from quirefold.plans import cases, geometry, guardrails
 from quirefold.plans.convert import ConvertOptions, convert, files, markdown_files, outlines, segment_rows, with_files
 from quirefold.plans.sinks import write_files
 from quirefold.sources import written
@@ -34,13 +34,22 @@ def lines_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binder(documents(spark, sf_dir))
 
 
+def kept_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of volumes, made once for plans that read them more than once."""
+    return stored(lines_of(spark, sf_dir), "volumes")
+
+
 def binder_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return outline.from_fonts(lines_of(spark, sf_dir))
+    return outline.from_fonts(kept_lines(spark, sf_dir))
 
 
 def ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = lines_of(spark, sf_dir).groupBy("doc_id").agg(F.max("page_no").alias("page_count"))
-    return sections.section_ranges(binder_outline(spark, sf_dir), counts)
+    return ranges_of(kept_lines(spark, sf_dir))
+
+
+def ranges_of(lines: DataFrame) -> DataFrame:
+    counts = lines.groupBy("doc_id").agg(F.max("page_no").alias("page_count"))
+    return sections.section_ranges(outline.from_fonts(lines), counts)
 
 
 def q_clean_lines(spark, sf_dir):
@@ -70,11 +79,11 @@ def q_heading_levels(spark, sf_dir):
 
 
 def q_outline_normalized(spark, sf_dir):
-    return outlines(lines_of(spark, sf_dir)).select("doc_id", "pos", "level", "title", "page_start", "source")
+    return outlines(kept_lines(spark, sf_dir)).select("doc_id", "pos", "level", "title", "page_start", "source")
 
 
 def q_wrapped_headings(spark, sf_dir):
-    return outline.wrapped_headings(outline.heading_candidates(lines_of(spark, sf_dir)))
+    return outline.wrapped_headings(outline.heading_candidates(kept_lines(spark, sf_dir)))
 
 
 def q_document_title(spark, sf_dir):
@@ -86,7 +95,7 @@ def q_noise_profile(spark, sf_dir):
 
 
 def q_denoised_lines(spark, sf_dir):
-    lines = lines_of(spark, sf_dir)
+    lines = kept_lines(spark, sf_dir)
     return sections.denoised(lines, sections.noise_profile(lines)).groupBy("doc_id", "page_no").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -95,7 +104,8 @@ def q_section_ranges(spark, sf_dir):
 
 
 def q_section_lines(spark, sf_dir):
-    own = sections.section_lines(ranges(spark, sf_dir), lines_of(spark, sf_dir))
+    lines = kept_lines(spark, sf_dir)
+    own = sections.section_lines(ranges_of(lines), lines)
     return own.groupBy("doc_id", "pos").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -202,7 +212,7 @@ def q_toc_outline(spark, sf_dir):
 
 def q_toc_anchors(spark, sf_dir):
     """Contents made of the first words of some lines, anchored to the lines that say them."""
-    lines = lines_of(spark, sf_dir)
+    lines = kept_lines(spark, sf_dir)
     picked = lines.filter((F.col("line_no") % 3 == 0) & (F.length("text") > 0))
     title = F.array_join(F.slice(F.split("text", " "), 1, 3), " ")
     pos = (F.row_number().over(Window.partitionBy("doc_id").orderBy("page_no", F.desc("line_no"))) - 1).cast("int")
@@ -242,6 +252,12 @@ def q_segment_payload(spark, sf_dir):
     return written.segments(spark, written_out(spark, sf_dir)).drop("char_count")
 
 
+def q_integrity(spark, sf_dir):
+    """Rules over what was written; files that weren't are faults of their segments."""
+    root = written_out(spark, sf_dir)
+    return guardrails.report(written.outlines(spark, root), written.segments(spark, root), written.section_texts(spark, root, plain=True))
+
+
 def q_section_files(spark, sf_dir):
     """What section files on disk begin with, and whether a viewer finds their metadata."""
     texts = written.section_texts(spark, written_out(spark, sf_dir))
@@ -431,6 +447,7 @@ def oracle_sql() -> dict[str, str]:
     sql["mixed_pages"] = f"SELECT doc_id, page_no, width, height FROM ({geometry.MIXED_PAGES})"
     sql["reading_order"], sql["mixed_reading_order"] = geometry.order_sql(geometry.PLAIN_TALK), geometry.order_sql(geometry.MIXED_TALK)
     sql["toc_anchors"] = ANCHORS
+    sql["integrity"] = f"{FILED} SELECT doc_id, count(*) AS n_entries, count(*) AS n_segments, 0::BIGINT AS q01, count(*) FILTER (WHERE pos % 7 = 3) AS q02, 0::BIGINT AS q03 FROM coded GROUP BY doc_id"
     sql |= {"segment_payload": SEGMENT_PAYLOAD, "section_files": SECTION_FILES, "major_files": MAJOR_FILES, "single_files": SINGLE_FILES}
     sql["outline_payload"], sql["snapshot"] = PAYLOAD, SNAPSHOT
     sql["scanned_sections"] = SCANNED.replace(BINDER, geometry.lines_sql(geometry.SCANNED_PAGES))
