@@ -8,7 +8,8 @@ extension is a window, named by 96 bits of hash, and all documents that agree on
 window. No pairs are made: for every window the least doc_id is found, and documents above it lose
 the window. Consecutive lost windows merge into maximal repeats.
 
-Documents are dealt once into blocks by hash. What a block asks of the rest (its distinct anchors,
+Documents are dealt once into blocks by a hash of id and text, so rows of one id, or without one, are
+spread too. What a block asks of the rest (its distinct anchors,
 then its distinct windows) is deduplicated in the block first, so a passage that a third of all
 documents share arrives once per block, and answers go back to blocks. Nothing but blobs of hashes
 is shuffled after the texts.
@@ -219,7 +220,7 @@ def dedup(docs: DataFrame, size: int = 50, gram: int = 20, block_bytes: int = 2_
     parts = partitions(docs.sparkSession, n)
     base = (
         docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("_id"), F.col("text").cast("binary").alias("_t"))
-        .withColumn("_b", F.pmod(F.xxhash64("_id"), F.lit(blocks)))
+        .withColumn("_b", F.pmod(F.xxhash64("_id", "_t"), F.lit(blocks)))
         .repartition(parts, "_b")
     )
     anchors = base.groupBy("_b").applyInArrow(ask_anchors(size, gram, parts), ASK)

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from quirefold.llm import lm, secrets
+from quirefold.llm import lm, secrets, substring
 
 DOC = "doc_id bigint, text string"
 
@@ -49,3 +49,18 @@ def test_secrets_joined_to_words(spark):
     clean = {r["doc_id"]: r["t"] for r in s.select("doc_id", secrets.redacted(s.text, s.spans).alias("t")).collect()}
     assert all(key not in clean[i] and key[:6] not in clean[i] and key[-6:] not in clean[i] for i in range(3))
     assert clean[0].endswith("/message/list") and clean[3] == texts[3] and clean[4] == texts[4]
+
+
+def test_substring_rows_of_one_id_are_spread(spark):
+    """Rows without an id, or with the same, go to many blocks; what goes doesn't depend on that."""
+    passage = " ".join(f"p{k}" for k in range(60))
+    texts = [" ".join(f"w{(i * 31 + j * j) % 997}" for j in range(70)) + (f" {passage}" if i % 9 == 0 else "") for i in range(500)]
+    rows = [(None if i % 2 else 5 if i % 4 else i, t) for i, t in enumerate(texts)] + [(None, texts[0]), (None, texts[0]), (5, texts[9])]
+    d = spark.createDataFrame(rows, DOC).repartition(4)
+    key = lambda r: (str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256)
+    one, many = (sorted(key(r) for r in substring.digest(substring.dedup(d, block_bytes=n)).collect()) for n in (10**9, 3000))
+    assert one == many and len(one) == len(rows)
+    assert sum(k[2] > 0 for k in one if k[0] == "None") > 20  # they lose what a document with an id has
+    assert [k[2] for k in one if k[0] == "0"] == [0]
+    blocks = d.select(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(substring.LAST)), F.col("text").cast("binary")), F.lit(30)).alias("b"))
+    assert blocks.distinct().count() == 30
