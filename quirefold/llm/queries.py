@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirefold.llm import chat, decontam, langid, lm, mixing, neardup, quality, secrets, substring, toxicity, vectors, whitening
+from quirefold.llm import bases, chat, decontam, langid, lm, mixing, neardup, quality, secrets, substring, toxicity, vectors, whitening
 from quirefold.llm.common import LOWER, UPPER, documents
 from quirefold.llm.shop import OP12_SQL, op12_intervals  # noqa: F401
 
@@ -65,7 +65,8 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, f in globals().items() if k.startswith("op") and k[2:].split("_")[0].isdigit()}
+    own = {k: f for k, f in globals().items() if k.startswith("op") and k[2:].split("_")[0].isdigit()}
+    return own | {f.__name__: f for f in (bases.base_quality, bases.base_secrets)}
 
 
 #: Words of the contracts that take runs of characters other than space and U+0009 to U+000D.
@@ -157,4 +158,4 @@ FROM embeddings LEFT JOIN counts USING (vec_id) LEFT JOIN firsts USING (vec_id)
 
 def oracle_sql() -> dict[str, str]:
     """SQL where it can say the whole result; the others are tested against brute force."""
-    return {"op1_decontaminate": OP1_SQL, "op7_chat": OP7_SQL, "op8_substring": OP8_SQL, "op9_neardup": OP9_SQL, "op11_vectors": OP11_SQL, "op12_intervals": OP12_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op7_chat": OP7_SQL, "op8_substring": OP8_SQL, "op9_neardup": OP9_SQL, "op11_vectors": OP11_SQL, "op12_intervals": OP12_SQL, "base_quality": bases.QUALITY_SQL, "base_secrets": bases.SECRETS_SQL}
