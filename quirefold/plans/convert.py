@@ -37,7 +37,7 @@ def outlines(lines: DataFrame, toc: DataFrame | None = None, mode: str = "sectio
 
     ``docs`` (doc_id) are all documents, also those without a line; else those with one.
     """
-    fonts = outline.from_fonts(lines)
+    fonts = stored(outline.from_fonts(lines), "headings")  # read for its rows and for the documents that have any
     own = outline.anchored(outline.from_toc(toc), lines) if toc is not None else fonts.limit(0)
     chosen = outline.with_fallback(own, fonts, (lines if docs is None else docs).select("doc_id").distinct())
     if mode == "single":
@@ -141,10 +141,10 @@ def segment_rows(converted: DataFrame, mode: str) -> DataFrame:
     return rows.select("doc_id", "n", "id", "title", "level", "page_start", "page_end", "file", "char_count")
 
 
-def files(converted: DataFrame, options: ConvertOptions | None = None) -> DataFrame:
-    """(doc_id, file, text): everything that a conversion writes for each document."""
+def files(converted: DataFrame, options: ConvertOptions | None = None, kept: bool = False) -> DataFrame:
+    """(doc_id, file, text): everything that a conversion writes for each document. ``kept``: it is a stored table."""
     mode = (options or ConvertOptions()).mode
-    converted = stored(converted, "converted")
+    converted = converted if kept else stored(converted, "converted")
     o = outline_rows(converted, mode)
     listed = render.outline_markdown(o).select("doc_id", F.lit("outline.md").alias("file"), F.col("md").alias("text"))
     parts = [json_file(o, "pos", "outline.json"), json_file(segment_rows(converted, mode), "n", "segments.json"), listed]

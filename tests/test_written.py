@@ -142,3 +142,18 @@ def test_snapshots(spark, tmp_path):
     sinks.write_files(spark.createDataFrame([("d", "Sections/a.md", "x")], FILES), str(tmp_path))
     real = readback.snapshot(written.listed(spark, str(tmp_path))).first()
     assert (real.n, real.newest, real.outline_ready) == (1, "Sections/a.md", False) and 0 <= real.age < 600
+
+
+def test_listings_and_texts_stay_with_the_tasks(spark, tmp_path):
+    rows = [(f"d{k}", f"Sections/{n}.md", "x") for k in range(3) for n in range(5)] + [("d0", "outline.json", "[]"), ("d0", "Sections/outline.json", "[]")]
+    sinks.write_files(spark.createDataFrame(rows, FILES), str(tmp_path))
+    (tmp_path / "d1/.hidden.md").write_text("no")
+    (tmp_path / "_other/Sections").mkdir(parents=True)
+    (tmp_path / "_other/Sections/a.md").write_text("no")
+    (tmp_path / "top.md").write_text("no")
+    listing = written.listed(spark, str(tmp_path))
+    assert listing.inputFiles() == []  # the driver holds no file of the folder
+    assert {(r.doc_id, r.path) for r in listing.collect()} == {(d, f) for d, f, _ in rows}
+    texts = written.section_texts(spark, str(tmp_path))
+    assert texts.inputFiles() == [] and texts.count() == 15
+    assert [tuple(r) for r in written.texts_of(spark, str(tmp_path), name="outline.json").collect()] == [("d0", "outline.json", "[]")]
