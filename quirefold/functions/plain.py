@@ -12,7 +12,8 @@ from quirefold.functions.text import mojibake_pairs
 
 CONTROL = re.compile(r"[\x00-\x1f\x7f]")
 TAG = re.compile(r"<[^>]+>")
-NOT_KEY = re.compile(r"[^a-z0-9]+")
+#: All bytes but those of a-z and 0-9 as spaces.
+KEY_BYTES = bytes(b if chr(b) in "abcdefghijklmnopqrstuvwxyz0123456789" else 32 for b in range(256))
 
 
 def clean(s: str | None) -> str:
@@ -22,10 +23,19 @@ def clean(s: str | None) -> str:
 @lru_cache(maxsize=4096)
 def key(s: str) -> str:
     """The comparison key: tags dropped, lower case, only a-z and 0-9."""
-    return NOT_KEY.sub(" ", TAG.sub(" ", s.replace("\x00", "").replace("\ufffc", "").lower())).strip()
+    s = s.replace("\x00", "").replace("\ufffc", "").lower()
+    s = TAG.sub(" ", s) if "<" in s else s
+    return b" ".join(s.encode("ascii", "replace").translate(KEY_BYTES).split()).decode()
+
+
+@lru_cache
+def garbled_starts(compat: bool) -> frozenset[str]:
+    return frozenset(bad[0] for bad, _ in mojibake_pairs(compat))
 
 
 def repaired(s: str, compat: bool = False) -> str:
+    if not any(c in s for c in garbled_starts(compat)):
+        return s
     for bad, good in mojibake_pairs(compat):
         if bad in s:
             s = s.replace(bad, good)

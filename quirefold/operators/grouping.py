@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirefold.functions.plain import paragraphs
-from quirefold.functions.text import strip
 from quirefold.operators.layout import key_type, streamed
 from quirefold.operators.post import BLANK_LINES, DEFINITION, NOTHING, unrepeated
 
@@ -37,7 +36,7 @@ def numbered(outline: DataFrame) -> DataFrame:
 
 
 def line_count(c: Column) -> Column:
-    return F.size(F.filter(F.split(c, "\n"), lambda x: strip(x) != "")).cast("long")
+    return F.size(F.filter(F.split(c, "\n"), lambda x: x.rlike(r"(?U)\S"))).cast("long")
 
 
 def major_level(outline: DataFrame) -> DataFrame:

@@ -159,3 +159,9 @@ def test_page_of_very_many_boxes(spark):
     assert tried <= len(lines) * len(tables) / 200
     left = layout.outside_tables(spark.createDataFrame(lines, BOX), spark.createDataFrame(tables, BOX))
     assert left.count() == len(lines) - len(tables) and left.columns == own.columns[:-1]
+
+
+def test_line_functions_over_odd_white_space(spark):
+    odd = ["\u3000a\x00\x01 \u2028b\ufffc\x85", "\x00\ufffc \t\x1f\u00a0", None, "12\u00a0Page 3 x\u2003 7", "a\u200bb"]
+    df = spark.createDataFrame([(x,) for x in odd], "x string").select(T.clean_line(F.col("x")).alias("c"), T.margin_key(F.col("x")).alias("m"), T.has_text(F.col("x")).alias("h"))
+    assert [tuple(r) for r in df.collect()] == [("a b", "a b", True), ("", "", False), ("", "", False), ("12 Page 3 x 7", "x", True), ("a\u200bb", "a b", True)]

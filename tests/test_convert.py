@@ -360,3 +360,14 @@ def test_a_batch_that_runs_again_is_there_once(spark, tmp_path):
         convert_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / f"state{k}"), schema).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out"))
     assert got.count() == got.select("doc_id", "pos").distinct().count() > 0 and "batch" in got.columns
+
+
+def test_small_buckets_are_not_signed(monkeypatch):
+    signed = []
+    own = post.Kept.signature
+    monkeypatch.setattr(post.Kept, "signature", lambda self, k: signed.append(k) or own(self, k))
+    text = lambda n: f"one two three four five six seven eight nine ten {chr(97 + n) * 60} end of {n * 7919} words"
+    few = "\n\n".join(text(n) for n in range(post.Kept.FEW))
+    assert post.unrepeated(few) == few and signed == []
+    many = "\n\n".join(text(n) for n in range(20))
+    assert post.unrepeated(many + "\n\n" + many) == many and signed
