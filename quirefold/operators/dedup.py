@@ -7,15 +7,18 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirefold.functions.text import match_key, words
+from quirefold.functions.text import U, match_key
 from quirefold.operators.layout import streamed
 from quirefold.operators.post import Kept
 
+#: Looks no further than the twelfth word.
+TWELVE_WORDS = U + r"\A\s*+(?:\S++\s++){11}\S"
+
 
 def candidates(paras: DataFrame, unicode_keys: bool = False) -> DataFrame:
     """Adds ``norm`` and ``candidate``: long prose may be a repeat; tables and headings may not."""
     norm = match_key(F.col("text"), unicode_keys)
-    long = (F.length("text") >= 80) & (F.size(words(F.col("text"))) >= 12)
+    long = (F.length("text") >= 80) & F.col("text").rlike(TWELVE_WORDS)
     return paras.withColumn("norm", norm).withColumn("candidate", long & ~F.col("text").rlike(r"^(\||#|- (Level|Pages|Source):)"))
 
 
@@ -24,7 +27,7 @@ def exact(paras: DataFrame, scope: list[str]) -> DataFrame:
 
     Keys are shuffled as 128-bit names, not as texts.
     """
-    c = candidates(paras).withColumn("_name", F.when(F.col("norm") != "", F.md5("norm"))).drop("norm")
+    c = candidates(paras).withColumn("_name", F.md5(F.nullif(F.col("norm"), F.lit("")))).drop("norm")
     w = Window.partitionBy(*scope, "_name", "candidate").orderBy("para")
     first = c.withColumn("_k", F.when(F.col("candidate"), F.row_number().over(w)))
     return first.filter("_name is not null and coalesce(_k, 1) = 1").select(*paras.columns)

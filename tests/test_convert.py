@@ -371,3 +371,9 @@ def test_small_buckets_are_not_signed(monkeypatch):
     assert post.unrepeated(few) == few and signed == []
     many = "\n\n".join(text(n) for n in range(20))
     assert post.unrepeated(many + "\n\n" + many) == many and signed
+
+
+def test_twelve_words_make_a_candidate(spark):
+    rows = [(0, "\u3000" + " ".join(["x" * 9] * 12)), (1, " ".join(["x" * 9] * 11) + " \u2003"), (2, "x" * 5000), (3, "\n".join(["x" * 9] * 40)), (4, " ".join("x" * 12))]
+    found = dedup.candidates(spark.createDataFrame(rows, "para int, text string")).filter("candidate")
+    assert sorted(r.para for r in found.collect()) == [0, 3]
