@@ -55,9 +55,12 @@ def page_blocks(lines: DataFrame, tables: DataFrame) -> DataFrame:
 
 
 def section_bodies(
-    ranges: DataFrame, lines: DataFrame, tables: DataFrame | None = None, keep_footnotes: bool = False, autojunk: bool = True
+    ranges: DataFrame, lines: DataFrame, tables: DataFrame | None = None, keep_footnotes: bool = False, autojunk: bool = True, carried: tuple[str, ...] = ()
 ) -> DataFrame:
-    """(doc_id, pos, body, is_empty) of every section: ``lines`` (and ``tables``) are those of the sections.
+    """(doc_id, pos, body, is_empty, ...) of every section: ``lines`` (and ``tables``) are those of the sections.
+
+    ``carried`` columns of ``ranges`` go through the fold with the section's titles, so bodies needn't be
+    shuffled again to meet them.
 
     ``ranges`` gives each section's title and, as ``next_title``, the one after it. Every section has
     a row, so one without lines gets the text that says so. Lines arrive without margin noise. Each
@@ -70,14 +73,22 @@ def section_bodies(
         own = own.unionByName(drawn)
     # Each section's titles come first, as a row of their own; kind 0 sorts before its lines.
     none = F.lit(0.0)
-    heads = ranges.select(
+    head_columns = [
         "doc_id", "pos", F.lit(0).alias("page_no"), F.lit(0).alias("block_no"), F.lit(0).alias("line_no"), none.alias("x0"), none.alias("y0"),
         none.alias("x1"), none.alias("y1"), F.concat_ws("\n", "title", "next_title").alias("text"), F.lit(0).alias("kind"), none.alias("width"),
-    )
+    ]
+    heads = ranges.select(*head_columns)
     schema = f"doc_id {layout.key_type(ranges, 'doc_id')}, pos int, body string, is_empty boolean"
+    if carried:
+        told = F.struct(*carried).alias("carried")
+        kind = ranges.select(told).schema["carried"].dataType
+        heads = ranges.select(*head_columns, told)
+        own = own.withColumn("carried", F.lit(None).cast(kind))
+        schema = f"{schema}, carried {kind.simpleString()}"
 
     def fold(k: tuple, rows: Iterator[tuple]) -> Iterator[tuple]:
-        title, _, next_title = next(rows)[9].partition("\n")
+        head = next(rows)
+        title, _, next_title = head[9].partition("\n")
         pages = []  # texts; lines are held for a page at a time
         for _, page in groupby(rows, key=lambda r: r[2]):
             own = list(page)
@@ -86,6 +97,7 @@ def section_bodies(
             if blocks:
                 pages.append("\n\n".join(blocks))
         body = post.cleaned_section("\n\n".join(pages).strip() or post.NOTHING, title, next_title or None)
-        yield (*k, post.post_processed(body, keep_footnotes, autojunk), not pages)
+        yield (*k, post.post_processed(body, keep_footnotes, autojunk), not pages, *head[12:])
 
-    return layout.streamed(heads.unionByName(own), ["doc_id", "pos"], ["page_no", "kind", "block_no", "line_no"], fold, schema, whole=False)
+    made = layout.streamed(heads.unionByName(own), ["doc_id", "pos"], ["page_no", "kind", "block_no", "line_no"], fold, schema, whole=False)
+    return made.select("doc_id", "pos", "body", "is_empty", "carried.*") if carried else made

@@ -9,11 +9,17 @@ from quirefold.functions.text import is_page_number, margin_key
 from quirefold.operators.layout import page_size
 
 
+MARGINS = ("in_top", "in_bottom", "norm")
 BAND = 0.10  # share of a page's height that its top and its bottom margin take
 
 
 def banded(lines: DataFrame) -> DataFrame:
-    """Adds ``in_top`` and ``in_bottom``, by the height of each line's page, and ``norm``, the margin key of lines in either."""
+    """Adds ``in_top`` and ``in_bottom``, by the height of each line's page, and ``norm``, the margin key of lines in either.
+
+    Rows that have all three stay as they are, so a stored table has its keys made once.
+    """
+    if set(MARGINS) <= set(lines.columns):
+        return lines
     height = page_size(lines, "height")
     own = lines.withColumns({"in_top": F.col("y0") <= height * BAND, "in_bottom": F.col("y1") >= height * (1 - BAND)})
     return own.withColumn("norm", F.when(F.col("in_top") | F.col("in_bottom"), margin_key("text")))
@@ -40,12 +46,16 @@ def noise_profile(lines: DataFrame, page_counts: DataFrame | None = None) -> Dat
 
 
 def denoised(lines: DataFrame, noise: DataFrame) -> DataFrame:
-    """Lines without margin noise; page numbers in the bottom band go in any case."""
-    rows = banded(lines).filter(~(F.col("in_bottom") & is_page_number("text"))).alias("l")
-    n = noise.alias("n")
+    """Lines without margin noise; page numbers in the bottom band go in any case.
+
+    Only lines of a band meet the noise, so those between them aren't shuffled for it.
+    """
+    every = banded(lines).filter(~(F.col("in_bottom") & is_page_number("text")))
+    rest = every.filter(F.col("norm").isNull())
+    rows, n = every.filter(F.col("norm").isNotNull()).alias("l"), noise.alias("n")
     there = ((F.col("n.band") == "top") & F.col("l.in_top")) | ((F.col("n.band") == "bottom") & F.col("l.in_bottom"))
     same = (F.col("l.doc_id") == F.col("n.doc_id")) & (F.col("l.norm") == F.col("n.norm"))
-    return rows.join(n, same & there, "left_anti").select(*lines.columns)
+    return rest.select(*lines.columns).unionByName(rows.join(n, same & there, "left_anti").select(*lines.columns))
 
 
 def front_matter(outline: DataFrame) -> DataFrame:

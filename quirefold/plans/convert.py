@@ -32,12 +32,13 @@ class ConvertOptions:
             raise ValueError(f"unsupported decoder {self.decoder!r}")
 
 
-def outlines(lines: DataFrame, toc: DataFrame | None = None, mode: str = "sections", docs: DataFrame | None = None) -> DataFrame:
+def outlines(lines: DataFrame, toc: DataFrame | None = None, mode: str = "sections", docs: DataFrame | None = None, cleaned: bool = False) -> DataFrame:
     """Per document its contents table, anchored to lines, else headings by font, else one entry.
 
-    ``docs`` (doc_id) are all documents, also those without a line; else those with one.
+    ``docs`` (doc_id) are all documents, also those without a line; else those with one. ``cleaned``:
+    the lines' texts are.
     """
-    fonts = stored(outline.from_fonts(lines), "headings")  # read for its rows and for the documents that have any
+    fonts = stored(outline.from_fonts(lines, cleaned), "headings")  # read for its rows and for the documents that have any
     own = outline.anchored(outline.from_toc(toc), lines) if toc is not None else fonts.limit(0)
     chosen = outline.with_fallback(own, fonts, (lines if docs is None else docs).select("doc_id").distinct())
     if mode == "single":
@@ -68,22 +69,22 @@ def convert(
     (doc_id, page_count) is the last page unless given. Lines and cells that carry width and height
     keep them. A document of ``pages`` without any line has one section, which says that it is empty.
 
-    Decoded lines are written once, cleaned and with their page's size; the outline, the noise profile
+    Decoded lines are written once, cleaned, with their page's size and the keys of its margins; the outline, the noise profile
     and the bodies read them.
     """
     o = options or ConvertOptions()
-    lines = stored(layout.sized(lines, pages).withColumn("text", clean_line(F.col("text"))), "lines")
+    lines = stored(sections.banded(layout.sized(lines, pages).withColumn("text", clean_line("text"))), "lines")
     counts = stored(spine(lines, pages, page_counts), "spine")
-    found = stored(outlines(lines, toc, o.mode, counts), "outlines")
+    found = stored(outlines(lines, toc, o.mode, counts, cleaned=True), "outlines")
     following = F.lead("title").over(Window.partitionBy("doc_id").orderBy("pos"))
-    ranges = sections.section_ranges(found, counts).withColumn("next_title", following)
+    ranges = grouping.numbered(sections.section_ranges(found, counts)).withColumn("next_title", following)
     quiet = sections.denoised(lines, sections.noise_profile(lines, counts))
     drawn = bodies.section_tables(ranges, bodies.page_tables(layout.sized(cells, pages), o.rubric_tables)) if cells is not None else None
-    made = bodies.section_bodies(ranges, sections.section_lines(ranges, quiet), drawn, o.keep_footnotes, o.autojunk)
+    told = ("code", "title", "level", "source", "page_start", "y0", "start", "end")
+    made = bodies.section_bodies(ranges, sections.section_lines(ranges, quiet), drawn, o.keep_footnotes, o.autojunk, told)
     if o.keep_footnotes:  # without markers both passes and the last one for repeats change nothing
         made = grouping.footnotes_settled(made, o.autojunk)
-    s = grouping.numbered(ranges).join(made, ["doc_id", "pos"])
-    return s.select(
+    return made.select(
         "doc_id", "pos", "code", "title", "level", "source", "page_start", "y0", "start", "end", grouping.line_count(F.col("body")).alias("line_count"),
         F.length("body").cast("long").alias("char_count"), F.concat(F.col("code"), F.lit("-"), slugify(F.col("title")), F.lit(".md")).alias("file"), "body",
         "is_empty",

@@ -377,3 +377,40 @@ def test_twelve_words_make_a_candidate(spark):
     rows = [(0, "\u3000" + " ".join(["x" * 9] * 12)), (1, " ".join(["x" * 9] * 11) + " \u2003"), (2, "x" * 5000), (3, "\n".join(["x" * 9] * 40)), (4, " ".join("x" * 12))]
     found = dedup.candidates(spark.createDataFrame(rows, "para int, text string")).filter("candidate")
     assert sorted(r.para for r in found.collect()) == [0, 3]
+
+
+def test_plain_lines_are_left_as_they_are_and_others_cleaned(spark):
+    from quirefold.functions.text import clean_line, is_page_number, margin_key
+
+    texts = ["plain é “words”", "two  blanks", " ends ", "tab\there", "nul\x00", "no break", "wide　blank", " ", "ob￼ject", None, "", "\x85", "12 page 3", "1 2 3", "12 34", "Page 7 x", " 3 of 4 "]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = rows.select(*[f(c) for f in (clean_line, margin_key, is_page_number) for c in ("t", F.col("t"))]).collect()
+    assert [r[0] for r in got] == [r[1] for r in got] and [r[2] for r in got] == [r[3] for r in got] and [r[4] for r in got] == [r[5] for r in got]
+    assert [r[2] for r in got][-5:] == ["page", "2", "34", "x", "of"]
+
+
+def test_texts_of_lines_are_shuffled_for_pages_and_sections_alone(spark):
+    """Bodies aren't joined to their sections again, and only lines of a band meet the noise."""
+    from quirefold.operators import sections
+
+    lines = spark.createDataFrame([("d", 1, 0, n, 72.0, 40.0 + 50 * n, 300.0, 50.0 + 50 * n, 10.0, "some text") for n in range(12)], LINE)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    made = plan(convert(lines))
+    assert "Join" not in made.split("MapInArrow")[0]
+    quiet = plan(sections.denoised(lines, sections.noise_profile(lines)))
+    assert quiet.index("Union") < quiet.index("Join LeftAnti")
+
+
+def test_steps_find_nothing_where_their_tests_fail():
+    """Each guarded step against its pattern alone."""
+    from quirefold.operators import post
+
+    bodies = ["- a\n* b\n• c", "see 12 of\n3 men; x.4 \n5 | 6", "Extract 3 here\n\n\n\nEXTRACT 4 there", "<sup>3</sup>  | a |\n| b |  c", "a\r\n\n\n b", "\n", "", "as follows:\nA. one\n\nB. two", "٣ of\n٤ x"]
+    for b in bodies:
+        whole = b
+        for pattern, put in ((post.EXTRACT, ""), (post.BULLETED, "- "), (post.INLINE_NUMBER, r" <sup>\1</sup>"), (post.LINE_NUMBER, r"<sup>\1</sup> "), (post.STOP_NUMBER, r"\1<sup>\2</sup>")):
+            whole = pattern.sub(put, whole)
+        assert post.readability(b) == post.BLANK_LINES.sub("\n\n", whole)
+        assert post.no_sup(b) == post.ROW_NUMBER.sub("", b.replace("<sup>", "").replace("</sup>", ""))
+        assert post.row_prefixes(b) == post.ROW_PREFIX.sub("", b) and post.detached_text(b) == post.ROW_TAIL.sub(r"\1\n\n\2", b)
+        assert post.repeated_headers(b) == "\n".join(b.splitlines())
