@@ -414,3 +414,21 @@ def test_steps_find_nothing_where_their_tests_fail():
         assert post.no_sup(b) == post.ROW_NUMBER.sub("", b.replace("<sup>", "").replace("</sup>", ""))
         assert post.row_prefixes(b) == post.ROW_PREFIX.sub("", b) and post.detached_text(b) == post.ROW_TAIL.sub(r"\1\n\n\2", b)
         assert post.repeated_headers(b) == "\n".join(b.splitlines())
+
+
+def test_spans_meet_as_runs_before_the_shuffle(spark):
+    """In order, out of order, with gaps and with numbers given twice; a line's spans are one row of the shuffle."""
+    words = [f"w{k}" for k in range(60)]
+    told = [("d", 1, 0, 0, k, w) for k, w in enumerate(words)]
+    told += [("d", 1, 0, 1, k, w) for k, w in reversed(list(enumerate(words)))]
+    told += [("d", 1, 0, 2, k, w) for k, w in enumerate(words) if k % 7] + [("d", 1, 0, 2, k, w) for k, w in enumerate(words) if k % 7 == 0]
+    told += [("d", 1, 0, 3, 1, "b c"), ("d", 1, 0, 3, 1, "a"), ("d", 1, 0, 3, 0, " "), ("d", 1, 0, 4, 0, "")]
+    rows = [(*r[:5], 1.0, 2.0, 3.0, None, None if r[4] % 2 else float(r[4]), r[5]) for r in told]
+    spans = spark.createDataFrame(rows, "doc_id string, page_no int, block_no int, line_no int, span_no int, x0 double, y0 double, x1 double, y1 double, size double, text string")
+    got = {r.line_no: r for r in layout.lines_of_spans(spans.coalesce(1)).collect()}
+    assert set(got) == {0, 1, 2, 3} and got[3].text == "a b c" and got[3].size == 0.0
+    for n in range(3):
+        assert got[n].text == " ".join(words) and got[n].size == 58.0 and (got[n].x0, got[n].y0, got[n].x1, got[n].y1) == (1.0, 2.0, 3.0, None)
+    s = spans.filter("line_no = 0").withColumns({"size": F.coalesce("size", F.lit(0.0))}).coalesce(1)
+    runs = s.mapInArrow(layout.span_runs, "doc_id string, page_no int, block_no int, line_no int, x0 double, y0 double, x1 double, y1 double, first int, count int, size double, text string")
+    assert [(r["first"], r["count"], r["text"]) for r in runs.collect()] == [(0, 60, "\n".join(words))]
