@@ -12,18 +12,30 @@ from quirefold.functions.text import mojibake_pairs
 
 CONTROL = re.compile(r"[\x00-\x1f\x7f]")
 TAG = re.compile(r"<[^>]+>")
-#: All bytes but those of a-z and 0-9 as spaces.
-KEY_BYTES = bytes(b if chr(b) in "abcdefghijklmnopqrstuvwxyz0123456789" else 32 for b in range(256))
+HAS_TEXT = re.compile(r"[^\s\x00-\x1f\x7f\ufffc]")
+#: A-Z in lower case, a-z and 0-9 as they are, all other bytes as spaces.
+KEY_BYTES = bytes(b if chr(b) in "abcdefghijklmnopqrstuvwxyz0123456789" else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
+#: What else has an ASCII letter in its lower case.
+LOWERED = ("\u0130", "i\u0307"), ("\u212a", "k")
 
 
 def clean(s: str | None) -> str:
     return " ".join(CONTROL.sub(" ", (s or "").replace("\x00", "").replace("￼", "")).split())
 
 
+def has_text(s: str) -> bool:
+    """Whether ``clean`` leaves anything; looks no further than the first character that stays."""
+    return HAS_TEXT.search(s) is not None
+
+
 @lru_cache(maxsize=4096)
 def key(s: str) -> str:
     """The comparison key: tags dropped, lower case, only a-z and 0-9."""
-    s = s.replace("\x00", "").replace("\ufffc", "").lower()
+    s = s.replace("\x00", "")
+    if not s.isascii():
+        s = s.replace("\ufffc", "")
+        for c, low in LOWERED:
+            s = s.replace(c, low)
     s = TAG.sub(" ", s) if "<" in s else s
     return b" ".join(s.encode("ascii", "replace").translate(KEY_BYTES).split()).decode()
 

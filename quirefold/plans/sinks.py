@@ -133,7 +133,9 @@ def published(written: DataFrame, root: str, mode: str) -> DataFrame:
 
     # A file that is given twice: the last of its staged copies counts.
     one = written.groupBy("doc_id", "file").agg(F.max_by(F.struct("staged", "n_chars"), "staged").alias("w")).select("doc_id", "file", "w.*")
-    return one.repartition("doc_id").sortWithinPartitions("doc_id", "file").mapInArrow(run, "path string, n_chars bigint")
+    # Rows are short and moves are not, so the number of tasks is told; by the rows' size they would be one or two.
+    parts = int(written.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return one.repartition(parts, "doc_id").sortWithinPartitions("doc_id", "file").mapInArrow(run, "path string, n_chars bigint")
 
 
 def write_files(files: DataFrame, root: str, mode: str = "sections") -> DataFrame:

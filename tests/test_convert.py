@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 import sys
 import types
 
@@ -10,6 +11,8 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from quirefold import store
+from quirefold.functions import plain
+from quirefold.functions import text as T
 from quirefold.operators import bodies, dedup, layout, outline, post, sections
 from quirefold.plans.convert import ConvertOptions, convert, files, markdown_files
 from quirefold.plans.sinks import write_files
@@ -432,3 +435,38 @@ def test_spans_meet_as_runs_before_the_shuffle(spark):
     s = spans.filter("line_no = 0").withColumns({"size": F.coalesce("size", F.lit(0.0))}).coalesce(1)
     runs = s.mapInArrow(layout.span_runs, "doc_id string, page_no int, block_no int, line_no int, x0 double, y0 double, x1 double, y1 double, first int, count int, size double, text string")
     assert [(r["first"], r["count"], r["text"]) for r in runs.collect()] == [(0, 60, "\n".join(words))]
+
+
+def test_keys_are_made_of_beginnings(monkeypatch):
+    """Prose whose first ten words are its own never has its whole key made."""
+    made = []
+    monkeypatch.setattr(post, "key", lambda s: made.append(len(s)) or plain.key(s))
+    body = "\n\n".join(" ".join(f"{w}{k}" for w in ("Lorem", "ipsum", "dolor", "sit") * 30) for k in range(20))
+    assert post.unrepeated(body) == body
+    assert max(made) <= 160
+    twice = f"{body}\n\n{body[:500]}\n\n{body.split(chr(10))[0].upper()}"
+    assert post.unrepeated(twice).count("\n\n") < twice.count("\n\n")
+
+
+def test_shortcuts_of_clean_up(monkeypatch):
+    """Keys and tests agree with their plain forms."""
+    for s in ("", "a B", "ÀB-c 9", "İx Kb", "x<b C>y<", "\x00￼A b", "ß 12 Ⅷ"):
+        low = re.sub("<[^>]+>", " ", s.replace("\x00", "").replace("￼", "").lower())
+        assert plain.key(s) == " ".join(re.sub("[^a-z0-9]+", " ", low).split())
+        assert plain.has_text(s) == bool(plain.clean(s))
+    rng = random.Random(7)
+    for _ in range(3000):
+        s = "".join(rng.choice("a Z1\n2.,٣é\t)") for _ in range(rng.randint(0, 14)))
+        args = f"{s}\n\nB b b.\n\nB b.", rng.choice(("a", "z1", "A z", "2"))
+        told = post.cleaned_section(*args)
+        with monkeypatch.context() as m:
+            m.setattr(post, "KEY_START", re.compile("(?!)"))
+            assert told == post.cleaned_section(*args)
+
+
+def test_margin_keys_tested_first(spark):
+    """A column by name is tested before it is cut; its key is that of the expression."""
+    odd = [None, "", " 12 Page", "Page 12 of", "page 3 x", "Pa", "p", "a 12", "12 b", "Quarterly Report 7", "Äb <i>c</i> d.", "x", " ab ", "a\x00b", "￼ab", "ab٣", "٣ ab", "(a) b!", "<b>x</b> y", "日本 abc", "a￼b c"]
+    d = spark.createDataFrame([(x,) for x in odd], "text string")
+    for r in d.select("text", T.margin_key("text").alias("a"), T.margin_key(F.col("text")).alias("b")).collect():
+        assert r["a"] == r["b"], r["text"]

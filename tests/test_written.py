@@ -157,3 +157,10 @@ def test_listings_and_texts_stay_with_the_tasks(spark, tmp_path):
     texts = written.section_texts(spark, str(tmp_path))
     assert texts.inputFiles() == [] and texts.count() == 15
     assert [tuple(r) for r in written.texts_of(spark, str(tmp_path), name="outline.json").collect()] == [("d0", "outline.json", "[]")]
+
+
+def test_moves_are_dealt_out(spark, tmp_path):
+    """Files are moved by as many tasks as the session deals to, however short their rows are."""
+    d = spark.createDataFrame([(f"d{k}", "a.md", "x") for k in range(40)], "doc_id string, file string, text string")
+    staged = sinks.staged(d, str(tmp_path), "j").cache()
+    assert sinks.published(staged, str(tmp_path), "single").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
