@@ -38,6 +38,7 @@ from quirefold.llm.hashing import Words, pieces
 ALPHA = 0.1  # of the counts' smoothing
 GROWTH = 8  # of the rows trained on, from round to round
 CHUNK = 8192  # states scored at once
+SPREAD = 60.0  # of logits whose powers of e are all exact enough in single precision
 PIECES = 16  # of a network's numbers, at least; each is averaged in one task
 ASK = "bucket int, _b bigint, h binary, c binary, k binary"
 COUNTS = (
@@ -109,22 +110,25 @@ class Gru:
                 "bc": np.zeros(v.classes + v.others, np.float32), "Ww": w(v.classes, h, v.width), "bw": np.zeros((v.classes, v.width), np.float32),
             }
 
-    def step(self, state: np.ndarray, symbol: np.ndarray):
-        h, x = self.hidden, self.p["E"][symbol]
-        u = state @ self.p["U"]
-        gates = x[:, : 2 * h]
-        gates += u[:, : 2 * h]
+    def step(self, state: np.ndarray, x: np.ndarray):
+        """States [hidden, stream] after symbols whose rows of E are ``x`` [3 * hidden, stream], which is used up.
+
+        Streams lie side by side, so each gate is one run of memory.
+        """
+        h = self.hidden
+        u = self.p["U"].T @ state
+        gates, new = x[: 2 * h], x[2 * h :]
+        gates += u[: 2 * h]
         np.negative(gates, out=gates)
         np.exp(gates, out=gates)
         gates += 1
         np.reciprocal(gates, out=gates)
-        new = gates[:, :h] * u[:, 2 * h :]
-        new += x[:, 2 * h :]
+        new += gates[:h] * u[2 * h :]
         np.tanh(new, out=new)
         after = new - state
-        after *= gates[:, h:]
+        after *= gates[h:]
         after += state
-        return after, gates, new, u[:, 2 * h :]
+        return after, gates, new, u[2 * h :]
 
     def log_probs(self, states: np.ndarray, target: np.ndarray, grads: dict | None = None):
         """Natural log P(symbol | state); with ``grads``, also adds gradients and returns dstates.
@@ -134,9 +138,9 @@ class Gru:
         v, p, n = self.voc, self.p, len(target)
         inside = target < v.classes * v.width
         cls = np.where(inside, target // v.width, v.classes + target - v.classes * v.width)
-        order = np.argsort(cls, kind="stable")
+        order = sorted_order(cls)
         states, target, cls = states[order], target[order], cls[order]
-        logs, e = softmax(states @ p["Wc"] + p["bc"], cls)
+        logs, e = softmax(states @ p["Wc"] + p["bc"], cls, grads is not None)
         back = None
         if grads is not None:
             e[np.arange(n), cls] -= 1
@@ -149,7 +153,7 @@ class Gru:
             if edges[c] == edges[c + 1]:
                 continue
             s, word = states[own], target[own] - c * v.width
-            more, e = softmax(s @ p["Ww"][c] + p["bw"][c], word)
+            more, e = softmax(s @ p["Ww"][c] + p["bw"][c], word, grads is not None)
             logs[own] += more
             if grads is not None:
                 e[np.arange(len(word)), word] -= 1
@@ -170,39 +174,41 @@ class Gru:
         ``fresh`` marks the first symbol of a text, before which the state is zero. Symbols that
         aren't ``live`` pad the ends of streams and count for nothing.
         """
-        h, p = self.hidden, self.p
+        h, p, (n, streams) = self.hidden, self.p, symbols.shape
         grads = {k: np.zeros_like(x) for k, x in p.items()}
-        kept = []
-        for t in range(len(symbols)):
-            state = np.where(fresh[t][:, None], np.float32(0), state)
-            after, gates, new, uc = self.step(state, symbols[t])
-            kept.append((state, gates, new, uc))
-            state = after
-        before = np.concatenate([k[0] for k in kept])
+        side = lambda x: np.ascontiguousarray(x.reshape(n, streams, -1).transpose(0, 2, 1))
+        rows = lambda x: x.transpose(0, 2, 1).reshape(n * streams, -1)
+        read, state = side(p["E"][symbols]), state.T
+        prev, uc = (np.empty((n, h, streams), read.dtype) for _ in range(2))
+        for t in range(n):
+            prev[t] = np.where(fresh[t], np.float32(0), state)
+            state, _, _, uc[t] = self.step(prev[t], read[t])
+        r, z, new = read[:, :h], read[:, h : 2 * h], read[:, 2 * h :]
+        before = rows(prev)
         if live is None or live.all():
             logs, dh = self.log_probs(before, symbols.reshape(-1), grads)
         else:
             at, dh = np.flatnonzero(live), np.zeros_like(before)
             logs, dh[at] = self.log_probs(before[at], symbols.reshape(-1)[at], grads)
-        dh = dh.reshape(len(symbols), -1, h)
-        read = np.empty((*symbols.shape, 3 * h), dh.dtype)
-        carry = np.zeros_like(state)
-        for t in range(len(symbols) - 1, -1, -1):
-            prev, gates, new, uc = kept[t]
-            r, z = gates[:, :h], gates[:, h:]
-            dnew = carry * z * (1 - new * new)
-            dz = carry * (new - prev) * z * (1 - z)
-            dr = dnew * uc * r * (1 - r)
-            dx = np.concatenate([dr, dz, dnew], axis=1)
-            du = np.concatenate([dr, dz, dnew * r], axis=1)
-            read[t] = dx
-            grads["U"] += prev.T @ du
-            carry = carry * (1 - z) + du @ p["U"].T + dh[t]
-            carry[fresh[t]] = 0
-        order = np.argsort(symbols, axis=None, kind="stable")
+        dh, by_new, by_z, by_r = side(dh), z * (1 - new * new), (new - prev) * z * (1 - z), uc * r * (1 - r)
+        dx, du = (np.empty_like(read) for _ in range(2))
+        carry = np.zeros_like(dh[0])
+        for t in range(n - 1, -1, -1):
+            dr, dz, dnew = dx[t, :h], dx[t, h : 2 * h], dx[t, 2 * h :]
+            np.multiply(carry, by_new[t], out=dnew)
+            np.multiply(carry, by_z[t], out=dz)
+            np.multiply(dnew, by_r[t], out=dr)
+            du[t, : 2 * h] = dx[t, : 2 * h]
+            np.multiply(dnew, r[t], out=du[t, 2 * h :])
+            carry -= carry * z[t]
+            carry += p["U"] @ du[t]
+            carry += dh[t]
+            carry[:, fresh[t]] = 0
+        grads["U"] += before.T @ rows(du)
+        order = sorted_order(symbols.reshape(-1))
         names, at = np.unique(symbols.reshape(-1)[order], return_index=True)
-        grads["E"][names] = np.add.reduceat(read.reshape(-1, 3 * h)[order], at)
-        return -float(logs.sum()), grads, state
+        grads["E"][names] = np.add.reduceat(rows(dx)[order], at)
+        return -float(logs.sum()), grads, state.T
 
     def text_logs(self, symbols: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Natural log probability of each symbol of texts that lie one after another."""
@@ -211,29 +217,39 @@ class Gru:
         longest = int(size[0]) if len(size) else 0
         running = np.searchsorted(-size, -np.arange(1, longest + 1), side="right")
         out = np.empty(len(symbols), np.float64)
-        state, states, places, held = np.zeros((len(size), self.hidden), np.float32), [], [], 0
+        state, states, places, held = np.zeros((self.hidden, len(size)), np.float32), [], [], 0
         for t, n in enumerate(running.tolist()):
             where = start[:n] + t
-            state = state[:n]
+            state = state[:, :n]
             states.append(state)
             places.append(where)
             held += n
             if held >= CHUNK or t == longest - 1:  # a bounded number of states is held
                 at = np.concatenate(places)
-                out[at] = self.log_probs(np.concatenate(states), symbols[at])[0]
+                out[at] = self.log_probs(np.concatenate(states, axis=1).T, symbols[at])[0]
                 states, places, held = [], [], 0
-            state = self.step(state, symbols[where])[0]
+            state = self.step(state, np.ascontiguousarray(self.p["E"][symbols[where]].T))[0]
         return out
 
 
-def softmax(logits: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(log probability of each row's target, probabilities); logits are used up."""
-    logits -= logits.max(axis=1, keepdims=True)
+def sorted_order(x: np.ndarray) -> np.ndarray:
+    """Stable order of small numbers; 16 bits are sorted by their digits."""
+    return np.argsort(x.astype(np.uint16) if len(x) and x.max() < 1 << 16 else x, kind="stable")
+
+
+def softmax(logits: np.ndarray, target: np.ndarray, wanted: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+    """(log probability of each row's target, probabilities if ``wanted``); logits are used up.
+
+    Logits within ``SPREAD`` of each other, as they mostly are, are shifted by one value; else each row by its own largest.
+    """
+    most = logits.max(initial=-np.inf)
+    logits -= most if most - logits.min(initial=np.inf) < SPREAD else logits.max(axis=1, keepdims=True)
     own = logits[np.arange(len(target)), target]
     e = np.exp(logits, out=logits)
-    total = e.sum(axis=1)
-    e /= total[:, None]
-    return own - np.log(total), e
+    total = e @ np.ones(e.shape[1], e.dtype)
+    if wanted:
+        e /= total[:, None]
+    return own - np.log(total), e if wanted else None
 
 
 def trained(
@@ -289,21 +305,21 @@ def tokens(texts: list[bytes | None], voc: Vocabulary | None = None):
 
 
 def distinct_by_bucket(h: np.ndarray, buckets: int):
-    """(distinct hashes by bucket and value, where each is first, bucket of each)."""
-    names, first = np.unique(h, return_index=True)
+    """(distinct hashes by bucket and value, where each is first, bucket of each, the place in them of each of ``h``)."""
+    names, first, inverse = np.unique(h, return_index=True, return_inverse=True)
     bucket = (names % np.uint64(buckets)).astype(np.int64)
-    order = np.lexsort((names, bucket))
-    return names[order], first[order], bucket[order]
+    order = np.argsort(bucket, kind="stable")
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    return names[order], first[order], bucket[order], place[inverse]
 
 
 def ask_words(buckets: int):
     def run(table: pa.Table) -> pa.Table:
         h, k, _, n = tokens(table["_t"].to_pylist())
         train = np.repeat(~np.array(table["held_out"].to_pylist(), dtype=bool), n)
-        names, first, bucket = distinct_by_bucket(h, buckets)
-        order = np.argsort(names)
-        counts = np.zeros(len(names), np.int64)
-        counts[order] = np.bincount(np.searchsorted(names[order], h[train]), minlength=len(names))
+        names, first, bucket, place = distinct_by_bucket(h, buckets)
+        counts = np.bincount(place[train], minlength=len(names)).astype(np.int64)
         suffix = k[first].astype(np.uint16)
         at = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
         cut = lambda x: [x[s:e].tobytes() for s, e in zip(at, [*at[1:], len(x)], strict=True)]
@@ -343,11 +359,10 @@ def score_texts(shared, buckets: int):
         net, n_all, v_all, nk, vk = shared.value
         voc = net.voc
         h, k, symbols, sizes = tokens(table["_t"].to_pylist(), voc)
-        names, _, bucket = distinct_by_bucket(h, buckets)
+        _, _, bucket, place = distinct_by_bucket(h, buckets)
         by = dict(zip(answers["bucket"].to_pylist(), answers["c"].to_pylist(), strict=True))
         counts = np.concatenate([np.frombuffer(by[b], dtype=np.int64) for b in np.unique(bucket).tolist()])
-        order = np.argsort(names)
-        c = counts[order][np.searchsorted(names[order], h)].astype(np.float64)
+        c = counts[place].astype(np.float64)
         base = np.log10((c + ALPHA) / (n_all + ALPHA * (v_all + 1)))
         logs = net.text_logs(symbols, sizes)
         other = symbols >= voc.classes * voc.width

@@ -64,3 +64,37 @@ def test_substring_rows_of_one_id_are_spread(spark):
     assert [k[2] for k in one if k[0] == "0"] == [0]
     blocks = d.select(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(substring.LAST)), F.col("text").cast("binary")), F.lit(30)).alias("b"))
     assert blocks.distinct().count() == 30
+
+
+def test_streams_lie_side_by_side():
+    """Gates are runs of memory, rows of logits are shifted as one, and results are those of the plain formulas."""
+    voc = lm.fitted_vocabulary(np.arange(200, dtype=np.uint64) % np.uint64(20), np.zeros(200, np.int64), classes=3, width=8, suffixes=3)
+    net, rng = lm.Gru(voc, 4), np.random.default_rng(2)
+    net.p = {k: rng.standard_normal(v.shape) for k, v in net.p.items()}
+    counts = np.array([5, 1, 9, 3])
+    symbols, own = rng.choice(np.concatenate((np.arange(len(voc.words) + 1), voc.classes * voc.width + np.arange(voc.others))), counts.sum()), []
+    for text in np.split(symbols, np.cumsum(counts)[:-1]):
+        s = np.zeros(4)
+        for x in text:
+            c, k = (x // voc.width, x % voc.width) if x < voc.classes * voc.width else (voc.classes + x - voc.classes * voc.width, None)
+            logit = s @ net.p["Wc"] + net.p["bc"]
+            p = logit[c] - np.log(np.exp(logit).sum())
+            if k is not None:
+                logit = s @ net.p["Ww"][c] + net.p["bw"][c]
+                p += logit[k] - np.log(np.exp(logit).sum())
+            own.append(p)
+            e, u = net.p["E"][x], s @ net.p["U"]
+            r, z = (1 / (1 + np.exp(-(e[i : i + 4] + u[i : i + 4]))) for i in (0, 4))
+            s = s + z * (np.tanh(e[8:] + r * u[8:]) - s)
+    assert np.allclose(net.text_logs(symbols, counts), own, atol=1e-4)
+    _, gates, new, _ = net.step(np.zeros((4, 7)), np.ones((12, 7)))
+    assert gates.flags.c_contiguous and new.flags.c_contiguous and gates.shape == (8, 7)
+    wide = np.array([[0.0, 100.0], [-300.0, -301.0]], np.float32)
+    logs, e = lm.softmax(wide.copy(), np.array([1, 0]))
+    assert np.allclose(logs, [0.0, -np.log1p(np.exp(-1.0))], atol=1e-6) and np.allclose(e.sum(axis=1), 1)
+
+
+def test_words_by_bucket():
+    h = np.array([9, 4, 9, 7, 4, 4], np.uint64)
+    names, first, bucket, place = lm.distinct_by_bucket(h, 3)
+    assert names.tolist() == [9, 4, 7] and first.tolist() == [0, 1, 3] and bucket.tolist() == [0, 1, 1] and names[place].tolist() == h.tolist()
