@@ -20,7 +20,8 @@ gives no rows; extra columns pass through. Reruns with the same rows and seed ag
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirefold.llm.common import blank_words, small, stored
@@ -75,6 +76,18 @@ def sized(docs: DataFrame, seed: int, *more: str) -> DataFrame:
     )
 
 
+#: Columns of the rows of sources that the driver makes.
+PLAN = {
+    "_s": pa.string(), "source_size": pa.int64(), "target": pa.float64(), "whole": pa.int32(), "rest": pa.float64(), "blocks": pa.int64(),
+    "ends": pa.list_(pa.int64()), "last": pa.int64(), "need": pa.float64(),
+}
+
+
+def local(spark: SparkSession, columns: dict[str, list]) -> DataFrame:
+    """Rows of sources as a table; it goes over as Arrow, so no job and no Python worker makes it."""
+    return spark.createDataFrame(pa.table({k: pa.array(v, PLAN[k]) for k, v in columns.items()}))
+
+
 def mix(docs: DataFrame, block_docs: int = 32, shards: int = 16, seed: int = 7, with_text: bool = False) -> DataFrame:
     """One row per document row: size, source_size, target, times, taken, shards (of its copies), order.
 
@@ -93,22 +106,17 @@ def mix(docs: DataFrame, block_docs: int = 32, shards: int = 16, seed: int = 7,
     whole = [int(t // s) if s else 0 for t, s in zip(want, sizes, strict=True)]
     rest = [t - e * s for t, e, s in zip(want, whole, sizes, strict=True)]
     blocks = [-(-r["n"] // block_docs) for r in found]
-    schema = "_s string, source_size long, target double, whole int, rest double, blocks long"
-    plan = spark.createDataFrame(
-        [(r["_s"], s, float(t), e, float(x), b) for r, s, t, e, x, b in zip(found, sizes, want, whole, rest, blocks, strict=True)], schema
-    )
-    deal = lambda rows: rows.join(small(plan, 100_000), "_s").withColumn("block", F.pmod("_h", F.col("blocks")))
-    cut = stored(boundaries(deal(rows)), "cuts")
-    last = {r["_s"]: r["block"] for r in cut.collect()}
-    drawn = [e * b + last.get(r["_s"], 0) + (r["_s"] in last) for r, e, b in zip(found, whole, blocks, strict=True)]
+    told = {"_s": [r["_s"] for r in found], "source_size": sizes, "target": [float(t) for t in want], "whole": whole, "rest": [float(x) for x in rest], "blocks": blocks}
+    deal = lambda rows, plan: rows.join(F.broadcast(plan) if len(found) <= 100_000 else plan, "_s").withColumn("block", F.pmod("_h", F.col("blocks")))
+    cut = {r["_s"]: r for r in boundaries(deal(rows, local(spark, told))).collect()}
+    last = [cut[s]["block"] if s in cut else None for s in told["_s"]]
+    drawn = [e * b + (0 if x is None else x + 1) for e, b, x in zip(whole, blocks, last, strict=True)]
     quota = split_quotas(drawn, shards, seed)
-    ends = spark.createDataFrame(
-        [(r["_s"], [int(x) for x in np.cumsum(q)]) for r, q in zip(found, quota, strict=True)], "_s string, ends array<long>"
-    )
-    side = ends.join(cut.select("_s", F.col("block").alias("last"), "need"), "_s", "left")
-    chosen = stored(edges(deal(rows).join(small(side, 100_000), "_s")), "edges")
+    need = [cut[s]["need"] if s in cut else None for s in told["_s"]]
+    plan = local(spark, told | {"ends": [np.cumsum(q).tolist() for q in quota], "last": last, "need": need})
+    chosen = stored(edges(deal(rows, plan)), "edges")
     base = sized(docs, seed, *[c for c in docs.columns if c not in OWN]) if with_text else rows
-    once = deal(base).join(small(side, 100_000), "_s").join(small(chosen, 1_000_000), ["_s", "_h"], "left")
+    once = deal(base, plan).join(small(chosen, 1_000_000), ["_s", "_h"], "left")
     extra = F.when(F.col("block") < F.col("last"), 1).otherwise(F.coalesce("_edge", F.lit(0)))
     once = once.withColumn("times", F.col("whole") + extra)
     shard = lambda j: F.size(F.filter("ends", lambda e: e <= j))

@@ -124,6 +124,17 @@ def test_mix_meets_targets_and_writes_shards(spark, tmp_path):
     assert sorted(map(str, mixing.digest(mixing.mix(docs, block_docs=8, shards=4)).collect())) == sorted(map(str, mixing.digest(mixed).collect()))
 
 
+def test_mix_plans_little_on_the_driver(spark):
+    docs = spark.createDataFrame([(k, "a b c", "en", f"s{k % 3}", 5) for k in range(60)], DOC)
+    sc = spark.sparkContext
+    sc.setJobGroup("mix", "rows of sources take no jobs")
+    try:
+        assert mixing.mix(docs, with_text=True).count() == 60
+        assert len(sc.statusTracker().getJobIdsForGroup("mix")) <= 26
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
 # Secrets
 
 
