@@ -91,7 +91,7 @@ def is_pdf(c: Column) -> Column:
 def validated(paths: DataFrame, listing: DataFrame) -> DataFrame:
     """Adds ``ok`` and ``message`` to rows with ``path``: it must be there, be a .pdf and be in the listing (path)."""
     have = listing.select(F.col("path").alias("_path"), F.lit(True).alias("_have")).distinct()
-    p = paths.withColumn("_own", strip(F.coalesce("path", F.lit("")))).join(have, F.col("_own") == F.col("_path"), "left")
+    p = paths.withColumn("_own", strip(F.coalesce("path", F.lit("")))).join(have.hint("merge"), F.col("_own") == F.col("_path"), "left")
     message = F.when(F.col("_own") == "", MISSING).when(~is_pdf(F.col("_own")), NOT_PDF).when(F.col("_have").isNull(), NOT_FOUND)
     return p.withColumn("message", message).withColumn("ok", F.col("message").isNull()).drop("_own", "_path", "_have")
 
@@ -166,10 +166,13 @@ def heading_offset(text: Column, title: Column) -> Column:
 
 
 def outline_with_files(outline: DataFrame, files: DataFrame) -> DataFrame:
-    """Nulls section_file where the document's listing (doc_id, path) lacks it or it leaves the folder."""
+    """Nulls section_file where the document's listing (doc_id, path) lacks it or it leaves the folder.
+
+    However small a listing looks beforehand, no driver or task gets it whole.
+    """
     by = ["doc_id"] if "doc_id" in files.columns else []
     have = files.select(*by, F.col("path").alias("section_file"), F.lit(True).alias("_ok")).distinct()
-    o = outline.join(have, [*by, "section_file"], "left")
+    o = outline.join(have.hint("merge"), [*by, "section_file"], "left")
     return o.withColumn("section_file", F.when(F.col("_ok") & inside(F.col("section_file")), F.col("section_file"))).select(*outline.columns)
 
 
@@ -191,7 +194,7 @@ def resolved_sections(wanted: DataFrame, files: DataFrame) -> DataFrame:
     """Adds ``message`` to rows with ``path``, null where the file is inside the folder and in the listing (path)."""
     have = files.select("path", F.lit(True).alias("_ok")).distinct()
     message = F.when(~inside(F.col("path")), "Invalid section path.").when(F.col("_ok").isNull(), "Section file not found.")
-    return wanted.join(have, "path", "left").withColumn("message", message).drop("_ok")
+    return wanted.join(have.hint("merge"), "path", "left").withColumn("message", message).drop("_ok")
 
 
 def snapshot(files: DataFrame, now: Column | None = None) -> DataFrame:

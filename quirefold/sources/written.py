@@ -64,7 +64,10 @@ def folders(spark: SparkSession, root: str) -> DataFrame:
                 names = [x.base_name for x in system.get_file_info(fs.FileSelector(base)) if x.type == fs.FileType.Directory]
                 yield pa.RecordBatch.from_arrays([pa.array([n for n in names if not hidden(n)], pa.string())], names=["folder"])
 
-    return spark.range(0, 1, 1, 1).mapInArrow(run, "folder string").repartition(parts_of(spark), "folder")
+    # A range has eight bytes, by which Spark would take all that is listed and read for small; of an RDD it knows no size.
+    # Adaptive plans still judge listings by the folders they come from, so joins with listings and texts say "merge".
+    one = spark.createDataFrame(spark.sparkContext.parallelize([(0,)], 1), "n int")
+    return one.mapInArrow(run, "folder string").repartition(parts_of(spark), "folder")
 
 
 def listed(spark: SparkSession, root: str, pattern: str | None = None, name: str | None = None) -> DataFrame:
@@ -137,7 +140,7 @@ def payloads(spark: SparkSession, root: str) -> DataFrame:
     """(doc_id, outline_markdown, n_entries, message) of every document's folder; a missing outline.md is empty."""
     text = lambda name: texts_of(spark, root, name=name).select("doc_id", F.col("text").alias(name.split(".")[1]))
     docs = listed(spark, root).select("doc_id").distinct()
-    both = docs.join(text("outline.json"), "doc_id", "left").join(text("outline.md"), "doc_id", "left")
+    both = docs.join(text("outline.json").hint("merge"), "doc_id", "left").join(text("outline.md").hint("merge"), "doc_id", "left")
     entries = entries_of(F.col("json"))
     message = F.when(F.col("json").isNull(), NO_OUTLINE).when(entries.isNull(), BAD_OUTLINE)
     return both.select("doc_id", F.coalesce("md", F.lit("")).alias("outline_markdown"), F.coalesce(F.size(entries), F.lit(0)).alias("n_entries"), message.alias("message"))

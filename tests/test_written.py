@@ -164,3 +164,19 @@ def test_moves_are_dealt_out(spark, tmp_path):
     d = spark.createDataFrame([(f"d{k}", "a.md", "x") for k in range(40)], "doc_id string, file string, text string")
     staged = sinks.staged(d, str(tmp_path), "j").cache()
     assert sinks.published(staged, str(tmp_path), "single").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def plans(df, capsys):
+    """A table's plans before and after its run."""
+    df.explain()
+    df.collect()
+    df.explain()
+    return capsys.readouterr().out
+
+
+def test_listings_are_not_sent_whole(spark, tmp_path, capsys):
+    """Plans don't know the size of listings and texts: no join may take them for small, before or at the run."""
+    sinks.write_files(files(convert(two_guides(spark))), str(tmp_path))
+    for df in (written.outlines(spark, str(tmp_path)), written.payloads(spark, str(tmp_path))):
+        told = plans(df, capsys)
+        assert "isFinalPlan=true" in told and "SortMergeJoin" in told and "BroadcastExchange" not in told
