@@ -23,7 +23,7 @@ def faults(outline: DataFrame, segments: DataFrame, texts: DataFrame) -> DataFra
     named = strip(F.coalesce("title", F.lit(""))) != ""
     first = outline.filter(~(at_least("level") & at_least("page_start") & named)).select("doc_id", F.lit("Q-01").alias("rule"), "id")
     there = texts.select("doc_id", F.col("path").alias("file"), (strip(F.col("text")) == NO_TEXT).alias("_blank"), F.lit(True).alias("_there"))
-    own = segments.select("doc_id", "id", "file", "page_start", "page_end", "char_count").join(there, ["doc_id", "file"], "left")
+    own = segments.select("doc_id", "id", "file", "page_start", "page_end", "char_count").join(there.hint("merge"), ["doc_id", "file"], "left")
     sound = F.coalesce((F.col("page_start") <= F.col("page_end")) & (F.col("char_count") > 0), F.lit(False))
     second = own.filter(F.col("_there").isNull() | ~(F.col("_blank") | sound)).select("doc_id", F.lit("Q-02").alias("rule"), "id")
     many = segments.groupBy("doc_id", "file").agg(F.collect_list("id").alias("ids")).filter(F.size("ids") > 1)
@@ -35,5 +35,5 @@ def report(outline: DataFrame, segments: DataFrame, texts: DataFrame) -> DataFra
     """(doc_id, n_entries, n_segments, q01, q02, q03): a document's entries, segments and faults by rule."""
     one = lambda df, c: df.groupBy("doc_id").agg(F.count(F.lit(1)).alias(c))
     found = faults(outline, segments, texts).groupBy("doc_id").agg(*[F.count(F.when(F.col("rule") == r, 1)).alias(c) for r, c in (("Q-01", "q01"), ("Q-02", "q02"), ("Q-03", "q03"))])
-    out = one(outline, "n_entries").join(one(segments, "n_segments"), "doc_id", "full").join(found, "doc_id", "left")
+    out = one(outline, "n_entries").join(one(segments, "n_segments"), "doc_id", "full").join(found.hint("merge"), "doc_id", "left")
     return out.select("doc_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_entries", "n_segments", "q01", "q02", "q03")])

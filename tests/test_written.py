@@ -11,7 +11,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from quirefold.operators import readback
-from quirefold.plans import sinks
+from quirefold.plans import guardrails, sinks
 from quirefold.plans.convert import ConvertOptions, convert, files
 from quirefold.sources import written
 
@@ -180,3 +180,12 @@ def test_listings_are_not_sent_whole(spark, tmp_path, capsys):
     for df in (written.outlines(spark, str(tmp_path)), written.payloads(spark, str(tmp_path))):
         told = plans(df, capsys)
         assert "isFinalPlan=true" in told and "SortMergeJoin" in told and "BroadcastExchange" not in told
+
+
+def test_rules_send_no_texts_whole(spark, tmp_path, capsys):
+    sinks.write_files(files(convert(two_guides(spark))), str(tmp_path))
+    root = str(tmp_path)
+    rules = guardrails.report(written.outlines(spark, root), written.segments(spark, root), written.section_texts(spark, root, plain=True))
+    told = plans(rules, capsys)
+    assert "isFinalPlan=true" in told and "SortMergeJoin" in told and "BroadcastExchange" not in told
+    assert {tuple(r)[1:] for r in rules.collect()} == {(3, 3, 0, 0, 0)}
