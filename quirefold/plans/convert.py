@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quirefold.functions.text import clean_line, slugify
 from quirefold.operators import bodies, grouping, layout, outline, render, sections, tables
 from quirefold.plans.sinks import folder_names, json_file
-from quirefold.store import stored
+from quirefold.store import passing, stored
 
 
 @dataclass(frozen=True)
@@ -70,18 +70,21 @@ def convert(
     keep them. A document of ``pages`` without any line has one section, which says that it is empty.
 
     Decoded lines are written once, cleaned, with their page's size and the keys of its margins; the outline, the noise profile
-    and the bodies read them.
+    and the sections read them. Lines are written again by section, and then the first ones go: so lines are shuffled by page and by
+    section one after the other, and the disk never holds both.
     """
     o = options or ConvertOptions()
-    lines = stored(sections.banded(layout.sized(lines, pages).withColumn("text", clean_line("text"))), "lines")
-    counts = stored(spine(lines, pages, page_counts), "spine")
-    found = stored(outlines(lines, toc, o.mode, counts, cleaned=True), "outlines")
-    following = F.lead("title").over(Window.partitionBy("doc_id").orderBy("pos"))
-    ranges = grouping.numbered(sections.section_ranges(found, counts)).withColumn("next_title", following)
-    quiet = sections.denoised(lines, sections.noise_profile(lines, counts))
+    with passing(lines.sparkSession) as lasting:
+        lines = stored(sections.banded(layout.sized(lines, pages).withColumn("text", clean_line("text"))), "lines", "zstd")
+        counts = lasting(spine(lines, pages, page_counts), "spine")
+        found = lasting(outlines(lines, toc, o.mode, counts, cleaned=True), "outlines")
+        following = F.lead("title").over(Window.partitionBy("doc_id").orderBy("pos"))
+        ranges = grouping.numbered(sections.section_ranges(found, counts)).withColumn("next_title", following)
+        quiet = sections.denoised(lines, sections.noise_profile(lines, counts))
+        own = lasting(sections.section_lines(ranges, quiet).drop(*sections.MARGINS, "size"), "own", "zstd")
     drawn = bodies.section_tables(ranges, bodies.page_tables(layout.sized(cells, pages), o.rubric_tables)) if cells is not None else None
     told = ("code", "title", "level", "source", "page_start", "y0", "start", "end")
-    made = bodies.section_bodies(ranges, sections.section_lines(ranges, quiet), drawn, o.keep_footnotes, o.autojunk, told)
+    made = bodies.section_bodies(ranges, own, drawn, o.keep_footnotes, o.autojunk, told)
     if o.keep_footnotes:  # without markers both passes and the last one for repeats change nothing
         made = grouping.footnotes_settled(made, o.autojunk)
     return made.select(
@@ -142,14 +145,14 @@ def segment_rows(converted: DataFrame, mode: str) -> DataFrame:
     return rows.select("doc_id", "n", "id", "title", "level", "page_start", "page_end", "file", "char_count")
 
 
+def told_files(converted: DataFrame, mode: str) -> DataFrame:
+    """(doc_id, file, text): each document's outline.json, segments.json and outline.md. Bodies aren't read."""
+    o = outline_rows(converted, mode)
+    listed = render.outline_markdown(o).select("doc_id", F.lit("outline.md").alias("file"), F.col("md").alias("text"))
+    return json_file(o, "pos", "outline.json").unionByName(json_file(segment_rows(converted, mode), "n", "segments.json")).unionByName(listed)
+
+
 def files(converted: DataFrame, options: ConvertOptions | None = None, kept: bool = False) -> DataFrame:
     """(doc_id, file, text): everything that a conversion writes for each document. ``kept``: it is a stored table."""
-    mode = (options or ConvertOptions()).mode
     converted = converted if kept else stored(converted, "converted")
-    o = outline_rows(converted, mode)
-    listed = render.outline_markdown(o).select("doc_id", F.lit("outline.md").alias("file"), F.col("md").alias("text"))
-    parts = [json_file(o, "pos", "outline.json"), json_file(segment_rows(converted, mode), "n", "segments.json"), listed]
-    out = markdown_files(converted, options)
-    for p in parts:
-        out = out.unionByName(p)
-    return out
+    return markdown_files(converted, options).unionByName(told_files(converted, (options or ConvertOptions()).mode))

@@ -2,6 +2,8 @@
 
 import datetime as dt
 import json
+import pathlib
+import re
 import sys
 import time
 import uuid
@@ -10,8 +12,9 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+from quirefold import store
 from quirefold.operators import readback
-from quirefold.plans import guardrails, sinks
+from quirefold.plans import catalog, guardrails, sinks
 from quirefold.plans.convert import ConvertOptions, convert, files
 from quirefold.sources import written
 
@@ -189,3 +192,57 @@ def test_rules_send_no_texts_whole(spark, tmp_path, capsys):
     told = plans(rules, capsys)
     assert "isFinalPlan=true" in told and "SortMergeJoin" in told and "BroadcastExchange" not in told
     assert {tuple(r)[1:] for r in rules.collect()} == {(3, 3, 0, 0, 0)}
+
+
+def shuffles(spark):
+    blocks = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllBlocks().mkString(" ")
+    return set(re.findall(r"shuffle_(\d+)_", blocks))
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    before = shuffles(spark)
+    kept = store.stored(spark.range(1000).repartition(4, "id").groupBy((F.col("id") % 7).alias("k")).count(), "counted")
+    left = None
+    for _ in range(40):  # they go in the background
+        if not (left := shuffles(spark) - before):
+            break
+        time.sleep(0.25)
+    assert not left and kept.count() == 7 and spark.conf.get(store.TIDY, None) is None
+
+
+def test_passing_tables_go(spark):
+    home = pathlib.Path(store.own_dir(spark).removeprefix("file:"))
+    names = lambda: {p.name.rpartition("-")[0] for p in home.iterdir()} if home.exists() else set()
+    with store.passing(spark) as outer:
+        one = store.stored(spark.range(3), "t-outer")
+        with store.passing(spark) as inner:
+            two = inner(store.stored(spark.range(3), "t-inner").unionByName(one), "t-lasting")
+            three = outer(spark.range(5), "t-lasts")
+        assert {"t-outer", "t-lasting", "t-lasts"} <= names() and "t-inner" not in names() and two.count() == 6
+    assert "t-lasts" in names() and not {"t-outer", "t-lasting", "t-inner"} & names() and three.count() == 5
+    with pytest.raises(ZeroDivisionError), store.passing(spark):
+        store.stored(spark.range(3), "t-failed")
+        1 / 0  # noqa: B018
+    assert "t-failed" not in names()
+
+
+def test_conversions_leave_their_files_alone(spark, monkeypatch):
+    """Of a conversion whose files are written and read back nothing but the files stays."""
+    home = pathlib.Path(store.own_dir(spark).removeprefix("file:"))
+    names = lambda: {p.name for p in home.iterdir()} if home.exists() else set()
+    monkeypatch.setattr(catalog, "lines_of", lambda spark, sf_dir: two_guides(spark))
+    before = names()
+    found = catalog.q_segment_payload(spark, "")
+    assert [n.partition("-")[0] for n in names() - before] == ["files"]
+    assert {(r.doc_id, r.n) for r in found.collect()} == {(d, n) for d in ("guide one", "a/b") for n in (1, 2, 3)}
+    assert {tuple(r)[1:] for r in catalog.q_integrity(spark, "").collect()} == {(3, 3, 0, 0, 0)}
+
+
+def test_texts_are_written_without_a_shuffle(spark, monkeypatch):
+    """Leaving out files of some entries takes no join of texts."""
+    monkeypatch.setattr(catalog, "lines_of", lambda spark, sf_dir: two_guides(spark))
+    given = []
+    monkeypatch.setattr(catalog, "write_files", lambda files, root: given.append(files))
+    catalog.written_out(spark, "")
+    plan = given[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan and {"outline.json", "segments.json", "outline.md"} <= {w for w in re.findall(r"[a-z]+\.[a-z]+", plan)}
